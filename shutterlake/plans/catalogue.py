@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from shutterlake.plans import decode_queries, gallery_queries, stats_queries  # noqa: F401
+from shutterlake.plans import alert_queries, decode_queries, gallery_queries, stats_queries  # noqa: F401
 from shutterlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
