@@ -134,12 +134,14 @@ def lay_beside(facts: DataFrame, rules: DataFrame, fires: Callable[[dict], Colum
     result = facts.join(own, "device_id").filter(fires(flat)).select(*columns)
 
     shared = active.filter(given(F.col("device_id")).isNull()).select(*_rule_columns())
-    passes = math.ceil(shared.count() / RULES_PER_PASS)
+    as_json = shared.select("rule_id", F.to_json(F.struct("*")).alias("rule"))
+    rows = as_json.limit(RULES_PER_PASS + 1).collect()
+    passes = 1 if len(rows) <= RULES_PER_PASS else math.ceil(shared.count() / RULES_PER_PASS)
     for i in range(passes):
-        part = shared.filter(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i)
-        rows = [row[0] for row in part.select(F.to_json(F.struct("*"))).collect()]
+        if passes > 1:
+            rows = as_json.filter(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i).collect()
         if rows:
-            constant = F.from_json(F.lit("[" + ",".join(rows) + "]"), T.ArrayType(RULE))
+            constant = F.from_json(F.lit("[" + ",".join(r["rule"] for r in rows) + "]"), T.ArrayType(RULE))
             hits = facts.select("*", F.inline(F.filter(constant, fires)))
             result = result.unionByName(hits.select(*columns))
     return result

@@ -1,6 +1,8 @@
 """Importing this module registers every query."""
 
-from shutterlake.plans import alert_queries, decode_queries, gallery_queries, stats_queries  # noqa: F401
+from shutterlake.plans import (  # noqa: F401
+    alert_queries, decode_queries, device_queries, gallery_queries, stats_queries,
+)
 from shutterlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
