@@ -1,7 +1,7 @@
 """Importing this module registers every query."""
 
 from shutterlake.plans import (  # noqa: F401
-    alert_queries, decode_queries, device_queries, gallery_queries, stats_queries,
+    alert_queries, decode_queries, device_queries, gallery_queries, labeling_queries, stats_queries,
 )
 from shutterlake.plans.registry import ORACLES, QUERIES
 
