@@ -205,11 +205,15 @@ class Inputs:
         self.spark = spark
         self.folder = str(folder).rstrip("/")
 
+    @property
+    def source(self) -> str:
+        """What the fixtures' SQL reads as `events`."""
+        return f"parquet.`{self.folder}/events.parquet`"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in FIXTURES:
             raise AttributeError(name)
-        source = f"parquet.`{self.folder}/events.parquet`"
-        df = self.spark.sql(f"{with_clause([name], 'spark', source)} SELECT * FROM {name}")
+        df = self.spark.sql(f"{with_clause([name], 'spark', self.source)} SELECT * FROM {name}")
         return df.select(*[
             F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz"
             else F.col(f.name) for f in df.schema

@@ -316,7 +316,7 @@ def _(t):
 
 
 @query("s10_sidecar_join", """
-SELECT device_id, concat('raw/', strftime(timestamp, '%Y/%m/%d'), '/', device_id, '/', CASE WHEN image_size % 2 = 0
+SELECT DISTINCT device_id, concat('raw/', strftime(timestamp, '%Y/%m/%d'), '/', device_id, '/', CASE WHEN image_size % 2 = 0
   THEN concat(strftime(timestamp, '%Y%m%d_%H%M%S'), '_', device_id, '.jpg') ELSE concat(image_size, '.jpeg') END) AS object_key
 FROM events_raw WHERE image_size % 3 = 0""", "events_raw")
 def _(t):
