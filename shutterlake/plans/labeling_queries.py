@@ -364,7 +364,7 @@ def _(t):
 
 
 @query("s3_topic_rows", """
-SELECT device_id AS key, shot_id, image_size, 'camera-backend' AS source FROM events_raw""", "events_raw")
+SELECT device_id AS key, shot_id, image_size, 'iot-backend' AS source FROM events_raw""", "events_raw")
 def _(t):
     rows = streams.topic_rows(t.events_raw, key="device_id", now=AS_OF)
     return rows.select(

@@ -10,7 +10,8 @@ from shutterlake.functions.times import as_column
 
 RAW_TOPIC = "events.raw"
 ENRICHED_TOPIC = "events.enriched"
-SOURCE_HEADER = "camera-backend"
+# Fixed value: the source named in message headers.
+SOURCE_HEADER = "iot-backend"
 # Rows taken per trigger when nothing else is said: keeps one batch in memory.
 MAX_OFFSETS = 1_000_000
 
