@@ -5,10 +5,10 @@ ten minutes, and stale when its time is not later than every accepted one. Only
 accepted uploads change what follows, so the decision is a state machine and
 not a window over neighbours.
 
-In batch the machine runs over device-hours in parallel. An hour starts from a
-guessed state: the greatest time seen before, and a warm-up over the end of the
-hour before. Where the state an hour really starts from (the end state of the
-device's hour before) differs from the guess, the device is run again from
+In batch the machine runs over six-hour chunks of a device in parallel. A chunk
+starts from a guessed state: the greatest time seen before, and a warm-up over
+the end of the chunk before. Where the state a chunk really starts from (the end
+state of the device's chunk before) differs from the guess, the device is run again from
 there on with the true state, so the result is always exact. Rows stream
 through a task in sorted batches; the state held is one time and the shots of
 the last ten minutes.
@@ -32,7 +32,7 @@ from shutterlake.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TTL_US = 10 * 60 * 1_000_000
-CHUNK_US = 3600 * 1_000_000
+CHUNK_US = 6 * 3600 * 1_000_000
 WARM_US = 2 * TTL_US
 LONG_AGO = -(1 << 62)
 
@@ -83,7 +83,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Warm-up rows only move the state. For every chunk one extra row reports the
     state it started from, the one it ended in, and the latter after an idle
-    hour; each as of the chunk's edge.
+    chunk; each as of the chunk's edge.
     """
     key, state, started = None, Admission(), None
 
@@ -159,7 +159,7 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     placed = light.withColumn("place", F.explode(with_next)).select(
         *(c for c in light.columns if c != "chunk"), "place.chunk", "place.warm"
     )
-    # The inner join also drops warm-up rows of hours that have no rows.
+    # The inner join also drops warm-up rows of chunks that have no rows.
     work = placed.join(guesses, ["device_id", "chunk"])
     first = materialise(_run(work), "admission")
 
@@ -178,7 +178,7 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     )
     verdicts = first.filter(F.col("row_key").isNotNull()).select("device_id", "row_key", "chunk", "status")
     if not redo.isEmpty():
-        # The hour before the first wrong guess started right: warm up with all
+        # The chunk before the first wrong guess started right: warm up with all
         # of it and run on from there as one long chunk.
         again = work.join(redo, "device_id").filter(
             (F.col("chunk") == F.col("good_chunk")) | ((F.col("chunk") >= F.col("from_chunk")) & ~F.col("warm"))

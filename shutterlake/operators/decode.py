@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.functions.plans import once
 from shutterlake.functions.text import given, or_else
 from shutterlake.functions.times import as_column
 from shutterlake.schemas import ENRICHED_MESSAGE, RAW_MESSAGE
@@ -16,19 +17,23 @@ def parse_raw(messages: DataFrame) -> DataFrame:
     Malformed JSON or times become nulls, never a failed job. Envelope columns
     (kafka_timestamp, partition, offset) are kept when the source has them.
     """
-    body = F.from_json(F.col("value").cast("string"), RAW_MESSAGE)
     envelope = [name for name in ("partition", "offset") if name in messages.columns]
     stamped = "timestamp" in messages.columns
     out = messages.select(
-        body.alias("body"), F.col("value").cast("string").alias("value"),
+        F.col("value").cast("string").alias("value"),
         *([F.col("timestamp").alias("kafka_timestamp")] if stamped else []), *envelope,
     )
-    columns = [
-        F.try_to_timestamp(F.col("body")[name]).alias(name)
-        if name in ("timestamp", "received_at") else F.col("body")[name].alias(name)
-        for name in RAW_MESSAGE.names
-    ]
-    return out.select(*columns, *(c for c in out.columns if c != "body"))
+    kept = out.columns
+    return _typed(once(out, body=F.from_json("value", RAW_MESSAGE)), RAW_MESSAGE.names).select(*RAW_MESSAGE.names, *kept)
+
+
+def _typed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The fields of `body` as columns, times parsed."""
+    times = {"timestamp", "received_at", "processed_at"}
+    fields = {
+        name: F.try_to_timestamp(F.col("body")[name]) if name in times else F.col("body")[name] for name in names
+    }
+    return once(rows, **fields).drop("body")
 
 
 def valid(parsed: DataFrame) -> DataFrame:
@@ -70,12 +75,8 @@ def normalise_raw(parsed: DataFrame, now) -> DataFrame:
 def parse_enriched(messages: DataFrame) -> DataFrame:
     """Decode enriched JSON `value`; `detections` stays JSON text."""
     body = F.from_json(F.col("value").cast("string"), ENRICHED_MESSAGE)
-    rows = messages.select(body.alias("body"))
-    return rows.select(*[
-        F.try_to_timestamp(F.col("body")[name]).alias(name)
-        if name in ("timestamp", "processed_at") else F.col("body")[name].alias(name)
-        for name in ENRICHED_MESSAGE.names
-    ])
+    rows = once(messages.select("value"), body=body).select("body")
+    return _typed(rows, ENRICHED_MESSAGE.names)
 
 
 def normalise_enriched(parsed: DataFrame, now) -> DataFrame:
@@ -116,11 +117,10 @@ def check_contract(events: DataFrame) -> DataFrame:
 
 
 def violation_summary(checked: DataFrame) -> DataFrame:
-    """Rows per broken rule."""
-    return (
-        checked.select(F.explode("violations").alias("rule"))
-        .groupBy("rule").agg(F.count("*").alias("violations"))
-    )
+    """Rows per broken rule; rules nobody breaks are absent."""
+    names = list(_contract())
+    counts = checked.agg(*[F.count_if(F.array_contains("violations", name)).alias(name) for name in names])
+    return counts.unpivot([], names, "rule", "violations").filter(F.col("violations") > 0)
 
 
 # The column each table's processing_date is taken from.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.functions.plans import once
 from shutterlake.functions.text import STRING_MAP, given
 from shutterlake.functions.times import as_column
 from shutterlake.operators import changes
@@ -43,10 +44,8 @@ def parsed(messages: DataFrame) -> DataFrame:
         .when(_has(p, "warn"), "warn").when(_has(p, "ok"), "ok")
         .otherwise("unknown")
     )
-    return messages.select(
-        "seq", "ts", device_of(F.col("topic")).alias("device_id"), "payload",
-        F.from_json("payload", STRING_MAP).alias("fields"),
-    ).withColumn("kind", kind)
+    named = messages.select("seq", "ts", device_of(F.col("topic")).alias("device_id"), "payload")
+    return once(once(named, fields=F.from_json("payload", STRING_MAP)), kind=kind)
 
 
 def classified(messages: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions import detections as D
 from shutterlake.functions.names import base_name
+from shutterlake.functions.plans import once
 from shutterlake.functions.text import given, not_test_device
 from shutterlake.functions.times import as_column, end_of_day
 from shutterlake.functions.urls import to_public
@@ -26,21 +29,29 @@ def latest_enriched(enriched: DataFrame) -> DataFrame:
     ).select("device_id", "shot_id", *ENRICHED_COLUMNS)
 
 
-def with_detections(raw: DataFrame, enriched: DataFrame) -> DataFrame:
+def with_detections(
+    raw: DataFrame, enriched: DataFrame, keep: Callable[[Column], Column] | None = None, small: bool = False
+) -> DataFrame:
     """Raw events left-joined with their latest detection result.
 
+    With `keep`, a predicate over the parsed detections, only the raw events
+    whose result passes remain. `small` says that the results are few.
+
     An empty shot matches nothing. Such rows get a key of their own, so that a
     device which never names its shots does not send them all to one task.
     """
     spread = F.concat(F.lit("-"), F.xxhash64("image_url", "timestamp").cast("string"))
     keyed = raw.withColumn("_key", F.when(F.col("shot_id") != "", F.col("shot_id")).otherwise(spread))
-    found = latest_enriched(enriched).withColumnRenamed("shot_id", "_key").withColumn("_found", F.lit(True))
-    left, right = keyed.alias("r"), found.alias("e")
+    found = latest_enriched(enriched).withColumnRenamed("shot_id", "_key")
+    if keep is not None:
+        found = once(found.filter(F.col("detection_count") > 0), _d=D.parse(F.col("detections")))
+        found = found.filter(keep(F.col("_d"))).drop("_d")
+    left, right = keyed.alias("r"), (F.broadcast(found) if small else found).alias("e")
     matched = left.join(
         right,
         (F.col("r.device_id") == F.col("e.device_id")) & (F.col("r._key") == F.col("e._key"))
         & (F.col("r.shot_id") != ""),
-        "left",
+        "left" if keep is None else "inner",
     )
     return matched.select(
         "r.*", F.coalesce("e.detection_count", F.lit(0)).alias("detection_count"),
@@ -59,22 +70,16 @@ def _raw_filter(device_id, start_date, end_date, search) -> Column:
     return keep
 
 
-def _detection_filter(has_detections, min_confidence, species) -> Column | None:
-    keep = []
-    if has_detections is not None:
-        some = F.col("detection_count") > 0
-        keep.append(some if has_detections else ~some)
-    if min_confidence is not None or species:
-        parsed = D.parse(F.col("detections"))
-        keep.append(F.col("detection_count") > 0)
-        if min_confidence is not None:
-            keep.append(D.any_confident(parsed, min_confidence))
-        if species:
-            keep.append(D.any_species(parsed, species))
-    result = None
-    for condition in keep:
-        result = condition if result is None else result & condition
-    return result
+def _object_filter(min_confidence, species) -> Callable[[Column], Column] | None:
+    """The predicate over parsed detections, if one is asked for."""
+    if min_confidence is None and not species:
+        return None
+
+    def keep(parsed: Column) -> Column:
+        sure = F.lit(True) if min_confidence is None else D.any_confident(parsed, min_confidence)
+        return sure & D.any_species(parsed, species) if species else sure
+
+    return keep
 
 
 def matching(
@@ -82,9 +87,12 @@ def matching(
     search=None, has_detections=None, min_confidence=None, species=None,
 ) -> DataFrame:
     """All gallery rows passing the filters, before paging."""
-    rows = with_detections(raw.filter(_raw_filter(device_id, start_date, end_date, search)), enriched)
-    condition = _detection_filter(has_detections, min_confidence, species)
-    return rows if condition is None else rows.filter(condition)
+    kept = raw.filter(_raw_filter(device_id, start_date, end_date, search))
+    rows = with_detections(kept, enriched, _object_filter(min_confidence, species))
+    if has_detections is None:
+        return rows
+    some = F.col("detection_count") > 0
+    return rows.filter(some if has_detections else ~some)
 
 
 SORT_COLUMNS = {"timestamp": "timestamp", "detections": "detection_count", "size": "image_size"}
@@ -119,8 +127,9 @@ def page(
         cut = changes.page(kept, order, number, size)
         # At most `size` keys: a bound independent of the data.
         keys = F.broadcast(cut.select("device_id", "shot_id").distinct())
-        rows = with_detections(cut, enriched.join(keys, ["device_id", "shot_id"], "left_semi"))
-    return shaped(rows.orderBy(*order), public_domain)
+        few = enriched.join(keys, ["device_id", "shot_id"], "left_semi")
+        rows = with_detections(cut, few, small=True).orderBy(*order).limit(size)
+    return shaped(rows, public_domain)
 
 
 def totals(raw: DataFrame, enriched: DataFrame, *, size: int = 12, **filters) -> DataFrame:

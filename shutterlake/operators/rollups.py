@@ -141,7 +141,9 @@ def exploded_detections(enriched: DataFrame, *keep: str) -> DataFrame:
     """One row per detected object with `species` and `confidence`."""
     return (
         enriched.filter(F.col("detection_count") > 0)
-        .select(*keep, F.explode(D.parse(F.col("detections"))).alias("d"))
+        # The outer form, then a filter: a plain explode would parse twice.
+        .select(*keep, F.explode_outer(D.parse(F.col("detections"))).alias("d"))
+        .filter(F.col("d").isNotNull())
         .select(
             *keep, D.species_of(F.col("d")).alias("species"),
             D.confidence_of(F.col("d")).alias("confidence"),

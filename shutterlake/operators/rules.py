@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.functions import detections as D
+from shutterlake.functions.plans import once
 from shutterlake.functions.text import given
 from shutterlake.functions.times import as_column
 from shutterlake.operators import changes
@@ -105,19 +106,16 @@ def _rule_columns() -> list[Column]:
 
 
 def _facts(enriched: DataFrame) -> DataFrame:
-    d = D.parse(F.col("detections"))
-    return (
-        enriched.filter(given(F.col("device_id")).isNotNull())
-        .withColumn("_d", d)
-        .select(
-            "device_id", F.col("timestamp").alias("triggered_at"), "shot_id", "image_url",
-            F.coalesce("detection_count", F.lit(0)).alias("detection_count"),
-            F.size("_d").alias("detections_count"),
-            D.max_confidence(F.col("_d")).alias("top_confidence"),
-            D.classes_lower(F.col("_d")).alias("_classes"),
-            D.class_list(F.col("_d")).alias("class_list"),
-        )
+    known = enriched.filter(given(F.col("device_id")).isNotNull()).select(
+        "device_id", F.col("timestamp").alias("triggered_at"), "shot_id", "image_url",
+        F.coalesce("detection_count", F.lit(0)).alias("detection_count"), "detections",
     )
+    d = F.col("_d")
+    return once(
+        once(known, _d=D.parse(F.col("detections"))),
+        detections_count=F.size(d), top_confidence=D.max_confidence(d),
+        _classes=D.classes_lower(d), class_list=D.class_list(d),
+    ).drop("_d", "detections")
 
 
 def lay_beside(facts: DataFrame, rules: DataFrame, fires: Callable[[dict], Column]) -> DataFrame:
