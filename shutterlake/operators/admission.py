@@ -81,14 +81,15 @@ _VERDICTS = (
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Verdicts for rows sorted by device, chunk and arrival.
 
-    Warm-up rows only move the state. For every chunk one extra row reports the
+    A chunk's first row has no key and states the guess. Warm-up rows only move
+    the state. For every chunk one extra row reports the
     state it started from, the one it ended in, and the latter after an idle
     chunk; each as of the chunk's edge.
     """
     key, state, started = None, Admission(), None
 
     def closing(out):
-        if key is not None:
+        if started is not None:
             device, chunk = key
             end = (chunk + 1) * CHUNK_US
             out.append((
@@ -102,7 +103,10 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ):
             if (device, chunk) != key:
                 closing(out)
-                key, state, started = (device, chunk), Admission(int(guess)), None
+                key, state, started = (device, chunk), Admission(), None
+            if row_key is None:
+                state = Admission(int(guess))
+                continue
             if warm:
                 state.offer(at, shot, ts)
                 continue
@@ -119,7 +123,7 @@ def _run(rows: DataFrame) -> DataFrame:
     columns = ["device_id", "chunk", "at", "seq", "shot_id", "ts", "warm", "guess", "row_key"]
     return (
         rows.select(*columns).repartition("device_id", "chunk")
-        .sortWithinPartitions("device_id", "chunk", "at", "seq", "row_key")
+        .sortWithinPartitions("device_id", "chunk", F.asc_nulls_first("at"), "seq", "row_key")
         .mapInPandas(_judge, _VERDICTS)
     )
 
@@ -152,6 +156,11 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     guesses = hours.select(
         "device_id", "chunk", F.coalesce(F.greatest(before, just_before), F.lit(LONG_AGO)).alias("guess"),
     )
+    # Guesses travel as rows of their own: joining them would shuffle once more.
+    guess_rows = guesses.select(
+        "device_id", "chunk", "guess", F.lit(False).alias("warm"),
+        *(F.lit(None).cast(light.schema[c].dataType).alias(c) for c in ("at", "seq", "shot_id", "ts", "row_key")),
+    )
     places = F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("warm")))
     with_next = F.when(
         tail, F.concat(places, F.array(F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("warm"))))
@@ -159,8 +168,7 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     placed = light.withColumn("place", F.explode(with_next)).select(
         *(c for c in light.columns if c != "chunk"), "place.chunk", "place.warm"
     )
-    # The inner join also drops warm-up rows of chunks that have no rows.
-    work = placed.join(guesses, ["device_id", "chunk"])
+    work = placed.withColumn("guess", F.lit(None).cast("long")).unionByName(guess_rows)
     first = materialise(_run(work), "admission")
 
     edges = first.filter(F.col("row_key").isNull())
@@ -180,15 +188,11 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     if not redo.isEmpty():
         # The chunk before the first wrong guess started right: warm up with all
         # of it and run on from there as one long chunk.
-        again = work.join(redo, "device_id").filter(
-            (F.col("chunk") == F.col("good_chunk")) | ((F.col("chunk") >= F.col("from_chunk")) & ~F.col("warm"))
-        )
-        start = F.max(F.when(F.col("chunk") == F.col("good_chunk"), F.col("guess")))
-        guess = again.groupBy("device_id").agg(start.alias("_guess"))
+        good = F.col("chunk") == F.col("good_chunk")
+        later = (F.col("chunk") >= F.col("from_chunk")) & ~F.col("warm") & F.col("row_key").isNotNull()
         rerun = _run(
-            again.join(guess, "device_id").withColumns({
-                "warm": F.col("warm") | (F.col("chunk") == F.col("good_chunk")),
-                "guess": F.col("_guess"), "chunk": F.col("good_chunk"),
+            work.join(redo, "device_id").filter(good | later).withColumns({
+                "warm": F.col("warm") | good, "chunk": F.col("good_chunk"),
             })
         ).filter(F.col("row_key").isNotNull()).select("device_id", "row_key", "chunk", "status")
         kept = verdicts.join(redo, "device_id", "left").filter(

@@ -104,7 +104,10 @@ def apply_cooldown(
     if history is not None:
         candidates = not_suppressed(candidates, history)
     payload = [c for c in candidates.columns if c not in PAIR]
-    rows = candidates.withColumn("_at", F.unix_micros("triggered_at"))
+    # Stated up front, so that both uses of the chunks have the same plan and
+    # share one shuffle: the join below would add it to one of them only.
+    complete = F.col("rule_id").isNotNull() & F.col("device_id").isNotNull() & F.col("triggered_at").isNotNull()
+    rows = candidates.filter(complete).withColumn("_at", F.unix_micros("triggered_at"))
     block = F.col("_at") + F.col("cooldown_s") * 1_000_000
     if resolutions is not None:
         ended = resolutions.groupBy(*PAIR, F.unix_micros("triggered_at").alias("_at")).agg(
@@ -114,7 +117,7 @@ def apply_cooldown(
         block = F.greatest("_at", F.least(block, F.col("_resolved") - 1))
     # Of candidates at the same instant only one can fire: the first by payload.
     instants = rows.select(
-        *PAIR, F.floor(F.col("_at") / F.lit(chunk_s * 1_000_000)).alias("chunk"), "_at",
+        *PAIR, F.expr(f"_at div {chunk_s * 1_000_000}L").alias("chunk"), "_at",
         F.struct(block.alias("_until"), *payload).alias("item"),
     ).groupBy(*PAIR, "chunk", "_at").agg(F.min("item").alias("item"))
     chunks = instants.groupBy(*PAIR, "chunk").agg(

@@ -118,30 +118,36 @@ def _facts(enriched: DataFrame) -> DataFrame:
     ).drop("_d", "detections")
 
 
-def lay_beside(facts: DataFrame, rules: DataFrame, fires: Callable[[dict], Column]) -> DataFrame:
+def lay_beside(facts: DataFrame, rules: DataFrame, fires: Callable[[Column], Column]) -> DataFrame:
     """`facts` rows with the columns of each enabled rule that fires for them.
 
-    Rules of one device meet its rows in an equi join. Rules for all devices
-    are laid beside each row as a constant array and filtered in place, so only
-    pairs that fire are ever emitted.
+    Each row carries the rules of its own device, found by an equi join, and
+    the rules for all devices as a constant array. Both are filtered in place,
+    so only pairs that fire are ever emitted and the facts are read once.
     """
     active = rules.filter(F.col("enabled"))
-    own = active.filter(given(F.col("device_id")).isNotNull()).select("device_id", *_rule_columns())
-    columns = [*RULE.names, *facts.columns]
-    flat = {name: F.col(name) for name in RULE.names}
-    result = facts.join(own, "device_id").filter(fires(flat)).select(*columns)
-
+    own = (
+        active.filter(given(F.col("device_id")).isNotNull())
+        .groupBy("device_id").agg(F.collect_list(F.struct(*_rule_columns())).alias("_own"))
+    )
     shared = active.filter(given(F.col("device_id")).isNull()).select(*_rule_columns())
     as_json = shared.select("rule_id", F.to_json(F.struct("*")).alias("rule"))
     rows = as_json.limit(RULES_PER_PASS + 1).collect()
     passes = 1 if len(rows) <= RULES_PER_PASS else math.ceil(shared.count() / RULES_PER_PASS)
+    columns = [*RULE.names, *facts.columns]
+    result = None
     for i in range(passes):
         if passes > 1:
             rows = as_json.filter(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i).collect()
-        if rows:
-            constant = F.from_json(F.lit("[" + ",".join(r["rule"] for r in rows) + "]"), T.ArrayType(RULE))
-            hits = facts.select("*", F.inline(F.filter(constant, fires)))
-            result = result.unionByName(hits.select(*columns))
+        text = "[" + ",".join(row["rule"] for row in rows) + "]"
+        watching = F.from_json(F.lit(text), T.ArrayType(RULE))
+        part = facts
+        if i == 0:
+            part = facts.join(own, "device_id", "left")
+            none = F.array().cast(T.ArrayType(RULE))
+            watching = F.concat(watching, F.coalesce(F.col("_own").cast(T.ArrayType(RULE)), none))
+        hits = part.select(*facts.columns, F.inline(F.filter(watching, fires))).select(*columns)
+        result = hits if result is None else result.unionByName(hits)
     return result
 
 
