@@ -24,6 +24,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.session import materialise
+
 # Executors need no copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -99,15 +101,13 @@ def apply_cooldown(
 
     `candidates` has rule_id, device_id, triggered_at, cooldown_s and any
     payload. `history` holds alerts stored earlier. `resolutions` (rule_id,
-    device_id, triggered_at, resolved_at) ends a block early.
+    device_id, triggered_at, resolved_at) ends a block early. The candidates are
+    evaluated when this is called and kept in the shared folder.
     """
     if history is not None:
         candidates = not_suppressed(candidates, history)
     payload = [c for c in candidates.columns if c not in PAIR]
-    # Stated up front, so that both uses of the chunks have the same plan and
-    # share one shuffle: the join below would add it to one of them only.
-    complete = F.col("rule_id").isNotNull() & F.col("device_id").isNotNull() & F.col("triggered_at").isNotNull()
-    rows = candidates.filter(complete).withColumn("_at", F.unix_micros("triggered_at"))
+    rows = candidates.withColumn("_at", F.unix_micros("triggered_at"))
     block = F.col("_at") + F.col("cooldown_s") * 1_000_000
     if resolutions is not None:
         ended = resolutions.groupBy(*PAIR, F.unix_micros("triggered_at").alias("_at")).agg(
@@ -123,6 +123,8 @@ def apply_cooldown(
     chunks = instants.groupBy(*PAIR, "chunk").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), "item"))).alias("items")
     )
+    # Read twice below: written once, so that the events are not evaluated twice.
+    chunks = materialise(chunks, "cooldown")
     times = F.transform("items", lambda x: x["at"])
     until = F.transform("items", lambda x: x["item"]["_until"])
     cooldown = F.get("items", F.lit(0))["item"]["cooldown_s"] * 1_000_000

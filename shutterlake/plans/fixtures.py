@@ -214,7 +214,8 @@ class Inputs:
         if name not in FIXTURES:
             raise AttributeError(name)
         df = self.spark.sql(f"{with_clause([name], 'spark', self.source)} SELECT * FROM {name}")
-        return df.select(*[
+        self.__dict__[name] = df = df.select(*[
             F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz"
             else F.col(f.name) for f in df.schema
         ])
+        return df

@@ -16,6 +16,15 @@ ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-30 18:00:00"
 
 
+_INPUTS: dict[tuple, Inputs] = {}
+
+
+def _inputs(spark: SparkSession, folder: str) -> Inputs:
+    """The table definitions of a folder, made once per session; they hold no rows."""
+    key = (spark.sparkContext.applicationId, id(spark), str(folder))
+    return _INPUTS.setdefault(key, Inputs(spark, folder))
+
+
 def _plain_times(df: DataFrame) -> DataFrame:
     """Timestamps as UTC wall time, whatever zone the caller shows them in."""
     return df.select(*[
@@ -30,7 +39,7 @@ def query(name: str, sql: str | None = None, uses: str = ""):
     def register(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return _plain_times(build(Inputs(spark, folder)))
+            return _plain_times(build(_inputs(spark, folder)))
 
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
