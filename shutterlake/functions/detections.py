@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shutterlake.functions.text import given
+from shutterlake.functions.text import given, json_array
 from shutterlake.schemas import DETECTIONS
 
 
 def parse(detections: Column) -> Column:
     """Detections text → array of structs; blank or malformed text → empty array."""
-    return F.coalesce(F.from_json(detections, DETECTIONS), F.array().cast(DETECTIONS))
+    return F.coalesce(json_array(detections, DETECTIONS), F.array().cast(DETECTIONS))
 
 
 def species_of(detection: Column) -> Column:

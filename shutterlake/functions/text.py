@@ -18,10 +18,30 @@ def or_else(value: Column, default) -> Column:
     return F.coalesce(given(value), F.lit(default))
 
 
+def _enclosed(raw: Column, opening: str, closing: str) -> Column:
+    """The text if it is enclosed by the brackets, else null.
+
+    The JSON reader takes an object for an array of one and ignores what
+    follows a complete value; neither is valid here.
+    """
+    trimmed = F.trim(raw)
+    return F.when(trimmed.startswith(opening) & trimmed.endswith(closing), raw)
+
+
+def json_object(raw: Column) -> Column:
+    """A JSON object as a string map; null for anything else."""
+    return F.from_json(_enclosed(raw, "{", "}"), STRING_MAP)
+
+
+def json_array(raw: Column, schema) -> Column:
+    """A JSON array; null for anything else."""
+    return F.from_json(_enclosed(raw, "[", "]"), schema)
+
+
 def tolerant_json(raw: Column) -> Column:
     """A JSON object as a string map; other text as {raw: text}; blank as {}."""
     empty = F.from_json(F.lit("{}"), STRING_MAP)
-    parsed = F.from_json(raw, STRING_MAP)
+    parsed = json_object(raw)
     return (
         F.when(given(raw).isNull(), empty)
         .when(parsed.isNotNull(), parsed)

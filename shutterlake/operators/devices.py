@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.plans import once
-from shutterlake.functions.text import STRING_MAP, given
+from shutterlake.functions.text import given, json_object
 from shutterlake.functions.times import as_column
 from shutterlake.operators import changes
 
@@ -45,7 +45,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         .otherwise("unknown")
     )
     named = messages.select("seq", "ts", device_of(F.col("topic")).alias("device_id"), "payload")
-    return once(once(named, fields=F.from_json("payload", STRING_MAP)), kind=kind)
+    return once(once(named, fields=json_object(F.col("payload"))), kind=kind)
 
 
 def classified(messages: DataFrame) -> DataFrame:
@@ -149,12 +149,13 @@ def _order() -> Column:
 def registry(messages: DataFrame, as_of) -> DataFrame:
     """Each known device's state after all its messages up to `as_of`.
 
-    A device is known from its first online message on. Everything is a
-    map-side combining aggregate. The two facts that depend on an order within
-    the device (uploads after the first online message, start of the present
-    online run) are taken from hourly aggregates, and the raw messages are
-    looked at again only in the one hour of each device where that order
-    matters; no task receives a whole device.
+    A device is known from its first online message on. Messages are reduced to
+    one row per device and hour, with map-side combining aggregates, and those
+    to one per device. The two facts that depend on an order within the device
+    (uploads after the first online message, start of the present online run)
+    follow from the hours, except inside the one hour each where that order
+    matters: only those hours' messages are looked at again. No task receives a
+    whole device.
     """
     rows = parsed(messages).filter(F.col("ts") <= as_column(as_of)).withColumn(
         "hour", F.date_trunc("hour", "ts")
@@ -163,38 +164,46 @@ def registry(messages: DataFrame, as_of) -> DataFrame:
     online, offline = kind == "online", kind == "offline"
     uploaded = (kind == "event") & (p["event"] == "upload_ok")
 
-    def last_given(key: str, as_type: str, keep: Column | None = None) -> Column:
-        value = p[key]
-        present = value.isNotNull() if keep is None else keep
-        return F.max_by(value.try_cast(as_type), F.when(online & present, at))
+    def given_last(key: str, as_type: str, keep: Column | None = None) -> Column:
+        """The last given value of an online message, with its place."""
+        present = p[key].isNotNull() if keep is None else keep
+        return F.max(F.when(online & present, F.struct(at.alias("at"), p[key].try_cast(as_type).alias("value"))))
 
     fields = {
-        "firmware": last_given("fw", "string", truthy(p["fw"])),
-        "ip": last_given("ip", "string", truthy(p["ip"])),
-        "ssid": last_given("ssid", "string", truthy(p["ssid"])),
-        "heap": last_given("heap", "bigint"),
-        "auto_mode": last_given("auto", "boolean"),
-        "interval_sec": last_given("intervalSec", "bigint"),
-        "uptime": last_given("uptime", "bigint"),
+        "firmware": given_last("fw", "string", truthy(p["fw"])),
+        "ip": given_last("ip", "string", truthy(p["ip"])),
+        "ssid": given_last("ssid", "string", truthy(p["ssid"])),
+        "heap": given_last("heap", "bigint"),
+        "auto_mode": given_last("auto", "boolean"),
+        "interval_sec": given_last("intervalSec", "bigint"),
+        "uptime": given_last("uptime", "bigint"),
     }
-    state = rows.groupBy("device_id").agg(
+    hourly = rows.groupBy("device_id", "hour").agg(
         F.min(F.when(online, at)).alias("first_on"),
         F.max(F.when(online, at)).alias("last_on"),
         F.max(F.when(offline, at)).alias("last_off"),
         F.max("ts").alias("last_seen_at"),
+        F.count_if(uploaded).alias("uploads"),
         *(column.alias(name) for name, column in fields.items()),
-    ).filter(F.col("first_on").isNotNull())
-
-    hourly = rows.groupBy("device_id", "hour").agg(
-        F.count_if(uploaded).alias("uploads"), F.min(F.when(online, F.col("ts"))).alias("first_online"),
     )
-    marks = state.select("device_id", "first_on", "last_off")
+    # The hours of a device are bounded by the time span, not by its messages.
+    state = hourly.groupBy("device_id").agg(
+        F.min("first_on").alias("first_on"), F.max("last_on").alias("last_on"),
+        F.max("last_off").alias("last_off"), F.max("last_seen_at").alias("last_seen_at"),
+        F.collect_list(F.struct("hour", "uploads", F.col("first_on.ts").alias("first_online"))).alias("hours"),
+        *(F.max(name)["value"].alias(name) for name in fields),
+    ).filter(F.col("first_on").isNotNull())
     first_hour, off_hour = F.date_trunc("hour", "first_on.ts"), F.date_trunc("hour", "last_off.ts")
-    after = hourly.join(marks, "device_id").groupBy("device_id").agg(
-        F.sum(F.when(F.col("hour") > first_hour, F.col("uploads"))).alias("later_uploads"),
-        F.min(F.when(off_hour.isNull() | (F.col("hour") > off_hour), F.col("first_online"))).alias("later_online"),
+    later_uploads = F.aggregate(
+        F.filter("hours", lambda h: h["hour"] > first_hour), F.lit(0).cast("long"), lambda n, h: n + h["uploads"]
     )
-    edges = marks.select(
+    after_off = F.filter("hours", lambda h: off_hour.isNull() | (h["hour"] > off_hour))
+    state = state.withColumns({
+        "later_uploads": later_uploads,
+        "later_online": F.array_min(F.transform(after_off, lambda h: h["first_online"])),
+    }).drop("hours")
+
+    edges = state.select(
         "device_id", "first_on", "last_off",
         F.explode(F.array_distinct(F.array_compact(F.array(first_hour, off_hour)))).alias("hour"),
     )
@@ -204,8 +213,7 @@ def registry(messages: DataFrame, as_of) -> DataFrame:
     )
     is_online = F.col("last_off").isNull() | (F.col("last_on") > F.col("last_off"))
     silent = F.unix_micros(as_column(as_of)) - F.unix_micros("last_seen_at")
-    out = state.join(after, "device_id", "left").join(inside, "device_id", "left")
-    return out.select(
+    return state.join(inside, "device_id", "left").select(
         "device_id", is_online.alias("online"),
         (is_online & (silent > STALE_AFTER_S * 1_000_000)).alias("stale"),
         "firmware", "ip", "ssid", "heap",
@@ -215,7 +223,7 @@ def registry(messages: DataFrame, as_of) -> DataFrame:
         "last_seen_at",
         F.when(is_online, F.coalesce("edge_online", "later_online")).alias("online_since"),
         F.col("first_on")["ts"].alias("first_seen_at"),
-        (F.coalesce("later_uploads", F.lit(0)) + F.coalesce("edge_uploads", F.lit(0))).alias("image_count"),
+        (F.col("later_uploads") + F.coalesce("edge_uploads", F.lit(0))).alias("image_count"),
     )
 
 
