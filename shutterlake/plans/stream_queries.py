@@ -131,6 +131,19 @@ def _(t):
     return t.spark.read.parquet(f"{out}/alerts").select("rule_id", "device_id", "triggered_at")
 
 
+@query("l10_streamed_offline", f"""
+WITH RECURSIVE {device_queries._FEED}, {device_queries._SILENT_CAND.replace("coalesce(next_ts, TIMESTAMP '2024-02-01')", "next_ts")},
+fired AS (SELECT rule_id, device_id, min(triggered_at) AS triggered_at FROM cand GROUP BY ALL
+  UNION ALL SELECT c.rule_id, c.device_id, min(c.triggered_at) FROM fired f JOIN cand c USING (rule_id, device_id)
+  WHERE c.triggered_at > f.triggered_at + INTERVAL 2 DAYS GROUP BY c.rule_id, c.device_id, f.triggered_at)
+SELECT DISTINCT rule_id, device_id, triggered_at FROM fired""", device_queries._USES)
+def _(t):
+    out, checkpoint = _folders(t)
+    rules_ = device_queries._offline_rules(t)
+    _finished(jobs.offline(Streams(t).device_messages, rules_, out, checkpoint, interval=None))
+    return t.spark.read.parquet(out).select("rule_id", "device_id", "triggered_at")
+
+
 @query("x15_streamed_enrichment")
 def _(t):
     out, checkpoint = _folders(t)

@@ -176,6 +176,18 @@ def presence(
     return start(states, each, checkpoint, interval=interval, mode="update")
 
 
+def offline(
+    messages: DataFrame, rule_rows: DataFrame, out: str, checkpoint: str, *, interval: str | None = INTERVAL
+) -> StreamingQuery:
+    """Device messages → alerts for silences beyond the device_offline rules' thresholds."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        with_retries(lambda: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+
+    fired = state.offline_stream(messages, rule_rows, timers=interval is not None)
+    return start(fired, each, checkpoint, interval=interval)
+
+
 def admission(uploads: DataFrame, out: str, checkpoint: str, now, *, interval: str | None = INTERVAL) -> StreamingQuery:
     """Uploads → verdicts."""
 

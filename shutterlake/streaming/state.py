@@ -190,3 +190,69 @@ def presence_stream(messages: DataFrame, timers: bool = True) -> DataFrame:
     )
     times = ("last_seen_at", "online_since", "first_seen_at")
     return states.withColumns({name: F.timestamp_micros(name) for name in times})
+
+
+# ---- silence alerts -----------------------------------------------------
+
+def offline_group(rule_rows: list[dict], timers: bool):
+    """State function: alerts for silences of a device beyond each rule's threshold.
+
+    The state is the last message's time and, per rule, until when it is
+    blocked and for which silence it has been judged. A silence is noticed by
+    the next message, or by the timer while it lasts.
+    """
+
+    def judge(device, last, until, blocked, judged, out):
+        for i, rule in enumerate(rule_rows):
+            if rule["device_id"] and rule["device_id"] != device:
+                continue
+            passed = last + int(rule["threshold"] * 1_000_000)
+            if until > passed and judged[i] != last:
+                judged[i] = last
+                if passed > blocked[i]:
+                    blocked[i] = passed + rule["cooldown_s"] * 1_000_000
+                    out.append((rule["rule_id"], rule["name"], rule["severity"], device, passed))
+
+    def group(key, batches, state):
+        n = len(rule_rows)
+        last, blocked, judged = state.get if state.exists else (None, [NEVER] * n, [NEVER] * n)
+        blocked, judged, out = list(blocked), list(judged), []
+        if state.hasTimedOut:
+            now = state.getCurrentProcessingTimeMs() * 1000
+            judge(key[0], last, now, blocked, judged, out)
+        else:
+            now = None
+            for at in _in_order(batches, ["at"])["at"]:
+                if last is not None:
+                    judge(key[0], last, int(at), blocked, judged, out)
+                last = int(at)
+        state.update((last, blocked, judged))
+        if timers:
+            now = state.getCurrentProcessingTimeMs() * 1000 if now is None else now
+            waits = [
+                last + int(rule["threshold"] * 1_000_000) - now
+                for i, rule in enumerate(rule_rows) if judged[i] != last
+            ]
+            if waits:
+                state.setTimeoutDuration(max(1000, min(waits) // 1000 + 1))
+        yield pd.DataFrame(out, columns=["rule_id", "name", "severity", "device_id", "at"])
+
+    return group
+
+
+def offline_stream(messages: DataFrame, rule_rows: DataFrame, timers: bool = True) -> DataFrame:
+    """Streaming form of `rules.silence_candidates` with its cooldown.
+
+    The rules are read when the job starts; a device's state grows with their number.
+    """
+    wanted = rule_rows.filter(F.col("enabled") & (F.col("cond_type") == "device_offline")).select(
+        "rule_id", "name", "severity", "device_id", F.col("threshold").cast("double"), F.col("cooldown_s").cast("long")
+    )
+    constant = [row.asDict() for row in wanted.collect()]
+    rows = parsed(messages).select("device_id", F.unix_micros("ts").alias("at"))
+    fired = rows.groupBy("device_id").applyInPandasWithState(
+        offline_group(constant, timers), "rule_id string, name string, severity string, device_id string, at bigint",
+        "last bigint, blocked array<bigint>, judged array<bigint>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout,
+    )
+    return fired.withColumn("triggered_at", F.timestamp_micros("at")).drop("at")

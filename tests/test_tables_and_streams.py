@@ -178,6 +178,50 @@ def test_presence_timer_marks_a_silent_device_stale():
     assert out.stale[0] and silent.timeout is None
 
 
+def test_offline_timer_fires_once_per_silence():
+    rule_rows = [{"rule_id": "r", "name": "n", "severity": "info", "device_id": None, "threshold": 10.0, "cooldown_s": 0}]
+    group = state.offline_group(rule_rows, timers=True)
+
+    class Clock(FakeState):
+        now = 0
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+    st = Clock()
+    assert list(group(("d",), iter([pd.DataFrame({"at": [0]})]), st))[0].empty
+    assert st.timeout == 10_001
+    st.now, st.hasTimedOut = 11_000, True
+    assert list(group(("d",), iter([]), st))[0]["at"].tolist() == [10_000_000]
+    st.hasTimedOut = False
+    late = pd.DataFrame({"at": [30_000_000, 50_000_000]})
+    assert list(group(("d",), iter([late]), st))[0]["at"].tolist() == [40_000_000]
+
+
+def test_datasets_are_written_and_read(spark, inputs, tmp_path):
+    from shutterlake.operators import labeling
+    from shutterlake.sources import datasets
+
+    projects = inputs.labeling_projects.withColumn("class_names", F.split("class_names", ","))
+    pictures, marks = inputs.project_images, inputs.annotations
+    datasets.write_coco(pictures, marks, projects, str(tmp_path / "coco"))
+    lines = spark.read.text(str(tmp_path / "coco/project_id=p0/relation=images"))
+    ids = sorted(json.loads(r.value)["id"] for r in lines.collect())
+    assert ids == list(range(1, pictures.filter("project_id = 'p0'").count() + 1))
+    datasets.write_yolo(pictures, marks, projects, str(tmp_path / "yolo"))
+    assert spark.read.parquet(str(tmp_path / "yolo")).count() == pictures.count()
+    datasets.write_split(pictures, marks, str(tmp_path / "split"))
+    assert {os.path.basename(p) for p in glob.glob(str(tmp_path / "split/images/split=*"))} == {"split=train", "split=val", "split=test"}
+    datasets.write_tasks(pictures, str(tmp_path / "tasks"))
+    assert spark.read.text(str(tmp_path / "tasks")).count() == pictures.count()
+
+    export = [{"result": [{"value": {"x": 1, "y": 2, "width": 3, "height": 4, "rectanglelabels": ["fox"]}}, {"value": {"x": 5}}],
+               "task": {"id": 7, "data": {"image": "http://x"}}}]
+    (tmp_path / "export.json").write_text(json.dumps(export, indent=1))
+    rows = labeling.imported_annotations(datasets.read_labelstudio(spark, str(tmp_path / "export.json"), lines=False))
+    assert [(r.image_id, r.x2, r.y2, r["class"]) for r in rows.orderBy("pos").collect()] == [("7", 4.0, 6.0, "fox"), ("7", 5.0, 0.0, "object")]
+
+
 def test_admission_state_spans_batches(spark, inputs, tmp_path):
     """Many small micro-batches in order of arrival give the batch verdicts."""
     from shutterlake.operators import admission
