@@ -67,7 +67,7 @@ class Admission:
     def digest(self, now: int) -> str:
         """A fingerprint of the state as it matters from `now` on."""
         self.forget(now)
-        text = repr((self.latest, list(self.recent)))
+        text = repr((int(self.latest), [(shot, int(at)) for shot, at in self.recent]))
         return hashlib.md5(text.encode()).hexdigest()
 
 
@@ -120,10 +120,11 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _run(rows: DataFrame) -> DataFrame:
-    columns = ["device_id", "chunk", "at", "seq", "shot_id", "ts", "warm", "guess", "row_key"]
+    # No numeric column may hold nulls: pandas would turn it into floats.
+    columns = ["device_id", "chunk", "at", "shot_id", "ts", "warm", "guess", "row_key"]
     return (
-        rows.select(*columns).repartition("device_id", "chunk")
-        .sortWithinPartitions("device_id", "chunk", F.asc_nulls_first("at"), "seq", "row_key")
+        rows.select(*columns, "seq").repartition("device_id", "chunk")
+        .sortWithinPartitions("device_id", "chunk", "at", "seq", "row_key").select(*columns)
         .mapInPandas(_judge, _VERDICTS)
     )
 
@@ -147,7 +148,13 @@ def admit(uploads: DataFrame, now) -> DataFrame:
         F.floor(F.col("at") / F.lit(CHUNK_US)).alias("chunk"),
     )
     tail = (F.col("chunk") + 1) * CHUNK_US - F.col("at") <= WARM_US
-    hours = light.groupBy("device_id", "chunk").agg(
+    # For the guess a shot's first upload in a chunk stands for its repeats: those
+    # are mostly dropped, and their later times would make the guess too high.
+    shot = F.when(F.col("shot_id") != "", F.col("shot_id")).otherwise(F.col("row_key"))
+    firsts = light.groupBy("device_id", "chunk", shot.alias("shot")).agg(
+        F.min_by("ts", "at").alias("ts"), F.min("at").alias("at")
+    )
+    hours = firsts.groupBy("device_id", "chunk").agg(
         F.max("ts").alias("top"), F.max(F.when(~tail, F.col("ts"))).alias("head_top")
     )
     by_hour = Window.partitionBy("device_id").orderBy("chunk")
@@ -158,8 +165,9 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     )
     # Guesses travel as rows of their own: joining them would shuffle once more.
     guess_rows = guesses.select(
-        "device_id", "chunk", "guess", F.lit(False).alias("warm"),
-        *(F.lit(None).cast(light.schema[c].dataType).alias(c) for c in ("at", "seq", "shot_id", "ts", "row_key")),
+        "device_id", "chunk", "guess", F.lit(False).alias("warm"), F.lit(LONG_AGO).alias("at"),
+        F.lit(0).cast("long").alias("ts"),
+        *(F.lit(None).cast(light.schema[c].dataType).alias(c) for c in ("seq", "shot_id", "row_key")),
     )
     places = F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("warm")))
     with_next = F.when(
@@ -168,7 +176,7 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     placed = light.withColumn("place", F.explode(with_next)).select(
         *(c for c in light.columns if c != "chunk"), "place.chunk", "place.warm"
     )
-    work = placed.withColumn("guess", F.lit(None).cast("long")).unionByName(guess_rows)
+    work = placed.withColumn("guess", F.lit(LONG_AGO)).unionByName(guess_rows)
     first = materialise(_run(work), "admission")
 
     edges = first.filter(F.col("row_key").isNull())
