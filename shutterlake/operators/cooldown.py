@@ -29,7 +29,7 @@ from shutterlake.session import materialise
 # Executors need no copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_S = 6 * 3600
+CHUNK_S = 3600
 PAIR = ["rule_id", "device_id"]
 NEVER = -(1 << 62)
 
@@ -116,31 +116,35 @@ def apply_cooldown(
         rows = rows.join(ended, [*PAIR, "_at"], "left")
         block = F.greatest("_at", F.least(block, F.col("_resolved") - 1))
     # Of candidates at the same instant only one can fire: the first by payload.
-    instants = rows.select(
-        *PAIR, F.expr(f"_at div {chunk_s * 1_000_000}L").alias("chunk"), "_at",
-        F.struct(block.alias("_until"), *payload).alias("item"),
-    ).groupBy(*PAIR, "chunk", "_at").agg(F.min("item").alias("item"))
+    # Read three times below: written once, so that the events are not evaluated again.
+    instants = materialise(
+        rows.select(
+            *PAIR, F.expr(f"_at div {chunk_s * 1_000_000}L").alias("chunk"), "_at",
+            F.struct(block.alias("_until"), *payload).alias("item"),
+        ).groupBy(*PAIR, "chunk", "_at").agg(F.min("item").alias("item")),
+        "cooldown",
+    )
+    # Only instants are gathered, 16 bytes each; the payload is joined to the firings.
     chunks = instants.groupBy(*PAIR, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), "item"))).alias("items")
+        F.sort_array(F.collect_list(F.struct("_at", F.col("item")["_until"].alias("until")))).alias("spans"),
+        F.max(F.col("item")["cooldown_s"] * 1_000_000).alias("cooldown"),
     )
-    # Read twice below: written once, so that the events are not evaluated twice.
-    chunks = materialise(chunks, "cooldown")
-    times = F.transform("items", lambda x: x["at"])
-    until = F.transform("items", lambda x: x["item"]["_until"])
-    cooldown = F.get("items", F.lit(0))["item"]["cooldown_s"] * 1_000_000
+    times, until = F.transform("spans", lambda x: x["_at"]), F.transform("spans", lambda x: x["until"])
 
     as_steps = F.pandas_udf(_steps_batch, "struct<bounds:array<bigint>,ends:array<bigint>>")
     states = (
-        chunks.select(*PAIR, "chunk", as_steps(times, until, cooldown).alias("f"))
+        chunks.select(*PAIR, "chunk", as_steps(times, until, F.col("cooldown")).alias("f"))
         .select(*PAIR, "chunk", "f.bounds", "f.ends")
         .repartition(*PAIR).sortWithinPartitions(*PAIR, "chunk")
         .mapInPandas(_start_states, "rule_id string, device_id string, chunk bigint, state bigint")
     )
     as_firings = F.pandas_udf(_firings_batch, "array<int>")
-    fired = chunks.join(states, [*PAIR, "chunk"]).select(
-        *PAIR, "items", F.explode(as_firings(times, until, F.col("state"))).alias("i")
+    fired = (
+        chunks.join(states, [*PAIR, "chunk"])
+        .select(*PAIR, "chunk", "spans", F.explode(as_firings(times, until, F.col("state"))).alias("i"))
+        .select(*PAIR, "chunk", F.get("spans", F.col("i"))["_at"].alias("_at"))
     )
-    return fired.select(*PAIR, F.get("items", F.col("i"))["item"].alias("item")).select(
+    return instants.join(fired, [*PAIR, "chunk", "_at"]).select(
         *PAIR, *(F.col("item")[c].alias(c) for c in payload)
     )
 

@@ -125,29 +125,43 @@ def lay_beside(facts: DataFrame, rules: DataFrame, fires: Callable[[Column], Col
     the rules for all devices as a constant array. Both are filtered in place,
     so only pairs that fire are ever emitted and the facts are read once.
     """
-    active = rules.filter(F.col("enabled"))
-    own = (
-        active.filter(given(F.col("device_id")).isNotNull())
-        .groupBy("device_id").agg(F.collect_list(F.struct(*_rule_columns())).alias("_own"))
+    active = rules.filter(F.col("enabled")).select(
+        *_rule_columns(), given(F.col("device_id")).alias("_device")
     )
-    shared = active.filter(given(F.col("device_id")).isNull()).select(*_rule_columns())
-    as_json = shared.select("rule_id", F.to_json(F.struct("*")).alias("rule"))
-    rows = as_json.limit(RULES_PER_PASS + 1).collect()
-    passes = 1 if len(rows) <= RULES_PER_PASS else math.ceil(shared.count() / RULES_PER_PASS)
+    rule = F.struct(*RULE.names)
     columns = [*RULE.names, *facts.columns]
-    result = None
+
+    def hits(part: DataFrame, watching: Column) -> DataFrame:
+        return part.select(*facts.columns, F.inline(F.filter(watching, fires))).select(*columns)
+
+    def constant(rows: list) -> Column:
+        return F.from_json(F.lit("[" + ",".join(row["rule"] for row in rows) + "]"), T.ArrayType(RULE))
+
+    def by_device(slices: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("rule_id"), F.lit(slices))
+        return (
+            active.filter(F.col("_device").isNotNull())
+            .groupBy(F.col("_device").alias("device_id"), part.alias("_slice"))
+            .agg(F.collect_list(rule).cast(T.ArrayType(RULE)).alias("_own")).drop("_slice")
+        )
+
+    listed = active.select("_device", "rule_id", F.to_json(rule).alias("rule"))
+    rows = listed.limit(RULES_PER_PASS + 1).collect()
+    if len(rows) <= RULES_PER_PASS:
+        # The usual case: the facts are read once, against both kinds of rules.
+        none = F.array().cast(T.ArrayType(RULE))
+        shared = constant([row for row in rows if row["_device"] is None])
+        joined = facts.join(by_device(1), "device_id", "left")
+        return hits(joined, F.concat(shared, F.coalesce(F.col("_own"), none)))
+
+    # Many rules: slices of bounded size, the shared ones in several passes.
+    passes = math.ceil(active.count() / RULES_PER_PASS)
+    result = hits(facts.join(by_device(passes), "device_id"), F.col("_own"))
     for i in range(passes):
-        if passes > 1:
-            rows = as_json.filter(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i).collect()
-        text = "[" + ",".join(row["rule"] for row in rows) + "]"
-        watching = F.from_json(F.lit(text), T.ArrayType(RULE))
-        part = facts
-        if i == 0:
-            part = facts.join(own, "device_id", "left")
-            none = F.array().cast(T.ArrayType(RULE))
-            watching = F.concat(watching, F.coalesce(F.col("_own").cast(T.ArrayType(RULE)), none))
-        hits = part.select(*facts.columns, F.inline(F.filter(watching, fires))).select(*columns)
-        result = hits if result is None else result.unionByName(hits)
+        in_pass = F.col("_device").isNull() & (F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i)
+        rows = listed.filter(in_pass).collect()
+        if rows:
+            result = result.unionByName(hits(facts, constant(rows)))
     return result
 
 

@@ -139,9 +139,11 @@ def test_rule_defaults_and_messages(spark):
 
 def test_more_shared_rules_than_one_pass_holds(spark, monkeypatch):
     monkeypatch.setattr(rules, "RULES_PER_PASS", 3)
-    many = rule(spark, *['{"type":"detection_count","operator":">","value":0}'] * 10)
-    hits = rules.candidates(event(spark, 1, [("a", 0.5)]), many).collect()
-    assert sorted(r.rule_id for r in hits) == sorted(f"r{i}" for i in range(10))
+    shared = ['{"type":"detection_count","operator":">","value":0}'] * 10
+    own = ['{"type":"detection_count","operator":">","value":0,"deviceId":"cam-1"}'] * 9
+    other = ['{"type":"detection_count","operator":">","value":0,"deviceId":"cam-2"}'] * 4
+    hits = rules.candidates(event(spark, 1, [("a", 0.5)]), rule(spark, *shared, *own, *other)).collect()
+    assert sorted(r.rule_id for r in hits) == sorted(f"r{i}" for i in range(19))
 
 
 def messages(spark, *rows):
