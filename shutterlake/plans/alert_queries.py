@@ -77,8 +77,9 @@ def _(t):
 @query("l4_alert_cooldown", f"""
 WITH RECURSIVE {_CAND}, {_FIRED} SELECT DISTINCT rule_id, device_id, triggered_at FROM fired""", _ALL)
 def _(t):
-    fired = cooldown.apply_cooldown(_candidates(t))
-    return fired.select("rule_id", "device_id", "triggered_at")
+    # Only what the question needs is carried along.
+    due = _candidates(t).select("rule_id", "device_id", "triggered_at", "cooldown_s")
+    return cooldown.apply_cooldown(due).select("rule_id", "device_id", "triggered_at")
 
 
 @query("j3_stored_cooldown", f"""
