@@ -57,8 +57,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below the shared folder, deleted when the session's process ends."""
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a Parquet table in a scratch folder: for wide or many rows, which pack better than a checkpoint."""
+    path = scratch_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def settled(frame: DataFrame) -> DataFrame:
