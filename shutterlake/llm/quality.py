@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import KEY, SPACE, let, table, text_key, words
+from shutterlake.llm.common import KEY, SPACE, let, settled, small_side, table, text_key, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -82,41 +82,41 @@ def line_hash(line: Column) -> Column:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """One row per distinct text, host and line: its hash and the words of all its occurrences."""
-    rows = F.filter(
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: normalised(line)),
-        lambda line: line != "",
-    )
-    return (
-        documents.select(*text_key(), F.col("source").alias("host"), F.explode(rows).alias("line"))
-        .select(*KEY, "host", F.xxhash64("line").alias("hash"), (F.length(F.regexp_replace("line", "[^ ]", "")) + 1).alias("n"))
-        .groupBy(*KEY, "host", "hash").agg(F.min("n").alias("words"), F.count("*").alias("found"))
+    """One row per distinct text and host, settled: the hash and number of words of each of its lines."""
+    rows = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalised), lambda line: line != "")
+    counted = F.transform(rows, lambda line: F.struct(
+        F.xxhash64(line).alias("hash"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words"),
+    ))
+    return settled(
+        documents.select(*text_key(), F.col("source").alias("host"), counted.alias("lines"))
+        .groupBy(*KEY, "host").agg(F.first("lines").alias("lines"))
     )
 
 
 def frequent_lines(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(key_a, key_b, host, hash, words): the lines above the limits, for each distinct text and host that has them.
 
-    Both counts combine before they shuffle. The join back spreads each line over a fixed number of salts, since a
-    line may stand in most documents of a host.
+    Counts combine before they shuffle. More than so many documents of a host leave few lines above the limits, so
+    these are broadcast if counting shows them small; else a line, which may stand in most documents of a host, is
+    spread over a fixed number of salts.
     """
     lines = _lines(documents)
-    hosts = (
-        documents.select(*text_key(), F.col("source").alias("host")).distinct()
-        .groupBy("host").agg(F.count("*").alias("host_documents"))
-    )
-    counts = lines.groupBy("host", "hash").agg(F.count("*").alias("documents"))
-    above = (
-        counts.where(F.col("documents") > limits.line_documents).alias("c")
-        .join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-        .where(F.col("documents") * 100 > F.col("host_documents") * limits.line_percent)
-        .select("c.host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    return (
-        lines.withColumn("salt", F.pmod("key_a", F.lit(SALTS)).cast("int")).alias("l")
-        .join(above.alias("a"), F.col("l.host").eqNullSafe(F.col("a.host")) & (F.col("l.hash") == F.col("a.hash")) & (F.col("l.salt") == F.col("a.salt")))
-        .select("key_a", "key_b", "l.host", "l.hash", (F.col("words") * F.col("found")).alias("words"))
+    hosts = lines.groupBy("host").agg(F.count("*").alias("host_documents"))
+    counts = (
+        lines.select("host", F.explode(F.array_distinct("lines.hash")).alias("hash"))
+        .groupBy("host", "hash").agg(F.count("*").alias("documents")).where(F.col("documents") > limits.line_documents)
     )
+    above = settled(
+        counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
+        .where(F.col("documents") * 100 > F.col("host_documents") * limits.line_percent).select("c.host", "hash"))
+    rows = lines.select(*KEY, "host", F.explode("lines").alias("line")).select(*KEY, "host", "line.*")
+    same = F.col("l.host").eqNullSafe(F.col("a.host")) & (F.col("l.hash") == F.col("a.hash"))
+    side = small_side(above)
+    if side is above:
+        above = above.select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows, side = rows.withColumn("salt", F.pmod("key_a", F.lit(SALTS)).cast("int")), above
+        same &= F.col("l.salt") == F.col("a.salt")
+    return rows.alias("l").join(side.alias("a"), same).select("key_a", "key_b", "l.host", "l.hash", "words")
 
 
 def _verdict(limits: Limits) -> tuple[Column, Column]:
@@ -129,7 +129,7 @@ def assess(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Only numbers are shuffled here, never texts.
     """
-    removed = frequent_lines(documents, limits).groupBy(*KEY, "host").agg(F.sum("words").alias("removed"), F.count("*").alias("lines"))
+    removed = frequent_lines(documents, limits).groupBy(*KEY, "host").agg(F.sum("words").alias("removed"), F.countDistinct("hash").alias("lines"))
     own = documents.select(
         "doc_id", *text_key(), F.col("source").alias("host"), signals(F.col("text")).alias("s"),
     )
