@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL they are checked against."""
 
-from shutterlake.llm import article, decontaminate, mixture, neardup, passages, private, quality, warc
+from shutterlake.llm import article, decontaminate, licenses, mixture, neardup, passages, private, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_main_text": article.op5_main_text,
     "op6_repeated_passages": passages.op6_repeated_passages,
     "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_licenses": licenses.op8_licenses,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
@@ -18,5 +20,6 @@ ORACLES = {
     "op1_warc": warc.oracle(),
     "op2_decontamination": decontaminate.oracle(),
     "op3_mixture": mixture.oracle(),
+    "op8_licenses": licenses.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
