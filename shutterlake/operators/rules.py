@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +16,10 @@ from shutterlake.operators import changes
 from shutterlake.schemas import CONDITION_TYPES, OPERATORS, SEVERITIES
 
 DEFAULT_COOLDOWN_S = 300
-# Rules that watch every device are laid beside the events as one constant
-# array. A constant holds at most this many; more rules mean more passes.
-RULES_PER_PASS = 500
+# Numbers fall into this many steps; rules are joined to the steps they may hold in.
+STEPS = 64
+# Rules that hold for almost everything are spread over this many keys.
+SPREAD = 16
 
 RULE = T.StructType([
     T.StructField("rule_id", T.StringType()),
@@ -118,60 +118,93 @@ def _facts(enriched: DataFrame) -> DataFrame:
     ).drop("_d", "detections")
 
 
-def lay_beside(facts: DataFrame, rules: DataFrame, fires: Callable[[Column], Column]) -> DataFrame:
-    """`facts` rows with the columns of each enabled rule that fires for them.
+def _slot(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), value.cast("string"))
 
-    Each row carries the rules of its own device, found by an equi join, and
-    the rules for all devices as a constant array. Both are filtered in place,
-    so only pairs that fire are ever emitted and the facts are read once.
-    """
-    active = rules.filter(F.col("enabled")).select(
-        *_rule_columns(), given(F.col("device_id")).alias("_device")
-    )
-    rule = F.struct(*RULE.names)
-    columns = [*RULE.names, *facts.columns]
 
-    def hits(part: DataFrame, watching: Column) -> DataFrame:
-        return part.select(*facts.columns, F.inline(F.filter(watching, fires))).select(*columns)
+def _step(value: Column, per_unit: int) -> Column:
+    """The step a number falls into; the first and last reach to infinity."""
+    step = F.floor(value * per_unit)
+    return F.when(F.isnan(value.cast("double")), F.lit(STEPS)).otherwise(F.greatest(F.lit(0), F.least(F.lit(STEPS), step)))
+
 
-    def constant(rows: list) -> Column:
-        return F.from_json(F.lit("[" + ",".join(row["rule"] for row in rows) + "]"), T.ArrayType(RULE))
+def _steps_of(kind: str, per_unit: int) -> Column:
+    """Slots of the steps in which a rule over a number may hold."""
+    op, limit = F.col("op"), F.col("threshold")
 
-    def by_device(slices: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("rule_id"), F.lit(slices))
+    def may_hold(s: Column) -> Column:
+        low = F.when(s == 0, F.lit(float("-inf"))).otherwise(s / per_unit)
+        high = F.when(s == STEPS, F.lit(float("inf"))).otherwise((s + 1) / per_unit)
         return (
-            active.filter(F.col("_device").isNotNull())
-            .groupBy(F.col("_device").alias("device_id"), part.alias("_slice"))
-            .agg(F.collect_list(rule).cast(T.ArrayType(RULE)).alias("_own")).drop("_slice")
+            F.when(op.isin(">", ">="), high >= limit).when(op.isin("<", "<="), low <= limit)
+            .when(op == "==", (low <= limit) & (limit <= high)).otherwise(op == "!=")
         )
 
-    listed = active.select("_device", "rule_id", F.to_json(rule).alias("rule"))
-    rows = listed.limit(RULES_PER_PASS + 1).collect()
-    if len(rows) <= RULES_PER_PASS:
-        # The usual case: the facts are read once, against both kinds of rules.
-        none = F.array().cast(T.ArrayType(RULE))
-        shared = constant([row for row in rows if row["_device"] is None])
-        joined = facts.join(by_device(1), "device_id", "left")
-        return hits(joined, F.concat(shared, F.coalesce(F.col("_own"), none)))
-
-    # Many rules: slices of bounded size, the shared ones in several passes.
-    passes = math.ceil(active.count() / RULES_PER_PASS)
-    result = hits(facts.join(by_device(passes), "device_id"), F.col("_own"))
-    for i in range(passes):
-        in_pass = F.col("_device").isNull() & (F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i)
-        rows = listed.filter(in_pass).collect()
-        if rows:
-            result = result.unionByName(hits(facts, constant(rows)))
-    return result
+    steps = F.filter(F.sequence(F.lit(0), F.lit(STEPS)), may_hold)
+    return F.transform(steps, lambda s: _slot(kind, s))
+
+
+def _spread_slots() -> Column:
+    return F.array(*[F.lit(f"spread:{k}") for k in range(SPREAD)])
+
+
+def _spread_slot(*columns: str) -> Column:
+    return _slot("spread", F.pmod(F.xxhash64(*columns), F.lit(SPREAD)))
+
+
+def lay_beside(
+    facts: DataFrame, rules: DataFrame, probes: Column, slots: Column, fires: Callable[[Column], Column],
+) -> DataFrame:
+    """`facts` rows with the columns of each enabled rule that fires for them.
+
+    One equi join, however many rules there are: a rule stands under each of
+    its `slots`, a row is looked up under its `probes`, both per device and for
+    rules of all devices. A pair that may fire meets in one slot or more;
+    `fires` decides exactly and must hold in one of them only, for which it may use `_slot`.
+    """
+    placed = rules.filter(F.col("enabled")).withColumns({
+        "_device": F.coalesce(given(F.col("device_id")), F.lit("")), "_slots": F.array_distinct(slots),
+    })
+    entries = placed.select(*_rule_columns(), "_device", F.explode("_slots").alias("_slot"))
+    devices = F.array_distinct(F.array(F.coalesce("device_id", F.lit("")), F.lit("")))
+    looked_up = facts.withColumns({"_slots": F.array_distinct(probes), "_devices": devices})
+    keyed = looked_up.select(*facts.columns, "_devices", F.explode("_slots").alias("_slot")).select(
+        *facts.columns, "_slot", F.explode("_devices").alias("_device"))
+    rule = F.struct(*RULE.names)
+    return keyed.join(entries, ["_device", "_slot"]).filter(fires(rule)).select(*RULE.names, *facts.columns)
+
+
+def pairs(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every row with each enabled rule that watches its device, whatever the rule's condition."""
+    return lay_beside(facts, rules, F.array(_spread_slot(*facts.columns)), _spread_slots(), lambda rule: F.lit(True))
 
 
 def candidates(enriched: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (event, rule) pair whose condition holds, before any cooldown."""
+    some = F.size("_classes") > 0
+    none = F.array().cast("array<string>")
+    probes = F.concat(
+        F.array(_slot("detection_count", _step(F.col("detection_count"), 1))),
+        F.when(some, F.concat(
+            F.array(_slot("confidence", _step(F.coalesce("top_confidence", F.lit(0.0)), STEPS)), _spread_slot("device_id", "triggered_at")),
+            F.transform("_classes", lambda c: _slot("class", c)),
+        )).otherwise(none),
+    )
+    kind, op = F.col("cond_type"), F.col("op")
+    slots = (
+        F.when(kind == "detection_count", _steps_of("detection_count", 1))
+        .when(kind == "confidence", _steps_of("confidence", STEPS))
+        .when((kind == "species") & op.isin("in", "=="), F.transform("species", lambda s: _slot("class", F.lower(s))))
+        .when((kind == "species") & op.isin("not_in", "!="), _spread_slots())
+    )
 
-    def fires(rule) -> Column:
-        return holds(rule, F.col("detection_count"), F.col("top_confidence"), F.col("_classes"))
+    def fires(rule: Column) -> Column:
+        # A rule of several species meets a row once per species that both have; the first of them counts.
+        shared = F.array_min(F.array_intersect(F.transform(rule["species"], lambda s: F.lower(s)), F.col("_classes")))
+        once_only = ~F.startswith("_slot", F.lit("class:")) | (F.col("_slot") == _slot("class", shared))
+        return once_only & holds(rule, F.col("detection_count"), F.col("top_confidence"), F.col("_classes"))
 
-    return lay_beside(_facts(enriched), rules, fires).drop("_classes")
+    return lay_beside(_facts(enriched), rules, probes, slots, fires).drop("_classes")
 
 
 def silence_candidates(gaps: DataFrame, rules: DataFrame, as_of) -> DataFrame:
@@ -183,7 +216,12 @@ def silence_candidates(gaps: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     end = F.unix_micros(F.coalesce("next_ts", as_column(as_of)))
     spans = gaps.select("device_id", "ts", ((end - F.unix_micros("ts")) / 1e6).alias("silent_s"))
     watching = rules.filter(F.col("cond_type") == "device_offline")
-    hits = lay_beside(spans, watching, lambda rule: F.col("silent_s") > rule["threshold"])
+    # Silences fall into powers of two seconds; a rule stands in all from its threshold on.
+    power = lambda x: F.least(F.lit(STEPS), F.floor(F.log2(F.greatest(x, F.lit(0.0)) + 1)))
+    slots = F.transform(
+        F.sequence(power(F.col("threshold").cast("double")), F.lit(STEPS).cast("long")), lambda s: _slot("silent", s))
+    hits = lay_beside(
+        spans, watching, F.array(_slot("silent", power(F.col("silent_s")))), slots, lambda rule: F.col("silent_s") > rule["threshold"])
     passed = F.unix_micros("ts") + (F.col("threshold") * 1e6).cast("long")
     return hits.withColumn("triggered_at", F.timestamp_micros(passed)).drop("ts")
 
@@ -195,16 +233,16 @@ def number_text(x: Column) -> Column:
 
 def message() -> Column:
     """Alert text over the columns of `candidates`."""
-    limit = F.concat(F.lit("(threshold: "), F.col("op"), F.lit(" "), number_text(F.col("threshold")), F.lit(")"))
+    limit = F.concat(F.lit("threshold: "), F.col("op"), F.lit(" "), number_text(F.col("threshold")), F.lit(")"))
     percent = F.format_string("%.1f", F.col("top_confidence") * 100)
     return (
         F.when(
             F.col("cond_type") == "detection_count",
-            F.concat(F.lit("Alert: "), F.col("detection_count").cast("string"), F.lit(" objects detected "), limit),
+            F.concat(F.lit("Alert: "), F.col("detection_count").cast("string"), F.lit(" objects detected ("), limit),
         )
         .when(
             F.col("cond_type") == "confidence",
-            F.concat(F.lit("Alert: High confidence detection ("), percent, F.lit("%, "), F.substring(limit, 2, 1000)),
+            F.concat(F.lit("Alert: High confidence detection ("), percent, F.lit("%, "), limit),
         )
         .when(F.col("cond_type") == "species", F.concat(F.lit("Alert: Species detected: "), F.col("class_list")))
         .otherwise(F.concat(F.lit("Alert triggered: "), F.col("name")))

@@ -33,7 +33,7 @@ SELECT r.rule_id, e.device_id, count(*) AS events FROM events_enriched e
 JOIN alert_rules r ON r.enabled AND (r.device_id IS NULL OR r.device_id = e.device_id) GROUP BY ALL""", _ALL)
 def _(t):
     facts = t.events_enriched.select("device_id")
-    pairs = rules.lay_beside(facts, t.alert_rules.transform(_listed), lambda rule: F.lit(True))
+    pairs = rules.pairs(facts, t.alert_rules.transform(_listed))
     return pairs.groupBy("rule_id", "device_id").agg(F.count("*").alias("events"))
 
 
@@ -85,11 +85,10 @@ def _(t):
 @query("j3_stored_cooldown", f"""
 WITH {_CAND} SELECT rule_id, device_id, triggered_at FROM cand c WHERE NOT EXISTS (
   SELECT 1 FROM alert_history h WHERE h.rule_id = c.rule_id AND h.device_id = c.device_id
-    AND h.status IN ('active', 'acknowledged') AND h.triggered_at < TIMESTAMP '2024-01-08'
+    AND h.status IN ('active', 'acknowledged')
     AND h.triggered_at >= c.triggered_at - to_seconds(CAST(c.cooldown_s AS DOUBLE)))""", _ALL)
 def _(t):
-    stored = t.alert_history.filter("triggered_at < timestamp'2024-01-08 00:00:00'")
-    return cooldown.not_suppressed(_candidates(t), stored).select("rule_id", "device_id", "triggered_at")
+    return cooldown.not_suppressed(_candidates(t), t.alert_history).select("rule_id", "device_id", "triggered_at")
 
 
 @query("l5_generated_alerts", f"""
