@@ -8,22 +8,26 @@ not a window over neighbours.
 In batch the machine runs over six-hour chunks of a device in parallel. A chunk
 starts from a guessed state: the greatest time seen before, and a warm-up over
 the end of the chunk before. Where the state a chunk really starts from (the end
-state of the device's chunk before) differs from the guess, the device is run again from
-there on with the true state, so the result is always exact. Rows stream
-through a task in sorted batches; the state held is one time and the shots of
-the last ten minutes.
+state of the device's chunk before) differs from the guess, that chunk alone is
+run again from it, all such chunks in parallel, until every chunk has started
+from the end of the one before; so the result is always exact, and no device is
+run in one task. Rows stream through a task in sorted batches; the state held
+is one time and the shots of the last ten minutes.
+
+Uploads of a device that arrive at the same instant are taken by sequence number
+(none first), then by a hash of all their columns, here as on the stream.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.times import device_timestamp
@@ -64,25 +68,31 @@ class Admission:
             self.accepted_at[shot] = at
         return "accepted"
 
-    def digest(self, now: int) -> str:
-        """A fingerprint of the state as it matters from `now` on."""
+    def text(self, now: int) -> str:
+        """The state as it matters from `now` on."""
         self.forget(now)
-        text = repr((int(self.latest), [(shot, int(at)) for shot, at in self.recent]))
-        return hashlib.md5(text.encode()).hexdigest()
+        return json.dumps([int(self.latest), [[shot, int(at)] for shot, at in self.recent]])
 
+    @classmethod
+    def of(cls, text: str) -> Admission:
+        latest, shots = json.loads(text)
+        return cls(latest, [tuple(s) for s in shots])
 
-_COLUMNS = ["device_id", "row_key", "chunk", "status", "starts", "ends", "ends_idle"]
+
+_COLUMNS = ["device_id", "chunk", "place", "status", "starts", "ends", "ends_idle"]
 _VERDICTS = (
-    "device_id string, row_key string, chunk bigint, status string, "
+    "device_id string, chunk bigint, place bigint, status string, "
     "starts string, ends string, ends_idle string"
 )
+# The place of the row that states what a chunk starts from, and of the one that reports it.
+START = -1
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Verdicts for rows sorted by device, chunk and arrival.
 
-    A chunk's first row has no key and states the guess. Warm-up rows only move
-    the state. For every chunk one extra row reports the
+    A chunk's first row states what it starts from. Warm-up rows only move the
+    state. For every chunk one extra row reports the
     state it started from, the one it ended in, and the latter after an idle
     chunk; each as of the chunk's edge.
     """
@@ -92,27 +102,25 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if started is not None:
             device, chunk = key
             end = (chunk + 1) * CHUNK_US
-            out.append((
-                device, None, chunk, None, started, state.digest(end), state.digest(end + CHUNK_US)
-            ))
+            out.append((device, chunk, START, None, started, state.text(end), state.text(end + CHUNK_US)))
 
     for batch in batches:
         out = []
-        for device, chunk, at, shot, ts, warm, guess, row_key in zip(
-            batch.device_id, batch.chunk, batch["at"], batch.shot_id, batch.ts, batch.warm, batch.guess, batch.row_key
+        for device, chunk, at, shot, ts, warm, start, place in zip(
+            batch.device_id, batch.chunk, batch["at"], batch.shot_id, batch.ts, batch.warm, batch.start, batch.place
         ):
             if (device, chunk) != key:
                 closing(out)
                 key, state, started = (device, chunk), Admission(), None
-            if row_key is None:
-                state = Admission(int(guess))
+            if place == START:
+                state = Admission.of(start)
                 continue
             if warm:
                 state.offer(at, shot, ts)
                 continue
             if started is None:
-                started = state.digest(chunk * CHUNK_US)
-            out.append((device, row_key, chunk, state.offer(at, shot, ts), None, None, None))
+                started = state.text(chunk * CHUNK_US)
+            out.append((device, chunk, place, state.offer(at, shot, ts), None, None, None))
         yield pd.DataFrame(out, columns=_COLUMNS)
     last = []
     closing(last)
@@ -121,14 +129,26 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _run(rows: DataFrame) -> DataFrame:
     # No numeric column may hold nulls: pandas would turn it into floats.
-    columns = ["device_id", "chunk", "at", "shot_id", "ts", "warm", "guess", "row_key"]
+    columns = ["device_id", "chunk", "at", "shot_id", "ts", "warm", "start", "place"]
     return (
-        rows.select(*columns, "seq").repartition("device_id", "chunk")
-        .sortWithinPartitions("device_id", "chunk", "at", "seq", "row_key").select(*columns)
-        .mapInPandas(_judge, _VERDICTS)
+        rows.select(*columns).repartition("device_id", "chunk")
+        .sortWithinPartitions("device_id", "chunk", "at", "place").mapInPandas(_judge, _VERDICTS)
     )
 
 
+def _starts(chunks: DataFrame) -> DataFrame:
+    """Rows that state what each chunk (device_id, chunk, start) starts from."""
+    return chunks.select(
+        "device_id", F.lit(LONG_AGO).alias("at"), F.lit("").alias("shot_id"), F.lit(0).cast("long").alias("ts"),
+        F.lit(START).cast("long").alias("place"), "chunk", F.lit(False).alias("warm"), "start",
+    )
+
+
+def tie(uploads: DataFrame) -> Column:
+    """What orders uploads of one instant and sequence number: a hash of all columns."""
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(uploads.columns)])
+
+
 def admit(uploads: DataFrame, now) -> DataFrame:
     """Each upload with its event time `ts` and its `status`: accepted, duplicate or stale.
 
@@ -138,21 +158,23 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     """
     ts = device_timestamp(F.col("ts_raw"), now)
     at = F.unix_micros("arrived_at")
-    # Arrival and sequence identify an upload of a device.
-    marked = uploads.withColumns({"ts": ts, "at": at}).filter(F.col("ts").isNotNull()).withColumn(
-        "row_key", F.concat_ws("-", "at", "seq")
-    )
-    light = marked.select(
-        "device_id", "at", "seq", F.coalesce("shot_id", F.lit("")).alias("shot_id"),
-        F.unix_micros("ts").alias("ts"), "row_key",
-        F.floor(F.col("at") / F.lit(CHUNK_US)).alias("chunk"),
+    # An upload is known by its place within its device's chunk. Only equal rows
+    # could change places, and for those it does not matter.
+    in_chunk = Window.partitionBy("device_id", "chunk").orderBy("at", F.asc_nulls_first("seq"), "_tie")
+    marked = (
+        uploads.withColumns({"ts": ts, "at": at, "_tie": tie(uploads)}).filter(F.col("ts").isNotNull())
+        .withColumn("chunk", F.floor(F.col("at") / F.lit(CHUNK_US)))
+        .withColumn("place", F.row_number().over(in_chunk).cast("long")).drop("_tie")
     )
+    light = materialise(marked.select(
+        "device_id", "at", F.coalesce("shot_id", F.lit("")).alias("shot_id"), F.unix_micros("ts").alias("ts"), "place", "chunk",
+    ), "uploads")
     tail = (F.col("chunk") + 1) * CHUNK_US - F.col("at") <= WARM_US
     # For the guess a shot's first upload in a chunk stands for its repeats: those
     # are mostly dropped, and their later times would make the guess too high.
-    shot = F.when(F.col("shot_id") != "", F.col("shot_id")).otherwise(F.col("row_key"))
+    shot = F.when(F.col("shot_id") != "", F.col("shot_id")).otherwise(F.concat_ws("-", "at", "place"))
     firsts = light.groupBy("device_id", "chunk", shot.alias("shot")).agg(
-        F.min_by("ts", "at").alias("ts"), F.min("at").alias("at")
+        F.min_by("ts", F.struct("at", "place")).alias("ts"), F.min("at").alias("at")
     )
     hours = firsts.groupBy("device_id", "chunk").agg(
         F.max("ts").alias("top"), F.max(F.when(~tail, F.col("ts"))).alias("head_top")
@@ -160,54 +182,40 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     by_hour = Window.partitionBy("device_id").orderBy("chunk")
     before = F.max("top").over(by_hour.rangeBetween(Window.unboundedPreceding, -2))
     just_before = F.max("head_top").over(by_hour.rangeBetween(-1, -1))
-    guesses = hours.select(
-        "device_id", "chunk", F.coalesce(F.greatest(before, just_before), F.lit(LONG_AGO)).alias("guess"),
-    )
-    # Guesses travel as rows of their own: joining them would shuffle once more.
-    guess_rows = guesses.select(
-        "device_id", "chunk", "guess", F.lit(False).alias("warm"), F.lit(LONG_AGO).alias("at"),
-        F.lit(0).cast("long").alias("ts"),
-        *(F.lit(None).cast(light.schema[c].dataType).alias(c) for c in ("seq", "shot_id", "row_key")),
-    )
+    guess = F.coalesce(F.greatest(before, just_before), F.lit(LONG_AGO))
+    guesses = hours.select("device_id", "chunk", F.concat(F.lit("["), guess, F.lit(", []]")).alias("start"))
     places = F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("warm")))
     with_next = F.when(
         tail, F.concat(places, F.array(F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("warm"))))
     ).otherwise(places)
-    placed = light.withColumn("place", F.explode(with_next)).select(
-        *(c for c in light.columns if c != "chunk"), "place.chunk", "place.warm"
+    placed = light.withColumn("_in", F.explode(with_next)).select(
+        "device_id", "at", "shot_id", "ts", "place", "_in.chunk", "_in.warm", F.lit("").alias("start"),
     )
-    work = placed.withColumn("guess", F.lit(LONG_AGO)).unionByName(guess_rows)
-    first = materialise(_run(work), "admission")
+    # Starts travel as rows of their own: joining them would shuffle once more.
+    found = materialise(_run(placed.unionByName(_starts(guesses))), "admission").withColumn("round", F.lit(0))
 
-    edges = first.filter(F.col("row_key").isNull())
     previous = Window.partitionBy("device_id").orderBy("chunk")
     expected = F.when(
         F.col("chunk") - F.lag("chunk").over(previous) > 1, F.lag("ends_idle").over(previous)
     ).otherwise(F.lag("ends").over(previous))
-    redo = (
-        edges.select(
-            "device_id", "chunk", "starts", expected.alias("expected"), F.lag("chunk").over(previous).alias("before")
-        )
-        .filter(F.col("starts") != F.col("expected"))
-        .groupBy("device_id")
-        .agg(F.min("chunk").alias("from_chunk"), F.min_by("before", "chunk").alias("good_chunk"))
-    )
-    verdicts = first.filter(F.col("row_key").isNotNull()).select("device_id", "row_key", "chunk", "status")
-    if not redo.isEmpty():
-        # The chunk before the first wrong guess started right: warm up with all
-        # of it and run on from there as one long chunk.
-        good = F.col("chunk") == F.col("good_chunk")
-        later = (F.col("chunk") >= F.col("from_chunk")) & ~F.col("warm") & F.col("row_key").isNotNull()
-        rerun = _run(
-            work.join(redo, "device_id").filter(good | later).withColumns({
-                "warm": F.col("warm") | good, "chunk": F.col("good_chunk"),
-            })
-        ).filter(F.col("row_key").isNotNull()).select("device_id", "row_key", "chunk", "status")
-        kept = verdicts.join(redo, "device_id", "left").filter(
-            F.col("from_chunk").isNull() | (F.col("chunk") < F.col("from_chunk"))
-        )
-        verdicts = kept.select("device_id", "row_key", "chunk", "status").unionByName(rerun)
-    return marked.join(verdicts.drop("chunk"), ["device_id", "row_key"]).drop("row_key", "at")
+    edges, number = found.filter(F.col("place") == START), 0
+    while True:
+        wrong = materialise(
+            edges.select("device_id", "chunk", "starts", expected.alias("start")).filter(F.col("starts") != F.col("start"))
+            .drop("starts"), "wrong")
+        if wrong.isEmpty():
+            break
+        # Each round mends at least the first wrong chunk of every device, and usually all.
+        number += 1
+        rows = light.join(wrong, ["device_id", "chunk"], "left_semi").withColumns({"warm": F.lit(False), "start": F.lit("")})
+        again = materialise(_run(rows.unionByName(_starts(wrong))), "admission").withColumn("round", F.lit(number))
+        found = found.unionByName(again)
+        edges = edges.join(wrong, ["device_id", "chunk"], "left_anti").unionByName(again.filter(F.col("place") == START))
+    latest = edges.select("device_id", "chunk", "round")
+    verdicts = found.filter(F.col("place") != START).join(latest, ["device_id", "chunk", "round"], "left_semi")
+    return marked.join(
+        verdicts.select("device_id", "chunk", "place", "status"), ["device_id", "chunk", "place"]
+    ).drop("chunk", "place", "at")
 
 
 def accepted(uploads: DataFrame, now) -> DataFrame:

@@ -146,6 +146,23 @@ def _order() -> Column:
     return F.struct("ts", "seq")
 
 
+def _whole(value: Column) -> Column:
+    """A number without its decimals; none beyond what a long holds."""
+    number = value.try_cast("double")
+    return F.when(F.abs(number) < float(1 << 62), number.cast("long"))
+
+
+def presence_fields(kind: Column, payload: Column) -> dict[str, Column]:
+    """What a message says of its device, typed; null where it says nothing that can be read."""
+    text = lambda key: F.when(truthy(payload[key]), payload[key])
+    return {
+        "firmware": text("fw"), "ip": text("ip"), "ssid": text("ssid"), "heap": _whole(payload["heap"]),
+        "auto_mode": F.when(payload["auto"].isNotNull(), truthy(payload["auto"])),
+        "interval_sec": _whole(payload["intervalSec"]), "uptime": _whole(payload["uptime"]),
+        "uploaded": (kind == "event") & (payload["event"] == "upload_ok"),
+    }
+
+
 def registry(messages: DataFrame, as_of) -> DataFrame:
     """Each known device's state after all its messages up to `as_of`.
 
@@ -162,21 +179,12 @@ def registry(messages: DataFrame, as_of) -> DataFrame:
     )
     kind, p, at = F.col("kind"), F.col("fields"), _order()
     online, offline = kind == "online", kind == "offline"
-    uploaded = (kind == "event") & (p["event"] == "upload_ok")
-
-    def given_last(key: str, as_type: str, keep: Column | None = None) -> Column:
-        """The last given value of an online message, with its place."""
-        present = p[key].isNotNull() if keep is None else keep
-        return F.max(F.when(online & present, F.struct(at.alias("at"), p[key].try_cast(as_type).alias("value"))))
-
+    given_fields = presence_fields(kind, p)
+    uploaded = given_fields.pop("uploaded")
+    # The last given value of an online message, with its place.
     fields = {
-        "firmware": given_last("fw", "string", truthy(p["fw"])),
-        "ip": given_last("ip", "string", truthy(p["ip"])),
-        "ssid": given_last("ssid", "string", truthy(p["ssid"])),
-        "heap": given_last("heap", "bigint"),
-        "auto_mode": given_last("auto", "boolean"),
-        "interval_sec": given_last("intervalSec", "bigint"),
-        "uptime": given_last("uptime", "bigint"),
+        name: F.max(F.when(online & value.isNotNull(), F.struct(at.alias("at"), value.alias("value"))))
+        for name, value in given_fields.items()
     }
     hourly = rows.groupBy("device_id", "hour").agg(
         F.min(F.when(online, at)).alias("first_on"),

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from shutterlake.operators.admission import LONG_AGO, Admission
+from shutterlake.operators.admission import LONG_AGO, Admission, tie
 from shutterlake.operators.cooldown import NEVER
-from shutterlake.operators.devices import DEFAULT_INTERVAL_S, STALE_AFTER_S, parsed
+from shutterlake.operators.devices import DEFAULT_INTERVAL_S, STALE_AFTER_S, parsed, presence_fields
 from shutterlake.functions.times import device_timestamp
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(batches)
     rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return rows.sort_values(by, kind="stable")
+    # A stable sort by several columns, a missing value first.
+    return rows.sort_values(by, kind="stable", na_position="first")
 
 
 # ---- upload admission ---------------------------------------------------
@@ -35,7 +36,7 @@ def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 def _admit_group(key, batches, state):
     latest, shots, times = state.get if state.exists else (LONG_AGO, [], [])
     device = Admission(latest, zip(shots, times))
-    rows = _in_order(batches, ["at", "seq"])
+    rows = _in_order(batches, ["at", "seq", "tie"])
     verdicts = [device.offer(at, shot, ts) for at, shot, ts in zip(rows["at"], rows.shot_id, rows.ts_us)]
     recent = list(device.recent)
     state.update((device.latest, [shot for shot, _ in recent], [at for _, at in recent]))
@@ -47,8 +48,9 @@ def _admit_group(key, batches, state):
 
 def admit_stream(uploads: DataFrame, now) -> DataFrame:
     """Streaming form of `admission.admit`."""
-    rows = uploads.withColumn("ts", device_timestamp(F.col("ts_raw"), now)).filter(F.col("ts").isNotNull()).select(
-        "device_id", "arrived_at", "seq", F.coalesce("shot_id", F.lit("")).alias("shot_id"), "ts",
+    timed = uploads.withColumns({"ts": device_timestamp(F.col("ts_raw"), now), "tie": tie(uploads)})
+    rows = timed.filter(F.col("ts").isNotNull()).select(
+        "device_id", "tie", "arrived_at", "seq", F.coalesce("shot_id", F.lit("")).alias("shot_id"), "ts",
         F.unix_micros("arrived_at").alias("at"), F.unix_micros("ts").alias("ts_us"),
     )
     return rows.groupBy("device_id").applyInPandasWithState(
@@ -104,33 +106,14 @@ _STATE = (
 _NAMES = [part.split()[0] for part in _STATE.split(",")]
 
 
-def _number(value):
-    try:
-        return int(float(value))
-    except (TypeError, ValueError):
-        return None
-
-
 def _goes_online(device: dict | None, fields: dict, at: int) -> dict:
     """Given values win over earlier ones, earlier ones over defaults."""
     old = device or {}
-
-    def text(key, name):
-        value = fields.get(key)
-        return value if value not in (None, "", "false", "0", "null") else old.get(name)
-
-    def other(value, name, default):
-        return value if value is not None else old.get(name, default)
-
-    auto = fields.get("auto")
+    defaults = {"auto_mode": False, "interval_sec": DEFAULT_INTERVAL_S, "uptime": 0}
     return {
         "online": True, "stale": False,
-        "firmware": text("fw", "firmware"), "ip": text("ip", "ip"), "ssid": text("ssid", "ssid"),
-        "heap": other(_number(fields.get("heap")), "heap", None),
-        "auto_mode": other(None if auto is None else auto == "true", "auto_mode", False),
-        "interval_sec": other(_number(fields.get("intervalSec")), "interval_sec", DEFAULT_INTERVAL_S),
-        "uptime": other(_number(fields.get("uptime")), "uptime", 0),
-        "last_seen_at": at,
+        **{name: fields.get(name, old.get(name, defaults.get(name))) for name in FIELDS},
+        "last_seen_at": max(at, old.get("last_seen_at", at)),
         "online_since": old["online_since"] if old.get("online") else at,
         "first_seen_at": old.get("first_seen_at", at),
         "image_count": old.get("image_count", 0),
@@ -138,15 +121,18 @@ def _goes_online(device: dict | None, fields: dict, at: int) -> dict:
 
 
 def step_device(device: dict | None, kind: str, fields: dict, at: int) -> dict | None:
-    """A device's state after one message; unknown devices appear with their first online one."""
+    """A device's state after one message; unknown devices appear with their first online one.
+
+    `fields` are those of `devices.presence_fields`, without the missing ones.
+    """
     if kind == "online":
         return _goes_online(device, fields, at)
     if device is None:
         return None
-    device = {**device, "last_seen_at": at, "stale": False}
+    device = {**device, "last_seen_at": max(at, device["last_seen_at"]), "stale": False}
     if kind == "offline":
         device.update(online=False, online_since=None)
-    elif kind == "event" and fields.get("event") == "upload_ok":
+    elif fields.get("uploaded"):
         device["image_count"] += 1
     return device
 
@@ -181,7 +167,8 @@ def presence_stream(messages: DataFrame, timers: bool = True) -> DataFrame:
     it would wait for them for ever.
     """
     rows = parsed(messages).select(
-        "device_id", F.unix_micros("ts").alias("at"), "seq", "kind", F.to_json("fields").alias("fields")
+        "device_id", F.unix_micros("ts").alias("at"), "seq", "kind",
+        F.to_json(F.struct(*[c.alias(n) for n, c in presence_fields(F.col("kind"), F.col("fields")).items()])).alias("fields"),
     )
     states = rows.groupBy("device_id").applyInPandasWithState(
         _timed_presence_group if timers else _presence_group,

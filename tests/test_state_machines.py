@@ -144,6 +144,65 @@ def test_repeat_after_a_stale_rejection_is_not_a_duplicate(spark):
     assert [r.status for r in verdicts.orderBy("seq").collect()] == ["accepted", "stale", "accepted", "duplicate"]
 
 
+def test_uploads_of_one_instant_stay_single_rows(spark):
+    """Equal arrival and sequence, or none: one row each, in the order of the stream."""
+    base = 1_704_067_200
+    rows = [
+        ("d", seconds(0), 1, "a", str(base + 100)), ("d", seconds(0), 1, "b", str(base + 200)), ("d", seconds(0), None, "c", str(base + 50)),
+        ("d", seconds(0), None, "", str(base + 60)), ("d", seconds(5), 2, "a", str(base + 300)), ("d", seconds(5), 2, "a", str(base + 300)),
+        ("d", seconds(9), None, "z", "1e300"),
+    ]
+    uploads = spark.createDataFrame(rows, "device_id string, arrived_at timestamp, seq long, shot_id string, ts_raw string")
+    batch = [(r.seq, r.shot_id, r.ts, r.status) for r in admission.admit(uploads, "2024-02-01 00:00:00").collect()]
+    assert len(batch) == 6
+
+    import pandas as pd
+
+    from shutterlake.functions.times import device_timestamp
+    from shutterlake.streaming import state
+
+    timed = uploads.withColumns({"ts": device_timestamp(F.col("ts_raw"), "2024-02-01 00:00:00"), "tie": admission.tie(uploads)}).filter("ts is not null")
+    light = timed.select("device_id", "tie", "arrived_at", "seq", "shot_id", "ts", F.unix_micros("arrived_at").alias("at"), F.unix_micros("ts").alias("ts_us"))
+
+    class Empty:
+        exists = False
+
+        def update(self, value):
+            pass
+
+    out = pd.concat(state._admit_group(("d",), iter([light.toPandas()]), Empty()))
+    stream = [(None if pd.isna(q) else int(q), shot, ts.to_pydatetime(), status) for q, shot, ts, status in zip(out.seq, out.shot_id, out.ts, out.status)]
+    assert sorted(map(repr, batch)) == sorted(map(repr, stream))
+
+
+def test_presence_reads_what_devices_send(spark):
+    """Decimals, numbers for booleans, infinite and unreadable numbers: batch and stream agree on every column."""
+    import json
+
+    from shutterlake.operators import devices
+    from shutterlake.streaming import state
+
+    payloads = [
+        '{"online":true,"fw":"1.0","ip":"10.0.0.1","ssid":"net","heap":12.5,"auto":1,"intervalSec":"60","uptime":3.9}',
+        '{"event":"upload_ok"}', '{"online":true,"heap":"inf","auto":0,"uptime":1e300,"ip":""}', '{"online":true,"heap":"NaN","intervalSec":"soon","fw":null}',
+        '{"event":"upload_ok"}', '{"online":0}', '{"online":"yes","ssid":"other","heap":-7.9}',
+    ]
+    rows = spark.createDataFrame(
+        [(i, seconds(10 * i), "site/d/status", p) for i, p in enumerate(payloads)], "seq long, ts timestamp, topic string, payload string")
+    batch = devices.registry(rows, "2024-01-01 00:01:30").first().asDict()
+    device = None
+    parsed = devices.parsed(rows)
+    typed = parsed.select("kind", F.unix_micros("ts").alias("at"), F.to_json(F.struct(
+        *[c.alias(n) for n, c in devices.presence_fields(F.col("kind"), F.col("fields")).items()])).alias("fields")).orderBy("seq")
+    for r in typed.collect():
+        device = state.step_device(device, r.kind, json.loads(r.fields), r.at)
+    assert batch["heap"] == -7 and batch["auto_mode"] is False and batch["interval_sec"] == 60 and batch["uptime"] == 3 and batch["ssid"] == "other"
+    for name in ("online", "firmware", "ip", "ssid", "heap", "auto_mode", "interval_sec", "uptime", "image_count"):
+        assert batch[name] == device[name], name
+    late = state.step_device(device, "online", {}, device["last_seen_at"] - 5_000_000)
+    assert late["last_seen_at"] == device["last_seen_at"]
+
+
 def test_running_latest_crosses_hours(spark):
     uploads = [("d", 0, 1, "", 500), ("d", 4000, 2, "", 100), ("d", 4001, 3, "", 900), ("d", 9000, 4, "", 1)]
     rows = admission.running_latest(upload_rows(spark, uploads), "2024-02-01").orderBy("seq")
