@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from shutterlake.operators import changes, rollups
 from shutterlake.schemas import TABLES
 from shutterlake.sources import tables
 
+# No device's clock is trusted to run ahead by more.
+CLOCK_AHEAD = dt.timedelta(days=31)
+
 
 def keep_days(df: DataFrame, date_column: str, days: int, as_of) -> DataFrame:
     """Rows not older than `days` days."""
@@ -41,11 +46,14 @@ def latest_per_key(df: DataFrame, table: str, version: list[str]) -> DataFrame:
 def rebuild_table(spark, raw_path: str, rollup_path: str, window_type: str, start, end) -> None:
     """Recompute whole months of a stored rollup from stored raw rows.
 
-    Months are the unit that is overwritten, so the range is widened to them.
+    Months of that window type are the unit that is overwritten, so the range
+    is widened to them; the other window type stays. Raw rows are stored by the
+    day they were received, which is not before their event by more than a
+    device's clock may run ahead, so only earlier folders are skipped.
     """
-    first = str(start)[:7] + "-01"
-    last = spark.sql(f"SELECT last_day(DATE '{str(end)[:10]}')").first()[0]
-    # A row's processing date may lie a day after its event time.
-    raw = tables.read_table(spark, "events_raw", raw_path)
+    first = dt.date.fromisoformat(str(start)[:7] + "-01")
+    after = (dt.date.fromisoformat(str(end)[:7] + "-01") + dt.timedelta(days=32)).replace(day=1)
+    last = after - dt.timedelta(days=1)
+    raw = tables.read_table(spark, "events_raw", raw_path, start=first - CLOCK_AHEAD)
     rebuilt = rollups.rebuild(raw, window_type, first, last)
     tables.write_table(rebuilt, "events_agg", rollup_path, mode="overwrite")

@@ -269,6 +269,22 @@ def _(t):
     return rollups.rebuild(t.events_raw, "daily", "2024-01-10", "2024-01-15")
 
 
+@query("r5_rebuild_stored", f"{_agg('hourly', _HOUR)} UNION ALL {_agg('daily', _DAY)}", "events_raw")
+def _(t):
+    # Both grains are stored, the daily one wrong; its rebuild must mend it and leave the hourly one.
+    from shutterlake.operators import maintain
+    from shutterlake.session import work_folder
+    from shutterlake.sources import tables
+
+    base = work_folder(t.spark, "rebuild")
+    tables.write_table(tables.insert_rows(t.events_raw, "events_raw", AS_OF), "events_raw", f"{base}/raw")
+    wrong = rollups.events_agg(t.events_raw, "daily").withColumn("image_count", F.lit(-1).cast("long"))
+    tables.write_table(rollups.events_agg(t.events_raw, "hourly").unionByName(wrong), "events_agg", f"{base}/agg")
+    days = t.events_raw.agg(F.min("timestamp"), F.max("timestamp")).first()
+    maintain.rebuild_table(t.spark, f"{base}/raw", f"{base}/agg", "daily", days[0].date(), days[1].date())
+    return tables.read_table(t.spark, "events_agg", f"{base}/agg")
+
+
 @query("f3_truncations", f"""
 SELECT device_id, shot_id, timestamp, {_HOUR} AS hour, CAST(date_trunc('week', timestamp) AS DATE) AS monday,
   CAST(date_trunc('month', timestamp) AS DATE) AS month, CAST(timestamp AS DATE) AS day,

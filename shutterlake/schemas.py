@@ -56,13 +56,17 @@ CHANNEL_TYPES = ["email", "webhook", "in_app"]
 
 @dataclass(frozen=True)
 class Table:
-    """One stored table: its columns, unique/order key and expiry."""
+    """One stored table: its columns, unique/order key and expiry.
+
+    `partitions` are columns that folders are named by, above the month.
+    """
 
     columns: T.StructType
     key: list[str]
     date_column: str | None = None
     retention_days: int | None = None
     bloom_columns: list[str] = field(default_factory=list)
+    partitions: list[str] = field(default_factory=list)
 
 
 TABLES = {
@@ -93,7 +97,7 @@ TABLES = {
             "device_id string, aggregation_window timestamp, window_type string, image_count long, "
             "total_size_bytes long, avg_size_bytes double, unique_shots long, processing_date date"
         ),
-        ["device_id", "aggregation_window", "window_type"], "processing_date", 180,
+        ["device_id", "aggregation_window", "window_type"], "processing_date", 180, partitions=["window_type"],
     ),
     "events_enriched": Table(
         schema(

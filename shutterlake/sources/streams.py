@@ -12,14 +12,17 @@ RAW_TOPIC = "events.raw"
 ENRICHED_TOPIC = "events.enriched"
 # Fixed value: the source named in message headers.
 SOURCE_HEADER = "iot-backend"
-# Rows taken per trigger when nothing else is said: keeps one batch in memory.
-MAX_OFFSETS = 1_000_000
+# Defaults of what one trigger takes: rows of a topic, files of a folder. They
+# bound a micro-batch, lose nothing, and None lifts them.
+ROWS_PER_TRIGGER = 1_000_000
+FILES_PER_TRIGGER = 1_000
 
 
 def source(
     spark: SparkSession, kind: str, *, topic: str = RAW_TOPIC, path: str | None = None,
     schema: T.StructType | str | None = None, servers: str | None = None,
-    group_id: str | None = None, starting: str = "latest", max_per_trigger: int | None = None, **options: str,
+    group_id: str | None = None, starting: str = "latest", rows_per_trigger: int | None = ROWS_PER_TRIGGER,
+    files_per_trigger: int | None = FILES_PER_TRIGGER, **options: str,
 ) -> DataFrame:
     """A stream of messages with a `value` column.
 
@@ -32,16 +35,17 @@ def source(
         reader = (
             reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
             .option("startingOffsets", starting).option("failOnDataLoss", "false")
-            .option("maxOffsetsPerTrigger", max_per_trigger or MAX_OFFSETS)
         )
+        if rows_per_trigger:
+            reader = reader.option("maxOffsetsPerTrigger", rows_per_trigger)
         if group_id:
             reader = reader.option("kafka.group.id", group_id)
     elif kind in ("text", "json", "parquet"):
         reader = reader.format(kind)
         if schema is not None:
             reader = reader.schema(schema)
-        if max_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_per_trigger)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:
         raise ValueError(f"kind must be kafka, text, json or parquet, not {kind!r}")
     for name, value in options.items():

@@ -69,7 +69,8 @@ def laid_out(df: DataFrame, table: str) -> DataFrame:
     meta = TABLES[table]
     with_month = df.withColumn("month", month_of(F.col(meta.date_column)))
     keys = [name for name in meta.key if name in df.columns]
-    return with_month.hint("rebalance", "month").sortWithinPartitions("month", *keys)
+    folders = [*meta.partitions, "month"]
+    return with_month.hint("rebalance", *folders).sortWithinPartitions(*folders, *keys)
 
 
 def write_table(
@@ -77,14 +78,15 @@ def write_table(
 ) -> None:
     """Write month partitions with bloom filters on the lookup columns.
 
-    `mode="overwrite"` replaces only the months present in `df`.
+    `mode="overwrite"` replaces only the folders of months (and of a table's
+    further partitions, as the grain of a rollup) that are present in `df`.
     """
     meta = TABLES[table]
     chosen = df.select(*columns) if columns else table_columns(df, table)
     if meta.date_column is None:
         chosen.write.mode(mode).parquet(path)
         return
-    writer = laid_out(chosen, table).write.mode(mode).partitionBy("month")
+    writer = laid_out(chosen, table).write.mode(mode).partitionBy(*meta.partitions, "month")
     for name in meta.bloom_columns:
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
     if mode == "overwrite":
@@ -93,7 +95,7 @@ def write_table(
 
 
 def read_table(spark: SparkSession, table: str, path: str, start=None, end=None) -> DataFrame:
-    """A stored table, optionally limited to days start..end.
+    """A stored table with its own columns, optionally limited to days start..end.
 
     The month partitions to read are derived from the days, so the filter
     prunes folders before it reaches the files.
@@ -109,7 +111,7 @@ def read_table(spark: SparkSession, table: str, path: str, start=None, end=None)
             df = df.filter(keep_month(F.lit(int(text[:4] + text[5:7])))).filter(
                 keep_day(F.lit(text).cast("date"))
             )
-    return df.drop("month")
+    return table_columns(df, table)
 
 
 def write_jdbc(

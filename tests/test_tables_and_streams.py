@@ -42,6 +42,17 @@ def test_rebuild_replaces_only_its_months(spark, inputs, tmp_path):
     assert back.count() == 5 + rollups.events_agg(inputs.events_raw, "daily").count()
 
 
+def test_rebuild_of_one_grain_keeps_the_other(spark, inputs, tmp_path):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "agg")
+    tables.write_table(tables.insert_rows(inputs.events_raw, "events_raw", NOW), "events_raw", raw)
+    tables.write_table(rollups.events_agg_all(inputs.events_raw), "events_agg", out)
+    before = tables.read_table(spark, "events_agg", out).groupBy("window_type").count().orderBy("window_type").collect()
+    maintain.rebuild_table(spark, raw, out, "daily", "2024-01-01", "2024-01-31")
+    back = tables.read_table(spark, "events_agg", out)
+    assert back.groupBy("window_type").count().orderBy("window_type").collect() == before and len(before) == 2
+    assert back.columns == [f.name for f in tables.TABLES["events_agg"].columns]
+
+
 def test_expired_months(spark):
     months = spark.createDataFrame([(202310,), (202311,), (202401,)], "month int")
     assert [r.month for r in maintain.expired_months(months, 90, "2024-02-15").collect()] == [202310]
@@ -135,7 +146,7 @@ def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / name))
 
     put("a", 0.5, 9.5)
-    stream = streams.source(spark, "parquet", path=f"{src}/*", schema=spark.createDataFrame([], schema).schema, max_per_trigger=1)
+    stream = streams.source(spark, "parquet", path=f"{src}/*", schema=spark.createDataFrame([], schema).schema, files_per_trigger=1)
     query = rollups.events_agg(stream, "hourly").writeStream.outputMode("update").foreachBatch(
         lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out"))
     ).option("checkpointLocation", str(tmp_path / "cp")).start()
