@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # milliseconds, above the second epoch seconds.
 MILLIS_ABOVE = 1_000_000_000_000
 SECONDS_ABOVE = 1_000_000_000
+# The first millisecond of the year 10000; no timestamp reaches it.
+MILLIS_END = 253_402_300_800_000
 
 
 def as_column(value) -> Column:
@@ -25,12 +27,14 @@ def as_column(value) -> Column:
 def device_timestamp(raw: Column, now) -> Column:
     """Event time from 14 digits, epoch millis or epoch seconds; else `now`.
 
-    Fourteen characters that are no calendar time give null.
+    Fourteen characters that are no calendar time, numbers beyond any calendar
+    and numbers that are none give null.
     """
     text = raw.cast("string")
     number = text.try_cast("double")
     return (
         F.when(F.length(text) == 14, F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss")))
+        .when(F.isnan(number) | (number >= MILLIS_END), F.lit(None).cast("timestamp"))
         .when(number > MILLIS_ABOVE, F.timestamp_millis(F.floor(number).cast("long")))
         .when(number > SECONDS_ABOVE, F.timestamp_millis(F.floor(number * 1000).cast("long")))
         .otherwise(as_column(now))
@@ -59,10 +63,6 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.unix_seconds(end) - F.unix_seconds(start)
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
-
-
 def end_of_day(day) -> Column:
     """Last millisecond of a day, for inclusive ranges."""
     return as_column(str(day)) + F.expr("INTERVAL '23:59:59.999' HOUR TO SECOND")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import sys
 import time
 from collections.abc import Callable, Iterator
@@ -23,32 +22,9 @@ RESULT = "array<struct<class:string,confidence:double,bbox:array<double>,class_i
 # A detector maps image references to a list of detection dicts per image; a
 # reference it cannot read gives None.
 Detector = Callable[[list[str]], list[list[dict] | None]]
-STUB_CLASSES = ["ant", "Bee", "beetle", "moth", "person"]
 
 
-def stub_detector() -> Detector:
-    """A detector for tests: up to three objects read off the reference's md5."""
-
-    def detect(references: list[str]) -> list[list[dict] | None]:
-        out = []
-        for reference in references:
-            if not reference:
-                out.append(None)
-                continue
-            digest = hashlib.md5(reference.encode()).digest()
-            out.append([
-                {
-                    "class": STUB_CLASSES[digest[1 + i] % 5], "confidence": digest[4 + i] / 256,
-                    "bbox": [0.0, 0.0, 64.0, 48.0], "class_id": digest[1 + i] % 5,
-                }
-                for i in range(digest[0] % 4)
-            ])
-        return out
-
-    return detect
-
-
-def score(images: DataFrame, load: Callable[[], Detector] = stub_detector, threshold: float = THRESHOLD) -> DataFrame:
+def score(images: DataFrame, load: Callable[[], Detector], threshold: float = THRESHOLD) -> DataFrame:
     """Add detections above the threshold and the time taken per image.
 
     `load` runs once per task and gives the detector for all its batches. An
@@ -73,7 +49,7 @@ def score(images: DataFrame, load: Callable[[], Detector] = stub_detector, thres
 
 
 def enrich(
-    raw: DataFrame, now, load: Callable[[], Detector] = stub_detector, threshold: float = THRESHOLD,
+    raw: DataFrame, now, load: Callable[[], Detector], threshold: float = THRESHOLD,
     model: str = "yolov8n", version: str = "1.0.0", endpoint: str = "http://minio:9000",
 ) -> DataFrame:
     """Raw events → enriched rows; unreadable images have null `detections`."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import boxes
 from shutterlake.operators import changes, labeling, maintain, rollups, scoring
 from shutterlake.plans.fixtures import CLASSES_SQL
+from shutterlake.plans.stand_in import stub_detector
 from shutterlake.plans.registry import AS_OF, query
 from shutterlake.sources import images as image_store
 from shutterlake.sources import streams
@@ -348,7 +349,7 @@ _HIT = " + ".join(
 @query("v1_scored_images", f"""
 SELECT device_id, timestamp, image_url, {_HIT} AS detection_count FROM events_raw""", "events_raw")
 def _(t):
-    rows = scoring.score(t.events_raw.select("device_id", "timestamp", "image_url"))
+    rows = scoring.score(t.events_raw.select("device_id", "timestamp", "image_url"), stub_detector)
     return rows.select("device_id", "timestamp", "image_url", F.size("detections").alias("detection_count"))
 
 
@@ -357,7 +358,7 @@ SELECT device_id, timestamp, shot_id, {_HIT} AS detection_count, :as_of AS proce
   concat('http://minio:9000/iot-annotated/', device_id, '/', strftime(timestamp, '%Y-%m-%d_%H-%M-%S'), 'Z_',
     CASE WHEN shot_id = '' THEN 'unknown' ELSE shot_id END, '_annotated.jpg') AS annotated_image_url FROM events_raw""", "events_raw")
 def _(t):
-    rows = scoring.scored(scoring.enrich(t.events_raw, AS_OF))
+    rows = scoring.scored(scoring.enrich(t.events_raw, AS_OF, stub_detector))
     return rows.select(
         "device_id", "timestamp", "shot_id", "detection_count", "processed_at", "inference_model", "annotated_image_url"
     )

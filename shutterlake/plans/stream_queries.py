@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from shutterlake.operators import changes, rollups
 from shutterlake.plans import alert_queries, device_queries, labeling_queries  # noqa: F401
 from shutterlake.plans.fixtures import Inputs
+from shutterlake.plans.stand_in import stub_detector
 from shutterlake.plans.registry import AS_OF, ORACLES, query
-from shutterlake.session import shared_dir
+from shutterlake.session import work_folder
 from shutterlake.sources import streams
 from shutterlake.streaming import jobs
 
@@ -33,7 +34,7 @@ class Streams(Inputs):
 
 
 def _folders(t: Inputs) -> tuple[str, str]:
-    base = f"{shared_dir(t.spark)}/job-{uuid.uuid4().hex}"
+    base = work_folder(t.spark, "job")
     return f"{base}/out", f"{base}/checkpoint"
 
 
@@ -116,7 +117,7 @@ def _(t):
     out, checkpoint = _folders(t)
     messages = Streams(t).device_messages.filter(F.col("ts") <= F.lit(AS_OF).cast("timestamp"))
     _finished(jobs.presence(messages, out, checkpoint, interval=None))
-    rows = changes.latest(t.spark.read.parquet(out), ["device_id"], ["last_seen_at", "batch"])
+    rows = changes.latest(t.spark.read.parquet(out), ["device_id"], ["batch", "last_seen_at"])
     silent = F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("last_seen_at")
     return rows.withColumn("stale", F.col("online") & (silent > 60_000_000)).drop("ip", "ssid", "batch")
 
@@ -147,7 +148,7 @@ def _(t):
 @query("x15_streamed_enrichment")
 def _(t):
     out, checkpoint = _folders(t)
-    _finished(jobs.enrich(Streams(t).events_raw, out, checkpoint, AS_OF, interval=None))
+    _finished(jobs.enrich(Streams(t).events_raw, out, checkpoint, AS_OF, load=stub_detector, interval=None))
     return t.spark.read.parquet(f"{out}/events_enriched").select(
         "device_id", "timestamp", "shot_id", "detection_count", "processed_at", "inference_model", "annotated_image_url"
     )

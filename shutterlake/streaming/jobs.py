@@ -118,7 +118,7 @@ def rollup(
 
 
 def enrich(
-    raw: DataFrame, out: str, checkpoint: str, now, *, load=scoring.stub_detector,
+    raw: DataFrame, out: str, checkpoint: str, now, *, load: Callable[[], scoring.Detector],
     interval: str | None = INTERVAL, counters: str = "enrich",
 ) -> StreamingQuery:
     """Raw events → scored events_enriched; unreadable images go to rejects."""

@@ -43,7 +43,8 @@ def test_envelope_columns_are_kept(spark):
 @pytest.mark.parametrize("raw, expected", [
     ("20240101123000", dt.datetime(2024, 1, 1, 12, 30)), ("99999999999999", None),
     ("1704067200", dt.datetime(2024, 1, 1)), ("1704067200500", dt.datetime(2024, 1, 1, 0, 0, 0, 500000)),
-    ("12", dt.datetime(2024, 2, 1)), ("soon", dt.datetime(2024, 2, 1)),
+    ("12", dt.datetime(2024, 2, 1)), ("soon", dt.datetime(2024, 2, 1)), ("-1e300", dt.datetime(2024, 2, 1)),
+    ("1e300", None), ("Infinity", None), ("NaN", None), ("253402300800000", None), ("999999999999999999", None), (None, dt.datetime(2024, 2, 1)),
 ])
 def test_device_timestamps(spark, raw, expected):
     assert one(spark, times.device_timestamp(F.col("x"), NOW), x=raw) == expected
@@ -137,13 +138,25 @@ def test_rule_defaults_and_messages(spark):
     assert rules.invalid(rows.withColumn("severity", F.lit("loud"))).count() == 3
 
 
-def test_more_shared_rules_than_one_pass_holds(spark, monkeypatch):
-    monkeypatch.setattr(rules, "RULES_PER_PASS", 3)
-    shared = ['{"type":"detection_count","operator":">","value":0}'] * 10
-    own = ['{"type":"detection_count","operator":">","value":0,"deviceId":"cam-1"}'] * 9
-    other = ['{"type":"detection_count","operator":">","value":0,"deviceId":"cam-2"}'] * 4
-    hits = rules.candidates(event(spark, 1, [("a", 0.5)]), rule(spark, *shared, *own, *other)).collect()
-    assert sorted(r.rule_id for r in hits) == sorted(f"r{i}" for i in range(19))
+def test_thousands_of_rules_in_one_join(spark):
+    """However many rules there are, the events are read once and the plan stays the same."""
+    shared = ['{"type":"detection_count","operator":">","value":%d}' % (k % 7) for k in range(2000)]
+    sure = ['{"type":"confidence","operator":"%s","value":%s}' % (("<", "<=", ">", ">=", "==", "!=")[k % 6], k / 500) for k in range(600)]
+    named = ['{"type":"species","operator":"%s","species":["a","x%d","B"]}' % (("in", "not_in")[k % 2], k) for k in range(400)]
+    own = ['{"type":"detection_count","operator":">=","value":%d,"deviceId":"cam-1"}' % (k % 90) for k in range(900)]
+    other = ['{"type":"detection_count","operator":">","value":0,"deviceId":"cam-2"}'] * 100
+    listed = rule(spark, *shared, *sure, *named, *own, *other)
+    for count, found in ((4, [("a", 0.5), ("b", 0.25), ("A", 0.125)]), (80, [("c", 0.5)]), (0, [])):
+        hits = rules.candidates(event(spark, count, found), listed)
+        top, classes = max((c for _, c in found), default=None), {n.lower() for n, _ in found}
+        expected = [f"r{k}" for k in range(2000) if count > k % 7]
+        compare = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "==": float.__eq__, "!=": float.__ne__}
+        expected += [f"r{2000 + k}" for k in range(600) if found and compare[("<", "<=", ">", ">=", "==", "!=")[k % 6]](top, k / 500)]
+        expected += [f"r{2600 + k}" for k in range(400) if found and bool(classes & {"a", f"x{k}", "b"}) == (k % 2 == 0)]
+        expected += [f"r{3000 + k}" for k in range(900) if count >= k % 90]
+        assert sorted(r.rule_id for r in hits.collect()) == sorted(expected)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "Union" not in plan
 
 
 def messages(spark, *rows):
