@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.times import as_column
@@ -146,14 +146,31 @@ def after_actions(notifications: DataFrame, actions: DataFrame) -> DataFrame:
         F.min(F.when(F.col("action") == "read", F.col("acted_at"))).alias("_read"),
         F.bool_or(F.col("action") == "delete").alias("_deleted"),
     )
-    sweeps = F.sort_array(F.collect_set("acted_at"))
-    all_read = actions.filter(F.col("action") == "read_all").agg(sweeps.alias("times")).scalar()
-    swept = F.array_min(F.filter("_sweeps", lambda at: at >= F.col("created_at")))
-    joined = notifications.join(named, "alert_id", "left").filter(
-        ~F.coalesce("_deleted", F.lit(False))
-    ).withColumn("_sweeps", all_read)
-    read_at = F.least(F.col("_read"), swept)
-    return joined.withColumns({
+    kept = notifications.join(named, "alert_id", "left").filter(~F.coalesce("_deleted", F.lit(False)))
+    read_at = F.least(F.col("_read"), F.col("_swept"))
+    return _with_next_sweep(kept, actions.filter(F.col("action") == "read_all").select("acted_at")).withColumns({
         "read_at": F.when(~F.col("read"), read_at),
         "read": F.col("read") | read_at.isNotNull(),
-    }).drop("_read", "_deleted", "_sweeps")
+    }).drop("_read", "_deleted", "_swept")
+
+
+def _with_next_sweep(notifications: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """Notifications with `_swept`, the first sweep (acted_at) at or after their creation.
+
+    It lies in the hour of the creation, found by a window over that hour alone, or it is the first sweep of the
+    next hour that has one, found among one row per hour.
+    """
+    hour = lambda at: F.date_trunc("hour", at)
+    own = notifications.withColumns({"_at": F.col("created_at"), "_hour": hour("created_at"), "_sweep": F.lit(None).cast("timestamp")})
+    rows = own.unionByName(sweeps.distinct().select(
+        F.col("acted_at").alias("_at"), hour("acted_at").alias("_hour"), F.col("acted_at").alias("_sweep")), allowMissingColumns=True)
+    later = Window.partitionBy("_hour").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumns({"_within": F.min("_sweep").over(later), "_is_sweep": F.col("_sweep").isNotNull()})
+    hours = rows.groupBy("_hour").agg(F.min("_sweep").alias("_first"))
+    after = Window.orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    following = hours.withColumn("_following", F.min("_first").over(after)).drop("_first")
+    return (
+        within.filter(~F.col("_is_sweep")).join(following, "_hour", "left")
+        .withColumn("_swept", F.coalesce("_within", "_following"))
+        .drop("_at", "_hour", "_sweep", "_within", "_is_sweep", "_following")
+    )

@@ -30,12 +30,12 @@ def latest_enriched(enriched: DataFrame) -> DataFrame:
 
 
 def with_detections(
-    raw: DataFrame, enriched: DataFrame, keep: Callable[[Column], Column] | None = None, small: bool = False
+    raw: DataFrame, enriched: DataFrame, keep: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Raw events left-joined with their latest detection result.
 
     With `keep`, a predicate over the parsed detections, only the raw events
-    whose result passes remain. `small` says that the results are few.
+    whose result passes remain.
 
     An empty shot matches nothing. Such rows get a key of their own, so that a
     device which never names its shots does not send them all to one task.
@@ -46,7 +46,7 @@ def with_detections(
     if keep is not None:
         found = once(found.filter(F.col("detection_count") > 0), _d=D.parse(F.col("detections")))
         found = found.filter(keep(F.col("_d"))).drop("_d")
-    left, right = keyed.alias("r"), (F.broadcast(found) if small else found).alias("e")
+    left, right = keyed.alias("r"), found.alias("e")
     matched = left.join(
         right,
         (F.col("r.device_id") == F.col("e.device_id")) & (F.col("r._key") == F.col("e._key"))
@@ -111,7 +111,7 @@ def page(
     """One page of shaped gallery rows.
 
     When neither filter nor order looks at detections, the page is cut from the
-    raw events first and only its few keys are looked up among the enriched
+    raw events at once and only its few shots are looked up among the enriched
     ones, so the large join never happens.
     """
     by_detections = sort_by == "detections" or any(
@@ -124,11 +124,12 @@ def page(
         kept = raw.filter(_raw_filter(
             filters.get("device_id"), filters.get("start_date"), filters.get("end_date"), filters.get("search")
         ))
-        cut = changes.page(kept, order, number, size)
-        # At most `size` keys: a bound independent of the data.
-        keys = F.broadcast(cut.select("device_id", "shot_id").distinct())
-        few = enriched.join(keys, ["device_id", "shot_id"], "left_semi")
-        rows = with_detections(cut, few, small=True).orderBy(*order).limit(size)
+        # At most `size` rows, whatever the data: taken once, so that their shots reach the scan of the
+        # enriched table as values, and with them its statistics and bloom filters.
+        cut = kept.sparkSession.createDataFrame(changes.page(kept, order, number, size).collect(), kept.schema)
+        shots = [row["shot_id"] for row in cut.select("shot_id").distinct().collect() if row["shot_id"]]
+        few = enriched.filter(F.col("shot_id").isin(shots))
+        rows = with_detections(cut, few).orderBy(*order).limit(size)
     return shaped(rows, public_domain)
 
 
