@@ -44,6 +44,11 @@ def history_page(alerts: DataFrame, number: int = 1, size: int = 20, **given) ->
     return changes.page(changes.where_eq(alerts, **given), newest_first(), number, size)
 
 
+def by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
+    """One alert; no row for an unknown one."""
+    return alerts.filter(F.col("alert_id") == alert_id)
+
+
 def recent_active(alerts: DataFrame, n: int = 10, **given) -> DataFrame:
     active = changes.where_eq(alerts, status="active", **given)
     return active.orderBy(*newest_first()).limit(n)

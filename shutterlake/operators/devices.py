@@ -235,6 +235,11 @@ def registry(messages: DataFrame, as_of) -> DataFrame:
     )
 
 
+def by_id(devices: DataFrame, device_id: str) -> DataFrame:
+    """One device's state; no row for an unknown one."""
+    return devices.filter(F.col("device_id") == device_id)
+
+
 def registry_counts(devices: DataFrame) -> DataFrame:
     """One row: total, online, offline and stale devices."""
     return devices.agg(

@@ -9,6 +9,7 @@ from shutterlake import schemas
 from shutterlake.functions import boxes
 from shutterlake.functions.names import base_name
 from shutterlake.functions.text import given
+from shutterlake.functions.times import as_column
 from shutterlake.operators import changes
 from shutterlake.operators.ranking import numbered
 
@@ -134,6 +135,12 @@ def categories(projects: DataFrame) -> DataFrame:
     )
 
 
+def used_categories(annotations: DataFrame, projects: DataFrame) -> DataFrame:
+    """The categories that exported annotations use, with their number of boxes."""
+    boxes_of = export_annotations(annotations).groupBy("project_id", F.col("class").alias("name")).agg(F.count("*").alias("boxes"))
+    return categories(projects).drop("supercategory").join(boxes_of, ["project_id", "name"])
+
+
 def export_annotations(annotations: DataFrame) -> DataFrame:
     """Annotations fit for export: approved or submitted, with their class name."""
     columns = annotations.columns
@@ -181,8 +188,23 @@ def coco_annotations(images: DataFrame, annotations: DataFrame, projects: DataFr
     )
 
 
-def coco_lines(images: DataFrame, annotations: DataFrame, projects: DataFrame) -> DataFrame:
-    """The three relations as JSON lines (project_id, relation, line).
+def coco_header(projects: DataFrame, now) -> DataFrame:
+    """The info and license lines of each project; images refer to license 1."""
+    day = F.to_date(as_column(now))
+    info = F.to_json(F.struct(
+        F.col("project_id").alias("description"), F.lit("1.0").alias("version"), F.year(day).alias("year"),
+        F.date_format(day, "yyyy-MM-dd").alias("date_created"),
+    ))
+    license_ = F.to_json(F.struct(F.lit(1).alias("id"), F.lit("Unknown").alias("name"), F.lit("").alias("url")))
+    lines = F.array(
+        F.struct(F.lit("info").alias("relation"), info.alias("line")),
+        F.struct(F.lit("licenses").alias("relation"), license_.alias("line")),
+    )
+    return projects.select("project_id", F.inline(lines))
+
+
+def coco_lines(images: DataFrame, annotations: DataFrame, projects: DataFrame, now) -> DataFrame:
+    """The relations info, licenses, images, annotations and categories as JSON lines (project_id, relation, line).
 
     Written with `partitionBy("project_id", "relation")` each relation becomes
     many files, so no project passes through one task.
@@ -192,7 +214,8 @@ def coco_lines(images: DataFrame, annotations: DataFrame, projects: DataFrame) -
         return df.select("project_id", F.lit(relation).alias("relation"), body.alias("line"))
 
     return (
-        lines(coco_images(images).drop("image_id"), "images")
+        coco_header(projects, now)
+        .unionByName(lines(coco_images(images).drop("image_id"), "images"))
         .unionByName(lines(coco_annotations(images, annotations, projects), "annotations"))
         .unionByName(lines(categories(projects), "categories"))
     )

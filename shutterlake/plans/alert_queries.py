@@ -270,6 +270,17 @@ def _(t):
     return rule.unionByName(found.select(F.lit("alert").alias("kind"), F.col("alert_id").alias("id"), "severity"))
 
 
+@query("t9_alert_lookup", "SELECT * FROM alert_history WHERE alert_id = 'alert-0'", "alert_history")
+def _(t):
+    return alerts.by_id(t.alert_history, "alert-0")
+
+
+@query("a18_newest_alerts", """
+SELECT * FROM alert_history WHERE status = 'active' ORDER BY triggered_at DESC, alert_id LIMIT 10""", "alert_history")
+def _(t):
+    return alerts.recent_active(t.alert_history)
+
+
 @query("p11_optional_filters", """
 SELECT alert_id FROM alert_history WHERE status = 'active' AND severity = 'warning' AND rule_id = 'r4'""", "alert_history")
 def _(t):

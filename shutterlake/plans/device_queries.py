@@ -37,11 +37,11 @@ def _(t):
 
 
 @query("s12_activity_rows", f"""
-WITH {_FEED} SELECT device_id, 'device_' || type AS event_type, ts AS timestamp, payload AS metadata
-FROM feed JOIN device_messages d USING (seq, ts) WHERE category = 'presence'""", _USES)
+WITH {_FEED} SELECT device_id, CASE category WHEN 'presence' THEN 'device_' || type WHEN 'warning' THEN 'warn_' || type ELSE type END AS event_type,
+  ts AS timestamp, payload AS metadata
+FROM feed JOIN device_messages d USING (seq, ts) WHERE category IN ('presence', 'ota', 'warning') OR (category = 'event' AND type = 'upload_fail')""", _USES)
 def _(t):
-    rows = devices.activity_log(devices.feed(t.device_messages))
-    return rows.filter(F.col("event_type").startswith("device_"))
+    return devices.activity_log(devices.feed(t.device_messages))
 
 
 @query("p16_event_labels", f"""
@@ -193,3 +193,11 @@ def _(t):
 WITH {_UP} SELECT device_id, seq, copy, max(ts) OVER (PARTITION BY device_id ORDER BY arrived_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_before FROM up""", "uploads")
 def _(t):
     return admission.running_latest(t.uploads, AS_OF).select("device_id", "seq", "copy", "latest_before")
+
+
+@query("t9_device_lookup", """
+SELECT device_id, max(ts) AS last_seen_at FROM device_messages d JOIN (SELECT event_id AS seq, device_id FROM dev WHERE copy = 0) USING (seq)
+WHERE device_id = 'cam-000000000005' GROUP BY device_id""", _USES)
+def _(t):
+    known = devices.registry(t.device_messages, "2024-02-01 00:00:00")
+    return devices.by_id(known, "cam-000000000005").select("device_id", "last_seen_at")

@@ -128,9 +128,24 @@ def _(t):
     return labeling.categories(_projects(t))
 
 
+@query("d2_coco_used_categories", f"""
+SELECT a.project_id, CAST({_LIST} AS INT) AS id, class AS name, count(*) AS boxes FROM annotations a
+WHERE status IN ('approved', 'submitted') AND class <> 'unlisted' GROUP BY ALL""", _USES)
+def _(t):
+    return labeling.used_categories(t.annotations, _projects(t))
+
+
+@query("d2_coco_header", """
+SELECT project_id, 'info' AS relation, concat('{"description":"', project_id, '","version":"1.0","year":2024,"date_created":"2024-01-30"}') AS line FROM (SELECT DISTINCT project_id FROM project_images)
+UNION ALL SELECT project_id, 'licenses', '{"id":1,"name":"Unknown","url":""}' FROM (SELECT DISTINCT project_id FROM project_images)""", _USES)
+def _(t):
+    used = _projects(t).join(t.project_images, "project_id", "left_semi")
+    return labeling.coco_header(used, AS_OF)
+
+
 @query("d2_coco_lines")
 def _(t):
-    return labeling.coco_lines(t.project_images, t.annotations, _projects(t))
+    return labeling.coco_lines(t.project_images, t.annotations, _projects(t), AS_OF)
 
 
 @query("d3_yolo_labels", f"""
@@ -166,13 +181,13 @@ def _exports(t):
     twice = F.when(F.col("x1") % 3 == 0, F.array(box, box)).otherwise(F.array(box))
     task = F.struct(F.col("image_id").alias("id"), F.struct(F.lit("u").alias("image")).alias("data"))
     text = F.to_json(F.struct(twice.alias("result"), task.alias("task")))
-    rows = t.annotations.filter("project_id = 'p0'").select(F.from_json(text, labeling.LABELSTUDIO_EXPORT).alias("e"))
-    return rows.select("e.*")
+    rows = t.annotations.select("project_id", F.from_json(text, labeling.LABELSTUDIO_EXPORT).alias("e"))
+    return rows.select("project_id", "e.*")
 
 
 @query("d5_imported_annotations", """
 SELECT image_id, pos, x1, y1, x2, y2, CASE WHEN class = 'unlisted' THEN 'object' ELSE class END AS class, 'submitted' AS status, 'labelstudio' AS source
-FROM annotations, unnest([0, 1]) AS b(pos) WHERE project_id = 'p0' AND (pos = 0 OR x1 % 3 = 0)""", _USES)
+FROM annotations, unnest([0, 1]) AS b(pos) WHERE pos = 0 OR x1 % 3 = 0""", _USES)
 def _(t):
     return labeling.imported_annotations(_exports(t)).drop("image_url")
 
@@ -181,7 +196,7 @@ def _(t):
 SELECT project_id, image_id, CASE WHEN project_id = 'p0' AND class = 'unlisted' THEN 'object' ELSE class END AS class,
   CASE WHEN project_id = 'p0' THEN 'submitted' ELSE status END AS status FROM annotations""", _USES)
 def _(t):
-    merged = labeling.upsert_imported(t.annotations, labeling.imported_annotations(_exports(t)), "p0")
+    merged = labeling.upsert_imported(t.annotations, labeling.imported_annotations(_exports(t).filter("project_id = 'p0'")), "p0")
     return merged.select("project_id", "image_id", "class", "status")
 
 

@@ -258,10 +258,13 @@ def _(t):
     return rollups.read_combined(rollups.combine(blocks)).drop("unique_shots")
 
 
-@query("r1_sketch_counts")
+@query("r1_sketch_counts", f"SELECT DISTINCT device_id, {_DAY} AS aggregation_window, true AS close FROM events_raw", "events_raw")
 def _(t):
-    parts = rollups.partials(t.events_raw, "daily")
-    return rollups.read_combined(rollups.combine(parts)).select("device_id", "aggregation_window", "unique_shots")
+    # A sketch estimates; it counts as right within 5 % of the exact count, or one.
+    read = rollups.read_combined(rollups.combine(rollups.partials(t.events_raw, "daily")))
+    exact = rollups.events_agg(t.events_raw, "daily").select("device_id", "aggregation_window", F.col("unique_shots").alias("exact"))
+    close = F.abs(F.col("unique_shots") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return read.join(exact, ["device_id", "aggregation_window"]).select("device_id", "aggregation_window", close.alias("close"))
 
 
 @query("r5_rebuild_range", _agg("daily", _DAY, "WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-16'"), "events_raw")

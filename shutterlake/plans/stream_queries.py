@@ -132,6 +132,26 @@ def _(t):
     return t.spark.read.parquet(f"{out}/alerts").select("rule_id", "device_id", "triggered_at")
 
 
+@query("s2_streamed_enriched_topic", """
+SELECT 'event' AS kind, device_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS timestamp,
+  CAST(CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS INT) AS detection_count FROM enriched_messages WHERE seq % 23 <> 0 AND seq % 17 <> 0
+UNION ALL SELECT 'alert', device_id, CAST(date_trunc('second', min(ts)) AS TIMESTAMP), NULL
+  FROM enriched_messages WHERE seq % 23 <> 0 AND seq % 17 <> 0 AND seq % 3 <> 0 GROUP BY device_id""", "enriched_messages")
+def _(t):
+    # One rule with a cooldown longer than all events: each device alerts at its first detection.
+    out, checkpoint = _folders(t)
+    rule = t.spark.createDataFrame(
+        [("r", "any", "detection_count", ">", 0.0, None, "info", 10**9, True, None)],
+        "rule_id string, name string, cond_type string, op string, threshold double, species array<string>, "
+        "severity string, cooldown_s long, enabled boolean, device_id string")
+    for started in jobs.enriched_topic(Streams(t).enriched_messages.select("value"), rule, t.channels, out, checkpoint, AS_OF, interval=None):
+        _finished(started)
+    events = t.spark.read.parquet(f"{out}/events_enriched").select(F.lit("event").alias("kind"), "device_id", "timestamp", "detection_count")
+    made = t.spark.read.parquet(f"{out}/alerts").select(
+        F.lit("alert").alias("kind"), "device_id", F.col("triggered_at").alias("timestamp"), F.lit(None).cast("int").alias("detection_count"))
+    return events.unionByName(made)
+
+
 @query("l10_streamed_offline", f"""
 WITH RECURSIVE {device_queries._FEED}, {device_queries._SILENT_CAND.replace("coalesce(next_ts, TIMESTAMP '2024-02-01')", "next_ts")},
 fired AS (SELECT rule_id, device_id, min(triggered_at) AS triggered_at FROM cand GROUP BY ALL

@@ -138,6 +138,27 @@ def enrich(
     return start(observed, each, checkpoint, interval=interval, name=counters)
 
 
+def enriched_topic(
+    messages: DataFrame, rule_rows: DataFrame, channels: DataFrame, out: str, checkpoint: str, now, *,
+    interval: str | None = INTERVAL,
+) -> list[StreamingQuery]:
+    """Enriched topic (JSON `value`) → events_enriched, and its alerts and notifications.
+
+    Two queries over the same messages, each with a checkpoint of its own: one
+    stores the rows, the other runs the rules and their cooldown.
+    """
+    rows = decode.normalise_enriched(decode.parse_enriched(messages), now)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        stored = tables.insert_rows(batch, "events_enriched", now)
+        write_batch(stored, "events_enriched", f"{out}/events_enriched", batch_id)
+
+    return [
+        start(rows, each, f"{checkpoint}/rows", interval=interval),
+        alert(rows, rule_rows, channels, out, f"{checkpoint}/alerts", now, interval=interval),
+    ]
+
+
 def alert(
     enriched: DataFrame, rule_rows: DataFrame, channels: DataFrame, out: str, checkpoint: str, now, *,
     interval: str | None = INTERVAL,
