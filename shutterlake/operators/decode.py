@@ -118,8 +118,9 @@ def check_contract(events: DataFrame) -> DataFrame:
 
 def violation_summary(checked: DataFrame) -> DataFrame:
     """Rows per broken rule; rules nobody breaks are absent."""
-    names = list(_contract())
-    counts = checked.agg(*[F.count_if(F.array_contains("violations", name)).alias(name) for name in names])
+    rules = _contract()
+    names = list(rules)
+    counts = checked.agg(*[F.count_if(F.coalesce(broken, F.lit(False))).alias(name) for name, broken in rules.items()])
     return counts.unpivot([], names, "rule", "violations").filter(F.col("violations") > 0)
 
 

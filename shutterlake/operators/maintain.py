@@ -38,6 +38,69 @@ def expired_months(months: DataFrame, days: int, as_of) -> DataFrame:
     return months.filter(F.col("month").cast("string") < edge)
 
 
+def _files(spark, path: str):
+    """The file system of a path and the path as it knows it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _folders(spark, path: str, name: str) -> list[tuple[str, str]]:
+    """(value, path) of the folders name=value in a folder."""
+    fs, place = _files(spark, path)
+    if not fs.exists(place):
+        return []
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(place) if s.isDirectory()]
+    return [(folder.split("=", 1)[1], at) for folder, at in found if folder.startswith(f"{name}=")]
+
+
+def compact(spark, table: str, streamed: str, stored: str, before_batch: int) -> int:
+    """Fold the batches below `before_batch` of a streamed table into the stored one; the number of batches folded.
+
+    The months that the batches touch are read with them, equal rows are dropped, and the result replaces those
+    months; only then are the batch folders deleted. A run that dies on the way is simply run again: rows
+    that are in both places count once.
+    """
+    closed = [(value, at) for value, at in _folders(spark, streamed, "batch") if int(value) < before_batch]
+    if not closed:
+        return 0
+    rows = spark.read.option("basePath", streamed).parquet(*[at for _, at in closed])
+    added = tables.table_columns(rows, table)
+    meta = TABLES[table]
+    fs, place = _files(spark, stored)
+    if fs.exists(place):
+        old = spark.read.parquet(stored)
+        if meta.date_column is not None:
+            months = rows.select(F.col("month").cast("int").alias("month")).distinct()
+            old = old.join(F.broadcast(months), "month", "left_semi")  # a row per month
+        added = added.unionByName(tables.table_columns(old, table))
+    staged = f"{stored.rstrip('/')}.staged"
+    tables.write_table(added.dropDuplicates(), table, staged, mode="overwrite")
+    tables.write_table(tables.read_table(spark, table, staged), table, stored, mode="overwrite")
+    for at in [staged, *(at for _, at in closed)]:
+        fs.delete(_files(spark, at)[1], True)
+    return len(closed)
+
+
+def drop_expired(spark, table: str, stored: str, as_of) -> list[str]:
+    """Delete the month folders that lie wholly outside a table's retention; the months deleted."""
+    meta = TABLES[table]
+    if meta.retention_days is None:
+        return []
+    roots = [stored]
+    for name in meta.partitions:
+        roots = [at for root in roots for _, at in _folders(spark, root, name)]
+    months = [(month, at) for root in roots for month, at in _folders(spark, root, "month")]
+    if not months:
+        return []
+    listed = spark.createDataFrame([(month,) for month in sorted({m for m, _ in months})], "month string")
+    gone = {row["month"] for row in expired_months(listed, meta.retention_days, as_of).collect()}
+    for month, at in months:
+        if month in gone:
+            fs, place = _files(spark, at)
+            fs.delete(place, True)
+    return sorted(gone)
+
+
 def latest_per_key(df: DataFrame, table: str, version: list[str]) -> DataFrame:
     """The latest row per unique key of a table."""
     return changes.latest(df, TABLES[table].key, version)

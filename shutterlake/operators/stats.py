@@ -6,7 +6,7 @@ Every statistic is one conditional aggregate over one scan. `as_of` stands for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.text import not_test_device
@@ -136,8 +136,8 @@ def species_distribution(enriched: DataFrame, device_id: str | None = None) -> D
     if device_id:
         enriched = enriched.filter(F.col("device_id") == device_id)
     counts = exploded_detections(enriched).groupBy("species").agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("total")).scalar()
-    share = F.round(F.col("count") / total * 100, 2)
+    # One row per species: a window over them all is as small as the result.
+    share = F.round(F.col("count") / F.sum("count").over(Window.partitionBy()) * 100, 2)
     return counts.withColumn("percentage", share).orderBy(F.desc("count"), "species")
 
 

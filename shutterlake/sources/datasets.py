@@ -9,10 +9,10 @@ from shutterlake.operators import labeling
 
 
 def write_coco(
-    images: DataFrame, annotations: DataFrame, projects: DataFrame, path: str, mode: str = "overwrite"
+    images: DataFrame, annotations: DataFrame, projects: DataFrame, path: str, now, mode: str = "overwrite"
 ) -> None:
-    """COCO relations as JSON lines under project_id=…/relation=images|annotations|categories."""
-    lines = labeling.coco_lines(images, annotations, projects)
+    """COCO relations as JSON lines under project_id=…/relation=info|licenses|images|annotations|categories."""
+    lines = labeling.coco_lines(images, annotations, projects, now)
     lines.write.mode(mode).partitionBy("project_id", "relation").text(path)
 
 

@@ -102,7 +102,8 @@ def ingest(
 
 
 def rollup(
-    events: DataFrame, kind: str, out: str, checkpoint: str, *, interval: str | None = INTERVAL
+    events: DataFrame, kind: str, out: str, checkpoint: str, *, interval: str | None = INTERVAL,
+    counters: str = "rollup",
 ) -> StreamingQuery:
     """A windowed rollup of an event stream; windows are written once the watermark passes them.
 
@@ -112,7 +113,7 @@ def rollup(
         "sizes": rollups.hourly_sizes, "device_daily": rollups.device_stats_daily,
         "hourly": lambda e: rollups.events_agg(e, "hourly"), "daily": lambda e: rollups.events_agg(e, "daily"),
     }[kind]
-    writer = build(events).writeStream.format("parquet").outputMode("append")
+    writer = build(events).writeStream.format("parquet").outputMode("append").queryName(counters)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.option("path", out).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -38,12 +38,14 @@ class JobCounters(StreamingQueryListener):
         pass
 
     def add(self, progress) -> None:
+        """Add a batch; late rows also of jobs that are only named so and observe nothing, as the rollups."""
         row = progress.observedMetrics.get(self.name)
-        if row is None:
+        if row is None and progress.name != self.name:
             return
         with self._lock:
-            for counter in COUNTERS:
-                self.totals[counter] += row[counter] or 0
+            if row is not None:
+                for counter in COUNTERS:
+                    self.totals[counter] += row[counter] or 0
             self.totals["batches"] += 1
             self.totals["late"] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
 
@@ -53,7 +55,10 @@ class JobCounters(StreamingQueryListener):
 
 
 def dropped_late(query: StreamingQuery) -> int:
-    """Rows the query's recent batches dropped behind the watermark."""
+    """Rows that the batches still in the query's short memory dropped behind the watermark.
+
+    `JobCounters` listens to every batch and forgets none; this is for a look at a running query.
+    """
     return sum(
         op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]
     )

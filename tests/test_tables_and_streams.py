@@ -53,6 +53,34 @@ def test_rebuild_of_one_grain_keeps_the_other(spark, inputs, tmp_path):
     assert back.columns == [f.name for f in tables.TABLES["events_agg"].columns]
 
 
+def test_compaction_folds_closed_batches(spark, inputs, tmp_path):
+    streamed, stored = str(tmp_path / "streamed"), str(tmp_path / "stored")
+    rows = tables.insert_rows(inputs.events_raw, "events_raw", NOW)
+    for batch in range(4):
+        part = rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch)
+        jobs.write_batch(part, "events_raw", streamed, batch)
+    assert tables.read_table(spark, "events_raw", streamed).columns == rows.columns
+    assert maintain.compact(spark, "events_raw", streamed, stored, 2) == 2
+    # A run that died before it deleted its batches is run again.
+    jobs.write_batch(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == 1), "events_raw", streamed, 1)
+    assert maintain.compact(spark, "events_raw", streamed, stored, 3) == 2
+    assert not os.path.exists(f"{streamed}/batch=2") and os.path.exists(f"{streamed}/batch=3")
+    back = tables.read_table(spark, "events_raw", stored)
+    expected = rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) < 3)
+    assert back.count() == expected.count() and back.exceptAll(expected).isEmpty()
+    assert maintain.compact(spark, "events_raw", streamed, stored, 0) == 0
+
+
+def test_expired_folders_are_dropped(spark, inputs, tmp_path):
+    path = str(tmp_path / "agg")
+    rows = rollups.events_agg_all(inputs.events_raw)
+    old = rows.withColumn("processing_date", F.lit("2023-05-01").cast("date"))
+    tables.write_table(rows.unionByName(old), "events_agg", path)
+    assert maintain.drop_expired(spark, "events_agg", path, "2024-02-01") == ["202305"]
+    assert tables.read_table(spark, "events_agg", path).count() == rows.count()
+    assert maintain.drop_expired(spark, "devices", path, "2024-02-01") == []
+
+
 def test_expired_months(spark):
     months = spark.createDataFrame([(202310,), (202311,), (202401,)], "month int")
     assert [r.month for r in maintain.expired_months(months, 90, "2024-02-15").collect()] == [202310]
@@ -215,7 +243,8 @@ def test_datasets_are_written_and_read(spark, inputs, tmp_path):
 
     projects = inputs.labeling_projects.withColumn("class_names", F.split("class_names", ","))
     pictures, marks = inputs.project_images, inputs.annotations
-    datasets.write_coco(pictures, marks, projects, str(tmp_path / "coco"))
+    datasets.write_coco(pictures, marks, projects, str(tmp_path / "coco"), NOW)
+    assert [json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "coco/project_id=p0/relation=licenses")).collect()] == [1]
     lines = spark.read.text(str(tmp_path / "coco/project_id=p0/relation=images"))
     ids = sorted(json.loads(r.value)["id"] for r in lines.collect())
     assert ids == list(range(1, pictures.filter("project_id = 'p0'").count() + 1))
