@@ -132,6 +132,31 @@ def _(t):
     return t.spark.read.parquet(f"{out}/alerts").select("rule_id", "device_id", "triggered_at")
 
 
+_ENDS = "CASE WHEN (epoch_us(f.triggered_at) // 1000000) % 3 = 0 THEN f.triggered_at + INTERVAL 60 SECONDS END"
+
+
+@query("l4_streamed_resolved", f"""
+WITH RECURSIVE {alert_queries._CAND}, fired AS (
+  SELECT rule_id, device_id, cooldown_s, min(triggered_at) AS triggered_at FROM cand GROUP BY ALL
+  UNION ALL
+  SELECT c.rule_id, c.device_id, c.cooldown_s, min(c.triggered_at) FROM fired f JOIN cand c
+    ON c.rule_id = f.rule_id AND c.device_id = f.device_id AND c.triggered_at > f.triggered_at
+    AND (c.triggered_at > f.triggered_at + to_seconds(CAST(f.cooldown_s AS DOUBLE)) OR c.triggered_at >= {_ENDS})
+  GROUP BY c.rule_id, c.device_id, c.cooldown_s, f.triggered_at)
+SELECT DISTINCT rule_id, device_id, triggered_at FROM fired""", alert_queries._ALL)
+def _(t):
+    # Every alert of a third of all instants is resolved after a minute.
+    from shutterlake.operators import rules
+
+    out, checkpoint = _folders(t)
+    listed = alert_queries._listed(t.alert_rules)
+    stream = Streams(t).events_enriched
+    resolutions = rules.candidates(stream, listed).filter(F.unix_seconds("triggered_at") % 3 == 0).select(
+        "rule_id", "device_id", "triggered_at", (F.col("triggered_at") + F.expr("INTERVAL 60 SECONDS")).alias("resolved_at"))
+    _finished(jobs.alert(stream, listed, t.channels, out, checkpoint, AS_OF, resolutions=resolutions, interval=None))
+    return t.spark.read.parquet(f"{out}/alerts").select("rule_id", "device_id", "triggered_at")
+
+
 @query("s2_streamed_enriched_topic", """
 SELECT 'event' AS kind, device_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS timestamp,
   CAST(CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS INT) AS detection_count FROM enriched_messages WHERE seq % 23 <> 0 AND seq % 17 <> 0

@@ -162,14 +162,15 @@ def enriched_topic(
 
 def alert(
     enriched: DataFrame, rule_rows: DataFrame, channels: DataFrame, out: str, checkpoint: str, now, *,
-    interval: str | None = INTERVAL,
+    history: DataFrame | None = None, resolutions: DataFrame | None = None, interval: str | None = INTERVAL,
 ) -> StreamingQuery:
     """Enriched events → rules → cooldown → alerts, in-app notifications and delivery log.
 
     Rules are read when the job starts; restart it (same checkpoint) to pick up
-    changed ones.
+    changed ones. Open alerts of `history`, stored before the job began, block;
+    a row of the `resolutions` stream ends the block of its alert.
     """
-    fired = state.cooldown_stream(rules.candidates(enriched, rule_rows))
+    fired = state.cooldown_stream(rules.candidates(enriched, rule_rows), history, resolutions)
     made = rules.as_alerts(fired, now)
 
     def each(batch: DataFrame, batch_id: int) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shutterlake.operators.admission import LONG_AGO, Admission, tie
-from shutterlake.operators.cooldown import NEVER
+from shutterlake.operators.cooldown import NEVER, not_suppressed
 from shutterlake.operators.devices import DEFAULT_INTERVAL_S, STALE_AFTER_S, parsed, presence_fields
 from shutterlake.functions.times import device_timestamp
 
@@ -74,24 +74,45 @@ def drop_repeated_shots(uploads: DataFrame, time: str = "arrived_at", within: st
 # ---- alert cooldown -----------------------------------------------------
 
 def _cooldown_group(key, batches, state):
-    blocked = state.get[0] if state.exists else NEVER
-    rows = _in_order(batches, ["at", "shot_id"])
+    blocked, fired_at = state.get if state.exists else (NEVER, NEVER)
+    rows = _in_order(batches, ["_at", "_candidate", "shot_id"])
     keep = []
-    for at, cooldown in zip(rows["at"], rows.cooldown_s):
-        fires = at > blocked
+    for at, candidate, of, cooldown in zip(rows["_at"], rows["_candidate"], rows["_of"], rows.cooldown_s):
+        fires = bool(candidate) and at > blocked
         keep.append(fires)
         if fires:
-            blocked = at + cooldown * 1_000_000
-    state.update((blocked,))
-    yield rows[keep].drop(columns=["at"])
-
-
-def cooldown_stream(candidates: DataFrame) -> DataFrame:
-    """Streaming form of `cooldown.apply_cooldown`: one instant of state per (rule, device)."""
+            fired_at, blocked = int(at), int(at) + int(cooldown) * 1_000_000
+        elif not candidate and of == fired_at:
+            # The alert that blocks is resolved: from this instant on the next may fire.
+            blocked = max(fired_at, min(blocked, int(at) - 1))
+    state.update((blocked, fired_at))
+    yield rows[keep].drop(columns=["_at", "_candidate", "_of"])
+
+
+def cooldown_stream(
+    candidates: DataFrame, history: DataFrame | None = None, resolutions: DataFrame | None = None,
+) -> DataFrame:
+    """Streaming form of `cooldown.apply_cooldown`: two instants of state per (rule, device).
+
+    `history` is a table of alerts stored before the stream began, `resolutions`
+    a stream (rule_id, device_id, triggered_at, resolved_at). A resolution that
+    arrives in a later batch than the candidates after it does not bring those back.
+    """
+    if history is not None:
+        candidates = not_suppressed(candidates, history)
     schema = candidates.schema
-    rows = candidates.withColumn("at", F.unix_micros("triggered_at"))
+    rows = candidates.withColumns({
+        "_at": F.unix_micros("triggered_at"), "_candidate": F.lit(True), "_of": F.lit(0).cast("long"),
+    })
+    if resolutions is not None:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("rule_id", "device_id", "cooldown_s")]
+        ended = resolutions.select(
+            "rule_id", "device_id", F.lit(0).cast("long").alias("cooldown_s"), *empty, F.unix_micros("resolved_at").alias("_at"),
+            F.lit(False).alias("_candidate"), F.unix_micros("triggered_at").alias("_of"),
+        )
+        rows = rows.unionByName(ended.select(*rows.columns))
     return rows.groupBy("rule_id", "device_id").applyInPandasWithState(
-        _cooldown_group, schema, "blocked bigint", "append", GroupStateTimeout.NoTimeout,
+        _cooldown_group, schema, "blocked bigint, fired_at bigint", "append", GroupStateTimeout.NoTimeout,
     )
 
 
