@@ -106,6 +106,23 @@ def image_status(images: DataFrame, annotations: DataFrame) -> DataFrame:
     ).drop("_annotation")
 
 
+def image_status_changed(images: DataFrame, annotations: DataFrame, updates: DataFrame) -> DataFrame:
+    """Image status after annotations and explicit changes, whichever came last.
+
+    `annotations` has changed_at, `updates` project_id, image_id, status and
+    changed_at; values outside the allowed ones change nothing. At the same
+    instant the explicit change wins.
+    """
+    explicit = updates.filter(F.col("status").isin(schemas.IMAGE_STATUSES)).groupBy(*IMAGE_KEY).agg(
+        F.max(F.struct("changed_at", "status")).alias("_explicit")
+    )
+    last = annotations.groupBy(*IMAGE_KEY).agg(F.max("changed_at").alias("_annotated"))
+    derived = image_status(images, annotations)
+    joined = derived.join(explicit, IMAGE_KEY, "left").join(last, IMAGE_KEY, "left")
+    later = F.col("_explicit").isNotNull() & F.coalesce(F.col("_explicit.changed_at") >= F.col("_annotated"), F.lit(True))
+    return joined.withColumn("status", F.when(later, F.col("_explicit.status")).otherwise(F.col("status"))).drop("_explicit", "_annotated")
+
+
 def bad_status(rows: DataFrame, kind: str) -> DataFrame:
     """Rows whose status is not allowed for an image, annotation or project."""
     allowed = {

@@ -224,6 +224,22 @@ def _(t):
     )
 
 
+@query("d8_explicit_status", """
+SELECT i.project_id, i.image_id, CASE WHEN i.status IN ('reviewing', 'rejected') AND (a.status IS NULL OR x1 % 2 = 0) THEN i.status
+  WHEN a.status = 'approved' THEN 'completed' WHEN a.status IS NOT NULL THEN 'annotating' ELSE i.status END AS status
+FROM project_images i LEFT JOIN (SELECT * FROM annotations WHERE status <> 'draft') a USING (project_id, image_id)""", _USES)
+def _(t):
+    # Reviews are set by hand at noon; every other annotation was changed later than that.
+    noon = F.lit("2024-01-15 12:00:00").cast("timestamp")
+    marks = t.annotations.filter("status <> 'draft'").withColumn(
+        "changed_at", F.when(F.col("x1") % 2 == 0, noon - F.expr("INTERVAL 1 HOUR")).otherwise(noon + F.expr("INTERVAL 1 HOUR")))
+    by_hand = t.project_images.filter("status in ('reviewing', 'rejected')").select(
+        "project_id", "image_id", "status", noon.alias("changed_at"))
+    wrong = by_hand.withColumn("status", F.lit("nonsense")).withColumn("changed_at", F.col("changed_at") + F.expr("INTERVAL 1 DAY"))
+    found = labeling.image_status_changed(t.project_images, marks, by_hand.unionByName(wrong))
+    return found.select("project_id", "image_id", "status")
+
+
 @query("d8_bad_status", """
 SELECT image_id, status FROM project_images WHERE status IN ('annotating', 'reviewing', 'completed', 'pending')""", _USES)
 def _(t):
