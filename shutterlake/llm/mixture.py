@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import settled, table, words
+from shutterlake.llm.common import settled, small_side, table, words
 
 LEVELS = ("domain", "lang", "source")
 #: Hexadecimal digits of the digest that number a bucket.
@@ -114,9 +114,10 @@ def mix(documents: DataFrame, plan: Plan = Plan(), levels: tuple[str, ...] = LEV
     edge = settled(
         ends.where("_upto > _rest").groupBy(*path).agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_e"))
         .select(*path, F.col("_e._bucket").alias("_edge"), F.col("_e._before").alias("_before")))
-    limits = budgets.join(edge, path, "left")
+    # One row per leaf: counted, and broadcast if that is few; else Spark shuffles.
+    limits = settled(budgets.join(edge, path, "left"))
     at_edge = (
-        keyed.select(*path, "_bucket", "_digest", "n_tokens").join(limits, path).where("_bucket = _edge")
+        keyed.select(*path, "_bucket", "_digest", "n_tokens").join(small_side(limits), path).where("_bucket = _edge")
         .groupBy(*path, "_digest", "_before", "_rest").agg(F.sum("n_tokens").alias("_n"))
     )
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*path).orderBy("_digest"))
@@ -124,8 +125,7 @@ def mix(documents: DataFrame, plan: Plan = Plan(), levels: tuple[str, ...] = LEV
     limits = settled(limits.join(last, path, "left"))
     partial = F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")) | F.coalesce((F.col("_bucket") == F.col("_edge")) & (F.col("_digest") <= F.col("_last")), F.lit(False))
     copies = F.col("_full") + F.when(partial & (F.col("_rest") > 0), 1).otherwise(0)
-    # One row per leaf of a documented tree; Spark broadcasts it if it is as small as its settled size says.
-    return keyed.join(limits, path).withColumn("copies", copies.cast("long")).where("copies > 0 and n_tokens > 0").select(*names, "copies")
+    return keyed.join(small_side(limits), path).withColumn("copies", copies.cast("long")).where("copies > 0 and n_tokens > 0").select(*names, "copies")
 
 
 def with_levels(documents: DataFrame) -> DataFrame:
