@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import table
+from shutterlake.llm.common import slices, table
 from shutterlake.llm.neardup import Vocabulary, mix, shingles
 
 GRADES = 4
@@ -193,7 +193,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Per row of documents (doc_id, text): expected severity, P(toxic), the likeliest grade, and toxic or not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             above = [model.exceed(*counted(text)) for text in batch.column("text").to_pylist()]
             p = np.array(above).reshape(len(above), GRADES - 1)
             each = np.concatenate([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]], axis=1)
