@@ -86,15 +86,15 @@ def leaf_budgets(documents: DataFrame, plan: Plan = Plan(), levels: tuple[str, .
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
     leaves = settled(documents.select(*named, "n_tokens").groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")))
     nodes = leaves.withColumn("s", F.col("tokens") * plan.epochs)
-    budgets = nodes.agg(F.expr(f"sum(tokens) * {plan.budget_percent} div 100").alias("b")).withColumn("root", F.lit(0))
-    parents = ["root"]
+    whole = leaves.agg(F.sum("tokens")).first()[0] or 0
+    budgets, parents = None, []
     for depth, level in enumerate(levels):
         path = list(levels[:depth + 1])
-        children = nodes.groupBy(*path).agg(F.sum("s").alias("s")).withColumn("root", F.lit(0)).withColumn("w", _weight(plan, level))
-        got = _split(children.join(budgets, parents), parents, level)
-        parents = ["root", *path]
-        budgets = got.select(*parents, F.col("budget").alias("b"))
-    return leaves.join(budgets.drop("root"), list(levels)).withColumnRenamed("b", "budget")
+        children = nodes.groupBy(*path).agg(F.sum("s").alias("s")).withColumn("w", _weight(plan, level))
+        given = children.join(budgets, parents) if parents else children.withColumn("b", F.lit(whole * plan.budget_percent // 100).cast("long"))
+        budgets = _split(given, parents, level).select(*path, F.col("budget").alias("b"))
+        parents = path
+    return leaves.join(budgets, list(levels)).withColumnRenamed("b", "budget")
 
 
 def mix(documents: DataFrame, plan: Plan = Plan(), levels: tuple[str, ...] = LEVELS) -> DataFrame:
