@@ -17,17 +17,17 @@ them; an empty table gives an empty result; columns other than doc_id and text a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm.cluster import similar_classes
-from shutterlake.llm.common import settled, small_side, table
+from shutterlake.llm.common import settled, slices, small_side, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,7 +36,7 @@ SAMPLES = BANDS * ROWS
 CELLS = 1 << 16
 COMMON_SHARE = 0.1
 
-_WORD = regex.compile(r"\w+")
+_WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,16 +51,20 @@ class Vocabulary(dict):
     """Hash of each word, kept while there are few enough of them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode())
         return value
 
 
+def word_hashes(text: str, vocabulary: Vocabulary) -> np.ndarray:
+    """Hash of each word of a text in order."""
+    return np.array([vocabulary[w] for w in _WORD.findall(text.lower())], dtype=np.uint64)
+
+
 def shingles(text: str, vocabulary: Vocabulary, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of a text, sorted, and how often each occurs."""
-    hashes = np.array([vocabulary[w] for w in _WORD.findall(text.lower())], dtype=np.uint64)
-    return np.unique(shingle_hashes(hashes, size), return_counts=True)
+    return np.unique(shingle_hashes(word_hashes(text, vocabulary), size), return_counts=True)
 
 
 def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -86,32 +90,43 @@ def _quantiles() -> np.ndarray:
 
 
 class Sampler:
-    """Improved consistent weighted sampling with draws looked up by the hash of shingle and sample number."""
+    """Improved consistent weighted sampling with draws looked up by the hash of shingle and sample number.
+
+    A draw is (r, beta, c): r and beta are one cell of a table of pairs, c a cell of another. Most shingles of a text
+    have the weight `usual`, for which the part of the formula that depends on r and beta is tabulated too.
+    """
 
-    def __init__(self, samples: int = SAMPLES):
+    def __init__(self, usual: float, samples: int = SAMPLES):
         gamma = _quantiles()
-        self.r = gamma.astype(np.float32)
         self.log_c = np.log(gamma).astype(np.float32)
+        self.r = gamma[np.argsort(mix(np.arange(CELLS, dtype=np.uint64)), kind="stable")].astype(np.float32)
         self.beta = ((np.arange(CELLS) + 0.5) / CELLS).astype(np.float32)
-        self.seeds = mix(np.arange(1, samples + 1, dtype=np.uint64) * _MULTIPLIER)[:, None]
+        self.usual = np.float32(usual)
+        self.level, self.part = self._parts(np.float32(np.log(self.usual)), slice(None))
+        seeds = mix(np.arange(1, 2 * samples + 1, dtype=np.uint64) * _MULTIPLIER)
+        self.seeds, self.factors = seeds[:samples, None], seeds[samples:, None] | np.uint64(1)
+
+    def _parts(self, log_weight, cells) -> tuple[np.ndarray, np.ndarray]:
+        r, beta = self.r[cells], self.beta[cells]
+        level = np.floor(log_weight / r + beta)
+        return level, r * (level - beta + 1)
 
     def sample(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit value per sample."""
         best = np.full(len(self.seeds), np.inf, dtype=np.float32)
         out = np.zeros(len(self.seeds), dtype=np.uint64)
-        log_w = np.log(weights).astype(np.float32)
+        rows = np.arange(len(self.seeds))
         for at in range(0, len(hashes), 4096):  # very long texts in pieces
-            h = hashes[at:at + 4096]
-            u = (h[None, :] ^ self.seeds) * np.uint64(0xD6E8FEB86659FD93)
-            u ^= u >> np.uint64(32)
-            u *= _MULTIPLIER
-            cell = u.view(np.uint16).reshape(*u.shape, 4)
-            r, beta = self.r[cell[:, :, 1]], self.beta[cell[:, :, 2]]
-            t = np.floor(log_w[None, at:at + 4096] / r + beta)
-            a = self.log_c[cell[:, :, 3]] - r * (t - beta + 1)
-            k = np.argmin(a, axis=1)
-            rows = np.arange(len(k))
-            value, level = a[rows, k], t[rows, k]
+            h, w = hashes[at:at + 4096], weights[at:at + 4096].astype(np.float32)
+            u = ((h ^ self.seeds) * self.factors).view(np.uint16).reshape(len(rows), len(h), 4)
+            pair, c = u[:, :, 2], u[:, :, 3]
+            a = self.log_c.take(c) - self.part.take(pair)
+            odd = np.flatnonzero(w != self.usual)
+            if len(odd):
+                a[:, odd] = self.log_c.take(c[:, odd]) - self._parts(np.log(w[odd])[None, :], pair[:, odd])[1]
+            k = a.argmin(axis=1)
+            value = a[rows, k]
+            level = np.floor(np.log(w[k]) / self.r[pair[rows, k]] + self.beta[pair[rows, k]])
             better = value < best
             best = np.where(better, value, best)
             out = np.where(better, mix(h[k] ^ (level.astype(np.int64).view(np.uint64) * _MULTIPLIER)), out)
@@ -156,10 +171,10 @@ def document_frequency(texts: DataFrame, n: int) -> np.ndarray:
     """Inverse document frequency by cell: one count per cell leaves each task, whatever the task reads."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, vocabulary = np.zeros(CELLS, dtype=np.int64), Vocabulary()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                found, _ = shingles(text, vocabulary)
-                sums[np.unique(found & np.uint64(CELLS - 1)).astype(np.int64)] += 1
+                cells = shingle_hashes(word_hashes(text, vocabulary)) & np.uint64(CELLS - 1)
+                sums[np.unique(cells.astype(np.uint16))] += 1
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(sums[used])], names=["cell", "n"])
 
@@ -174,8 +189,8 @@ def document_frequency(texts: DataFrame, n: int) -> np.ndarray:
 def sketches(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """(id, size, sketch, bands): total weight, the low bits of the samples, and the bucket keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, vocabulary = Sampler(), Vocabulary()
-        for batch in batches:
+        sampler, vocabulary = Sampler(float(idf.max())), Vocabulary()
+        for batch in slices(batches):
             sizes, shorts, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 found, counts = shingles(text, vocabulary)
@@ -206,7 +221,7 @@ def verifier(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD):
                 recent[key] = found, weights(found, counts, idf)
             return recent[key]
 
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             near = [k for k in range(len(a)) if similarity(item(a[k], ta[k]), item(b[k], tb[k])) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in near], pa.binary()), pa.array([b[k] for k in near], pa.binary())], names=["a", "b"])
@@ -218,6 +233,26 @@ def verifier(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD):
     return verify
 
 
+def listing(texts: DataFrame, idf: np.ndarray):
+    """A function that lists the weighted shingles (id, element, weight, total) of the texts with given ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
+        for batch in slices(batches):
+            found = [shingles(text, vocabulary) for text in batch.column("text").to_pylist()]
+            held = [weights(h, c, idf) for h, c in found]
+            counts = np.array([len(h) for h, _ in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
+                 pa.array(np.concatenate(held)), pa.array(np.repeat([w.sum() for w in held], counts))],
+                names=["id", "element", "weight", "total"],
+            )
+
+    def contents(ids: DataFrame) -> DataFrame:
+        return texts.join(small_side(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id binary, element long, weight double, total double")
+
+    return contents
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, class_size, representatives, root) of every distinct text with words; id is the text's digest."""
     texts, groups = distinct_texts(documents)
@@ -230,7 +265,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     in_more = bands.join(shared.where("n > 2").select("band"), "band", "left_semi").select("id")
     needed = small_side(settled(in_two.union(in_more).distinct()))
     compared = settled(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    found = similar_classes(drawn.join(needed, "id", "left_semi"), verifier(compared, idf, threshold), threshold)
+    found = similar_classes(drawn.join(needed, "id", "left_semi"), verifier(compared, idf, threshold), listing(compared, idf), threshold)
     rooted = groups.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sums = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     return rooted.select("id", "root").join(sums, "root")
