@@ -1,12 +1,12 @@
 """Classes of similar items from banded sketches, for any exact measure.
 
-Items that share a band key are candidates. No bucket is turned into all of its pairs. Each bucket names one leader, by a
-hash of its own, and members are compared with leaders; links give components, and whatever shares a component needs no
-further comparison. Then the buckets that still hold more than one component are finished exactly: every member outside
-the bucket's largest component is compared with the members of other components, so no link between different items
-of one bucket is lost, at a cost of those few members times the bucket. Candidates whose sketches agree in less than
-`floor` of their positions are not verified; at 48 positions a true pair of 0.8 falls below one half about once in ten
-million.
+Items that share a band key are candidates. No bucket is turned into all of its pairs. Each bucket names two leaders,
+the member that meets most others in all its buckets and one by a hash of the bucket's own, and members are compared
+with leaders; links give components, and whatever shares a component needs no further comparison. Then the buckets that
+still hold more than one component are finished exactly: a prefix-filtered join finds whatever member outside a bucket's
+largest component may resemble a member of another, so no link between different items of one bucket is lost. Candidates
+whose sketches agree in less than `floor` of their positions are not verified; at 48 positions a true pair of 0.8 falls
+below one half about once in ten million.
 
 Work tables are settled in the shared checkpoint folder. Hot buckets and hot leaders stand on the skewed side of joins
 with a unique key on the other side, which adaptive execution splits.
@@ -16,10 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import settled, small_side
+from shutterlake.llm.common import settled, small_side, written
+
+#: Rows of a file of the settled edges.
+ROWS_PER_FILE = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,22 +31,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, which only take minima and join them back, until nothing changes.
     """
     edges = settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = None
+    state, files = None, 1 + edges.count() // ROWS_PER_FILE
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Now every row leads to a smaller id.
+        # Every row leads from an id to a smaller one; rows that arise twice are dropped once, at the end.
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(down, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = settled(small.distinct().select(F.col("v").alias("a"), F.col("u").alias("b")))
+        small = large.join(down, "u").select(
+            "u", "m", F.explode(F.when(F.col("v") == F.col("m"), F.array("u")).otherwise(F.array("v"))).alias("w"))
+        edges = settled(small.select(F.col("m").alias("a"), F.col("w").alias("b")).distinct().coalesce(files))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     pairs = edges.groupBy("b").agg(F.min("a").alias("root"))
-    return settled(pairs.select(F.col("b").alias("id"), "root").union(pairs.select(F.col("root").alias("id"), "root").distinct()))
+    return settled(pairs.select(F.col("b").alias("id"), "root").union(pairs.select(F.col("root").alias("id"), "root").distinct()).coalesce(files))
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -69,26 +72,36 @@ def _labelled(rows: DataFrame, found: DataFrame, name: str, label: str) -> DataF
 
 
 def similar_classes(
-    sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8, floor: float = 0.5,
+    sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], contents: Callable[[DataFrame], DataFrame],
+    threshold: float = 0.8, floor: float = 0.5, size_ratio: float | None = None,
 ) -> DataFrame:
     """(id, root) of all items in classes of two and more.
 
     sketches: (id, size, sketch array<int>, bands array<bigint>), one row per item. verify takes pairs (a, b) and
-    returns those whose exact similarity reaches the threshold. Sizes of a true pair differ by the threshold at most.
+    returns those whose exact similarity reaches the threshold. contents takes ids and returns (id, element, weight,
+    total): what each item holds, and the sum of its weights. Sizes of a true pair differ by the threshold at most,
+    or by `size_ratio` where they are only bounds.
     """
     rows = sketches.select(F.explode("bands").alias("band"), "id")
-    buckets = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "id").alias("order"), "id")).alias("first"), F.count("*").alias("n"))
-    shared = buckets.where("n > 1").select("band", F.col("first.id").alias("leader"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = settled(rows.join(shared, "band"))
-    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    ratio = threshold * 0.999  # sizes are rounded
+    # The item that meets most others, over all its buckets, is the likeliest to resemble each of them.
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    known = members.join(met, "id")
+    leaders = known.groupBy("band").agg(
+        F.max(F.struct("met", "id")).alias("hub"), F.min(F.struct(F.xxhash64("band", "id").alias("order"), "id")).alias("any"))
+    led = members.select("band", "id").join(leaders.select("band", F.explode(F.array("hub.id", "any.id")).alias("leader")), "band")
+    pairs = led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    ratio = size_ratio or threshold * 0.999  # sizes are rounded
     small = settled(sketches.select("id", "size", "sketch").join(small_side(settled(members.select("id").distinct())), "id", "left_semi"))
     star = settled(_with_sketches(pairs, small, ratio, floor))
 
     # First the likeliest leader of each member, then the other leaders of other components, then what is left over.
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("agrees", "b")).alias("b"))
+    best = settled(star.groupBy("a").agg(F.max_by("b", F.struct("agrees", "b")).alias("b")))
     links = settled(verify(best))
-    found = components(links)
+    # Which of these are connected is only needed roughly here: by the leader, or its own.
+    near = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
+    found = near.join(near.toDF("root", "next"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
     rest = _labelled(_labelled(star.select("a", "b"), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
     links = settled(links.union(verify(rest.join(best, ["a", "b"], "left_anti"))))
     found = components(links)
@@ -96,19 +109,39 @@ def similar_classes(
     placed = settled(_labelled(members.select("band", "id"), found, "id", "c"))
     counts = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
     largest = counts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = placed.join(largest, "band")
-    outside = open_rows.where("c <> main").select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-    others = open_rows.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("inner"))
-    # Sketches travel with the members, so that unlikely pairs are dropped within the join.
-    with_a = outside.join(small.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a")), "a")
-    with_b = others.join(small.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
-    near = (
-        (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b")))
-        & (F.least("size_a", "size_b") >= ratio * F.greatest("size_a", "size_b"))
-        & (agreement(F.col("sketch_a"), F.col("sketch_b")) >= floor)
-    )
-    left = with_a.alias("x").join(with_b.alias("y"), (F.col("x.band") == F.col("y.band")) & near)
-    left = left.select("a", "b").distinct()
+    open_rows = settled(placed.join(largest, "band"))
+    left = _left_over(open_rows, small, contents, threshold * 0.999, floor)
     tried = star.select("a", "b").union(star.select(F.col("b"), F.col("a")))
     last = settled(verify(left.join(tried, ["a", "b"], "left_anti")))
     return components(links.union(last))
+
+
+def _left_over(
+    open_rows: DataFrame, small: DataFrame, contents: Callable[[DataFrame], DataFrame], least_similarity: float, floor: float,
+) -> DataFrame:
+    """Pairs (a, b) of the open buckets' members of different components that may be similar.
+
+    A prefix-filtered join: elements are ordered by the number of open items that hold them. Items of total weights s
+    and t reach the similarity j only if they share a weight of j / (1 + j) * (s + t), so what they share first
+    in that order lies before the place in either item from which on less weight than that is left. The many
+    copies of an original that were changed too much to resemble it or each other part already there, as the changes come first.
+    """
+    ids = settled(open_rows.select("id").distinct())
+    listed = written(contents(ids), "contents")
+    counts = listed.groupBy("element").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("id").orderBy("n", "element").rowsBetween(Window.unboundedPreceding, -1)
+    need = least_similarity / (1 + least_similarity)
+    # Within one item's own elements; a partner weighs at least the threshold's share of it.
+    first = settled(
+        listed.join(counts, "element").withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
+        .where(F.col("before") <= F.col("total") * (1 - need * (1 + least_similarity))).where("n > 1").select("id", "element", "before", "total"))
+    members = open_rows.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("outside"))
+    rows = settled(first.join(members, "id"))
+    x, y = rows.where("outside").alias("x"), rows.alias("y")
+    shared = need * (F.col("x.total") + F.col("y.total"))
+    may_share = (
+        (F.col("x.element") == F.col("y.element")) & (F.col("x.c") != F.col("y.c"))
+        & (F.col("x.before") <= F.col("x.total") - shared) & (F.col("y.before") <= F.col("y.total") - shared)
+    )
+    pairs = x.join(y, may_share).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return _with_sketches(pairs, small, 0.0, floor).select("a", "b")
