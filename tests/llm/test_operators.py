@@ -129,6 +129,20 @@ def test_long_shared_passages_are_found(spark):
         assert short[doc_id] and all(any(x < b and a < y for x, y in short[doc_id]) for a, b in spans)
 
 
+def test_similar_lines_meet(spark):
+    import random
+
+    random.seed(4)
+    line = [f"w{random.randrange(10**6)}" for _ in range(120)]
+    changed = [*line[:60], "other", *line[61:]]
+    docs = [(1, " ".join(line) + "\nfirst"), (2, "second\n" + " ".join(changed)), (3, " ".join(f"z{k}" for k in range(90)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = passages.similar_lines(df, passages.paragraphs(df)).collect()
+    assert len(found) == 2 and len({r["root"] for r in found}) == 1
+    whole = [r for r in passages.repeated(df).collect() if r["doc_id"] == 2]
+    assert any(r["stop"] - r["start"] == len(" ".join(changed)) and r["removed"] for r in whole)
+
+
 def test_passage_in_the_middle_of_a_line_is_removed(spark):
     import random
 
