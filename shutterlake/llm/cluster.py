@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.common import settled, small_side, written
 
-#: Rows of a file of the settled edges.
+#: Rows of a file of the settled edges, and items to a file of the work tables: their number follows the data, not the
+#: partitions of the shuffles before, so that small tables do not end up as hundreds of small files.
 ROWS_PER_FILE = 500_000
+ITEMS_PER_FILE = 2_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -82,9 +84,14 @@ def similar_classes(
     total): what each item holds, and the sum of its weights. Sizes of a true pair differ by the threshold at most,
     or by `size_ratio` where they are only bounds.
     """
+    files = 1 + sketches.count() // ITEMS_PER_FILE
+
+    def kept(frame: DataFrame) -> DataFrame:
+        return settled(frame.coalesce(files))
+
     rows = sketches.select(F.explode("bands").alias("band"), "id")
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = settled(rows.join(shared, "band"))
+    members = kept(rows.join(shared, "band"))
     # The item that meets most others, over all its buckets, is the likeliest to resemble each of them.
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
     known = members.join(met, "id")
@@ -93,31 +100,32 @@ def similar_classes(
     led = members.select("band", "id").join(leaders.select("band", F.explode(F.array("hub.id", "any.id")).alias("leader")), "band")
     pairs = led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     ratio = size_ratio or threshold * 0.999  # sizes are rounded
-    small = settled(sketches.select("id", "size", "sketch").join(small_side(settled(members.select("id").distinct())), "id", "left_semi"))
-    star = settled(_with_sketches(pairs, small, ratio, floor))
+    small = kept(sketches.select("id", "size", "sketch").join(small_side(kept(members.select("id").distinct())), "id", "left_semi"))
+    star = kept(_with_sketches(pairs, small, ratio, floor))
 
     # First the likeliest leader of each member, then the other leaders of other components, then what is left over.
-    best = settled(star.groupBy("a").agg(F.max_by("b", F.struct("agrees", "b")).alias("b")))
-    links = settled(verify(best))
+    best = kept(star.groupBy("a").agg(F.max_by("b", F.struct("agrees", "b")).alias("b")))
+    links = kept(verify(best))
     # Which of these are connected is only needed roughly here: by the leader, or its own.
     near = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
     found = near.join(near.toDF("root", "next"), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
     rest = _labelled(_labelled(star.select("a", "b"), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
-    links = settled(links.union(verify(rest.join(best, ["a", "b"], "left_anti"))))
+    links = kept(links.union(verify(rest.join(best, ["a", "b"], "left_anti"))))
     found = components(links)
 
-    placed = settled(_labelled(members.select("band", "id"), found, "id", "c"))
+    placed = kept(_labelled(members.select("band", "id"), found, "id", "c"))
     counts = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
     largest = counts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = settled(placed.join(largest, "band"))
-    left = _left_over(open_rows, small, contents, threshold * 0.999, floor)
+    open_rows = kept(placed.join(largest, "band"))
+    left = _left_over(open_rows, small, contents, threshold * 0.999, floor, kept)
     tried = star.select("a", "b").union(star.select(F.col("b"), F.col("a")))
-    last = settled(verify(left.join(tried, ["a", "b"], "left_anti")))
+    last = kept(verify(left.join(tried, ["a", "b"], "left_anti")))
     return components(links.union(last))
 
 
 def _left_over(
     open_rows: DataFrame, small: DataFrame, contents: Callable[[DataFrame], DataFrame], least_similarity: float, floor: float,
+    kept: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Pairs (a, b) of the open buckets' members of different components that may be similar.
 
@@ -126,17 +134,17 @@ def _left_over(
     in that order lies before the place in either item from which on less weight than that is left. The many
     copies of an original that were changed too much to resemble it or each other part already there, as the changes come first.
     """
-    ids = settled(open_rows.select("id").distinct())
+    ids = kept(open_rows.select("id").distinct())
     listed = written(contents(ids), "contents")
     counts = listed.groupBy("element").agg(F.count("*").alias("n"))
     order = Window.partitionBy("id").orderBy("n", "element").rowsBetween(Window.unboundedPreceding, -1)
     need = least_similarity / (1 + least_similarity)
     # Within one item's own elements; a partner weighs at least the threshold's share of it.
-    first = settled(
+    first = kept(
         listed.join(counts, "element").withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
         .where(F.col("before") <= F.col("total") * (1 - need * (1 + least_similarity))).where("n > 1").select("id", "element", "before", "total"))
     members = open_rows.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("outside"))
-    rows = settled(first.join(members, "id"))
+    rows = kept(first.join(members, "id"))
     x, y = rows.where("outside").alias("x"), rows.alias("y")
     shared = need * (F.col("x.total") + F.col("y.total"))
     may_share = (
