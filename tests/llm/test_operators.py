@@ -159,6 +159,45 @@ def test_passage_in_the_middle_of_a_line_is_removed(spark):
     assert all(len(left[k]) < len(docs[k][1]) for k in range(1, 6))
 
 
+@pytest.mark.parametrize("size", [50, 60, 100, 300])
+def test_whole_passages_are_covered(spark, size):
+    import random
+
+    random.seed(size)
+    text = lambda n, tag: " ".join(f"{tag}{random.randrange(10**6)}" for _ in range(n))
+    docs, spans = [], {}
+    for k in range(12):
+        passage = text(size, "p")
+        for doc_id in (2 * k, 2 * k + 1):
+            before = text(random.randrange(5, 90), "a")
+            docs.append((doc_id, f"{before} {passage} {text(80, 'b')}"))
+            spans[doc_id] = (len(before) + 1, len(before) + 1 + len(passage))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    found = sorted((r["doc_id"], r["start"], r["stop"], r["removed"]) for r in passages.repeated(df).collect())
+    assert found == [(i, a, b, i % 2 == 1) for i, (a, b) in sorted(spans.items())]
+    left = {r["doc_id"]: r["text"] for r in passages.remove(df).collect()}
+    assert all(left[i] == t[:spans[i][0]] + t[spans[i][1]:] for i, t in docs if i % 2)
+
+
+def test_whole_passages_with_a_change_or_a_shorter_first_copy(spark):
+    import random
+
+    random.seed(8)
+    words = lambda n, tag: [f"{tag}{random.randrange(10**6)}" for _ in range(n)]
+    passage, changed = words(120, "p"), words(110, "q")
+    docs = [  # the first document has 60 of the 120 words that the two others share
+        (0, [*words(30, "a"), *passage[20:80], *words(30, "b")]), (1, [*words(30, "a"), *passage, *words(30, "b")]), (2, [*words(30, "a"), *passage, *words(30, "b")]),
+        (3, [*words(30, "a"), *changed, *words(30, "b")]), (4, [*words(30, "a"), *changed[:100], "other", *changed[101:], *words(30, "b")]),
+    ]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    removed = {}
+    for r in passages.repeated(df).where("removed").collect():
+        removed.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
+    place = lambda i, a, b: set(range(len(" ".join(docs[i][1][:a])) + 1, len(" ".join(docs[i][1][:b]))))
+    assert removed[2] == place(2, 30, 150) and removed[4] == place(4, 30, 140)
+    assert set(removed) == {1, 2, 4} and removed[1] == place(1, 50, 110)
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = DATA.replace("sf0.001", "sf0.01")
     documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
