@@ -198,6 +198,23 @@ def test_whole_passages_with_a_change_or_a_shorter_first_copy(spark):
     assert set(removed) == {1, 2, 4} and removed[1] == place(1, 50, 110)
 
 
+def test_short_similar_lines_meet(spark):
+    import random
+
+    random.seed(12)
+    docs = []
+    for k in range(100):  # 8 of 9 shingles are shared
+        line = " ".join(f"w{random.randrange(10**6)}" for _ in range(12))
+        docs += [(2 * k, f"{line}\nfirst"), (2 * k + 1, f"second\n{line} more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r["doc_id"] for r in passages.repeated(df).where("removed").collect() if r["stop"] == len(docs[r["doc_id"]][1]) and r["start"] == 7}
+    assert whole == {2 * k + 1 for k in range(100)}
+
+
+def test_bands_find_lines_at_the_threshold():
+    assert 1 - (1 - passages.THRESHOLD ** passages.ROWS) ** passages.BANDS >= 0.99
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = DATA.replace("sf0.001", "sf0.01")
     documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
