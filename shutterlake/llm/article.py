@@ -3,9 +3,10 @@ r"""Main text of web pages by tag-path ratios.
 A page is read as a sequence of blocks; each block has the path of elements from the root to it. For each path the text
 length and the punctuation of all its blocks are added up. The ratios per block of the path are smoothed over the page
 with a Gaussian, since a heading or a short line between paragraphs belongs to them, and fused by multiplication. What a
-path says of its role weighs in: blocks below navigation, advert, comment and similar elements count nothing, and blocks
-of an article or main element are preferred to others. Paths whose fused score reaches a share of the page's mean are
-content, and the blocks of these paths, in page order, are the text.
+path says of its role is a factor on the fused score: blocks below navigation, advert, comment and similar elements count
+nothing, and blocks outside an article or main element the less, the more of the page's text stands inside one. Paths whose
+score reaches a share of the page's mean are content, within an article as outside, and the blocks of these paths, in page
+order, are the text.
 
 Pages are independent of each other, so this runs as one pass of Arrow batches without a shuffle; state is one page.
 
@@ -31,6 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg math title textarea select option object canvas xmp".split())
 OUTSIDE = frozenset("head nav header footer aside form button menu dialog figure".split())
 PREFERRED = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var ruby rb rt rp nobr wbr".split()
@@ -48,6 +50,9 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody body-text content entry entry-content main maincontent post post-body story".split())
 
+#: Factor on the score of blocks that a name tells boilerplate.
+NAMED = 0.05
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW_ENDS = {name: re.compile(rf"</{name}[^>]*>?", re.I) for name in RAW}
 _NAMING = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -164,8 +169,8 @@ def content(found: list[tuple[str, int, str, int]], threshold: float = 0.15, spr
     lengths: dict[tuple[str, int], list[float]] = {}
     for path, kind, text, links in found:
         sums = lengths.setdefault((path, kind), [0.0, 0.0, 0.0, 0.0])
-        sums[0] += max(0, len(text) - links) if kind >= 0 else 0
-        sums[1] += sum(map(text.count, _PUNCTUATION)) if kind >= 0 else 0
+        sums[0] += max(0, len(text) - links) if kind != -1 else 0
+        sums[1] += sum(map(text.count, _PUNCTUATION)) if kind != -1 else 0
         sums[2] += 1
         sums[3] += links / max(1, len(text))
     texts = [lengths[p, k][0] / lengths[p, k][2] for p, k, _, _ in found]
@@ -177,18 +182,25 @@ def content(found: list[tuple[str, int, str, int]], threshold: float = 0.15, spr
     def smooth(values: list[float]) -> np.ndarray:
         return np.convolve(values, kernel, "full")[radius:radius + len(values)]
 
-    preferred = any(k > 0 for _, k, _, _ in found)
     # A path whose blocks are links in the main is a menu.
-    menu = {key: sums[3] > 0.6 * sums[2] and (key[1] == 0 or key[0].endswith("/li")) for key, sums in lengths.items()}
-    weights = [0.0 if k < 0 or menu[p, k] or preferred and k == 0 else 1.0 for p, k, _, _ in found]
+    menu = {key: sums[3] > 0.6 * sums[2] and (key[1] != 1 or key[0].endswith("/li")) for key, sums in lengths.items()}
+    inside = sum(sums[0] for (_, kind), sums in lengths.items() if kind == 1)
+    beside = sum(sums[0] for (_, kind), sums in lengths.items() if kind == 0 and not menu[_, kind])
+    plain = (beside / (inside + beside)) ** 2 if inside else 1.0
+    factor = {1: 1.0, 0: plain, -1: 0.0, -2: NAMED * (1.0 if inside else plain)}
+    weights = [0.0 if menu[p, k] else factor[k] for p, k, _, _ in found]
     fused = [w * t * (1 + m) for w, t, m in zip(weights, smooth(texts), smooth(marks))]
     by_path: dict[tuple[str, int], list[float]] = {}
     for (path, kind, _, _), score in zip(found, fused):
         by_path.setdefault((path, kind), []).append(score)
     scores = {key: sum(v) / len(v) for key, v in by_path.items()}
-    positive = [s for s in fused if s > 0]
-    limit = threshold * sum(positive) / len(positive) if positive and not preferred else 0.0
-    return [scores[p, k] > limit for p, k, _, _ in found]
+    # What weighs little says little of the page's mean.
+    limit = threshold * sum(w * s for w, s in zip(weights, fused)) / (sum(weights) or 1.0)
+    keep = [scores[p, k] > max(limit, 0.0) for p, k, _, _ in found]
+    # A headline within an article stands or falls with the article's other blocks.
+    heads = [k == 1 and p.rpartition("/")[2] in HEADINGS for p, k, _, _ in found]
+    others = [c for c, h, (_, k, _, _) in zip(keep, heads, found) if k == 1 and not h]
+    return [any(others) if h and others else c for c, h in zip(keep, heads)]
 
 
 def main_text(page: str | None) -> str:

@@ -105,6 +105,22 @@ def test_pages():
         assert article.main_text(page) == text, page
 
 
+_SENTENCES = "Here is a sentence of the real text, with commas, and it goes on for a while. Another one follows it, as it should."
+_BODY = "".join(f"<p>{_SENTENCES} Paragraph {k}.</p>" for k in range(6))
+_TEXT = " ".join(f"{_SENTENCES} Paragraph {k}." for k in range(6))
+_TOOLS = "".join(f"<div>{word}</div>" for word in ("Print", "Send", "Save", "Rate", "Follow"))
+
+
+@pytest.mark.parametrize("teaser", ["<article><a href=/x>Read this next</a></article>", "<div class='entry'><p>Short teaser</p></div>", "<article><h2>Next</h2><p>A short teaser</p></article>"])
+def test_text_beside_a_teaser_is_kept(teaser):
+    assert _TEXT in article.main_text(f"<body><div>{_BODY}</div>{teaser}</body>")
+
+
+@pytest.mark.parametrize("inner", [f"<h1>Title of it</h1>{_BODY}{_TOOLS}", f"<h1>Title of it</h1>{_TOOLS}{_BODY}"])
+def test_unnamed_boilerplate_inside_the_article_is_dropped(inner):
+    assert article.main_text(f"<article>{inner}</article><footer>foot</footer>") == f"Title of it {_TEXT}"
+
+
 def test_given_pages_keep_the_whole_article(spark):
     import html
     import re
