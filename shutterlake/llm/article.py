@@ -3,10 +3,12 @@ r"""Main text of web pages by tag-path ratios.
 A page is read as a sequence of blocks; each block has the path of elements from the root to it. For each path the text
 length and the punctuation of all its blocks are added up. The ratios per block of the path are smoothed over the page
 with a Gaussian, since a heading or a short line between paragraphs belongs to them, and fused by multiplication. What a
-path says of its role is a factor on the fused score: blocks below navigation, advert, comment and similar elements count
-nothing, and blocks outside an article or main element the less, the more of the page's text stands inside one. Paths whose
-score reaches a share of the page's mean are content, within an article as outside, and the blocks of these paths, in page
-order, are the text.
+path says of its role is a factor on the fused score: blocks below an element that a class or id names boilerplate weigh
+little, and blocks outside an article or main element the less, the more of the page's text stands inside one; a teaser
+in an article hardly counts against a page's text elsewhere. Blocks below navigation, form and similar elements count nothing,
+unless such an element holds the only article or most of the page's text: then its role is ignored, or weighs like
+a name if an article stands elsewhere. Paths whose score
+reaches a share of the page's mean are content, within an article as outside, and the blocks of these paths, in page order, are the text.
 
 Pages are independent of each other, so this runs as one pass of Arrow batches without a shuffle; state is one page.
 
@@ -29,13 +31,15 @@ from shutterlake.llm.common import slices, table
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math title textarea select option object canvas xmp".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml title textarea select option object canvas xmp".split())
 OUTSIDE = frozenset("head nav header footer aside form button menu dialog figure".split())
 PREFERRED = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var ruby rb rt rp nobr wbr".split()
+    "sub sup time tt u var ruby rb rt rp nobr wbr "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced menclose "
+    "mmultiscripts mpadded mphantom mstyle merror mtable mtr mtd".split()
 )
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
@@ -55,33 +59,45 @@ NAMED = 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW_ENDS = {name: re.compile(rf"</{name}[^>]*>?", re.I) for name in RAW}
-_NAMING = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 _PUNCTUATION = ".,;:!?…。，；：！？、"
 
 
 def role(name: str, attributes: str) -> int:
-    """-1 for an element outside the main text, 1 for one that names itself content, else 0."""
+    """-1 for an element outside the main text, -2 for one that a name tells boilerplate, 1 for one that names itself content, else 0."""
     if name in OUTSIDE:
         return -1
     found = 1 if name in PREFERRED else 0
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for key, *values in _NAMING.findall(attributes):
+    if attributes:
+        for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next(filter(None, values), "").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 return -1
+            if key not in ("class", "id", "role", "itemprop"):
+                continue
             tokens = value.split()
             if any(t in CONTENT_WORDS for t in tokens):
                 found = 1
-            elif name not in ("html", "body") and found != 1 and any(w in BOILERPLATE_WORDS for t in tokens for w in _WORD.findall(t)):
-                return -1
+            elif name not in ("html", "body") and found != 1 and any(map(_boilerplate, tokens)):
+                found = -2
     return found
 
 
+def _boilerplate(token: str) -> bool:
+    """Whether all words of a class or id tell boilerplate."""
+    found = _WORD.findall(token)
+    return bool(found) and all(w in BOILERPLATE_WORDS for w in found)
+
+
 def blocks(page: str) -> list[tuple[str, int, str, int]]:
     """(path, role, text, length of link text) of the page's blocks in order."""
-    out: list[tuple[str, int, str, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # element, role with that of its ancestors, whether below a link
+    out: list[tuple[str, tuple[int, ...], bool, str, int]] = []
+    # Element, numbers of the elements with a negative role that hold it, whether below content, whether nearer to it
+    # than to any of those, whether below a link.
+    stack: list[tuple[str, tuple[int, ...], bool, bool, bool]] = []
+    roles: list[int] = []
+    articles: list[tuple[int, ...]] = []
     parts: list[str] = []
     links = 0
     at = 0
@@ -92,7 +108,7 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 path = "/".join(s[0] for s in stack if s[0] not in INLINE)
-                out.append((path, stack[-1][1] if stack else 0, text, links))
+                out.append((path, stack[-1][1] if stack else (), bool(stack) and stack[-1][2], text, links))
             parts.clear()
         links = 0
 
@@ -106,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
         if end > at:
             piece = page[at:end]
             parts.append(piece)
-            if stack and stack[-1][2]:
+            if stack and stack[-1][4]:
                 links += len(piece)
 
     opening = page.find("<")
@@ -152,13 +168,40 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
                         break
         if match[3].endswith("/") and name not in INLINE:
             continue
-        own, above = role(name, match[3]), stack[-1][1] if stack else 0
+        own, (_, below, inside, near, linked) = role(name, match[3]), stack[-1] if stack else ("", (), False, False, False)
         # Within an article, a header or figure belongs to it; menus, adverts and comments do not.
-        if own < 0 and above > 0 and name in ("header", "figure"):
+        if own < 0 and near and name in ("header", "figure"):
             own = 0
-        stack.append((name, -1 if own < 0 or above < 0 else max(own, above), name == "a" or bool(stack and stack[-1][2])))
+        if own < 0:
+            roles.append(own)
+            below = (*below, len(roles) - 1)
+        if name in PREFERRED:
+            articles.append(below)
+        stack.append((name, below, inside or own > 0, own > 0 or near and own == 0, linked or name == "a"))
     text_to(len(page))
     flush()
+    return _with_roles(out, roles, articles)
+
+
+def _with_roles(found: list[tuple[str, tuple[int, ...], bool, str, int]], roles: list[int], articles: list[tuple[int, ...]]) -> list[tuple[str, int, str, int]]:
+    """The blocks with their roles; an element with most of the page's text or its only articles is not left out.
+
+    It has no role then, or that of a named one if an article stands outside all such elements.
+    """
+    held = [0] * len(roles)
+    for _, below, _, text, links in found:
+        for k in below:
+            held[k] += max(0, len(text) - links)
+    total = sum(max(0, len(text) - links) for *_, text, links in found)
+    spared = {k for k, n in enumerate(held) if 2 * n > total}
+    if not all(articles):
+        roles, spared = [-2 if k in spared else r for k, r in enumerate(roles)], set()
+    else:
+        spared.update(k for below in articles for k in below)
+    out = []
+    for path, below, inside, text, links in found:
+        left = [roles[k] for k in below if k not in spared]
+        out.append((path, (-1 if -1 in left else -2) if left else int(inside), text, links))
     return out
 
 

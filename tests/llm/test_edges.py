@@ -121,6 +121,18 @@ def test_unnamed_boilerplate_inside_the_article_is_dropped(inner):
     assert article.main_text(f"<article>{inner}</article><footer>foot</footer>") == f"Title of it {_TEXT}"
 
 
+@pytest.mark.parametrize("opening", ["<div class='layout has-sidebar'>", "<div id='with-header'>", "<section class='side-by-side'>", "<div class='sidebar'>", "<form>", "<div style='overflow:hidden'>", "<div title='a hidden class=ad x'>"])
+@pytest.mark.parametrize("inner", [f"<article>{_BODY}</article>", f"<div>{_BODY}</div>"])
+def test_names_around_the_text_do_not_drop_it(opening, inner):
+    assert article.main_text(f"{opening}{inner}</{opening[1:].split()[0].strip('>')}><footer>foot</footer>") == _TEXT
+
+
+def test_what_names_tell_boilerplate_stays_out():
+    for rest in (f"<div class='comments'>{_BODY * 4}</div>", f"<div class='related'><article><p>{_SENTENCES}</p></article></div>", f"<div hidden><p>{_SENTENCES}</p></div>"):
+        assert article.main_text(f"<article>{_BODY}</article>{rest}") == _TEXT
+    assert article.main_text(f"<article><p>{_SENTENCES} With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in it.</p></article>") == f"{_SENTENCES} With x=1 in it."
+
+
 def test_given_pages_keep_the_whole_article(spark):
     import html
     import re
