@@ -1,22 +1,23 @@
 r"""Personal data and the terms that give it away.
 
 Base findings are e-mail addresses, IP addresses, payment cards and phone numbers, found by pattern and checked by rule.
-Around them works an information-theoretic sanitiser: each found value is a protected entity c, and the words in the
-`context` characters on either side of its mentions are the terms t. With n documents, of which n_c mention c, n_t hold
-t anywhere and n_ct hold t in a context of c,
+Around them works an information-theoretic sanitiser: each found value is a protected entity c, and the words of the
+documents that mention it, however far from the mention, are the terms t. With n documents, of which n_c mention c, n_t hold
+t and n_ct do both,
 
     disclosure(c, t) = PMI(c, t) / IC(c) = log(n_ct * n / (n_c * n_t)) / log(n / n_c),
 
 that is the share of what there is to learn about c that t reveals; 1 means that t never stands without c. All four
-counts cover all documents. Terms seen with c in at least `min_documents` documents are removed in the contexts of c from
-`remove_at` on, and generalised to a placeholder from `generalise_at` on.
+counts cover all documents. Terms seen with c in at least `min_documents` documents are removed wherever they stand in a
+document that mentions c from `remove_at` on, and generalised to a placeholder from `generalise_at` on. With fewer documents a
+share tells nothing: each word that only the one document of an entity holds would have a share of 1.
 
 Positions are found without row-wise code: the text is split at the matches, and the lengths of the pieces add up to
 the offsets. The patterns are possessive and start only where a run starts, so they take linear time on any text and
 find what the plain patterns of the contract find.
 
 Edge cases: null and empty texts have no spans; spans are code points, end exclusive; repeated rows get equal results
-and count as documents of their own; equal spans found from several mentions count once, and a term that one entity
+and count as documents of their own; a term that one entity
 removes and another generalises is removed; with one document, or an entity in every document, IC is 0 and nothing is
 disclosed; an empty table gives an empty result; `sanitise` keeps all columns and renews n_chars.
 """
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import KEY, let, settled, table, text_key
+from shutterlake.llm.common import KEY, let, settled, small_side, table, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java patterns of the base findings.
@@ -52,7 +53,8 @@ _SPAN = "array<struct<start:int,stop:int,value:string>>"
 class Disclosure:
     """Parameters of the sanitiser."""
 
-    context: int = 100
+    #: The context of a mention is its whole document; no text has more characters.
+    context = 2**31 - 1
     min_documents: int = 3
     generalise_at: float = 0.7
     remove_at: float = 0.9
@@ -107,37 +109,58 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain(value))
 
 
-def _mentions(documents: DataFrame, context: int) -> DataFrame:
-    """(key, entity, term, start, stop): the terms around each mention, once per distinct text and place."""
+def _names() -> Column:
+    """The distinct entities of a row with its findings by kind."""
     def entities(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), s["start"].alias("start"), s["stop"].alias("stop")))
+        return F.transform(F.col(kind), lambda s: _entity(kind, s["value"]))
 
-    spans = F.concat(*[entities(k) for k in KINDS])
-    # The padded text starts one character earlier, so that the first and last words stand between blanks too.
-    rows = (
-        _found(documents).where(" or ".join(f"size({k}) > 0" for k in KINDS))
-        .select(*KEY, F.concat(F.lit(" "), "whole", F.lit(" ")).alias("padded"), F.explode(spans).alias("m"))
-    )
-    left_from = F.greatest(F.col("m.start") + 1 - context, F.lit(0))
-    sides = F.array(
-        F.struct(left_from.alias("at"), F.substring("padded", left_from + 1, F.col("m.start") + 1 - left_from).alias("part")),
-        F.struct((F.col("m.stop") + 1).alias("at"), F.substring("padded", F.col("m.stop") + 2, F.lit(context)).alias("part")),
-    )
-    return (
-        rows.select(*KEY, "m.entity", F.explode(sides).alias("side"))
-        .select(*KEY, "entity", "side.at", F.explode(_located(F.col("side.part"), TERM)).alias("t"))
-        .select(*KEY, "entity", F.lower("t.value").alias("term"), (F.col("at") - 1 + F.col("t.start")).alias("start"), (F.col("at") - 1 + F.col("t.stop")).alias("stop"))
-        .distinct()
+    return F.array_distinct(F.concat(*[entities(k) for k in KINDS]))
+
+
+def _masked() -> Column:
+    """The text of a row with its findings by kind, padded by a blank on either side; the findings are masked, as no term is part of one."""
+    spans = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"], s["stop"])) for k in KINDS]))
+    whole = F.col("whole")
+
+    def step(acc: Column, span: Column) -> Column:
+        start, stop = F.greatest(span["start"], acc["at"]), F.greatest(span["stop"], acc["at"])
+        piece = F.concat(F.substring(whole, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit("\u0001"), stop - start))
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.lit(" "), F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)), F.lit(" "))
+    named = spans.cast("array<struct<start:int,stop:int>>")
+    return F.aggregate(named, zero, step, rest)
+
+
+def _mentioning(documents: DataFrame, limits: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """(entity, n_c) of the entities in enough documents; (key, copies, names, padded) of each distinct text with such an entity."""
+    found = _found(documents).where(" or ".join(f"size({k}) > 0" for k in KINDS))
+    # Copies of a text combine before they shuffle.
+    named = settled(found.select(*KEY, _names().alias("names")).groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("names").alias("names")))
+    entities = settled(
+        named.select("copies", F.explode("names").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_c"))
+        .where(F.col("n_c") >= limits.min_documents))
+    frequent = settled(
+        named.select(*KEY, "copies", F.explode("names").alias("entity")).join(small_side(entities.select("entity")), "entity", "left_semi")
+        .groupBy(*KEY, "copies").agg(F.collect_list("entity").alias("names")))
+    texts = (
+        found.join(small_side(frequent.select(*KEY)), KEY, "left_semi").select(*KEY, _masked().alias("padded"))
+        .groupBy(*KEY).agg(F.first("padded").alias("padded"))
     )
+    return entities, written(texts.join(frequent, KEY), "mentioning")
+
 
+def _pairs(mentioning: DataFrame) -> DataFrame:
+    """(key, copies, entity, term): the distinct terms of each text with each of its entities, which are few."""
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("padded", F.lit(TERM), F.lit(0)), F.lower))
+    return mentioning.select(*KEY, "copies", "names", F.explode(terms).alias("term")).select(*KEY, "copies", F.explode("names").alias("entity"), "term")
 
-def _disclosing(documents: DataFrame, mentions: DataFrame, limits: Disclosure) -> DataFrame:
+
+def _disclosing(documents: DataFrame, entities: DataFrame, mentioning: DataFrame, limits: Disclosure) -> DataFrame:
     """(entity, term, action) above the thresholds; every count covers all documents."""
-    copies = documents.select(*text_key()).groupBy(*KEY).agg(F.count("*").alias("copies"))
     n = F.lit(documents.count())
-    pairs = mentions.select(*KEY, "entity", "term").distinct().join(copies, KEY)
-    joint = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct")).where(F.col("n_ct") >= limits.min_documents)
-    entities = mentions.select(*KEY, "entity").distinct().join(copies, KEY).groupBy("entity").agg(F.sum("copies").alias("n_c"))
+    joint = _pairs(mentioning).groupBy("entity", "term").agg(F.sum("copies").alias("n_ct")).where(F.col("n_ct") >= limits.min_documents)
     padded = F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" "))
     terms = (
         documents.select(F.explode(F.array_distinct(F.regexp_extract_all(padded, F.lit(TERM), F.lit(0)))).alias("term"))
@@ -152,14 +175,20 @@ def _disclosing(documents: DataFrame, mentions: DataFrame, limits: Disclosure) -
 
 
 def _term_spans(documents: DataFrame, limits: Disclosure) -> DataFrame:
-    """One row per distinct text with disclosing terms: their places and what is done to them, by start."""
-    mentions = settled(_mentions(documents, limits.context))
-    found = mentions.join(_disclosing(documents, mentions, limits), ["entity", "term"])
+    """One row per distinct text with disclosing terms: all their places and what is done to them, by start."""
+    entities, mentioning = _mentioning(documents, limits)
+    disclosing = settled(_disclosing(documents, entities, mentioning, limits))
+    found = _pairs(mentioning).join(small_side(disclosing), ["entity", "term"])
     # "remove" sorts after "generalise" and wins; the set is bounded by the text's own words.
-    return (
-        found.groupBy(*KEY, "start", "stop").agg(F.max("action").alias("action"))
-        .groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("terms"))
+    marked = (
+        found.groupBy(*KEY, "term").agg(F.max("action").alias("action"))
+        .groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
     )
+    action = lambda s: F.col("actions")[F.lower(s["value"])]
+    places = F.transform(
+        F.filter(_located(F.col("padded"), TERM), lambda s: action(s).isNotNull()),
+        lambda s: F.struct((s["start"] - 1).alias("start"), (s["stop"] - 1).alias("stop"), action(s).alias("action")))
+    return mentioning.join(marked, KEY).select(*KEY, places.alias("terms"))
 
 
 def _marked(kind: str) -> Column:

@@ -74,6 +74,21 @@ def test_disclosing_terms_are_marked(spark):
     assert clean[0] == (text, len(text)) and clean[50][0] == docs[8][1]
 
 
+def test_disclosing_terms_are_marked_far_from_the_mention(spark):
+    filler = "the rest of it is plain text and " * 6
+    near = f"Ask the ombudsman at zorro@mail.example please, {filler} the Ombudsman again"
+    docs = [(k, near) for k in range(4)]
+    docs += [(10 + k, f"zorro@mail.example writes {filler} as the ombudsman, number {k}") for k in range(4)]
+    docs += [(30 + k, f"far@mail.example writes {filler} as warden, please ask at number {k} again") for k in range(4)]
+    docs += [(100 + k, f"ask at {filler} please again and number {k} writes as the rest") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    found = {r["doc_id"]: r for r in private.findings(df).collect()}
+    assert {i: r["n_term"] for i, r in found.items()} == {i: len(m) for (i, _), (_, m) in zip(docs, brute.private(docs, private.Disclosure()))}
+    assert found[0]["n_term"] == 2 and all(found[i]["n_term"] == 1 for i in (10, 13, 30, 33)) and found[100]["n_term"] == 0
+    clean = {r["doc_id"]: r["text"].lower() for r in private.sanitise(df).collect()}
+    assert not any("ombudsman" in t or "warden" in t for t in clean.values())
+
+
 def test_near_duplicates_match_all_pairs(spark):
     docs = rows_of(spark)
     found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
