@@ -97,3 +97,25 @@ BROADCAST_ROWS = 200_000
 def small_side(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A settled frame of narrow rows, marked for broadcast if counting shows it small; else Spark shuffles."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def ranged(frame: DataFrame, order: list[str], rows: int, purpose: str) -> DataFrame:
+    """A settled frame written in the order of some columns, about so many rows to a range.
+
+    Adds `part`, the number of a row's range, and `place`, its place in it. The order must tell hot keys apart, or
+    their rows stay in one range.
+    """
+    parts = 1 + frame.count() // rows
+    sorted_rows = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    return written(sorted_rows.withColumn("part", F.shiftright("place", 33).cast("int")).withColumn("place", F.expr(f"place & {(1 << 33) - 1}")), purpose)
+
+
+#: DuckDB SQL of a common table `crc` whose `t` is the table of the CRC-32 checksum, and of the checksum of a text of ASCII digits.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(c ORDER BY k) AS t FROM (
+  SELECT k, list_reduce(list_prepend(k, range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) AS c FROM (SELECT unnest(range(256)) AS k)))"""
+
+
+def crc_sql(value: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a number's decimal digits, where `crc` is in scope."""
+    digits = f"list_transform(string_split(({value})::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295)"

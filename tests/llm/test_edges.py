@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shutterlake.llm import article, decontaminate, licenses, mixture, neardup, passages, private, quality, toxicity, warc
+from shutterlake.llm import article, bpe, decontaminate, licenses, merkle, mixture, neardup, passages, private, quality, toxicity, warc
 from tests.llm import brute
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -16,7 +16,7 @@ ROWS = [
     (8, "the same id with another text that is short", "en", "src0", 43), (9, "!!! ??? ...", "en", "src9x", 11), (10, "x", "en", "", 1),
     (11, "Released under the MIT License.\n" * 3, "en", "src1", 96), (None, LONG, "fr", None, len(LONG)),
 ]
-CLASHING = ["key_a", "key_b", "id", "hash", "host", "row", "s", "words", "domain", "n_tokens", "copies", "bad", "terms", "root", "start", "_row", "doc", "band", "kept", "whole", "class_id"]
+CLASHING = ["leaf", "presented", "tree", "pos", "size", "part", "place", "ids", "bytes", "level", "n_tokens_", "key_a", "key_b", "id", "hash", "host", "row", "s", "words", "domain", "n_tokens", "copies", "bad", "terms", "root", "start", "_row", "doc", "band", "kept", "whole", "class_id"]
 ITEMS = [(1, "word7 word8 word9 word10 word11 word12 word13 word14 word15 word16 word17"), (2, None), (3, ""), (None, "a short one"), (1, "zzz"), (1, "zzz")]
 
 
@@ -45,11 +45,12 @@ def operators(spark, benchmark):
         "op2": lambda d: decontaminate.contamination(d, benchmark), "op3": lambda d: mixture.select(d), "op4": private.findings,
         "op5": lambda d: article.extract(pages(d)), "op6": passages.repeated, "op6 remove": passages.remove, "op7": neardup.near_duplicates,
         "op8": licenses.scan, "op9": lambda d: toxicity.score(d, toxicity.train(d, labels_of(spark))), "op10": quality.assess,
-        "op1": lambda d: warc.records(pages(d)),
+        "op1": lambda d: warc.records(pages(d)), "op11": lambda d: merkle.proofs(merkle.manifest(d)),
+        "op12": lambda d: bpe.decode(bpe.encode(d)).drop("bytes"),
     }
 
 
-NAMES = ["op1", "op2", "op3", "op4", "op5", "op6", "op6 remove", "op7", "op8", "op9", "op10"]
+NAMES = ["op1", "op2", "op3", "op4", "op5", "op6", "op6 remove", "op7", "op8", "op9", "op10", "op11", "op12"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -60,7 +61,7 @@ def test_operator(spark, docs, clashing, benchmark, name):
     key = lambda rows: sorted(map(repr, rows))
     assert key(other.select(*own).collect()) == key(plain.select(*own).collect())
     assert none.collect() == []
-    if name in ("op1", "op2", "op4", "op5", "op6 remove", "op7", "op9", "op10"):
+    if name in ("op1", "op2", "op4", "op5", "op6 remove", "op7", "op9", "op10", "op11", "op12"):
         assert plain.count() == len(ROWS)
 
 
