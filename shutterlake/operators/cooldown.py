@@ -5,23 +5,27 @@ until the alert is resolved. Which candidates fire depends on the whole chain
 before them, so the rule cannot be written as a window over neighbours.
 
 To spread one busy pair over many tasks its candidates are cut into time
-chunks. Within a chunk the next firing after each candidate is fixed, hence the
-chunk as a whole is a function from "blocked until" at its start to "blocked
-until" at its end, a step function. The functions of a pair's chunks are
-followed in order, which gives each chunk its true start state, and the firings
-are then read off chunk by chunk. No task holds more than one chunk of
-candidates, and candidates of one instant are reduced to one beforehand.
+chunks. Each candidate points to the next one that fires after it. Pointers are
+first followed within a chunk, so that each candidate knows where its chain leaves
+the chunk; the place where a chain enters a later chunk is looked up by an
+as-of search in the chunk of that instant. Which entries the pair's own chain
+really takes follows from its first candidate by pointer doubling: in each
+round, what has been reached reaches as far again, so the rounds grow with the logarithm
+of the pair's chunks. A chain enters a chunk once at most, and the firings are read off
+chunk by chunk. No task holds more than one chunk of candidates, however long
+the cooldown is, and candidates of one instant are reduced to one beforehand.
+Pairs of few candidates are a single chunk and need no rounds.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.session import materialise
@@ -30,78 +34,98 @@ from shutterlake.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_S = 3600
+# A pair of at most so many instants is one chunk.
+CHUNK_ROWS = 50_000
 PAIR = ["rule_id", "device_id"]
 NEVER = -(1 << 62)
 
 
-def steps(times: np.ndarray, until: np.ndarray, cooldown: int) -> tuple[list, list]:
-    """A chunk as a step function of its start state.
-
-    A state below bounds[0] ends in ends[0], one from bounds[i-1] up to below
-    bounds[i] in ends[i]; later states stay as they are. Only states that can
-    occur are covered: a block made before the chunk ends within one cooldown
-    of its first candidate.
-    """
+def exits(times: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Per instant of a chunk: until when the last firing of its chain in the chunk blocks."""
     n = len(times)
     after = np.searchsorted(times, until, side="right")
     final = np.where(after < n, after, np.arange(n))
     while True:
         further = final[final]
         if np.array_equal(further, final):
-            break
+            return until[final]
         final = further
-    reach = int(np.searchsorted(times, times[0] + cooldown, side="right")) + 1
-    bound, end = times[:reach], until[final][:reach]
-    last_of_run = np.append(end[1:] != end[:-1], True)
-    return bound[last_of_run].tolist(), end[last_of_run].tolist()
-
-
-def follow(state: int, bounds, ends) -> int:
-    i = int(np.searchsorted(bounds, state, side="right"))
-    return int(ends[i]) if i < len(bounds) else state
 
 
-def firings(times: np.ndarray, until: np.ndarray, state: int) -> list[int]:
-    """Indices of the candidates that fire from a start state."""
+def firings(times: np.ndarray, until: np.ndarray, entry: int) -> list[int]:
+    """Indices of the instants that fire from the one where the chain enters the chunk."""
     after = np.searchsorted(times, until, side="right")
-    i, fired = int(np.searchsorted(times, state, side="right")), []
+    i, fired = int(np.searchsorted(times, entry, side="left")), []
     while i < len(times):
         fired.append(i)
         i = int(after[i])
     return fired
 
 
-def _steps_batch(times: pd.Series, until: pd.Series, cooldown: pd.Series) -> pd.DataFrame:
-    found = [steps(t, u, int(c)) for t, u, c in zip(times, until, cooldown)]
-    return pd.DataFrame({"bounds": [f[0] for f in found], "ends": [f[1] for f in found]})
+def _exits_batch(times: pd.Series, until: pd.Series) -> pd.Series:
+    return pd.Series([exits(t, u).tolist() for t, u in zip(times, until)])
+
+
+def _firings_batch(times: pd.Series, until: pd.Series, entry: pd.Series) -> pd.Series:
+    return pd.Series([firings(t, u, int(e)) for t, u, e in zip(times, until, entry)])
+
+
+def _landings(instants: DataFrame, left: DataFrame, width: int) -> DataFrame:
+    """(pair, out, next): the first instant after each instant `out` at which a chain leaves a chunk, if there is one.
 
+    Instants and exits of one chunk meet in one window; what has no instant after it
+    in its chunk lands on the first one of the next chunk that has any.
+    """
+    chunk = F.expr(f"_t div {width}L")
+    asked = left.select(*PAIR, F.col("out").alias("_t"), F.lit(None).cast("long").alias("_at")).distinct()
+    both = instants.select(*PAIR, F.col("_at").alias("_t"), "_at").unionByName(asked).withColumn("chunk", chunk)
+    # Backwards in time; an exit comes before an instant of the same time, which it still blocks.
+    back = Window.partitionBy(*PAIR, "chunk").orderBy(F.desc("_t"), F.asc_nulls_first("_at"))
+    found = both.withColumn("_next", F.last("_at", True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    # One row per chunk in the window over a pair.
+    chunks = both.groupBy(*PAIR, "chunk").agg(F.min("_at").alias("first"))
+    later = Window.partitionBy(*PAIR).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    following = chunks.withColumn("following", F.last("first", True).over(later)).drop("first")
+    return (
+        found.filter(F.col("_at").isNull()).join(following, [*PAIR, "chunk"])
+        .select(*PAIR, F.col("_t").alias("out"), F.coalesce("_next", "following").alias("next")).filter("next is not null")
+    )
 
-def _firings_batch(times: pd.Series, until: pd.Series, state: pd.Series) -> pd.Series:
-    return pd.Series([firings(t, u, int(s)) for t, u, s in zip(times, until, state)])
 
+def _entries(spans: DataFrame, instants: DataFrame, width: int) -> DataFrame:
+    """(pair, at): where the chain of each pair enters its chunks, by pointer doubling.
 
-def _start_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Start state of each chunk; chunks arrive by pair and in order."""
-    pair, state = None, NEVER
-    for batch in batches:
-        states = []
-        for rule, device, bounds, ends in zip(batch.rule_id, batch.device_id, batch.bounds, batch.ends):
-            if (rule, device) != pair:
-                pair, state = (rule, device), NEVER
-            states.append(state)
-            state = follow(state, bounds, ends)
-        yield batch[["rule_id", "device_id", "chunk"]].assign(state=states)
+    `spans` has (pair, chunk, times, leave): per instant of a chunk the instant at which its chain leaves.
+    """
+    links = materialise(
+        spans.select(*PAIR, F.explode(F.arrays_zip("times", "leave")).alias("x"))
+        .select(*PAIR, F.col("x.times").alias("at"), F.col("x.leave").alias("out")), "links")
+    landings = materialise(_landings(instants, links.select(*PAIR, "out"), width), "landings")
+    heads = instants.groupBy(*PAIR).agg(F.min("_at").alias("at"))
+    reached = materialise(heads, "reached")
+    # Only instants on which a chain can land are ever asked for.
+    nodes = landings.select(*PAIR, F.col("next").alias("at")).unionByName(reached).distinct()
+    jump = materialise(links.join(nodes, [*PAIR, "at"], "left_semi").join(landings, [*PAIR, "out"]).select(*PAIR, "at", "next"), "jump")
+    most = spans.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 1
+    for _ in range(math.ceil(math.log2(most))):
+        further = reached.join(jump, [*PAIR, "at"]).select(*PAIR, F.col("next").alias("at"))
+        reached = materialise(reached.unionByName(further).distinct(), "reached")
+        jump = materialise(
+            jump.join(jump.select(*PAIR, F.col("at").alias("next"), F.col("next").alias("far")), [*PAIR, "next"])
+            .select(*PAIR, "at", F.col("far").alias("next")), "jump")
+    return reached
 
 
 def apply_cooldown(
     candidates: DataFrame, history: DataFrame | None = None,
-    resolutions: DataFrame | None = None, chunk_s: int = CHUNK_S,
+    resolutions: DataFrame | None = None, chunk_s: int = CHUNK_S, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The candidates that fire.
 
     `candidates` has rule_id, device_id, triggered_at, cooldown_s and any
     payload. `history` holds alerts stored earlier. `resolutions` (rule_id,
-    device_id, triggered_at, resolved_at) ends a block early. The candidates are
+    device_id, triggered_at, resolved_at) ends a block early. Pairs of more than
+    `chunk_rows` instants are cut into chunks of `chunk_s` seconds. The candidates are
     evaluated when this is called and kept in the shared folder.
     """
     if history is not None:
@@ -116,37 +140,35 @@ def apply_cooldown(
         rows = rows.join(ended, [*PAIR, "_at"], "left")
         block = F.greatest("_at", F.least(block, F.col("_resolved") - 1))
     # Of candidates at the same instant only one can fire: the first by payload.
-    # Read three times below: written once, so that the events are not evaluated again.
+    # Read several times below: written once, so that the events are not evaluated again.
     instants = materialise(
-        rows.select(
-            *PAIR, F.expr(f"_at div {chunk_s * 1_000_000}L").alias("chunk"), "_at",
-            F.struct(block.alias("_until"), *payload).alias("item"),
-        ).groupBy(*PAIR, "chunk", "_at").agg(F.min("item").alias("item")),
+        rows.select(*PAIR, "_at", F.struct(block.alias("_until"), *payload).alias("item"))
+        .groupBy(*PAIR, "_at").agg(F.min("item").alias("item")),
         "cooldown",
     )
+    width = chunk_s * 1_000_000
+    busy = materialise(
+        instants.groupBy(*PAIR).agg(F.count("*").alias("n")).filter(F.col("n") > chunk_rows).select(*PAIR, F.lit(True).alias("busy")), "busy")
     # Only instants are gathered, 16 bytes each; the payload is joined to the firings.
-    chunks = instants.groupBy(*PAIR, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("_at", F.col("item")["_until"].alias("until")))).alias("spans"),
-        F.max(F.col("item")["cooldown_s"] * 1_000_000).alias("cooldown"),
-    )
-    times, until = F.transform("spans", lambda x: x["_at"]), F.transform("spans", lambda x: x["until"])
-
-    as_steps = F.pandas_udf(_steps_batch, "struct<bounds:array<bigint>,ends:array<bigint>>")
-    states = (
-        chunks.select(*PAIR, "chunk", as_steps(times, until, F.col("cooldown")).alias("f"))
-        .select(*PAIR, "chunk", "f.bounds", "f.ends")
-        .repartition(*PAIR).sortWithinPartitions(*PAIR, "chunk")
-        .mapInPandas(_start_states, "rule_id string, device_id string, chunk bigint, state bigint")
-    )
+    cut = instants.select(*PAIR, "_at", F.col("item")["_until"].alias("until")).join(busy, PAIR, "left")
+    chunks = cut.withColumn("chunk", F.when(F.col("busy"), F.expr(f"_at div {width}L")).otherwise(0)).groupBy(*PAIR, "busy", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "until"))).alias("spans"))
+    chunks = chunks.withColumns({"times": F.transform("spans", lambda x: x["_at"]), "untils": F.transform("spans", lambda x: x["until"])})
     as_firings = F.pandas_udf(_firings_batch, "array<int>")
-    fired = (
-        chunks.join(states, [*PAIR, "chunk"])
-        .select(*PAIR, "chunk", "spans", F.explode(as_firings(times, until, F.col("state"))).alias("i"))
-        .select(*PAIR, "chunk", F.get("spans", F.col("i"))["_at"].alias("_at"))
-    )
-    return instants.join(fired, [*PAIR, "chunk", "_at"]).select(
-        *PAIR, *(F.col("item")[c].alias(c) for c in payload)
-    )
+
+    def fire(entered: DataFrame) -> DataFrame:
+        return entered.select(*PAIR, "times", F.explode(as_firings("times", "untils", "entry")).alias("i")).select(
+            *PAIR, F.get("times", F.col("i")).alias("_at"))
+
+    fired = fire(chunks.filter("busy is null").withColumn("entry", F.get("times", F.lit(0))))
+    if not busy.isEmpty():
+        parts = materialise(chunks.filter("busy"), "chunks")
+        as_exits = F.pandas_udf(_exits_batch, "array<bigint>")
+        own = materialise(cut.filter("busy").select(*PAIR, "_at"), "instants")
+        entries = _entries(parts.select(*PAIR, "times", as_exits("times", "untils").alias("leave")), own, width)
+        entered = entries.select(*PAIR, F.expr(f"at div {width}L").alias("chunk"), F.col("at").alias("entry"))
+        fired = fired.unionByName(fire(parts.join(entered, [*PAIR, "chunk"])))
+    return instants.join(fired, [*PAIR, "_at"]).select(*PAIR, *(F.col("item")[c].alias(c) for c in payload))
 
 
 def blocked_since(history: DataFrame) -> DataFrame:

@@ -41,17 +41,48 @@ def as_set(df):
     }
 
 
+@pytest.mark.parametrize("chunk_rows", [0, 1000, 100_000])
 @pytest.mark.parametrize("chunk_s", [60, 600, 21600])
-def test_cooldown_equals_loop_with_one_hot_pair(spark, chunk_s):
+def test_cooldown_equals_loop_with_one_hot_pair(spark, chunk_s, chunk_rows):
     rng = random.Random(1)
     rows = [("r1", "hot", float(s), 300) for s in range(0, 7200)]
     rows += [(f"r{rng.randint(1, 3)}", f"d{rng.randint(1, 5)}", float(rng.randint(0, 40000)), 0) for _ in range(500)]
     rows = [(r, d, s, {"r1": 300, "r2": 60, "r3": 3600}[r]) for r, d, s, _ in rows]
-    fired = cooldown.apply_cooldown(candidate_rows(spark, rows), chunk_s=chunk_s)
+    fired = cooldown.apply_cooldown(candidate_rows(spark, rows), chunk_s=chunk_s, chunk_rows=chunk_rows)
     assert as_set(fired) == greedy(rows)
     assert fired.count() == len(greedy(rows))
 
 
+@pytest.mark.parametrize("wait", [60, 3600, 86_400])
+def test_long_cooldown_of_a_busy_pair(spark, wait):
+    """A million instants of one pair; firings equal a loop over them."""
+    step = 0.7
+    rows = spark.range(1_000_000).select(
+        F.lit("r").alias("rule_id"), F.lit("d").alias("device_id"), (F.lit(T0.timestamp()) + F.floor(F.col("id") * step) + F.col("id") / 1e6).cast("timestamp").alias("triggered_at"),
+        F.lit(wait).cast("long").alias("cooldown_s"))
+    times = [r[0] for r in rows.select(F.unix_micros("triggered_at")).orderBy("triggered_at").collect()]
+    expected, blocked = [], -1
+    for at in times:
+        if at > blocked:
+            expected.append(at)
+            blocked = at + wait * 1_000_000
+    fired = cooldown.apply_cooldown(rows)
+    assert sorted(r[0] for r in fired.select(F.unix_micros("triggered_at")).collect()) == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_resolutions_of_a_busy_pair_equal_the_loop(spark, seed):
+    """Alerts resolved early, many at one instant, with cooldowns longer than a chunk and gaps between chunks."""
+    rng = random.Random(seed)
+    rows = [("r", rng.choice(["d", "e"]), float(rng.choice([rng.randint(0, 9000), rng.randint(90_000, 95_000), 400_000])), 5000) for _ in range(2500)]
+    resolved = {(r, d, s): rng.choice([s + rng.randint(0, 4000), 9000.0 if s < 9000 else s + 1]) for r, d, s, _ in rows if rng.random() < 0.5}
+    resolutions = spark.createDataFrame(
+        [(r, d, seconds(s), seconds(e)) for (r, d, s), e in resolved.items()],
+        "rule_id string, device_id string, triggered_at timestamp, resolved_at timestamp")
+    fired = cooldown.apply_cooldown(candidate_rows(spark, rows), resolutions=resolutions, chunk_s=600, chunk_rows=100)
+    assert as_set(fired) == greedy(rows, resolved)
+
+
 def test_cooldown_boundary_is_inclusive_and_one_fires_per_instant(spark):
     rows = [("r", "d", 0.0, 300), ("r", "d", 300.0, 300), ("r", "d", 300.001, 300), ("r", "d", 300.001, 300)]
     fired = cooldown.apply_cooldown(candidate_rows(spark, rows)).collect()
