@@ -5,14 +5,18 @@ ten minutes, and stale when its time is not later than every accepted one. Only
 accepted uploads change what follows, so the decision is a state machine and
 not a window over neighbours.
 
-In batch the machine runs over six-hour chunks of a device in parallel. A chunk
-starts from a guessed state: the greatest time seen before, and a warm-up over
-the end of the chunk before. Where the state a chunk really starts from (the end
-state of the device's chunk before) differs from the guess, that chunk alone is
-run again from it, all such chunks in parallel, until every chunk has started
-from the end of the one before; so the result is always exact, and no device is
-run in one task. Rows stream through a task in sorted batches; the state held
-is one time and the shots of the last ten minutes.
+In batch a device's uploads are cut into segments of about six hours, only at
+instants that no repeat spans: where no shot uploaded before comes again after
+within ten minutes of its last upload. At such an instant the shots seen before do not matter, and the
+greatest accepted time is the whole state. A segment is then a function of
+that time. It changes only at the prefix maxima of the segment's times, since a
+start below one and above the one before it first accepts the same upload; and
+starts whose runs come to the same state are run as one from there on, which is
+all of them but those told apart by repeats still to come. One pass over the
+uploads gives each its verdict as steps of the segment's start; the segments' own step
+functions are followed in order, a row or two per segment, and each verdict is
+read off. So there are as many passes whatever the data, and no start is guessed. Rows
+stream through a task in sorted batches.
 
 Uploads of a device that arrive at the same instant are taken by sequence number
 (none first), then by a hash of all their columns, here as on the stream.
@@ -20,8 +24,8 @@ Uploads of a device that arrive at the same instant are taken by sequence number
 
 from __future__ import annotations
 
-import json
 import sys
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -37,7 +41,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TTL_US = 10 * 60 * 1_000_000
 CHUNK_US = 6 * 3600 * 1_000_000
-WARM_US = 2 * TTL_US
 LONG_AGO = -(1 << 62)
 
 
@@ -68,79 +71,135 @@ class Admission:
             self.accepted_at[shot] = at
         return "accepted"
 
-    def text(self, now: int) -> str:
-        """The state as it matters from `now` on."""
-        self.forget(now)
-        return json.dumps([int(self.latest), [[shot, int(at)] for shot, at in self.recent]])
 
-    @classmethod
-    def of(cls, text: str) -> Admission:
-        latest, shots = json.loads(text)
-        return cls(latest, [tuple(s) for s in shots])
+class Segment:
+    """A segment's machine for all start maxima at once.
 
+    `bounds[i]` is the first start maximum that run i does not cover; run i covers those from the bound before it on.
+    Starts from the last bound on have accepted nothing yet. A run's state is the greatest accepted time and
+    the accepted shots that come again, with their times.
+    """
 
-_COLUMNS = ["device_id", "chunk", "place", "status", "starts", "ends", "ends_idle"]
-_VERDICTS = (
-    "device_id string, chunk bigint, place bigint, status string, "
-    "starts string, ends string, ends_idle string"
+    def __init__(self):
+        self.bounds: list[int] = []
+        self.runs: list[tuple[int, dict[str, int]]] = []
+
+    def offer(self, at: int, shot: str, ts: int, again: bool) -> tuple[list[int], list[str]]:
+        """The upload's verdict as steps: from bounds[i-1] up to below bounds[i] it is verdicts[i]; `again`: the shot comes again in time."""
+        bounds, verdicts, runs = [], [], []
+        for bound, (latest, shots) in zip(self.bounds, self.runs):
+            seen = shots.get(shot) if shot else None
+            if seen is not None and at - seen <= TTL_US:
+                verdict = "duplicate"
+            elif ts <= latest:
+                verdict = "stale"
+            else:
+                verdict, latest = "accepted", ts
+                if shot and again:
+                    shots = {**shots, shot: at}
+            if not again and shot in shots:
+                shots = {s: t for s, t in shots.items() if s != shot}
+            runs.append((latest, shots))
+            bounds.append(bound)
+            verdicts.append(verdict)
+        if not bounds or ts > bounds[-1]:
+            runs.append((ts, {shot: at} if shot and again else {}))
+            bounds.append(ts)
+            verdicts.append("accepted")
+        self._merge(bounds, runs)
+        verdicts.append("stale")
+        kept = [i for i in range(len(bounds)) if verdicts[i] != verdicts[i + 1]]
+        return [bounds[i] for i in kept], [verdicts[i] for i in [*kept, len(bounds)]]
+
+    def _merge(self, bounds: list[int], runs: list[tuple[int, dict[str, int]]]) -> None:
+        """Neighbouring runs in one state go on as one."""
+        kept = [i for i in range(len(runs)) if i + 1 == len(runs) or runs[i] != runs[i + 1]]
+        self.bounds, self.runs = [bounds[i] for i in kept], [runs[i] for i in kept]
+
+    def ends(self) -> tuple[list[int], list[int]]:
+        """The segment's function: a start below bounds[i] ends in ends[i], one beyond all stays."""
+        return self.bounds, [latest for latest, _ in self.runs]
+
+
+_COLUMNS = ["device_id", "segment", "chunk", "place", "bounds", "verdicts", "ends"]
+_STEPS = (
+    "device_id string, segment bigint, chunk bigint, place bigint, bounds array<bigint>, "
+    "verdicts array<string>, ends array<bigint>"
 )
-# The place of the row that states what a chunk starts from, and of the one that reports it.
-START = -1
+# The place of the row that holds a segment's function.
+FUNCTION = -1
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verdicts for rows sorted by device, chunk and arrival.
-
-    A chunk's first row states what it starts from. Warm-up rows only move the
-    state. For every chunk one extra row reports the
-    state it started from, the one it ended in, and the latter after an idle
-    chunk; each as of the chunk's edge.
-    """
-    key, state, started = None, Admission(), None
+    """Verdicts in steps for rows sorted by device, segment and arrival, and one row per segment with its function."""
+    key, machine = None, Segment()
 
     def closing(out):
-        if started is not None:
-            device, chunk = key
-            end = (chunk + 1) * CHUNK_US
-            out.append((device, chunk, START, None, started, state.text(end), state.text(end + CHUNK_US)))
+        if key is not None:
+            bounds, ends = machine.ends()
+            out.append((*key, key[1], FUNCTION, bounds, None, ends))
 
     for batch in batches:
         out = []
-        for device, chunk, at, shot, ts, warm, start, place in zip(
-            batch.device_id, batch.chunk, batch["at"], batch.shot_id, batch.ts, batch.warm, batch.start, batch.place
+        for device, segment, chunk, place, at, shot, ts, again in zip(
+            batch.device_id, batch.segment, batch.chunk, batch.place, batch["at"], batch.shot_id, batch.ts, batch.again
         ):
-            if (device, chunk) != key:
+            if (device, segment) != key:
                 closing(out)
-                key, state, started = (device, chunk), Admission(), None
-            if place == START:
-                state = Admission.of(start)
-                continue
-            if warm:
-                state.offer(at, shot, ts)
-                continue
-            if started is None:
-                started = state.text(chunk * CHUNK_US)
-            out.append((device, chunk, place, state.offer(at, shot, ts), None, None, None))
+                key, machine = (device, segment), Segment()
+            out.append((device, segment, chunk, place, *machine.offer(at, shot, ts, again), None))
         yield pd.DataFrame(out, columns=_COLUMNS)
     last = []
     closing(last)
     yield pd.DataFrame(last, columns=_COLUMNS)
 
 
-def _run(rows: DataFrame) -> DataFrame:
-    # No numeric column may hold nulls: pandas would turn it into floats.
-    columns = ["device_id", "chunk", "at", "shot_id", "ts", "warm", "start", "place"]
-    return (
-        rows.select(*columns).repartition("device_id", "chunk")
-        .sortWithinPartitions("device_id", "chunk", "at", "place").mapInPandas(_judge, _VERDICTS)
+def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start maximum of each segment; segments arrive by device and in order."""
+    device, latest = None, LONG_AGO
+    for batch in batches:
+        starts = []
+        for own, bounds, ends in zip(batch.device_id, batch.bounds, batch.ends):
+            if own != device:
+                device, latest = own, LONG_AGO
+            starts.append(latest)
+            i = bisect_right(bounds, latest)
+            latest = int(ends[i]) if i < len(bounds) else latest
+        yield batch[["device_id", "segment"]].assign(start=starts)
+
+
+def _repeats(light: DataFrame) -> DataFrame:
+    """The uploads whose shot comes again in time: device_id, chunk, place, at, `comes` (when it comes again)."""
+    shots = light.filter(F.col("shot_id") != "").select("device_id", "chunk", "place", "at", "shot_id", F.lit(False).alias("peek"))
+    # The first ten minutes of a chunk are also seen from the chunk before.
+    head = shots.filter(F.col("at") - F.col("chunk") * CHUNK_US <= TTL_US).withColumns({"chunk": F.col("chunk") - 1, "peek": F.lit(True)})
+    by_shot = Window.partitionBy("device_id", "chunk", "shot_id").orderBy("at", "peek", "place")
+    following = shots.unionByName(head).withColumn("comes", F.lead("at").over(by_shot))
+    return following.filter(~F.col("peek") & (F.col("comes") - F.col("at") <= TTL_US)).drop("shot_id", "peek")
+
+
+def _segments(light: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(device_id, chunk, opens, before): a chunk's uploads later than `opens` are the segment of that number, others belong to the one before.
+
+    `opens` is the first instant from the chunk's edge on that no repeat spans; null if the chunk has none.
+    """
+    edge = F.col("chunk") * CHUNK_US - 1
+    reaching = repeats.filter(F.col("comes") >= (F.col("chunk") + 1) * CHUNK_US).withColumn("chunk", F.col("chunk") + 1)
+    spans = repeats.unionByName(reaching).groupBy("device_id", "chunk", "at").agg(F.max("comes").alias("comes"))
+    upto = Window.partitionBy("device_id", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.greatest(F.max("comes").over(upto), edge)
+    free = (
+        spans.withColumn("covered", covered).groupBy("device_id", "chunk")
+        .agg(F.min(F.when(F.col("at") > F.col("covered"), F.col("covered"))).alias("gap"), F.max("comes").alias("last"))
+        .select("device_id", "chunk", F.coalesce("gap", F.greatest("last", edge)).alias("free"))
     )
-
-
-def _starts(chunks: DataFrame) -> DataFrame:
-    """Rows that state what each chunk (device_id, chunk, start) starts from."""
-    return chunks.select(
-        "device_id", F.lit(LONG_AGO).alias("at"), F.lit("").alias("shot_id"), F.lit(0).cast("long").alias("ts"),
-        F.lit(START).cast("long").alias("place"), "chunk", F.lit(False).alias("warm"), "start",
+    by_chunk = Window.partitionBy("device_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = light.groupBy("device_id", "chunk").agg(F.max("at").alias("latest")).join(free, ["device_id", "chunk"], "left")
+    opens = F.coalesce("free", edge)
+    return (
+        chunks.withColumn("opens", F.when(opens < F.col("latest"), opens))
+        .withColumn("before", F.coalesce(F.last(F.when(F.col("opens").isNotNull(), F.col("chunk")), True).over(by_chunk), F.first("chunk").over(by_chunk), F.col("chunk")))
+        .select("device_id", "chunk", "opens", "before")
     )
 
 
@@ -169,53 +228,24 @@ def admit(uploads: DataFrame, now) -> DataFrame:
     light = materialise(marked.select(
         "device_id", "at", F.coalesce("shot_id", F.lit("")).alias("shot_id"), F.unix_micros("ts").alias("ts"), "place", "chunk",
     ), "uploads")
-    tail = (F.col("chunk") + 1) * CHUNK_US - F.col("at") <= WARM_US
-    # For the guess a shot's first upload in a chunk stands for its repeats: those
-    # are mostly dropped, and their later times would make the guess too high.
-    shot = F.when(F.col("shot_id") != "", F.col("shot_id")).otherwise(F.concat_ws("-", "at", "place"))
-    firsts = light.groupBy("device_id", "chunk", shot.alias("shot")).agg(
-        F.min_by("ts", F.struct("at", "place")).alias("ts"), F.min("at").alias("at")
-    )
-    hours = firsts.groupBy("device_id", "chunk").agg(
-        F.max("ts").alias("top"), F.max(F.when(~tail, F.col("ts"))).alias("head_top")
+    repeats = materialise(_repeats(light), "repeats")
+    placed = (
+        light.join(_segments(light, repeats), ["device_id", "chunk"])
+        .withColumn("segment", F.when(F.col("at") > F.col("opens"), F.col("chunk")).otherwise(F.col("before")))
+        .join(repeats.select("device_id", "chunk", "place", F.lit(True).alias("again")), ["device_id", "chunk", "place"], "left")
+        # No numeric column may hold nulls: pandas would turn it into floats.
+        .select("device_id", "segment", "chunk", "place", "at", "shot_id", "ts", F.coalesce("again", F.lit(False)).alias("again"))
     )
-    by_hour = Window.partitionBy("device_id").orderBy("chunk")
-    before = F.max("top").over(by_hour.rangeBetween(Window.unboundedPreceding, -2))
-    just_before = F.max("head_top").over(by_hour.rangeBetween(-1, -1))
-    guess = F.coalesce(F.greatest(before, just_before), F.lit(LONG_AGO))
-    guesses = hours.select("device_id", "chunk", F.concat(F.lit("["), guess, F.lit(", []]")).alias("start"))
-    places = F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("warm")))
-    with_next = F.when(
-        tail, F.concat(places, F.array(F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("warm"))))
-    ).otherwise(places)
-    placed = light.withColumn("_in", F.explode(with_next)).select(
-        "device_id", "at", "shot_id", "ts", "place", "_in.chunk", "_in.warm", F.lit("").alias("start"),
+    found = materialise(
+        placed.repartition("device_id", "segment").sortWithinPartitions("device_id", "segment", "at", "place").mapInPandas(_judge, _STEPS), "admission")
+    starts = (
+        found.filter(F.col("place") == FUNCTION).select("device_id", "segment", "bounds", "ends")
+        .repartition("device_id").sortWithinPartitions("device_id", "segment")
+        .mapInPandas(_follow, "device_id string, segment bigint, start bigint")
     )
-    # Starts travel as rows of their own: joining them would shuffle once more.
-    found = materialise(_run(placed.unionByName(_starts(guesses))), "admission").withColumn("round", F.lit(0))
-
-    previous = Window.partitionBy("device_id").orderBy("chunk")
-    expected = F.when(
-        F.col("chunk") - F.lag("chunk").over(previous) > 1, F.lag("ends_idle").over(previous)
-    ).otherwise(F.lag("ends").over(previous))
-    edges, number = found.filter(F.col("place") == START), 0
-    while True:
-        wrong = materialise(
-            edges.select("device_id", "chunk", "starts", expected.alias("start")).filter(F.col("starts") != F.col("start"))
-            .drop("starts"), "wrong")
-        if wrong.isEmpty():
-            break
-        # Each round mends at least the first wrong chunk of every device, and usually all.
-        number += 1
-        rows = light.join(wrong, ["device_id", "chunk"], "left_semi").withColumns({"warm": F.lit(False), "start": F.lit("")})
-        again = materialise(_run(rows.unionByName(_starts(wrong))), "admission").withColumn("round", F.lit(number))
-        found = found.unionByName(again)
-        edges = edges.join(wrong, ["device_id", "chunk"], "left_anti").unionByName(again.filter(F.col("place") == START))
-    latest = edges.select("device_id", "chunk", "round")
-    verdicts = found.filter(F.col("place") != START).join(latest, ["device_id", "chunk", "round"], "left_semi")
-    return marked.join(
-        verdicts.select("device_id", "chunk", "place", "status"), ["device_id", "chunk", "place"]
-    ).drop("chunk", "place", "at")
+    verdicts = found.filter(F.col("place") != FUNCTION).join(starts, ["device_id", "segment"]).select(
+        "device_id", "chunk", "place", F.get("verdicts", F.size(F.filter("bounds", lambda b: b <= F.col("start")))).alias("status"))
+    return marked.join(verdicts, ["device_id", "chunk", "place"]).drop("chunk", "place", "at")
 
 
 def accepted(uploads: DataFrame, now) -> DataFrame:

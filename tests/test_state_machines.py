@@ -169,6 +169,27 @@ def test_admission_equals_loop(spark, seed):
     assert set(found.values()) == {"accepted", "duplicate", "stale"}
 
 
+@pytest.mark.parametrize("chunk_s", [1200, 3600])
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_admission_in_short_chunks_equals_loop(spark, monkeypatch, seed, chunk_s):
+    """Chunks that start from any maximum: clocks that jump ahead, repeats that are in flight over whole chunks."""
+    monkeypatch.setattr(admission, "CHUNK_US", chunk_s * 1_000_000)
+    rng, uploads, seq = random.Random(seed), [], 0
+    for device, ahead in (("jumps", 40_000), ("steady", 30), ("back", -5000)):
+        top = 0
+        for _ in range(700):
+            seq += 1
+            at = rng.randint(0, 30_000)
+            top = max(top, at + (ahead if rng.random() < 0.02 else 0))
+            uploads.append((device, at, seq, rng.choice(["", f"s{seq // 5}", f"t{rng.randint(0, 30)}"]), rng.choice([at, top + rng.randint(-50, 50), at + rng.randint(-900, 900)])))
+    # Every ten minutes the same shot again: no instant of this device is free of repeats.
+    uploads += [("flight", 300 * k, 100_000 + k, f"r{k % 2}", 300 * k + rng.randint(-900, 900)) for k in range(100)]
+    # The greatest time before each edge is a repeat's, so that it never counts.
+    uploads += [("wrong", k * chunk_s - d, 200_000 + 3 * k + i, f"w{k}", k * chunk_s + t) for k in range(1, 15) for i, (d, t) in enumerate([(500, 0), (100, 900), (-30, 300)])]
+    verdicts = admission.admit(upload_rows(spark, uploads), "2024-02-01 00:00:00")
+    assert {(r.device_id, r.seq): r.status for r in verdicts.collect()} == admit_loop(uploads)
+
+
 def test_repeat_after_a_stale_rejection_is_not_a_duplicate(spark):
     uploads = [("d", 0, 1, "a", 100), ("d", 10, 2, "b", 50), ("d", 20, 3, "b", 200), ("d", 30, 4, "b", 300)]
     verdicts = admission.admit(upload_rows(spark, uploads), "2024-02-01 00:00:00")
