@@ -10,7 +10,8 @@ unless such an element holds the only article or most of the page's text: then i
 a name if an article stands elsewhere. Paths whose score
 reaches a share of the page's mean are content, within an article as outside, and the blocks of these paths, in page order, are the text.
 
-Pages are independent of each other, so this runs as one pass of Arrow batches without a shuffle; state is one page.
+Pages are independent of each other, so this runs as one pass of Arrow batches without a shuffle; state is one page. A page
+is read in time that grows with its length, whatever its markup: open quotes, deep nesting, tags that close nothing.
 
 Edge cases: null, empty and markup-less pages, unclosed and stray tags, and unknown references are all read as browsers
 do in the main; a page without a content path has an empty text; repeated rows give equal results; an empty table gives
@@ -57,7 +58,10 @@ CONTENT_WORDS = frozenset("article articlebody body-text content entry entry-con
 #: Factor on the score of blocks that a name tells boilerplate.
 NAMED = 0.05
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z])")
+_NAME_END = re.compile(r"[\s/>]")
+_SPECIAL = re.compile(r"[>\"']")
 _RAW_ENDS = {name: re.compile(rf"</{name}[^>]*>?", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -90,14 +94,114 @@ def _boilerplate(token: str) -> bool:
     return bool(found) and all(w in BOILERPLATE_WORDS for w in found)
 
 
-def blocks(page: str) -> list[tuple[str, int, str, int]]:
-    """(path, role, text, length of link text) of the page's blocks in order."""
-    out: list[tuple[str, tuple[int, ...], bool, str, int]] = []
-    # Element, numbers of the elements with a negative role that hold it, whether below content, whether nearer to it
-    # than to any of those, whether below a link.
-    stack: list[tuple[str, tuple[int, ...], bool, bool, bool]] = []
-    roles: list[int] = []
-    articles: list[tuple[int, ...]] = []
+class Tags:
+    """The tags and comments of a page, each found in time that grows with its length.
+
+    `match` is asked at places that only move on. A quote that opened in an attempt that failed is remembered: an
+    attempt that comes to it again fails too. So a page of open quotes is read once, not once per tag.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.failed: set[int] = set()
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self._next: dict[re.Pattern, int] = {}
+
+    def _after(self, pattern: re.Pattern, at: int) -> int:
+        """The first place from `at` on that a pattern of one character matches; the page's end if there is none."""
+        if self._next.get(pattern, -1) < at:
+            found = pattern.search(self.page, at)
+            self._next[pattern] = found.start() if found else len(self.page)
+        return self._next[pattern]
+
+    def match(self, at: int) -> tuple[int, str, bool, str] | None:
+        """(end, name, whether it closes, attributes) of the tag at a place; no name is a comment."""
+        comment = _COMMENT.match(self.page, at)
+        if comment:
+            return comment.end(), "", False, ""
+        tag = _TAG.match(self.page, at)
+        if not tag:
+            return None
+        name_end = self._after(_NAME_END, tag.end())
+        end, opened = self._after(_SPECIAL, name_end), []
+        while end < len(self.page) and self.page[end] != ">":
+            quote = self.page[end]
+            if end in self.failed or end >= self.last[quote]:
+                end = len(self.page)
+                break
+            opened.append(end)
+            close = self.page.index(quote, end + 1)
+            found = _SPECIAL.search(self.page, close + 1)
+            end = found.start() if found else len(self.page)
+        if end == len(self.page):
+            self.failed.update(opened)
+            return None
+        return end + 1, self.page[tag.end() - 1:name_end].lower(), bool(tag[1]), self.page[name_end:end]
+
+
+class _Open:
+    """The open elements of a page: a stack, and for each name where on it that element is open."""
+
+    def __init__(self):
+        self.stack: list[_Element] = []
+        self.places: dict[str, list[int]] = {}
+        # Where elements are open that are not inline, and those that no paragraph or cell ends across.
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+
+    def push(self, element: _Element) -> None:
+        at, name = len(self.stack), element.name
+        self.stack.append(element)
+        self.places.setdefault(name, []).append(at)
+        if name not in INLINE:
+            self.blocks.append(at)
+            if name not in ("p", "thead", "tbody"):
+                self.barriers.append(at)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.places[self.stack.pop().name].pop()
+        for places in (self.blocks, self.barriers):
+            while places and places[-1] >= depth:
+                places.pop()
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def top(self, places: list[int]) -> int:
+        return places[-1] if places else -1
+
+
+class _Element:
+    """An open element: its path, the innermost element with a negative role that holds it, and what it says of content."""
+
+    __slots__ = ("below", "inside", "linked", "name", "near", "path")
+
+    def __init__(self, name: str, path: int, below: int, inside: bool, near: bool, linked: bool):
+        # inside: below content; near: nearer to it than to any element with a negative role; linked: below a link.
+        self.name, self.path, self.below, self.inside, self.near, self.linked = name, path, below, inside, near, linked
+
+
+#: What holds an element that nothing holds.
+_NOTHING = _Element("", 0, -1, False, False, False)
+#: A path is (number of the parent's path, name); path 0 is empty.
+Path = tuple[int, str]
+#: Elements that a tag of their own kind ends.
+_ENDS = {name: (name,) for name in ("li", "option", "tr", "td", "th")} | {"dt": ("dt", "dd"), "dd": ("dt", "dd")}
+
+
+def blocks(page: str) -> tuple[list[tuple[int, int, str, int]], list[Path]]:
+    """(number of the path, role, text, length of link text) of the page's blocks in order, and the paths."""
+    tags = Tags(page)
+    out: list[tuple[int, int, bool, str, int]] = []
+    paths: list[Path] = [(-1, "")]
+    numbers: dict[Path, int] = {}
+    elements = _Open()
+    stack = elements.stack
+    # Elements with a negative role: (the one that holds it, role).
+    roles: list[tuple[int, int]] = []
+    articles: list[int] = []
     parts: list[str] = []
     links = 0
     at = 0
@@ -107,42 +211,41 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = "/".join(s[0] for s in stack if s[0] not in INLINE)
-                out.append((path, stack[-1][1] if stack else (), bool(stack) and stack[-1][2], text, links))
+                own = stack[-1] if stack else _NOTHING
+                out.append((own.path, own.below, own.inside, text, links))
             parts.clear()
         links = 0
 
     def pop(depth: int) -> None:
-        if any(s[0] not in INLINE for s in stack[depth:]):
+        if elements.top(elements.blocks) >= depth:
             flush()
-        del stack[depth:]
+        elements.cut(depth)
 
     def text_to(end: int) -> None:
         nonlocal links
         if end > at:
             piece = page[at:end]
             parts.append(piece)
-            if stack and stack[-1][4]:
+            if stack and stack[-1].linked:
                 links += len(piece)
 
     opening = page.find("<")
     while opening >= 0:
-        match = _TOKEN.match(page, opening)
-        if not match:
+        tag = tags.match(opening)
+        if not tag:
             opening = page.find("<", opening + 1)
             continue
         text_to(opening)
-        at = match.end()
-        name = (match[2] or "").lower()
-        if name in RAW and not match[1] and not match[3].endswith("/"):
+        at, name, closes, attributes = tag
+        if name in RAW and not closes and not attributes.endswith("/"):
             end = _RAW_ENDS[name].search(page, at)
             at = end.end() if end else len(page)
         opening = page.find("<", at)
         if not name or name in RAW:
             continue
-        if match[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None and not (name in INLINE and any(s[0] not in INLINE for s in stack[depth + 1:])):
+        if closes:
+            depth = elements.last(name)
+            if depth >= 0 and not (name in INLINE and elements.top(elements.blocks) > depth):
                 pop(depth)
             elif name == "p" or name not in INLINE:
                 flush()
@@ -155,61 +258,75 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
             continue
         if name not in INLINE:
             flush()
-            if name == "body":
-                del stack[next((k for k, s in enumerate(stack) if s[0] == "head"), len(stack)):]
+            if name == "body" and elements.last("head") >= 0:
+                elements.cut(elements.places["head"][0])
             # Inline elements left open do not reach into the next block, and some blocks end others.
-            closing = {"p"} if name in CLOSES_PARAGRAPH else {name} if name in ("li", "option", "tr", "td", "th") else {"dt", "dd"} if name in ("dt", "dd") else set()
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in closing:
-                        pop(k)
-                        break
-                    if stack[k][0] not in INLINE and stack[k][0] not in ("p", "thead", "tbody"):
-                        break
-        if match[3].endswith("/") and name not in INLINE:
+            closing = ("p",) if name in CLOSES_PARAGRAPH else _ENDS.get(name, ())
+            last = max((elements.last(c) for c in closing), default=-1)
+            if last >= 0 and last >= elements.top(elements.barriers):
+                pop(last)
+        if attributes.endswith("/") and name not in INLINE:
             continue
-        own, (_, below, inside, near, linked) = role(name, match[3]), stack[-1] if stack else ("", (), False, False, False)
+        own, holder = role(name, attributes), stack[-1] if stack else _NOTHING
+        below, path = holder.below, holder.path
         # Within an article, a header or figure belongs to it; menus, adverts and comments do not.
-        if own < 0 and near and name in ("header", "figure"):
+        if own < 0 and holder.near and name in ("header", "figure"):
             own = 0
         if own < 0:
-            roles.append(own)
-            below = (*below, len(roles) - 1)
+            roles.append((below, own))
+            below = len(roles) - 1
         if name in PREFERRED:
             articles.append(below)
-        stack.append((name, below, inside or own > 0, own > 0 or near and own == 0, linked or name == "a"))
+        if name not in INLINE:
+            path = numbers.setdefault((path, name), len(paths))
+            if path == len(paths):
+                paths.append((holder.path, name))
+        elements.push(_Element(name, path, below, holder.inside or own > 0, own > 0 or holder.near and own == 0, holder.linked or name == "a"))
     text_to(len(page))
     flush()
-    return _with_roles(out, roles, articles)
+    return _with_roles(out, roles, articles), paths
 
 
-def _with_roles(found: list[tuple[str, tuple[int, ...], bool, str, int]], roles: list[int], articles: list[tuple[int, ...]]) -> list[tuple[str, int, str, int]]:
+def _with_roles(found: list[tuple[int, int, bool, str, int]], roles: list[tuple[int, int]], articles: list[int]) -> list[tuple[int, int, str, int]]:
     """The blocks with their roles; an element with most of the page's text or its only articles is not left out.
 
-    It has no role then, or that of a named one if an article stands outside all such elements.
+    It has no role then, or that of a named one if an article stands outside all such elements. What an element holds is
+    added up from the inner ones outwards, and what a block is left out by is carried inwards.
     """
     held = [0] * len(roles)
+    total = 0
     for _, below, _, text, links in found:
-        for k in below:
-            held[k] += max(0, len(text) - links)
-    total = sum(max(0, len(text) - links) for *_, text, links in found)
-    spared = {k for k, n in enumerate(held) if 2 * n > total}
-    if not all(articles):
-        roles, spared = [-2 if k in spared else r for k, r in enumerate(roles)], set()
+        total += max(0, len(text) - links)
+        if below >= 0:
+            held[below] += max(0, len(text) - links)
+    for k in range(len(roles) - 1, -1, -1):
+        if roles[k][0] >= 0:
+            held[roles[k][0]] += held[k]
+    kinds = [r for _, r in roles]
+    spared = [2 * n > total for n in held]
+    if any(below < 0 for below in articles):
+        kinds, spared = [-2 if s else r for s, r in zip(spared, kinds)], [False] * len(roles)
     else:
-        spared.update(k for below in articles for k in below)
-    out = []
-    for path, below, inside, text, links in found:
-        left = [roles[k] for k in below if k not in spared]
-        out.append((path, (-1 if -1 in left else -2) if left else int(inside), text, links))
-    return out
-
-
-def content(found: list[tuple[str, int, str, int]], threshold: float = 0.15, spread: float = 1.0) -> list[bool]:
+        holds = [False] * len(roles)
+        for below in articles:
+            holds[below] = True
+        for k in range(len(roles) - 1, -1, -1):
+            spared[k] = spared[k] or holds[k]
+            if holds[k] and roles[k][0] >= 0:
+                holds[roles[k][0]] = True
+    left = []  # the strongest role that is left of an element and those around it; 0 is none
+    for k, (around, _) in enumerate(roles):
+        outer = left[around] if around >= 0 else 0
+        own = 0 if spared[k] else kinds[k]
+        left.append(-1 if -1 in (outer, own) else min(outer, own))
+    return [(path, left[below] if below >= 0 and left[below] else int(inside), text, links) for path, below, inside, text, links in found]
+
+
+def content(found: list[tuple[int, int, str, int]], paths: list[Path], threshold: float = 0.15, spread: float = 1.0) -> list[bool]:
     """Which blocks are content, by the fused and smoothed ratios of their paths."""
     if not found:
         return []
-    lengths: dict[tuple[str, int], list[float]] = {}
+    lengths: dict[tuple[int, int], list[float]] = {}
     for path, kind, text, links in found:
         sums = lengths.setdefault((path, kind), [0.0, 0.0, 0.0, 0.0])
         sums[0] += max(0, len(text) - links) if kind != -1 else 0
@@ -226,14 +343,15 @@ def content(found: list[tuple[str, int, str, int]], threshold: float = 0.15, spr
         return np.convolve(values, kernel, "full")[radius:radius + len(values)]
 
     # A path whose blocks are links in the main is a menu.
-    menu = {key: sums[3] > 0.6 * sums[2] and (key[1] != 1 or key[0].endswith("/li")) for key, sums in lengths.items()}
+    in_list = lambda path: paths[path][1] == "li" and paths[path][0] > 0
+    menu = {key: sums[3] > 0.6 * sums[2] and (key[1] != 1 or in_list(key[0])) for key, sums in lengths.items()}
     inside = sum(sums[0] for (_, kind), sums in lengths.items() if kind == 1)
     beside = sum(sums[0] for (_, kind), sums in lengths.items() if kind == 0 and not menu[_, kind])
     plain = (beside / (inside + beside)) ** 2 if inside else 1.0
     factor = {1: 1.0, 0: plain, -1: 0.0, -2: NAMED * (1.0 if inside else plain)}
     weights = [0.0 if menu[p, k] else factor[k] for p, k, _, _ in found]
     fused = [w * t * (1 + m) for w, t, m in zip(weights, smooth(texts), smooth(marks))]
-    by_path: dict[tuple[str, int], list[float]] = {}
+    by_path: dict[tuple[int, int], list[float]] = {}
     for (path, kind, _, _), score in zip(found, fused):
         by_path.setdefault((path, kind), []).append(score)
     scores = {key: sum(v) / len(v) for key, v in by_path.items()}
@@ -241,15 +359,15 @@ def content(found: list[tuple[str, int, str, int]], threshold: float = 0.15, spr
     limit = threshold * sum(w * s for w, s in zip(weights, fused)) / (sum(weights) or 1.0)
     keep = [scores[p, k] > max(limit, 0.0) for p, k, _, _ in found]
     # A headline within an article stands or falls with the article's other blocks.
-    heads = [k == 1 and p.rpartition("/")[2] in HEADINGS for p, k, _, _ in found]
+    heads = [k == 1 and paths[p][1] in HEADINGS for p, k, _, _ in found]
     others = [c for c, h, (_, k, _, _) in zip(keep, heads, found) if k == 1 and not h]
     return [any(others) if h and others else c for c, h in zip(keep, heads)]
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    found = blocks(page or "")
-    return " ".join(b[2] for b, keep in zip(found, content(found)) if keep)
+    found, paths = blocks(page or "")
+    return " ".join(b[2] for b, keep in zip(found, content(found, paths)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -44,9 +44,11 @@ class Plan:
 
 
 def domain(source: Column) -> Column:
-    """The domain of a source, by the number in its name."""
+    """The domain of a source, by the rest that 3 leaves of the number in its name; a number may have any length."""
     number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1)
-    return F.when(number == "", "web").otherwise(F.element_at(F.array(F.lit("web"), F.lit("forum"), F.lit("books")), F.pmod(number.cast("int"), F.lit(3)) + 1))
+    digits = lambda which: F.length(F.regexp_replace(number, f"[^{which}]", ""))
+    rest = (digits("147") + 2 * digits("258")) % 3  # that of the sum of its digits
+    return F.when(number == "", "web").otherwise(F.element_at(F.array(F.lit("web"), F.lit("forum"), F.lit("books")), rest + 1))
 
 
 def _weight(plan: Plan, level: str) -> Column:
@@ -174,7 +176,7 @@ budget{depth + 1} AS (SELECT {keys}, CASE WHEN fw IS NOT NULL AND wb >= fw THEN
     return rf"""
 WITH d AS (
   SELECT doc_id, lang, source, CASE regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) WHEN '' THEN 'web' ELSE
-           ['web', 'forum', 'books'][regexp_extract(source, '([0-9]+)$', 1)::INT % 3 + 1] END AS domain,
+           ['web', 'forum', 'books'][(length(regexp_replace(regexp_extract(source, '([0-9]+)$', 1), '[^147]', '', 'g')) + 2 * length(regexp_replace(regexp_extract(source, '([0-9]+)$', 1), '[^258]', '', 'g'))) % 3 + 1] END AS domain,
          len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents),
 nodes AS (SELECT domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, sum(n_tokens) AS t, sum(n_tokens) * {plan.epochs} AS s FROM d GROUP BY ALL),
 budget0 AS (SELECT (sum(t)::HUGEINT * {plan.budget_percent}) // 100 AS b FROM nodes),{','.join(steps)},

@@ -236,3 +236,38 @@ def mixture(docs, plan, domain_of):
             full, rest = divmod(budgets[p], leaves[p])
             out[r] = full + (1 if rest and used[p] <= rest else 0)
     return out
+
+
+def content(found, names, threshold=0.15):
+    """Blocks (path, role, text, link length) that are content, straight from the definition; names: the elements of each path."""
+    import math
+
+    marks = ".,;:!?…。，；：！？、"
+    kernel = [math.exp(-0.5 * d * d) for d in (-2, -1, 0, 1, 2)]
+    groups = {}
+    for path, kind, text, links in found:
+        groups.setdefault((path, kind), []).append((text, links))
+
+    def ratio(key, f):
+        return sum(f(t, n) for t, n in groups[key]) / len(groups[key]) if key[1] != -1 else 0.0
+
+    def is_menu(key):
+        linked = sum(n / max(1, len(t)) for t, n in groups[key]) / len(groups[key])
+        return linked > 0.6 and (key[1] != 1 or len(names[key[0]]) > 1 and names[key[0]][-1] == "li")
+
+    length, punctuation = (lambda t, n: max(0, len(t) - n)), (lambda t, n: sum(t.count(c) for c in marks))
+    total = {kind: sum(length(t, n) for key, v in groups.items() if key[1] == kind and (kind == 1 or not is_menu(key)) for t, n in v) for kind in (0, 1)}
+    outside = (total[0] / (total[0] + total[1])) ** 2 if total[1] else 1.0
+    weights, fused = [], []
+    for i, (path, kind, _, _) in enumerate(found):
+        w = 0.0 if is_menu((path, kind)) else {1: 1.0, 0: outside, -1: 0.0, -2: 0.05 * (1.0 if total[1] else outside)}[kind]
+        smooth = [sum(kernel[d + 2] * ratio(found[i + d][:2], f) for d in range(-2, 3) if 0 <= i + d < len(found)) / sum(kernel) for f in (length, punctuation)]
+        weights.append(w)
+        fused.append(w * smooth[0] * (1 + smooth[1]))
+    limit = threshold * sum(w * s for w, s in zip(weights, fused)) / (sum(weights) or 1.0)
+    score = {key: [s for b, s in zip(found, fused) if b[:2] == key] for key in groups}
+    keep = [sum(score[b[:2]]) / len(score[b[:2]]) > limit for b in found]
+    head = [b[1] == 1 and bool(names[b[0]]) and names[b[0]][-1] in ("h1", "h2", "h3", "h4", "h5", "h6") for b in found]
+    others = any(k for k, h, b in zip(keep, head, found) if b[1] == 1 and not h)
+    rest = any(b[1] == 1 and not h for h, b in zip(head, found))
+    return [others if h and rest else k for k, h in zip(keep, head)]

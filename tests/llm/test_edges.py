@@ -145,6 +145,57 @@ def test_given_pages_keep_the_whole_article(spark):
         assert row["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()) and row["n_chars"] == len(row["text"])
 
 
+def made_pages(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    names = "div p li ul a b span article main header nav figure footer h1 h2 table tr td section form dl dt dd br".split()
+    texts = ["text here, of some length.", "a", "more words, and more; indeed: so it goes on and on.", "&amp;", "x &lt; y", "another sentence that is long enough to count, I think."]
+    attributes = [""] * 6 + [" class='ad'", ' class="content"', " hidden", " class=comments", " title='a > b'", "'"]
+    for _ in range(n):
+        piece = lambda: rng.choice([f"<{rng.choice(names)}{rng.choice(attributes)}>", f"</{rng.choice(names)}>", rng.choice(texts), rng.choice(texts)])
+        yield "".join(piece() for _ in range(rng.randint(1, 60)))
+
+
+def test_ratios_match_plain_version(spark):
+    from tests.conftest import DATA
+
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()] + [*made_pages(1, 3000)]
+    kept = set()
+    for page in pages:
+        found, paths = article.blocks(page)
+        names = []
+        for parent, name in paths:
+            names.append([*names[parent], name] if parent >= 0 else [])
+        keep = brute.content(found, names)
+        kept.update(keep)
+        assert article.main_text(page) == " ".join(b[2] for b, k in zip(found, keep) if k), page
+    assert kept == {True, False}
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a '\"", "<a", "<div>", "<nav>x", "</p>", "<tbody>", "<!-- <", "<i><div><b>", "<", "<a href='x", "<p><b>", "&#", "<body><head>"])
+def test_time_grows_with_the_page(piece):
+    """Hostile markup: four times the page takes nowhere near sixteen times as long."""
+    import time
+
+    def seconds(n):
+        started = time.process_time()
+        article.main_text("<div>" * 100 + piece * n + "</i></p>" * n + "x</div>'>")
+        return time.process_time() - started
+
+    seconds(500)
+    small = min(seconds(5_000) for _ in range(3))
+    assert seconds(20_000) < 9 * small + 0.3
+
+
+def test_numbers_of_any_length_in_source_names(spark):
+    names = ["src7", "src99999999999", "src" + "8" * 60, "1234567890123456789012345678901234567890", "x-2147483648", "٣", "src", None]
+    df = spark.createDataFrame([(k, "w " * 10, "en", s, 20) for k, s in enumerate(names)], DOCUMENTS)
+    expected = ["web" if s is None or not s[-1:].isascii() or not s[-1:].isdigit() else ["web", "forum", "books"][int("".join(c for c in s if c.isdigit())) % 3] for s in names]
+    assert [r["domain"] for r in mixture.with_levels(df).orderBy("doc_id").collect()] == expected
+    assert mixture.select(df, mixture.Plan(budget_percent=100)).count() > 0
+
+
 def test_shares_of_shortages(spark):
     """A child that runs out gives its rest to its siblings before its parent's siblings get any."""
     docs = [(k, "w " * 10, "en", "src0", 20) for k in range(10)] + [(100 + k, "w " * 10, "de", "src0", 20) for k in range(90)] + [(300 + k, "w " * 10, "en", "src1", 20) for k in range(100)]
