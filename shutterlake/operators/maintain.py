@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 from shutterlake.functions.times import as_column
 from shutterlake.operators import changes, rollups
 from shutterlake.schemas import TABLES
-from shutterlake.sources import tables
+from shutterlake.sources import batches, tables
 
-# No device's clock is trusted to run ahead by more.
-CLOCK_AHEAD = dt.timedelta(days=31)
+READY = "_ready"
 
 
 def keep_days(df: DataFrame, date_column: str, days: int, as_of) -> DataFrame:
@@ -38,47 +38,60 @@ def expired_months(months: DataFrame, days: int, as_of) -> DataFrame:
     return months.filter(F.col("month").cast("string") < edge)
 
 
-def _files(spark, path: str):
-    """The file system of a path and the path as it knows it."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def _folders(spark, path: str, name: str) -> list[tuple[str, str]]:
     """(value, path) of the folders name=value in a folder."""
-    fs, place = _files(spark, path)
-    if not fs.exists(place):
-        return []
-    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(place) if s.isDirectory()]
-    return [(folder.split("=", 1)[1], at) for folder, at in found if folder.startswith(f"{name}=")]
+    found = [folder for folder in batches.names(spark, path) if folder.startswith(f"{name}=")]
+    return [(folder.split("=", 1)[1], f"{path}/{folder}") for folder in found]
 
 
-def compact(spark, table: str, streamed: str, stored: str, before_batch: int) -> int:
-    """Fold the batches below `before_batch` of a streamed table into the stored one; the number of batches folded.
+def compact(spark, table: str, streamed: str, stored: str, before_batch: int, marks: str | None = None) -> int:
+    """Fold the batches below `before_batch` of a streamed table into the stored one; the number of batch folders it took.
 
-    The months that the batches touch are read with them, equal rows are dropped, and the result replaces those
-    months; only then are the batch folders deleted. A run that dies on the way is simply run again: rows
-    that are in both places count once.
+    With the folder of the job's `marks`, only batches below the first unfinished one are folded. The months
+    that the batches touch are staged with them; then the staged months replace the stored ones, the
+    stored table notes up to which batch it is folded, and the batch folders are deleted. A run that dies on the way is
+    simply run again: what is staged whole is put in place, anything less is staged anew,
+    and rows of a batch that is folded now never count as old ones. Equal rows are kept as they are.
     """
-    closed = [(value, at) for value, at in _folders(spark, streamed, "batch") if int(value) < before_batch]
+    staged = f"{stored.rstrip('/')}.staged"
+    limit = before_batch if marks is None else min(before_batch, batches.unfinished_from(spark, marks))
+    taken = sum(batch < limit for batch in batches.streamed(spark, streamed))
+    _put_in_place(spark, table, streamed, stored, staged)
+    folded = batches.folded_below(spark, stored)
+    closed = {batch: at for batch, at in batches.streamed(spark, streamed).items() if folded <= batch < limit}
     if not closed:
-        return 0
-    rows = spark.read.option("basePath", streamed).parquet(*[at for _, at in closed])
-    added = tables.table_columns(rows, table)
-    meta = TABLES[table]
-    fs, place = _files(spark, stored)
-    if fs.exists(place):
-        old = spark.read.parquet(stored)
-        if meta.date_column is not None:
+        return taken
+    rows = spark.read.option("basePath", streamed).parquet(*closed.values())
+    dated = tables.TABLES[table].date_column is not None
+    parts = [batches.columns_of(rows, table, "batch")]
+    if any(not name.startswith("_") for name in batches.names(spark, stored)):
+        old = spark.read.option("mergeSchema", "true").parquet(stored)
+        if dated:
             months = rows.select(F.col("month").cast("int").alias("month")).distinct()
             old = old.join(F.broadcast(months), "month", "left_semi")  # a row per month
-        added = added.unionByName(tables.table_columns(old, table))
-    staged = f"{stored.rstrip('/')}.staged"
-    tables.write_table(added.dropDuplicates(), table, staged, mode="overwrite")
-    tables.write_table(tables.read_table(spark, table, staged), table, stored, mode="overwrite")
-    for at in [staged, *(at for _, at in closed)]:
-        fs.delete(_files(spark, at)[1], True)
-    return len(closed)
+        if "batch" in old.columns:
+            old = old.filter(F.col("batch").isNull() | (F.col("batch") < folded))
+        parts.append(batches.columns_of(old, table, "batch"))
+    added = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    tables.write_table(added, table, staged, mode="overwrite", columns=added.columns)
+    batches.touch(spark, f"{staged}/{READY}/{max(closed) + 1}")
+    _put_in_place(spark, table, streamed, stored, staged)
+    return taken
+
+
+def _put_in_place(spark, table: str, streamed: str, stored: str, staged: str) -> None:
+    """Finish a fold that is staged whole, drop one that is not, and delete batches that are folded."""
+    ready = [int(name) for name in batches.names(spark, f"{staged}/{READY}")]
+    if ready:
+        rows = spark.read.parquet(staged)
+        keep = [name for name in rows.columns if name != "month"]
+        tables.write_table(rows, table, stored, mode="overwrite", columns=keep)
+        batches.touch(spark, f"{stored}/{batches.FOLDED}/{ready[0]}")
+    batches.delete(spark, staged)
+    folded = batches.folded_below(spark, stored)
+    for batch, at in batches.streamed(spark, streamed).items():
+        if batch < folded:
+            batches.delete(spark, at)
 
 
 def drop_expired(spark, table: str, stored: str, as_of) -> list[str]:
@@ -96,8 +109,7 @@ def drop_expired(spark, table: str, stored: str, as_of) -> list[str]:
     gone = {row["month"] for row in expired_months(listed, meta.retention_days, as_of).collect()}
     for month, at in months:
         if month in gone:
-            fs, place = _files(spark, at)
-            fs.delete(place, True)
+            batches.delete(spark, at)
     return sorted(gone)
 
 
@@ -111,12 +123,11 @@ def rebuild_table(spark, raw_path: str, rollup_path: str, window_type: str, star
 
     Months of that window type are the unit that is overwritten, so the range
     is widened to them; the other window type stays. Raw rows are stored by the
-    day they were received, which is not before their event by more than a
-    device's clock may run ahead, so only earlier folders are skipped.
+    day they were received, and a device's clock may run ahead or behind by any time, so no folder is
+    left out by its month: the filter on the event time skips row groups by their statistics.
     """
     first = dt.date.fromisoformat(str(start)[:7] + "-01")
     after = (dt.date.fromisoformat(str(end)[:7] + "-01") + dt.timedelta(days=32)).replace(day=1)
     last = after - dt.timedelta(days=1)
-    raw = tables.read_table(spark, "events_raw", raw_path, start=first - CLOCK_AHEAD)
-    rebuilt = rollups.rebuild(raw, window_type, first, last)
+    rebuilt = rollups.rebuild(tables.read_table(spark, "events_raw", raw_path), window_type, first, last)
     tables.write_table(rebuilt, "events_agg", rollup_path, mode="overwrite")

@@ -193,16 +193,17 @@ def alerts_daily(alerts: DataFrame) -> DataFrame:
 PARTIAL_KEY = ["device_id", "aggregation_window", "window_type"]
 
 
-def partials(events: DataFrame, window_type: str) -> DataFrame:
-    """Rollup rows of one insert block, holding states that can be added up."""
-    df, bucket = _bucket(events, window_type)
+def partials(events: DataFrame, window_type: str, time: str = "timestamp") -> DataFrame:
+    """Rollup rows of one insert block by event time or another one, holding states that can be added up."""
+    df, bucket = _bucket(events, window_type, time)
     out = df.groupBy(bucket.alias("bucket"), "device_id").agg(
         F.count("*").alias("image_count"),
+        F.count("image_size").alias("sized"),
         F.sum("image_size").alias("total_size_bytes"),
         F.min("image_size").alias("min_size_bytes"),
         F.max("image_size").alias("max_size_bytes"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+        F.min(time).alias("first_seen"),
+        F.max(time).alias("last_seen"),
         F.hll_sketch_agg("shot_id").alias("shots_sketch"),
     )
     start = _start(out, "bucket")
@@ -213,10 +214,20 @@ def partials(events: DataFrame, window_type: str) -> DataFrame:
     )
 
 
+def detected(enriched: DataFrame, window_type: str) -> DataFrame:
+    """Partial rows of scored images by the time they were scored: images, those with a count, objects, images with any."""
+    start = F.date_trunc("hour" if window_type == "hourly" else "day", "processed_at")
+    out = enriched.groupBy("device_id", start.alias("aggregation_window")).agg(
+        F.count("*").alias("image_count"), F.count("detection_count").alias("counted"),
+        F.sum("detection_count").alias("detection_count"), F.count_if(F.col("detection_count") > 0).alias("detected_images"))
+    return out.withColumns({"window_type": F.lit(window_type), "processing_date": F.to_date("aggregation_window")})
+
+
 def combine(parts: DataFrame) -> DataFrame:
     """Add up partial rows that share the order key."""
     return parts.groupBy(*PARTIAL_KEY, "processing_date").agg(
         F.sum("image_count").alias("image_count"),
+        F.sum("sized").alias("sized"),
         F.sum("total_size_bytes").alias("total_size_bytes"),
         F.min("min_size_bytes").alias("min_size_bytes"),
         F.max("max_size_bytes").alias("max_size_bytes"),
@@ -229,9 +240,9 @@ def combine(parts: DataFrame) -> DataFrame:
 def read_combined(combined: DataFrame) -> DataFrame:
     """Averages and distinct counts from combined partials."""
     return combined.withColumns({
-        "avg_size_bytes": F.col("total_size_bytes") / F.col("image_count"),
+        "avg_size_bytes": F.col("total_size_bytes") / F.col("sized"),
         "unique_shots": F.hll_sketch_estimate("shots_sketch"),
-    }).drop("shots_sketch")
+    }).drop("shots_sketch", "sized")
 
 
 def rebuild(events: DataFrame, window_type: str, start_date, end_date) -> DataFrame:

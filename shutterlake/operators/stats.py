@@ -106,6 +106,11 @@ def device_series(events: DataFrame, as_of, days: int = 7, device_id: str | None
     daily = events.groupBy("device_id", F.when(day.between(first, last), day).alias("date")).agg(
         F.count("*").alias("n")
     )
+    return zero_filled(daily, first, last)
+
+
+def zero_filled(daily: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Counts `n` per device and `date` laid over all days of a range; a null date only names the device."""
     counted = F.collect_list(F.when(F.col("date").isNotNull(), F.struct("date", "n")))
     return (
         daily.groupBy("device_id").agg(F.map_from_entries(counted).alias("counts"))

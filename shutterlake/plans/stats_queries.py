@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shutterlake.functions.times import as_column
-from shutterlake.operators import rollups, stats
-from shutterlake.plans.registry import AS_OF, query
+from shutterlake.operators import grains, rollups, stats
+from shutterlake.plans.registry import AS_OF, ORACLES, query
 
 _HOUR = "CAST(date_trunc('hour', timestamp) AS TIMESTAMP)"
 _DAY = "CAST(date_trunc('day', timestamp) AS TIMESTAMP)"
@@ -288,6 +288,53 @@ def _(t):
     return tables.read_table(t.spark, "events_agg", f"{base}/agg")
 
 
+@query("r5_rebuild_fast_clock", _agg("daily", _DAY.replace("timestamp", "(timestamp + INTERVAL 5 MONTH)")), "events_raw")
+def _(t):
+    # Every device's clock is five months ahead of the day its rows were received.
+    from shutterlake.operators import maintain
+    from shutterlake.session import work_folder
+    from shutterlake.sources import tables
+
+    base = work_folder(t.spark, "rebuild")
+    rows = t.events_raw.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 5 MONTH"))
+    tables.write_table(tables.insert_rows(rows, "events_raw", AS_OF), "events_raw", f"{base}/raw")
+    days = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    maintain.rebuild_table(t.spark, f"{base}/raw", f"{base}/agg", "daily", days[0].date(), days[1].date())
+    return tables.read_table(t.spark, "events_agg", f"{base}/agg")
+
+
+def _stored(t, *names: str) -> grains.Stored:
+    """The raw tables of the fixture with the partials of all their families, as stored tables."""
+    from shutterlake.session import work_folder
+    from shutterlake.sources import tables
+
+    root = work_folder(t.spark, "stored")
+    for name in names:
+        grains.store(tables.insert_rows(getattr(t, name), name, AS_OF), name, root)
+    return grains.Stored(t.spark, root)
+
+
+def _from_rollups(name: str, base: str, build, table: str = "events_raw") -> None:
+    """A statistic answered from stored partials, held against the SQL of its raw form."""
+    query(name)(lambda t: build(_stored(t, table)))
+    ORACLES[name] = ORACLES[base]
+
+
+_from_rollups("a9_totals_from_rollups", "a9_fleet_totals", lambda s: grains.fleet_totals(s, AS_OF))
+_from_rollups("a10_devices_from_rollups", "a10_device_list", lambda s: grains.device_list(s, AS_OF))
+_from_rollups("a11_series_from_rollups", "a11_device_series", lambda s: grains.device_series(s, AS_OF))
+_from_rollups("a13_totals_from_rollups", "a13_detection_totals", lambda s: grains.detection_totals(s, AS_OF), "events_enriched")
+
+
+@query("a11_profile_from_rollups", """
+SELECT device_id, count(*) AS total_images, CAST(sum(image_size) AS BIGINT) AS total_size, avg(image_size) AS avg_size,
+  min(timestamp) AS first_seen, max(timestamp) AS last_seen
+FROM events_raw WHERE timestamp BETWEEN TIMESTAMP '2024-01-03 07:31:12' AND TIMESTAMP '2024-01-24 22:10:59' GROUP BY device_id""", "events_raw")
+def _(t):
+    stored = _stored(t, "events_raw")
+    return grains.device_profile(stored, start="2024-01-03 07:31:12", end="2024-01-24 22:10:59").drop("unique_shots")
+
+
 @query("f3_truncations", f"""
 SELECT device_id, shot_id, timestamp, {_HOUR} AS hour, CAST(date_trunc('week', timestamp) AS DATE) AS monday,
   CAST(date_trunc('month', timestamp) AS DATE) AS month, CAST(timestamp AS DATE) AS day,

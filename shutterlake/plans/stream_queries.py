@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shutterlake.operators import changes, rollups
+from shutterlake.operators import changes, maintain, rollups
 from shutterlake.plans import alert_queries, device_queries, labeling_queries  # noqa: F401
 from shutterlake.plans.fixtures import Inputs
 from shutterlake.plans.stand_in import stub_detector
 from shutterlake.plans.registry import AS_OF, ORACLES, query
 from shutterlake.session import work_folder
-from shutterlake.sources import streams
+from shutterlake.sources import batches, streams, tables
 from shutterlake.streaming import jobs
 
 
@@ -61,7 +61,7 @@ def _(t):
     out, checkpoint = _folders(t)
     messages = Streams(t).raw_messages.select("value")
     _finished(jobs.ingest(messages, out, checkpoint, AS_OF, interval=None, disabled={"partials_hourly"}))
-    return t.spark.read.parquet(f"{out}/rejects").drop("batch")
+    return t.spark.read.parquet(f"{out}/rejects").select("value", "reason")
 
 
 @query("s6_streamed_partials", """
@@ -70,10 +70,64 @@ FROM raw_messages WHERE seq % 23 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0 AND se
 def _(t):
     out, checkpoint = _folders(t)
     _finished(jobs.ingest(Streams(t).raw_messages.select("value"), out, checkpoint, AS_OF, interval=None))
-    parts = t.spark.read.parquet(f"{out}/partials_daily").drop("batch")
+    parts = batches.read(t.spark, "partials_daily", f"{out}/partials_daily", marks=out)
     return rollups.read_combined(rollups.combine(parts)).select("device_id", "aggregation_window", "image_count")
 
 
+def _in_blocks(t: Inputs, out: str, blocks: int = 4) -> None:
+    """The raw rows as batches of an ingest job, each written twice over, as two equal uploads are two events."""
+    rows = tables.insert_rows(t.events_raw, "events_raw", AS_OF)
+    twice = rows.unionByName(rows)
+    for batch in range(blocks):
+        part = twice.filter(F.pmod(F.xxhash64("event_id"), F.lit(blocks)) == batch)
+        jobs.write_batch(part, "events_raw", f"{out}/events_raw", batch)
+        if batch < blocks - 1:  # the last batch dies between its two tables
+            jobs.write_batch(rollups.partials(part, "daily"), "partials_daily", f"{out}/partials_daily", batch)
+            batches.finish(t.spark, out, batch)
+
+
+_BLOCKS = """
+SELECT device_id, aggregation_window, 2 * CAST(sum(n) AS BIGINT) AS image_count FROM (
+  SELECT device_id, CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS aggregation_window, count(*) AS n FROM events_raw GROUP BY ALL) GROUP BY ALL"""
+
+
+@query("x5_compacted_partials", _BLOCKS, "events_raw")
+def _(t):
+    # Folded in two steps with a run between that died before it deleted its batches; the raw rows tell the same.
+    out, _ = _folders(t)
+    _in_blocks(t, out)
+    raw, parts = f"{out}/events_raw", f"{out}/partials_daily"
+    maintain.compact(t.spark, "events_raw", raw, f"{out}/stored_raw", 2, marks=out)
+    maintain.compact(t.spark, "partials_daily", parts, f"{out}/stored_partials", 9, marks=out)
+    again = tables.insert_rows(t.events_raw, "events_raw", AS_OF).filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == 1)
+    jobs.write_batch(again.unionByName(again), "events_raw", raw, 1)
+    maintain.compact(t.spark, "events_raw", raw, f"{out}/stored_raw", 9, marks=out)
+    rows = batches.read(t.spark, "events_raw", raw, stored=f"{out}/stored_raw")
+    seen = rollups.combine(batches.read(t.spark, "partials_daily", parts, out, f"{out}/stored_partials"))
+    whole = rows.groupBy("device_id", F.date_trunc("day", "timestamp").alias("aggregation_window")).agg(F.count("*").alias("image_count"))
+    left = batches.read(t.spark, "events_raw", raw).groupBy("device_id", F.date_trunc("day", "timestamp").alias("aggregation_window")).agg(
+        F.count("*").alias("open"))
+    key = ["device_id", "aggregation_window"]
+    # What is folded as partials, and the rows of the batch that is not finished.
+    told = seen.select(*key, "image_count").join(left, key, "full").select(
+        *key, (F.coalesce("image_count", F.lit(0)) + F.coalesce("open", F.lit(0))).alias("image_count"))
+    return whole.intersectAll(told)
+
+
+@query("x9_visible_batches", """
+SELECT 'raw' AS kind, device_id, count(*) * 2 AS images FROM events_raw WHERE false GROUP BY ALL
+UNION ALL SELECT kind, '', 0 FROM (VALUES ('same')) v(kind)""", "events_raw")
+def _(t):
+    # Readers of two tables see the same events in both, also while a batch is half written.
+    out, _ = _folders(t)
+    _in_blocks(t, out)
+    raw = batches.read(t.spark, "events_raw", f"{out}/events_raw", marks=out).groupBy("device_id").agg(F.count("*").alias("images"))
+    parts = batches.read(t.spark, "partials_daily", f"{out}/partials_daily", marks=out).groupBy("device_id").agg(F.sum("image_count").alias("images"))
+    odd = raw.exceptAll(parts).unionByName(parts.exceptAll(raw)).select(F.lit("raw").alias("kind"), "device_id", "images")
+    seen = raw.agg(F.lit("same").alias("kind"), F.lit("").alias("device_id"), F.lit(0).cast("long").alias("images"))
+    return odd.unionByName(seen)
+
+
 @query("x2_streamed_hourly", f"""
 SELECT device_id, CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS aggregation_window, count(*) AS image_count,
   CAST(sum(image_size) AS BIGINT) AS total_size_bytes, max(image_size) AS max_size_bytes, min(image_size) AS min_size_bytes

@@ -12,7 +12,7 @@ def schema(ddl: str) -> T.StructType:
     simple = {
         "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(),
         "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(),
-        "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()),
+        "timestamp": T.TimestampType(), "binary": T.BinaryType(), "strings": T.ArrayType(T.StringType()),
     }
     return T.StructType([
         T.StructField(name, simple[kind]) for name, kind in (part.split() for part in ddl.split(","))
@@ -149,6 +149,25 @@ TABLES = {
         ),
         ["name"],
     ),
+    "rejects": Table(schema("value string, reason string, processing_date date"), [], "processing_date", 30),
+    "notification_logs": Table(
+        schema("type string, channel string, alert_id string, status string, created_at timestamp"), ["alert_id"], "created_at", 180,
+    ),
+    **{f"{family}_{grain}": Table(
+        schema(
+            "device_id string, aggregation_window timestamp, window_type string, image_count long, sized long, total_size_bytes long, "
+            "min_size_bytes long, max_size_bytes long, first_seen timestamp, last_seen timestamp, shots_sketch binary, "
+            "processing_date date"
+        ),
+        ["device_id", "aggregation_window"], "processing_date", 180,
+    ) for family in ("partials", "contacts") for grain in ("hourly", "daily")},
+    **{f"detected_{grain}": Table(
+        schema(
+            "device_id string, aggregation_window timestamp, window_type string, image_count long, counted long, "
+            "detection_count long, detected_images long, processing_date date"
+        ),
+        ["device_id", "aggregation_window"], "processing_date", 180,
+    ) for grain in ("hourly", "daily")},
     "devices": Table(
         schema(
             "device_id string, online boolean, stale boolean, firmware string, ip string, ssid string, "

@@ -74,7 +74,7 @@ def laid_out(df: DataFrame, table: str) -> DataFrame:
 
 
 def write_table(
-    df: DataFrame, table: str, path: str, mode: str = "append", columns: list[str] | None = None
+    df: DataFrame, table: str, path: str, mode: str = "append", columns: list[str] | None = None,
 ) -> None:
     """Write month partitions with bloom filters on the lookup columns.
 

@@ -2,7 +2,8 @@
 
 A job writes each micro-batch under its batch number, so that a batch replayed
 after a failure replaces itself. A failed write raises; the checkpoint then
-stays before the batch.
+stays before the batch. When all tables of a batch are written it is marked as finished
+(see sources.batches), which is what readers of several tables go by.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shutterlake.operators import alerts, decode, rollups, rules, scoring
-from shutterlake.sources import tables
+from shutterlake.functions.times import as_column
+from shutterlake.operators import alerts, decode, grains, rollups, rules, scoring
+from shutterlake.sources import batches, tables
 from shutterlake.streaming import metrics, state
 
 INTERVAL = "10 seconds"
@@ -70,7 +72,7 @@ def ingest(
     messages: DataFrame, out: str, checkpoint: str, now, *, disabled: set[str] = frozenset(),
     interval: str | None = INTERVAL, counters: str = "ingest",
 ) -> StreamingQuery:
-    """Raw topic → events_raw, rejects and the partial hourly/daily rollups of each batch.
+    """Raw topic → events_raw, rejects and the partial hourly/daily rollups of each batch by event time and by receipt.
 
     Rollup rows are partial states (`rollups.combine` adds them up), since a
     later batch may bring more rows of the same hour.
@@ -84,17 +86,12 @@ def ingest(
             # Times of a replayed batch must not move, so rows without one take `now`.
             raw = tables.insert_rows(decode.normalise_raw(batch, now), "events_raw", now)
             outputs = {"events_raw": raw}
-            for grain in ("hourly", "daily"):
-                outputs[f"partials_{grain}"] = rollups.partials(raw, grain)
-            outputs["rejects"] = decode.rejects(batch)
-
-            def write(df: DataFrame, table: str) -> None:
-                if table == "events_raw":
-                    write_batch(df, table, f"{out}/{table}", batch_id)
-                else:
-                    with_retries(lambda: df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch_id}"))
-
-            tables.fan_out(outputs, write, disabled)
+            for family in (grains.FAMILIES["partials"], grains.FAMILIES["contacts"]):
+                for grain, name in family.tables().items():
+                    outputs[name] = family.build(raw, grain)
+            outputs["rejects"] = decode.rejects(batch).withColumn("processing_date", F.to_date(as_column(now)))
+            tables.fan_out(outputs, lambda df, table: write_batch(df, table, f"{out}/{table}", batch_id), disabled)
+            batches.finish(messages.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
 
@@ -131,8 +128,11 @@ def enrich(
         try:
             rows = tables.insert_rows(scoring.scored(batch), "events_enriched", now)
             write_batch(rows, "events_enriched", f"{out}/events_enriched", batch_id)
+            for grain, name in grains.FAMILIES["detected"].tables().items():
+                write_batch(rollups.detected(rows, grain), name, f"{out}/{name}", batch_id)
             rejected = scoring.unscored(batch)
             with_retries(lambda: rejected.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}"))
+            batches.finish(raw.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
 
@@ -179,8 +179,8 @@ def alert(
             write_batch(batch, "alerts", f"{out}/alerts", batch_id)
             outbox = alerts.outbox(batch, channels)
             write_batch(alerts.in_app(outbox, now), "in_app_notifications", f"{out}/in_app_notifications", batch_id)
-            log = alerts.delivery_log(outbox, now)
-            with_retries(lambda: log.write.mode("overwrite").parquet(f"{out}/notification_logs/batch={batch_id}"))
+            write_batch(alerts.delivery_log(outbox, now), "notification_logs", f"{out}/notification_logs", batch_id)
+            batches.finish(enriched.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
 

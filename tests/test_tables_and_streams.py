@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.operators import maintain, rollups
-from shutterlake.sources import images, streams, tables
+from shutterlake.operators import grains, maintain, rollups
+from shutterlake.sources import batches, images, streams, tables
 from shutterlake.streaming import jobs, metrics, state
 
 NOW = "2024-02-01 00:00:00"
@@ -71,6 +71,88 @@ def test_compaction_folds_closed_batches(spark, inputs, tmp_path):
     assert maintain.compact(spark, "events_raw", streamed, stored, 0) == 0
 
 
+def test_compaction_keeps_equal_rows(spark, inputs, tmp_path):
+    streamed, stored = str(tmp_path / "streamed"), str(tmp_path / "stored")
+    row = tables.insert_rows(inputs.events_raw, "events_raw", NOW).limit(1)
+    for batch in range(2):
+        jobs.write_batch(row.crossJoin(spark.range(5)), "events_raw", streamed, batch)
+    assert maintain.compact(spark, "events_raw", streamed, stored, 2) == 2
+    assert tables.read_table(spark, "events_raw", stored).count() == 10
+    jobs.write_batch(row.crossJoin(spark.range(3)), "events_raw", streamed, 2)
+    assert maintain.compact(spark, "events_raw", streamed, stored, 9) == 1
+    assert tables.read_table(spark, "events_raw", stored).count() == 13
+
+
+@pytest.mark.parametrize("died", ["staging", "replacing", "noting", "deleting"])
+def test_a_fold_that_died_is_finished(spark, inputs, tmp_path, monkeypatch, died):
+    streamed, stored = str(tmp_path / "streamed"), str(tmp_path / "stored")
+    rows = tables.insert_rows(inputs.events_raw, "events_raw", NOW)
+    part = lambda k: rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k)
+    jobs.write_batch(part(0), "events_raw", streamed, 0)
+    assert maintain.compact(spark, "events_raw", streamed, stored, 9) == 1
+    jobs.write_batch(part(1), "events_raw", streamed, 1)
+
+    class Died(Exception):
+        pass
+
+    def dying(call, when):
+        def run(*args, **given):
+            if when(args):
+                raise Died
+            return call(*args, **given)
+        return run
+
+    with monkeypatch.context() as patch:
+        if died == "staging":
+            patch.setattr(maintain.batches, "touch", dying(maintain.batches.touch, lambda a: maintain.READY in a[1]))
+        elif died == "replacing":
+            patch.setattr(tables, "write_table", dying(tables.write_table, lambda a: a[2] == stored))
+        elif died == "noting":
+            patch.setattr(maintain.batches, "touch", dying(maintain.batches.touch, lambda a: maintain.batches.FOLDED in a[1]))
+        else:
+            patch.setattr(maintain.batches, "delete", dying(maintain.batches.delete, lambda a: "batch=" in a[1]))
+        with pytest.raises(Died):
+            maintain.compact(spark, "events_raw", streamed, stored, 9)
+    seen = batches.read(spark, "events_raw", streamed, stored=stored)
+    both = rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) < 2)
+    assert seen.count() == both.count() and seen.exceptAll(both).isEmpty()
+    jobs.write_batch(part(2), "events_raw", streamed, 2)
+    maintain.compact(spark, "events_raw", streamed, stored, 9)
+    back = tables.read_table(spark, "events_raw", stored)
+    assert back.count() == rows.count() and back.exceptAll(rows).isEmpty()
+    assert not os.path.exists(f"{streamed}/batch=2") and not os.path.exists(f"{stored}.staged")
+
+
+def test_only_finished_batches_are_seen_and_folded(spark, inputs, tmp_path):
+    out = str(tmp_path)
+    rows = tables.insert_rows(inputs.events_raw, "events_raw", NOW)
+    for batch in (0, 1, 2, 4):
+        jobs.write_batch(rows.limit(batch + 1), "events_raw", f"{out}/events_raw", batch)
+        if batch != 2:
+            batches.finish(spark, out, batch)
+    assert batches.unfinished_from(spark, out) == 2 == batches.sum_up_marks(spark, out)
+    read = lambda: batches.read(spark, "events_raw", f"{out}/events_raw", out, f"{out}/stored").count()
+    assert read() == 3 and sorted(batches.names(spark, f"{out}/_finished")) == ["4", "below-2"]
+    assert maintain.compact(spark, "events_raw", f"{out}/events_raw", f"{out}/stored", 9, marks=out) == 2 and read() == 3
+    batches.finish(spark, out, 2)
+    assert read() == 6
+    batches.finish(spark, out, 3)  # a batch without rows
+    assert maintain.compact(spark, "events_raw", f"{out}/events_raw", f"{out}/stored", 9, marks=out) == 2 and read() == 11
+
+
+@pytest.mark.parametrize("table", ["rejects", "partials_hourly", "partials_daily", "notification_logs", "alerts", "devices"])
+def test_every_streamed_table_is_compacted(spark, tmp_path, table):
+    streamed, stored = str(tmp_path / "streamed"), str(tmp_path / "stored")
+    schema = tables.TABLES[table].columns
+    when = {"date": dt.date(2024, 1, 3), "timestamp": dt.datetime(2024, 1, 3), "string": "x", "binary": b"x", "boolean": True, "bigint": 1, "double": 1.0}
+    row = tuple(when[f.dataType.simpleString()] for f in schema)
+    for batch in range(2):
+        jobs.write_batch(spark.createDataFrame([row, row], schema), table, streamed, batch)
+    assert maintain.compact(spark, table, streamed, stored, 2) == 2
+    back = tables.read_table(spark, table, stored)
+    assert back.count() == 4 and back.columns == schema.names
+
+
 def test_expired_folders_are_dropped(spark, inputs, tmp_path):
     path = str(tmp_path / "agg")
     rows = rollups.events_agg_all(inputs.events_raw)
@@ -81,6 +163,39 @@ def test_expired_folders_are_dropped(spark, inputs, tmp_path):
     assert maintain.drop_expired(spark, "devices", path, "2024-02-01") == []
 
 
+@pytest.mark.parametrize("start, end", [
+    (None, "2024-01-30 18:00:00"), (None, "2024-01-29 23:59:59.999999"), ("2024-01-03 07:31:12", "2024-01-24 22:10:59"), ("2024-01-03 07:31:12", None),
+    ("2024-01-05 10:10:00", "2024-01-05 10:20:00"), ("2024-01-05 10:10:00", "2024-01-05 11:20:00"), ("2024-01-05", "2024-01-05 23:59:59.999999"), ("2024-01-05", "2024-01-05"), (None, None),
+    ("2024-01-05 22:59:00", "2024-01-07 01:00:00"), ("2024-01-06", "2024-01-05"),
+])
+def test_a_range_is_made_up_of_whole_grains_and_edges(start, end):
+    found = grains.ranges(start and grains.instant(start), end and grains.instant(end))
+    first, last = grains.instant(start or "2023-12-30"), grains.instant(end or "2024-02-02")
+    at, step = grains.instant("2023-12-30"), dt.timedelta(minutes=10)
+    while at < grains.instant("2024-02-02"):
+        for moment in (at, at - dt.timedelta(microseconds=1)):
+            hits = [s for s, a, b in found if (a is None or a <= moment) and (b is None or moment < b)]
+            assert len(hits) == (first <= moment <= last or (start is None and moment < first) or (end is None and moment > last)), (moment, found)
+        at += step
+    for source, a, b in found:
+        whole = {"raw": dt.timedelta(microseconds=1), "hourly": grains.HOUR, "daily": grains.DAY}[source]
+        assert all(x is None or grains.floor(x, whole) == x for x in (a, b))
+        assert source != "raw" or b - a <= grains.HOUR + dt.timedelta(minutes=20)
+
+
+def test_statistics_read_raw_rows_of_the_edges_only(spark, inputs, tmp_path):
+    rows = tables.insert_rows(inputs.events_raw, "events_raw", NOW)
+    grains.store(rows, "events_raw", str(tmp_path))
+    stored = grains.Stored(spark, str(tmp_path))
+    plan = grains.fleet_totals(stored, "2024-01-20 13:45:00")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    raw = [line for line in scans if "received_at:timestamp" in line]
+    assert len(scans) == 3 and len(raw) == 1 and "image_url" not in raw[0]
+    assert "PartitionFilters: [isnotnull(month" in raw[0] and "PushedFilters: []" not in raw[0]
+    whole = grains.device_series(stored, "2024-01-20")._jdf.queryExecution().executedPlan().toString()
+    assert "events_raw" not in whole
+
+
 def test_expired_months(spark):
     months = spark.createDataFrame([(202310,), (202311,), (202401,)], "month int")
     assert [r.month for r in maintain.expired_months(months, 90, "2024-02-15").collect()] == [202310]
