@@ -9,6 +9,9 @@ from shutterlake.functions.times import as_column
 from shutterlake.operators import changes
 from shutterlake.schemas import SEVERITIES
 
+# Salts of the rows of one hour.
+SPREAD = 16
+
 
 def newest_first() -> list[Column]:
     return [F.desc("triggered_at"), F.asc("alert_id")]
@@ -162,20 +165,19 @@ def after_actions(notifications: DataFrame, actions: DataFrame) -> DataFrame:
 def _with_next_sweep(notifications: DataFrame, sweeps: DataFrame) -> DataFrame:
     """Notifications with `_swept`, the first sweep (acted_at) at or after their creation.
 
-    It lies in the hour of the creation, found by a window over that hour alone, or it is the first sweep of the
-    next hour that has one, found among one row per hour.
+    An as-of join by hours: each hour holds its own sweeps in order, in which a notification of that hour is
+    looked up, and the first sweep of a later hour. The hours are one row each; notifications are never ordered, and
+    those of a busy hour meet it under `SPREAD` salts.
     """
     hour = lambda at: F.date_trunc("hour", at)
-    own = notifications.withColumns({"_at": F.col("created_at"), "_hour": hour("created_at"), "_sweep": F.lit(None).cast("timestamp")})
-    rows = own.unionByName(sweeps.distinct().select(
-        F.col("acted_at").alias("_at"), hour("acted_at").alias("_hour"), F.col("acted_at").alias("_sweep")), allowMissingColumns=True)
-    later = Window.partitionBy("_hour").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    within = rows.withColumns({"_within": F.min("_sweep").over(later), "_is_sweep": F.col("_sweep").isNotNull()})
-    hours = rows.groupBy("_hour").agg(F.min("_sweep").alias("_first"))
+    held = sweeps.distinct().groupBy(hour("acted_at").alias("_hour")).agg(F.sort_array(F.collect_list("acted_at")).alias("_sweeps"))
+    hours = notifications.select(hour("created_at").alias("_hour")).distinct().join(held, "_hour", "full")
     after = Window.orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
-    following = hours.withColumn("_following", F.min("_first").over(after)).drop("_first")
+    known = hours.withColumn("_following", F.min(F.get("_sweeps", F.lit(0))).over(after)).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salted = notifications.withColumns({"_hour": hour("created_at"), "_salt": F.pmod(F.xxhash64("alert_id", "created_at"), F.lit(SPREAD)).cast("int")})
+    within = F.get(F.filter("_sweeps", lambda at: at >= F.col("created_at")), F.lit(0))
     return (
-        within.filter(~F.col("_is_sweep")).join(following, "_hour", "left")
-        .withColumn("_swept", F.coalesce("_within", "_following"))
-        .drop("_at", "_hour", "_sweep", "_within", "_is_sweep", "_following")
+        salted.join(known, ["_hour", "_salt"], "left").withColumn("_swept", F.coalesce(within, "_following"))
+        .drop("_hour", "_salt", "_sweeps", "_following")
     )

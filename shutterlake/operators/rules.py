@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,13 +71,48 @@ def invalid(rules: DataFrame) -> DataFrame:
 def current_rules(rule_changes: DataFrame) -> DataFrame:
     """Rules after all create/update/delete rows, defaults filled in."""
     fields = ["name", "enabled", "cond_type", "op", "threshold", "species", "device_id", "severity", "cooldown_s"]
-    rows = changes.patched(rule_changes, "rule_id", ["changed_at", "seq"], fields)
+    # What a change does is its `action`; logs without one say so in `op`, and cannot change a rule's operator.
+    action = "action" if "action" in rule_changes.columns else "op"
+    rows = changes.patched(rule_changes, "rule_id", ["changed_at", "seq"], fields, action)
     return rows.withColumns({
         "enabled": F.coalesce("enabled", F.lit(True)),
         "cooldown_s": F.coalesce(F.nullif("cooldown_s", F.lit(0)), F.lit(DEFAULT_COOLDOWN_S)).cast("long"),
     })
 
 
+def versions(rule_changes: DataFrame) -> DataFrame:
+    """Every state a rule has had, with the times `valid_from` (inclusive) and `valid_to` (exclusive, null: still) it held.
+
+    A rule holds from its creation on; each update patches the fields it gives, a deletion ends it, and a rule created
+    again begins with what it had. Changes of one time count as one, in order of seq.
+    """
+    order = Window.partitionBy("rule_id").orderBy("changed_at", "seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    fields = ["name", "enabled", "cond_type", "op", "threshold", "species", "device_id", "severity", "cooldown_s"]
+    states = rule_changes.withColumns({
+        **{f: F.last(f, ignorenulls=True).over(upto) for f in fields},
+        "_made": F.max(F.col("action") == "create").over(upto), "_next": F.lead("changed_at").over(order),
+    })
+    held = F.col("_made") & (F.col("action") != "delete") & (F.col("_next").isNull() | (F.col("_next") > F.col("changed_at")))
+    return states.filter(held).select(
+        "rule_id", *[c for c in fields if c not in ("enabled", "cooldown_s")], F.coalesce("enabled", F.lit(True)).alias("enabled"),
+        F.coalesce(F.nullif("cooldown_s", F.lit(0)), F.lit(DEFAULT_COOLDOWN_S)).cast("long").alias("cooldown_s"),
+        F.col("changed_at").alias("valid_from"), F.col("_next").alias("valid_to"))
+
+
+def candidates_as_of(enriched: DataFrame, rule_versions: DataFrame) -> DataFrame:
+    """`candidates` by the version of each rule that held at the event's time."""
+    number = F.concat_ws("|", "rule_id", F.unix_micros("valid_from").cast("string"))
+    named = rule_versions.withColumn("_version", number)
+    found = candidates(enriched, named.withColumn("rule_id", F.col("_version")))
+    held = named.select(F.col("_version").alias("rule_id"), F.col("rule_id").alias("_rule"), "valid_from", "valid_to")
+    at = F.col("triggered_at")
+    return (
+        found.join(held, "rule_id").filter((at >= F.col("valid_from")) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
+        .withColumn("rule_id", F.col("_rule")).drop("_rule", "valid_from", "valid_to")
+    )
+
+
 def compare(value: Column, op: Column, threshold: Column) -> Column:
     """value op threshold; an unknown operator is false."""
     return (
@@ -161,17 +196,26 @@ def lay_beside(
     its `slots`, a row is looked up under its `probes`, both per device and for
     rules of all devices. A pair that may fire meets in one slot or more;
     `fires` decides exactly and must hold in one of them only, for which it may use `_slot`.
+    Rules of all devices stand under `SPREAD` salts, of which each row draws one, so rows that
+    share a slot do not share a key.
     """
+    every = F.array(*[F.lit(k) for k in range(SPREAD)])
     placed = rules.filter(F.col("enabled")).withColumns({
         "_device": F.coalesce(given(F.col("device_id")), F.lit("")), "_slots": F.array_distinct(slots),
     })
-    entries = placed.select(*_rule_columns(), "_device", F.explode("_slots").alias("_slot"))
-    devices = F.array_distinct(F.array(F.coalesce("device_id", F.lit("")), F.lit("")))
-    looked_up = facts.withColumns({"_slots": F.array_distinct(probes), "_devices": devices})
-    keyed = looked_up.select(*facts.columns, "_devices", F.explode("_slots").alias("_slot")).select(
-        *facts.columns, "_slot", F.explode("_devices").alias("_device"))
+    salts = F.when(F.col("_device") == "", every).otherwise(F.array(F.lit(0)))
+    entries = placed.select(*_rule_columns(), "_device", F.explode("_slots").alias("_slot"), salts.alias("_salts")).select(
+        *RULE.names, "_device", "_slot", F.explode("_salts").alias("_salt"))
+    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int")
+    place = lambda device, salt: F.struct(device.alias("device"), salt.alias("salt"))
+    fleet, own = place(F.lit(""), salt), F.coalesce("device_id", F.lit(""))
+    places = F.when(own == "", F.array(fleet)).otherwise(F.array(place(own, F.lit(0)), fleet))
+    looked_up = facts.withColumns({"_slots": F.array_distinct(probes), "_places": places})
+    keyed = looked_up.select(*facts.columns, "_places", F.explode("_slots").alias("_slot")).select(
+        *facts.columns, "_slot", F.explode("_places").alias("_place")).select(
+        *facts.columns, "_slot", F.col("_place.device").alias("_device"), F.col("_place.salt").alias("_salt"))
     rule = F.struct(*RULE.names)
-    return keyed.join(entries, ["_device", "_slot"]).filter(fires(rule)).select(*RULE.names, *facts.columns)
+    return keyed.join(entries, ["_device", "_slot", "_salt"]).filter(fires(rule)).select(*RULE.names, *facts.columns)
 
 
 def pairs(facts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from shutterlake.plans.stand_in import stub_detector
 from shutterlake.plans.registry import AS_OF, ORACLES, query
 from shutterlake.session import work_folder
 from shutterlake.sources import batches, streams, tables
-from shutterlake.streaming import jobs
+from shutterlake.streaming import jobs, metrics
 
 
 class Streams(Inputs):
@@ -244,6 +244,98 @@ def _(t):
     return t.spark.read.parquet(out).select("rule_id", "device_id", "triggered_at")
 
 
+@query("l10_streamed_silences", f"""
+WITH RECURSIVE {device_queries._FEED}, w AS (SELECT max(ts) - INTERVAL 1 HOUR AS edge FROM m),
+{device_queries._SILENT_CAND.replace("FROM m)", "FROM m WHERE ts <= (SELECT edge FROM w))").replace("TIMESTAMP '2024-02-01'", "(SELECT edge FROM w)")},
+fired AS (SELECT rule_id, device_id, min(triggered_at) AS triggered_at FROM cand GROUP BY ALL
+  UNION ALL SELECT c.rule_id, c.device_id, min(c.triggered_at) FROM fired f JOIN cand c USING (rule_id, device_id)
+  WHERE c.triggered_at > f.triggered_at + INTERVAL 2 DAYS GROUP BY c.rule_id, c.device_id, f.triggered_at)
+SELECT DISTINCT rule_id, device_id, triggered_at FROM fired""", device_queries._USES)
+def _(t):
+    # A replay: the silences that last when it ends are those of an hour before its last message.
+    out, checkpoint = _folders(t)
+    started = jobs.offline(
+        Streams(t).device_messages, device_queries._offline_rules(t), out, checkpoint, interval=None, timers=True, delay="1 hour")
+    _finished(started)
+    return t.spark.read.parquet(out).select("rule_id", "device_id", "triggered_at")
+
+
+@query("x12_streamed_stale", f"""
+WITH {device_queries._FEED}, {device_queries._STATE}
+SELECT device_id, online AND last_seen_at + INTERVAL 60 SECONDS < (SELECT max(ts) FROM m WHERE ts <= :as_of) - INTERVAL 60 SECONDS AS stale, last_seen_at
+FROM state""", device_queries._USES)
+def _(t):
+    out, checkpoint = _folders(t)
+    messages = Streams(t).device_messages.filter(F.col("ts") <= F.lit(AS_OF).cast("timestamp"))
+    _finished(jobs.presence(messages, out, checkpoint, interval=None, timers=True))
+    return changes.latest(t.spark.read.parquet(out), ["device_id"], ["batch", "last_seen_at"]).select("device_id", "stale", "last_seen_at")
+
+
+@query("l7_streamed_rule_change", """
+WITH c AS (
+  SELECT 'r' AS rule_id, device_id, timestamp AS triggered_at FROM events_enriched WHERE detection_count > 0 AND timestamp < TIMESTAMP '2024-01-15'
+  UNION ALL SELECT 'q', device_id, timestamp FROM events_enriched WHERE timestamp >= TIMESTAMP '2024-01-10' AND detection_count >= 2
+  UNION ALL SELECT 'q', device_id, timestamp FROM events_enriched WHERE timestamp >= TIMESTAMP '2024-01-20' AND detection_count >= 1)
+SELECT rule_id, device_id, min(triggered_at) AS triggered_at FROM c GROUP BY ALL""", "events_enriched")
+def _(t):
+    # One rule is deleted, another made and changed; each fires once for a device.
+    out, checkpoint = _folders(t)
+    log = t.spark.createDataFrame([
+        ("r", "2024-01-01", 0, "create", "any", "detection_count", ">", 0.0, 10**9), ("r", "2024-01-15", 1, "delete", None, None, None, None, None),
+        ("q", "2024-01-10", 0, "create", "many", "detection_count", ">=", 2.0, 10**9), ("q", "2024-01-20", 1, "update", None, None, None, 1.0, None),
+    ], "rule_id string, changed string, seq int, action string, name string, cond_type string, op string, threshold double, cooldown_s long")
+    changed = log.withColumn("changed_at", F.col("changed").cast("timestamp")).withColumns({
+        "severity": F.lit("info"), "enabled": F.lit(None).cast("boolean"), "species": F.lit(None).cast("array<string>"), "device_id": F.lit(None).cast("string")})
+    _finished(jobs.alert_as_of(Streams(t).events_enriched, lambda: changed, t.channels, out, checkpoint, AS_OF, interval=None))
+    return t.spark.read.parquet(f"{out}/alerts").select("rule_id", "device_id", "triggered_at")
+
+
+@query("a24_job_counters", """
+SELECT 'ingest' AS job, count(*) AS consumed, count(*) FILTER (NOT (bad = 'json' OR seq % 17 = 0 OR seq % 19 = 0)) AS processed,
+  count(*) FILTER (bad = 'json' OR seq % 17 = 0 OR seq % 19 = 0) AS errors, 0 AS detections, 2 AS batches FROM raw_messages""", "raw_messages")
+def _(t):
+    # The job stops after one half of the messages; what starts again from its checkpoint goes on counting.
+    out, checkpoint = _folders(t)
+    folder = f"{work_folder(t.spark, 'topic')}/in"
+    for half in range(2):
+        t.raw_messages.filter(F.pmod("seq", F.lit(2)) == half).select("value").coalesce(1).write.mode("append").parquet(folder)
+        messages = streams.source(t.spark, "parquet", path=folder, schema="value string")
+        _finished(jobs.ingest(messages, out, checkpoint, AS_OF, interval=None))
+    return metrics.totals(batches.read(t.spark, "job_counters", f"{out}/job_counters", marks=out)).drop("healthy")
+
+
+@query("x10_late_rows", """
+SELECT device_id, CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS aggregation_window, count(*) AS image_count,
+  CAST(sum(image_size) AS BIGINT) AS total_size_bytes, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM events_raw GROUP BY ALL""", "events_raw")
+def _(t):
+    # Hours come in three batches, each as old as the others: two of three are behind any watermark, and count.
+    out, _ = _folders(t)
+    rows = tables.insert_rows(t.events_raw, "events_raw", AS_OF)
+    hour = F.expr("unix_seconds(timestamp) div 3600")
+    for batch in range(3):
+        jobs.write_batch(rollups.partials(rows.filter(F.pmod(hour, F.lit(3)) == 2 - batch), "hourly"), "partials_hourly", f"{out}/partials_hourly", batch)
+        batches.finish(t.spark, out, batch)
+    seen = rollups.combine(batches.read(t.spark, "partials_hourly", f"{out}/partials_hourly", marks=out))
+    return seen.select("device_id", "aggregation_window", "image_count", "total_size_bytes", "first_seen", "last_seen")
+
+
+@query("s8_stored_days", """
+SELECT device_id, shot_id, timestamp, image_url FROM events_raw WHERE CAST(received_at AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-12'""", "events_raw")
+def _(t):
+    base = work_folder(t.spark, "stored")
+    tables.write_table(tables.insert_rows(t.events_raw, "events_raw", AS_OF), "events_raw", base)
+    return tables.read_table(t.spark, "events_raw", base, "2024-01-08", "2024-01-12").select("device_id", "shot_id", "timestamp", "image_url")
+
+
+@query("r4_lookup_by_shot", """
+SELECT device_id, shot_id, timestamp FROM events_raw WHERE shot_id IN (SELECT min(shot_id) FROM events_raw WHERE shot_id <> '' GROUP BY device_id)""", "events_raw")
+def _(t):
+    base = work_folder(t.spark, "stored")
+    tables.write_table(tables.insert_rows(t.events_raw, "events_raw", AS_OF), "events_raw", base)
+    wanted = t.events_raw.filter("shot_id <> ''").groupBy("device_id").agg(F.min("shot_id").alias("shot_id")).select("shot_id").distinct()
+    return tables.read_table(t.spark, "events_raw", base).join(wanted, "shot_id", "left_semi").select("device_id", "shot_id", "timestamp")
+
+
 @query("x15_streamed_enrichment")
 def _(t):
     out, checkpoint = _folders(t)

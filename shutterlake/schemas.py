@@ -150,6 +150,9 @@ TABLES = {
         ["name"],
     ),
     "rejects": Table(schema("value string, reason string, processing_date date"), [], "processing_date", 30),
+    "job_counters": Table(
+        schema("job string, number long, consumed long, processed long, errors long, detections long"), ["job", "number"],
+    ),
     "notification_logs": Table(
         schema("type string, channel string, alert_id string, status string, created_at timestamp"), ["alert_id"], "created_at", 180,
     ),

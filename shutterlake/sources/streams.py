@@ -13,16 +13,26 @@ ENRICHED_TOPIC = "events.enriched"
 # Fixed value: the source named in message headers.
 SOURCE_HEADER = "iot-backend"
 # Defaults of what one trigger takes: rows of a topic, files of a folder. They
-# bound a micro-batch, lose nothing, and None lifts them.
+# bound a micro-batch, lose nothing, and None lifts them. A topic may also wait
+# for a least number of rows, but no longer than a given time; files are also
+# bounded by their bytes.
 ROWS_PER_TRIGGER = 1_000_000
 FILES_PER_TRIGGER = 1_000
 
 
+def size_or_time(least_rows: int | None, longest_wait: str | None) -> dict[str, str]:
+    """Options of a topic whose batches wait for rows, but not for ever."""
+    if least_rows is None:
+        return {}
+    return {"minOffsetsPerTrigger": str(least_rows), "maxTriggerDelay": longest_wait or "5s"}
+
+
 def source(
     spark: SparkSession, kind: str, *, topic: str = RAW_TOPIC, path: str | None = None,
     schema: T.StructType | str | None = None, servers: str | None = None,
     group_id: str | None = None, starting: str = "latest", rows_per_trigger: int | None = ROWS_PER_TRIGGER,
-    files_per_trigger: int | None = FILES_PER_TRIGGER, **options: str,
+    files_per_trigger: int | None = FILES_PER_TRIGGER, least_rows: int | None = None, longest_wait: str | None = None,
+    bytes_per_trigger: str | None = None, **options: str,
 ) -> DataFrame:
     """A stream of messages with a `value` column.
 
@@ -38,13 +48,18 @@ def source(
         )
         if rows_per_trigger:
             reader = reader.option("maxOffsetsPerTrigger", rows_per_trigger)
+        for name, value in size_or_time(least_rows, longest_wait).items():
+            reader = reader.option(name, value)
         if group_id:
             reader = reader.option("kafka.group.id", group_id)
     elif kind in ("text", "json", "parquet"):
         reader = reader.format(kind)
         if schema is not None:
             reader = reader.schema(schema)
-        if files_per_trigger:
+        # The source knows one of the two bounds.
+        if bytes_per_trigger:
+            reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+        elif files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:
         raise ValueError(f"kind must be kafka, text, json or parquet, not {kind!r}")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shutterlake.functions.times import as_column
-from shutterlake.operators import alerts, decode, grains, rollups, rules, scoring
+from shutterlake.operators import alerts, cooldown, decode, grains, rollups, rules, scoring
 from shutterlake.sources import batches, tables
 from shutterlake.streaming import metrics, state
 
@@ -90,6 +90,7 @@ def ingest(
                 for grain, name in family.tables().items():
                     outputs[name] = family.build(raw, grain)
             outputs["rejects"] = decode.rejects(batch).withColumn("processing_date", F.to_date(as_column(now)))
+            outputs["job_counters"] = metrics.batch_row(batch, counters, batch_id, valid)
             tables.fan_out(outputs, lambda df, table: write_batch(df, table, f"{out}/{table}", batch_id), disabled)
             batches.finish(messages.sparkSession, out, batch_id)
         finally:
@@ -132,6 +133,8 @@ def enrich(
                 write_batch(rollups.detected(rows, grain), name, f"{out}/{name}", batch_id)
             rejected = scoring.unscored(batch)
             with_retries(lambda: rejected.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}"))
+            found = metrics.batch_row(batch, counters, batch_id, F.col("detections").isNotNull(), F.col("detection_count"))
+            write_batch(found, "job_counters", f"{out}/job_counters", batch_id)
             batches.finish(raw.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
@@ -166,8 +169,7 @@ def alert(
 ) -> StreamingQuery:
     """Enriched events → rules → cooldown → alerts, in-app notifications and delivery log.
 
-    Rules are read when the job starts; restart it (same checkpoint) to pick up
-    changed ones. Open alerts of `history`, stored before the job began, block;
+    Rules are read when the job starts (see `alert_as_of` for rules that change while it runs). Open alerts of `history`, stored before the job began, block;
     a row of the `resolutions` stream ends the block of its alert.
     """
     fired = state.cooldown_stream(rules.candidates(enriched, rule_rows), history, resolutions)
@@ -187,27 +189,66 @@ def alert(
     return start(made, each, checkpoint, interval=interval)
 
 
+def alert_as_of(
+    enriched: DataFrame, rule_changes: Callable[[], DataFrame], channels: DataFrame, out: str, checkpoint: str, now, *,
+    history: Callable[[], DataFrame] | None = None, interval: str | None = INTERVAL,
+) -> StreamingQuery:
+    """As `alert`, by rules that change while the job runs: an event meets the version that held at its time.
+
+    `rule_changes` gives the log of changes as it is now (rule_id, changed_at, seq, action and the rule's
+    fields), and is asked for every micro-batch. What the pairs fired before is read from the alerts that finished
+    batches of this job have written, or from `history`, which also knows what was resolved since; so the job
+    has no state but its tables, and a batch replayed gives the same alerts by the same log.
+    """
+    spark = enriched.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        versions = rules.versions(rule_changes())
+        found = rules.candidates_as_of(batch, versions)
+        batches.sum_up_marks(spark, out)
+        before = history() if history else batches.read(spark, "alerts", f"{out}/alerts", marks=out)
+        made = rules.as_alerts(cooldown.apply_cooldown(found, before), now).persist()
+        try:
+            write_batch(made, "alerts", f"{out}/alerts", batch_id)
+            outbox = alerts.outbox(made, channels)
+            write_batch(alerts.in_app(outbox, now), "in_app_notifications", f"{out}/in_app_notifications", batch_id)
+            write_batch(alerts.delivery_log(outbox, now), "notification_logs", f"{out}/notification_logs", batch_id)
+            batches.finish(spark, out, batch_id)
+        finally:
+            made.unpersist()
+
+    return start(enriched, each, checkpoint, interval=interval)
+
+
 def presence(
-    messages: DataFrame, out: str, checkpoint: str, *, interval: str | None = INTERVAL
+    messages: DataFrame, out: str, checkpoint: str, *, interval: str | None = INTERVAL, timers: bool | None = None,
+    delay: str = state.DELAY,
 ) -> StreamingQuery:
-    """Device messages → device states, one row per changed device and batch."""
+    """Device messages → device states, one row per changed device and batch.
+
+    Silent devices are reported by timers, by default in a job that runs on.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, "devices", out, batch_id)
 
-    states = state.presence_stream(messages, timers=interval is not None)
+    states = state.presence_stream(messages, timers=interval is not None if timers is None else timers, delay=delay)
     return start(states, each, checkpoint, interval=interval, mode="update")
 
 
 def offline(
-    messages: DataFrame, rule_rows: DataFrame, out: str, checkpoint: str, *, interval: str | None = INTERVAL
+    messages: DataFrame, rule_rows: DataFrame, out: str, checkpoint: str, *, interval: str | None = INTERVAL,
+    timers: bool | None = None, delay: str = state.DELAY,
 ) -> StreamingQuery:
-    """Device messages → alerts for silences beyond the device_offline rules' thresholds."""
+    """Device messages → alerts for silences beyond the device_offline rules' thresholds.
+
+    Silences that last are reported by timers, by default in a job that runs on.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with_retries(lambda: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 
-    fired = state.offline_stream(messages, rule_rows, timers=interval is not None)
+    fired = state.offline_stream(messages, rule_rows, interval is not None if timers is None else timers, delay)
     return start(fired, each, checkpoint, interval=interval)
 
 

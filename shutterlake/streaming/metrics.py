@@ -20,6 +20,21 @@ def counted(df: DataFrame, name: str, valid: Column, detections: Column | None =
     )
 
 
+def batch_row(batch: DataFrame, job: str, batch_id: int, valid: Column, detections: Column | None = None) -> DataFrame:
+    """A micro-batch's counters as the row that is stored with it under its number; a replayed batch replaces it."""
+    found = F.lit(0) if detections is None else F.coalesce(detections, F.lit(0))
+    return batch.agg(
+        F.count(F.lit(1)).alias("consumed"), F.count_if(valid).alias("processed"), F.count_if(~valid).alias("errors"),
+        F.coalesce(F.sum(found), F.lit(0)).cast("long").alias("detections"),
+    ).select(F.lit(job).alias("job"), F.lit(batch_id).cast("long").alias("number"), *COUNTERS)
+
+
+def totals(counters: DataFrame) -> DataFrame:
+    """Per job the sums over all stored batches: what it has done in all its runs."""
+    return counters.groupBy("job").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.count(F.lit(1)).alias("batches")).withColumn(
+        "healthy", F.col("errors") < F.col("processed") / 10)
+
+
 class JobCounters(StreamingQueryListener):
     """Adds up the observed counters of one job over all its batches."""
 

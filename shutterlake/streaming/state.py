@@ -20,9 +20,13 @@ from shutterlake.operators.admission import LONG_AGO, Admission, tie
 from shutterlake.operators.cooldown import NEVER, not_suppressed
 from shutterlake.operators.devices import DEFAULT_INTERVAL_S, STALE_AFTER_S, parsed, presence_fields
 from shutterlake.functions.times import device_timestamp
+from shutterlake.operators.rules import pairs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# How late a device's message may come.
+DELAY = "1 minute"
+
 
 def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(batches)
@@ -174,27 +178,37 @@ def _presence_group(key, batches, state):
 
 
 def _timed_presence_group(key, batches, state):
-    yield from _presence_group(key, batches, state)
-    if state.exists and not state.hasTimedOut and state.get[0]:
-        state.setTimeoutDuration(STALE_AFTER_S * 1000)
-
-
-def presence_stream(messages: DataFrame, timers: bool = True) -> DataFrame:
+    for out in _presence_group(key, batches, state):
+        device = dict(zip(_NAMES, state.get))
+        if device["online"] and not device["stale"]:
+            due = (device["last_seen_at"] + STALE_AFTER_S * 1_000_000) // 1000
+            now = state.getCurrentWatermarkMs()
+            if due < now:  # an older message than others of its batch: the minute is over already
+                device["stale"] = True
+                state.update(tuple(device[name] for name in _NAMES))
+                out = out.assign(stale=True)
+            else:
+                state.setTimeoutTimestamp(max(due, now + 1))
+        yield out
+
+
+def presence_stream(messages: DataFrame, timers: bool = True, delay: str = DELAY) -> DataFrame:
     """One row per device whose state changed in the micro-batch.
 
-    Rows of later batches replace earlier ones (`changes.latest` by
+    Rows of later batches replace earlier ones (`changes.latest` by batch and
     last_seen_at). With `timers` an online device silent for a minute is
-    reported stale; a job that drains what is there and stops has none, since
-    it would wait for them for ever.
+    reported stale. The minute is measured in the messages' own time, behind a
+    watermark of `delay`, so a replay of a day tells what the day itself told.
     """
-    rows = parsed(messages).select(
-        "device_id", F.unix_micros("ts").alias("at"), "seq", "kind",
+    timed = messages.withWatermark("ts", delay) if timers else messages
+    rows = parsed(timed).select(
+        "device_id", "ts", F.unix_micros("ts").alias("at"), "seq", "kind",
         F.to_json(F.struct(*[c.alias(n) for n, c in presence_fields(F.col("kind"), F.col("fields")).items()])).alias("fields"),
     )
     states = rows.groupBy("device_id").applyInPandasWithState(
         _timed_presence_group if timers else _presence_group,
         f"device_id string, {_STATE}", _STATE, "update",
-        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout if timers else GroupStateTimeout.NoTimeout,
     )
     times = ("last_seen_at", "online_since", "first_seen_at")
     return states.withColumns({name: F.timestamp_micros(name) for name in times})
@@ -202,65 +216,66 @@ def presence_stream(messages: DataFrame, timers: bool = True) -> DataFrame:
 
 # ---- silence alerts -----------------------------------------------------
 
-def offline_group(rule_rows: list[dict], timers: bool):
-    """State function: alerts for silences of a device beyond each rule's threshold.
+def _silence_group(timers: bool):
+    """State function of a (rule, device) pair: alerts for silences of the device beyond the rule's threshold.
 
-    The state is the last message's time and, per rule, until when it is
-    blocked and for which silence it has been judged. A silence is noticed by
-    the next message, or by the timer while it lasts.
+    The state is the last message's time, whether its silence is judged, until when the pair is
+    blocked, and the messages that are not behind the watermark yet: they are taken in order of
+    time once it has passed them, so what comes out of order within the delay does no harm. A silence is noticed by the
+    next message or when the watermark passes its threshold.
     """
 
-    def judge(device, last, until, blocked, judged, out):
-        for i, rule in enumerate(rule_rows):
-            if rule["device_id"] and rule["device_id"] != device:
-                continue
-            passed = last + int(rule["threshold"] * 1_000_000)
-            if until > passed and judged[i] != last:
-                judged[i] = last
-                if passed > blocked[i]:
-                    blocked[i] = passed + rule["cooldown_s"] * 1_000_000
-                    out.append((rule["rule_id"], rule["name"], rule["severity"], device, passed))
-
     def group(key, batches, state):
-        n = len(rule_rows)
-        last, blocked, judged = state.get if state.exists else (None, [NEVER] * n, [NEVER] * n)
-        blocked, judged, out = list(blocked), list(judged), []
-        if state.hasTimedOut:
-            now = state.getCurrentProcessingTimeMs() * 1000
-            judge(key[0], last, now, blocked, judged, out)
-        else:
-            now = None
-            for at in _in_order(batches, ["at"])["at"]:
-                if last is not None:
-                    judge(key[0], last, int(at), blocked, judged, out)
-                last = int(at)
-        state.update((last, blocked, judged))
-        if timers:
-            now = state.getCurrentProcessingTimeMs() * 1000 if now is None else now
-            waits = [
-                last + int(rule["threshold"] * 1_000_000) - now
-                for i, rule in enumerate(rule_rows) if judged[i] != last
-            ]
-            if waits:
-                state.setTimeoutDuration(max(1000, min(waits) // 1000 + 1))
+        last, judged, blocked, pending, threshold, cooldown, name, severity = (
+            state.get if state.exists else (None, False, NEVER, [], 0, 0, None, None))
+        pending = [int(at) for at in pending]
+        if not state.hasTimedOut:
+            for rows in batches:
+                pending += [int(at) for at in rows["at"]]
+                threshold, cooldown, name, severity = (rows[c].iloc[0] for c in ("threshold", "cooldown_s", "name", "severity"))
+        wait, rest, out = int(float(threshold) * 1_000_000), int(cooldown) * 1_000_000, []
+        now = state.getCurrentWatermarkMs() * 1000 if timers else None
+
+        def judge(until):
+            nonlocal judged, blocked
+            if last is not None and not judged and until > last + wait:
+                judged = True
+                if last + wait > blocked:
+                    blocked = last + wait + rest
+                    out.append((key[0], name, severity, key[1], last + wait))
+
+        pending.sort()
+        ready = len(pending) if now is None else next((i for i, at in enumerate(pending) if at > now), len(pending))
+        for at in pending[:ready]:
+            judge(at)
+            if last is None or at > last:
+                last, judged = at, False
+        del pending[:ready]
+        if now is not None:
+            judge(now)
+        state.update((last, judged, blocked, pending, float(threshold), int(cooldown), name, severity))
+        due = [*pending[:1], *([last + wait] if last is not None and not judged else [])]
+        if timers and due:
+            state.setTimeoutTimestamp(max(min(due) // 1000, now // 1000 + 1))
         yield pd.DataFrame(out, columns=["rule_id", "name", "severity", "device_id", "at"])
 
     return group
 
 
-def offline_stream(messages: DataFrame, rule_rows: DataFrame, timers: bool = True) -> DataFrame:
-    """Streaming form of `rules.silence_candidates` with its cooldown.
+def offline_stream(messages: DataFrame, rule_rows: DataFrame, timers: bool = True, delay: str = DELAY) -> DataFrame:
+    """Streaming form of `rules.silence_candidates` with its cooldown: a state per rule and device it watches.
 
-    The rules are read when the job starts; a device's state grows with their number.
+    With `timers` a silence is also reported while it lasts, when a watermark of `delay` behind the messages of
+    all devices passes the rule's threshold.
     """
-    wanted = rule_rows.filter(F.col("enabled") & (F.col("cond_type") == "device_offline")).select(
-        "rule_id", "name", "severity", "device_id", F.col("threshold").cast("double"), F.col("cooldown_s").cast("long")
-    )
-    constant = [row.asDict() for row in wanted.collect()]
-    rows = parsed(messages).select("device_id", F.unix_micros("ts").alias("at"))
-    fired = rows.groupBy("device_id").applyInPandasWithState(
-        offline_group(constant, timers), "rule_id string, name string, severity string, device_id string, at bigint",
-        "last bigint, blocked array<bigint>, judged array<bigint>", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout,
+    watching = rule_rows.filter(F.col("cond_type") == "device_offline")
+    timed = messages.withWatermark("ts", delay) if timers else messages
+    rows = pairs(parsed(timed).select("device_id", "ts"), watching)
+    fired = rows.select(
+        "rule_id", "device_id", "ts", F.unix_micros("ts").alias("at"), "threshold", "cooldown_s", "name", "severity",
+    ).groupBy("rule_id", "device_id").applyInPandasWithState(
+        _silence_group(timers), "rule_id string, name string, severity string, device_id string, at bigint",
+        "last bigint, judged boolean, blocked bigint, pending array<bigint>, threshold double, cooldown bigint, name string, severity string", "append",
+        GroupStateTimeout.EventTimeTimeout if timers else GroupStateTimeout.NoTimeout,
     )
     return fired.withColumn("triggered_at", F.timestamp_micros("at")).drop("at")

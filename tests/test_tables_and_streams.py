@@ -318,38 +318,125 @@ class FakeState:
     def update(self, value):
         self.value, self.exists = value, True
 
-    def setTimeoutDuration(self, ms):
+    watermark = 0
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.watermark
         self.timeout = ms
 
 
 def test_presence_timer_marks_a_silent_device_stale():
-    rows = pd.DataFrame({"at": [1], "seq": [1], "kind": ["online"], "fields": ['{"online":"true"}']})
+    rows = pd.DataFrame({"at": [1_000_000], "seq": [1], "kind": ["online"], "fields": ['{"online":"true"}']})
     st = FakeState()
     assert list(state._timed_presence_group(("d",), iter([rows]), st))[0].online[0]
-    assert st.timeout == 60_000
+    assert st.timeout == 61_000
     silent = FakeState(st.value, timed_out=True)
+    silent.watermark = 61_001
     out = list(state._timed_presence_group(("d",), iter([]), silent))[0]
     assert out.stale[0] and silent.timeout is None
+    # A message whose minute is over when it comes, as one of an old batch.
+    late = FakeState()
+    late.watermark = 100_000
+    assert list(state._timed_presence_group(("d",), iter([rows]), late))[0].stale[0] and late.timeout is None
 
 
-def test_offline_timer_fires_once_per_silence():
-    rule_rows = [{"rule_id": "r", "name": "n", "severity": "info", "device_id": None, "threshold": 10.0, "cooldown_s": 0}]
-    group = state.offline_group(rule_rows, timers=True)
-
-    class Clock(FakeState):
-        now = 0
+def silence(*at):
+    return pd.DataFrame({"at": [a * 1_000_000 for a in at], "threshold": 10.0, "cooldown_s": 5, "name": "n", "severity": "info"})
 
-        def getCurrentProcessingTimeMs(self):
-            return self.now
 
-    st = Clock()
-    assert list(group(("d",), iter([pd.DataFrame({"at": [0]})]), st))[0].empty
-    assert st.timeout == 10_001
-    st.now, st.hasTimedOut = 11_000, True
-    assert list(group(("d",), iter([]), st))[0]["at"].tolist() == [10_000_000]
+def test_offline_timer_fires_once_per_silence():
+    group, st = state._silence_group(True), FakeState()
+    fired = lambda rows=(): [int(a) // 1_000_000 for f in group(("r", "d"), iter(rows), st) for a in f["at"]]
+    assert fired([silence(0)]) == [] and st.timeout == 10_000
+    st.watermark, st.hasTimedOut = 10_001, True
+    assert fired() == [10]
     st.hasTimedOut = False
-    late = pd.DataFrame({"at": [30_000_000, 50_000_000]})
-    assert list(group(("d",), iter([late]), st))[0]["at"].tolist() == [40_000_000]
+    # Out of order within the delay: the message at 33 comes after those at 45 and 60.
+    assert fired([silence(45, 30, 60)]) == []
+    assert fired([silence(33)]) == [] and st.timeout == 30_000
+    st.watermark, st.hasTimedOut = 61_000, True
+    assert fired() == [43, 55] and st.timeout == 70_000
+    st.watermark = 70_000
+    assert fired() == []
+    st.watermark = 70_001
+    assert fired() == [70] and fired() == []
+
+
+def test_silences_without_timers_need_the_next_message():
+    group, st = state._silence_group(False), FakeState()
+    fired = lambda *at: [int(a) // 1_000_000 for f in group(("r", "d"), iter([silence(*at)]), st) for a in f["at"]]
+    assert fired(0) == [] and fired(30, 12) == [10, 22] and fired(31) == [] and st.timeout is None
+
+
+def test_a_replayed_day_gives_the_silences_of_the_day(spark, inputs, tmp_path):
+    """Messages in files of hours, taken one by one with timers, against the batch rule as of the last watermark."""
+    from shutterlake.operators import devices, rules
+
+    schema = inputs.device_messages.schema
+    messages = inputs.device_messages.filter("ts < timestamp'2024-01-12'")
+    edges = [dt.datetime(2024, 1, 1) + k * dt.timedelta(days=1) for k in range(12)]
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = messages.filter((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high)))
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{k:02d}"))
+    rule = inputs.alert_rules.filter("rule_id = 'r1'").withColumns({
+        "cond_type": F.lit("device_offline"), "threshold": F.lit(20_000.0), "cooldown_s": F.lit(60).cast("long"), "species": F.lit(None).cast("array<string>")})
+    stream = streams.source(spark, "parquet", path=str(tmp_path / "in/*"), schema=schema, files_per_trigger=1)
+    jobs.offline(stream, rule, str(tmp_path / "out"), str(tmp_path / "cp"), interval=None, timers=True, delay="2 hours").awaitTermination()
+    found = {(r.device_id, r.triggered_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    as_of = messages.agg(F.max("ts")).first()[0] - dt.timedelta(hours=2)
+    from shutterlake.operators import cooldown
+    known = rules.silence_candidates(devices.gaps(messages.filter(F.col("ts") <= F.lit(as_of))), rule, as_of)
+    expected = {(r.device_id, r.triggered_at) for r in cooldown.apply_cooldown(known).collect()}
+    assert found == expected and len(expected) > 10
+
+
+def test_a_rule_changed_in_mid_stream_acts_from_then_on(spark, inputs, tmp_path):
+    event = lambda minute, count: ("d", dt.datetime(2024, 1, 1, 0, minute), "", "", count, "[]")
+    schema = "device_id string, timestamp timestamp, shot_id string, image_url string, detection_count int, detections string"
+    log = [("r", dt.datetime(2024, 1, 1), 0, "create", "n", True, "detection_count", ">", 5.0, None, None, "info", 60)]
+    fields = ("rule_id string, changed_at timestamp, seq int, action string, name string, enabled boolean, cond_type string, op string, "
+              "threshold double, species array<string>, device_id string, severity string, cooldown_s long")
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
+    arrive(event(0, 3), event(1, 6))
+    stream = streams.source(spark, "parquet", path=src, schema=schema)
+    query = jobs.alert_as_of(stream, lambda: spark.createDataFrame(log, fields), inputs.channels, out, str(tmp_path / "cp"), NOW, interval="1 second")
+    try:
+        query.processAllAvailable()
+        # The running job is not restarted; an event from before the change comes late and meets the old version.
+        log.append(("r", dt.datetime(2024, 1, 1, 0, 10), 1, "update", None, None, None, None, 2.0, None, None, "critical", None))
+        arrive(event(9, 3), event(10, 3), event(12, 1))
+        query.processAllAvailable()
+        log.append(("r", dt.datetime(2024, 1, 1, 0, 20), 2, "delete", *[None] * 9))
+        arrive(event(10, 4), event(19, 3), event(20, 9))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    made = batches.read(spark, "alerts", f"{out}/alerts", marks=out).select("triggered_at", "severity").collect()
+    assert sorted((r.triggered_at.minute, r.severity) for r in made) == [(1, "info"), (10, "critical"), (19, "critical")]
+
+
+def test_batches_of_files_are_bounded_by_number_and_bytes(spark, tmp_path):
+    for k in range(6):
+        spark.range(1000).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    size = sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / "in/*.json"))) // 6
+
+    def sizes(name, **bound):
+        found = []
+        rows = streams.source(spark, "json", path=str(tmp_path / "in"), schema="id long", **bound)
+        jobs.start(rows, lambda b, _: found.append(b.count()), str(tmp_path / name), interval=None).awaitTermination()
+        return [n for n in found if n]
+
+    assert sizes("a", files_per_trigger=4) == [4000, 2000]
+    by_bytes = sizes("b", bytes_per_trigger=str(2 * size + 10))
+    assert sum(by_bytes) == 6000 and len(by_bytes) == 3
+    assert streams.size_or_time(500, "2s") == {"minOffsetsPerTrigger": "500", "maxTriggerDelay": "2s"} and streams.size_or_time(None, None) == {}
 
 
 def test_datasets_are_written_and_read(spark, inputs, tmp_path):
