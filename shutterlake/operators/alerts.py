@@ -43,8 +43,12 @@ def with_status(alerts: DataFrame, status_changes: DataFrame) -> DataFrame:
     ).drop("_status")
 
 
-def history_page(alerts: DataFrame, number: int = 1, size: int = 20, **given) -> DataFrame:
-    return changes.page(changes.where_eq(alerts, **given), newest_first(), number, size)
+def history_page(alerts: DataFrame, number: int = 1, size: int = 20, deep: int = 10_000, **given) -> DataFrame:
+    """A page of alerts, newest first; one that skips more than `deep` rows is located by counts per day."""
+    rows = changes.where_eq(alerts, **given)
+    if (number - 1) * size > deep:
+        return changes.page_by_days(rows, "triggered_at", newest_first(), number, size)
+    return changes.page(rows, newest_first(), number, size)
 
 
 def by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
@@ -141,6 +145,11 @@ def notifications_page(notifications: DataFrame, number: int = 1, size: int = 20
     return changes.page(changes.where_eq(notifications, **given), order, number, size)
 
 
+def notifications_totals(notifications: DataFrame, size: int = 20, **given) -> DataFrame:
+    """Total rows and pages under the same filters as the page."""
+    return changes.page_totals(changes.where_eq(notifications, **given), size)
+
+
 def unread_count(notifications: DataFrame) -> DataFrame:
     return notifications.filter(~F.col("read")).agg(F.count("*").alias("count"))
 

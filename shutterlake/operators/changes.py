@@ -65,6 +65,30 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_by_days(
+    df: DataFrame, time: str, order: list[Column], number: int, size: int, descending: bool = True, counts: DataFrame | None = None,
+) -> DataFrame:
+    """`page` of rows whose order begins with `time`, sorting only the days that the page lies in.
+
+    The rows of each day are counted first, or taken from `counts` (day, n) where that is stored; the days
+    before the page are skipped by their counts, so a deep page costs no more than one near the start.
+    """
+    day = F.to_date(time)
+    days = df.groupBy(day.alias("day")).agg(F.count("*").alias("n")) if counts is None else counts
+    skip = (number - 1) * size
+    # One row per day in the window without a partition.
+    upto = F.sum("n").over(Window.orderBy(F.desc("day") if descending else F.asc("day")))
+    held = days.groupBy("day").agg(F.sum("n").alias("n")).withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    hit = held.filter((F.col("upto") > skip) & (F.col("before") < skip + size)).agg(
+        F.min("day").alias("low"), F.max("day").alias("high"), F.min("before").alias("before"), F.count_if(F.col("day").isNull()).alias("unknown")).first()
+    if hit["before"] is None:
+        return df.limit(0)
+    if hit["unknown"]:
+        return page(df, order, number, size)
+    inside = (F.col(time) >= F.lit(hit["low"]).cast("timestamp")) & (F.col(time) < F.date_add(F.lit(hit["high"]), 1).cast("timestamp"))
+    return df.filter(inside).orderBy(*order).offset(skip - hit["before"]).limit(size)
+
+
 def page_totals(df: DataFrame, size: int) -> DataFrame:
     """One row: total rows and pages."""
     return df.agg(F.count("*").alias("total")).withColumn(

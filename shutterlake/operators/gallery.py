@@ -95,6 +95,10 @@ def matching(
     return rows.filter(some if has_detections else ~some)
 
 
+# No page is larger, since its rows pass the driver; and pages that skip more rows than this are located by days.
+LARGEST_PAGE = 1000
+DEEP = 10_000
+
 SORT_COLUMNS = {"timestamp": "timestamp", "detections": "detection_count", "size": "image_size"}
 
 
@@ -106,27 +110,39 @@ def _order(sort_by: str, descending: bool) -> list[Column]:
 
 def page(
     raw: DataFrame, enriched: DataFrame, *, number: int = 1, size: int = 12,
-    sort_by: str = "timestamp", descending: bool = True, public_domain: str | None = None, **filters,
+    sort_by: str = "timestamp", descending: bool = True, public_domain: str | None = None, deep: int = DEEP,
+    days: DataFrame | None = None, **filters,
 ) -> DataFrame:
     """One page of shaped gallery rows.
 
+    A page by time that skips more than `deep` rows is located by counts per day (`days` if they are stored
+    under the same filters), so that only its own days are sorted.
+
     When neither filter nor order looks at detections, the page is cut from the
     raw events at once and only its few shots are looked up among the enriched
     ones, so the large join never happens.
     """
+    if size > LARGEST_PAGE:
+        raise ValueError(f"a page has at most {LARGEST_PAGE} rows, not {size}")
+
+    def cut_page(rows: DataFrame) -> DataFrame:
+        if SORT_COLUMNS.get(sort_by, "timestamp") == "timestamp" and (number - 1) * size > deep:
+            return changes.page_by_days(rows, "timestamp", order, number, size, descending, days)
+        return changes.page(rows, order, number, size)
+
     by_detections = sort_by == "detections" or any(
         filters.get(name) is not None for name in ("has_detections", "min_confidence", "species")
     )
     order = _order(sort_by, descending)
     if by_detections:
-        rows = changes.page(matching(raw, enriched, **filters), order, number, size)
+        rows = cut_page(matching(raw, enriched, **filters))
     else:
         kept = raw.filter(_raw_filter(
             filters.get("device_id"), filters.get("start_date"), filters.get("end_date"), filters.get("search")
         ))
         # At most `size` rows, whatever the data: taken once, so that their shots reach the scan of the
         # enriched table as values, and with them its statistics and bloom filters.
-        cut = kept.sparkSession.createDataFrame(changes.page(kept, order, number, size).collect(), kept.schema)
+        cut = kept.sparkSession.createDataFrame(cut_page(kept).collect(), kept.schema)
         shots = [row["shot_id"] for row in cut.select("shot_id").distinct().collect() if row["shot_id"]]
         few = enriched.filter(F.col("shot_id").isin(shots))
         rows = with_detections(cut, few).orderBy(*order).limit(size)

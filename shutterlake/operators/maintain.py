@@ -32,7 +32,7 @@ def unexpired(df: DataFrame, table: str, as_of) -> DataFrame:
 def expired_months(months: DataFrame, days: int, as_of) -> DataFrame:
     """Month partitions (column `month`, yyyyMM) that lie wholly outside the retention.
 
-    These can be dropped as folders; only the month on the edge is rewritten.
+    These can be dropped as folders; only the month on the edge is rewritten (`expire`).
     """
     edge = F.date_format(F.date_sub(F.to_date(as_column(as_of)), days), "yyyyMM")
     return months.filter(F.col("month").cast("string") < edge)
@@ -81,19 +81,22 @@ def compact(spark, table: str, streamed: str, stored: str, before_batch: int, ma
 
 def _put_in_place(spark, table: str, streamed: str, stored: str, staged: str) -> None:
     """Finish a fold that is staged whole, drop one that is not, and delete batches that are folded."""
-    ready = [int(name) for name in batches.names(spark, f"{staged}/{READY}")]
-    if ready:
-        rows = spark.read.parquet(staged)
-        keep = [name for name in rows.columns if name != "month"]
-        tables.write_table(rows, table, stored, mode="overwrite", columns=keep)
-        batches.touch(spark, f"{stored}/{batches.FOLDED}/{ready[0]}")
-    batches.delete(spark, staged)
+    _replace(spark, table, stored, staged, lambda number: batches.touch(spark, f"{stored}/{batches.FOLDED}/{number}"))
     folded = batches.folded_below(spark, stored)
     for batch, at in batches.streamed(spark, streamed).items():
         if batch < folded:
             batches.delete(spark, at)
 
 
+def _replace(spark, table: str, stored: str, staged: str, note=lambda number: None) -> None:
+    """Put months that are staged whole in place of the stored ones; drop what is staged in part."""
+    for number in batches.names(spark, f"{staged}/{READY}"):
+        rows = spark.read.parquet(staged)
+        tables.write_table(rows, table, stored, mode="overwrite", columns=[name for name in rows.columns if name != "month"])
+        note(int(number))
+    batches.delete(spark, staged)
+
+
 def drop_expired(spark, table: str, stored: str, as_of) -> list[str]:
     """Delete the month folders that lie wholly outside a table's retention; the months deleted."""
     meta = TABLES[table]
@@ -113,6 +116,40 @@ def drop_expired(spark, table: str, stored: str, as_of) -> list[str]:
     return sorted(gone)
 
 
+def expire(spark, table: str, stored: str, as_of) -> list[str]:
+    """Apply a table's retention to the day: delete its expired months, and rewrite the month on the edge without its expired days.
+
+    This is what a daily upkeep job calls. The edge month is staged whole before it is replaced, and a run that
+    died in between is finished by the next one. The months deleted.
+    """
+    meta = TABLES[table]
+    staged = f"{stored.rstrip('/')}.edge"
+    _replace(spark, table, stored, staged)
+    gone = drop_expired(spark, table, stored, as_of)
+    if meta.retention_days is None or not any(not name.startswith("_") for name in batches.names(spark, stored)):
+        return gone
+    edge = spark.range(1).select(F.date_sub(F.to_date(as_column(as_of)), meta.retention_days).alias("day")).first()["day"]
+    rows = spark.read.option("mergeSchema", "true").parquet(stored).filter(F.col("month") == int(edge.strftime("%Y%m")))
+    date = F.to_date(meta.date_column)
+    if not rows.filter(date < F.lit(edge)).isEmpty():
+        kept = rows.filter(date >= F.lit(edge))
+        if kept.isEmpty():
+            for at in _month_folders(spark, table, stored, edge.strftime("%Y%m")):
+                batches.delete(spark, at)
+        else:
+            tables.write_table(kept, table, staged, mode="overwrite", columns=[c for c in rows.columns if c != "month"])
+            batches.touch(spark, f"{staged}/{READY}/0")
+            _replace(spark, table, stored, staged)
+    return gone
+
+
+def _month_folders(spark, table: str, stored: str, month: str) -> list[str]:
+    roots = [stored]
+    for name in TABLES[table].partitions:
+        roots = [at for root in roots for _, at in _folders(spark, root, name)]
+    return [at for root in roots for found, at in _folders(spark, root, "month") if found == month]
+
+
 def latest_per_key(df: DataFrame, table: str, version: list[str]) -> DataFrame:
     """The latest row per unique key of a table."""
     return changes.latest(df, TABLES[table].key, version)

@@ -255,6 +255,18 @@ def _(t):
     )
 
 
+@query("t3_alert_deep_page", """
+SELECT * FROM alert_history ORDER BY triggered_at DESC, alert_id LIMIT 20 OFFSET 300""", "alert_history")
+def _(t):
+    return alerts.history_page(t.alert_history, 16, deep=100)
+
+
+@query("t4_notification_totals", """
+SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM in_app_notifications WHERE NOT "read" AND severity = 'warning'""", "in_app_notifications")
+def _(t):
+    return alerts.notifications_totals(t.in_app_notifications, read=False, severity="warning")
+
+
 @query("t6_recent_alerts", """
 SELECT * FROM alert_history WHERE status = 'active' AND severity = 'critical' ORDER BY triggered_at DESC, alert_id LIMIT 10""", "alert_history")
 def _(t):

@@ -49,6 +49,11 @@ def _(t):
     return _page(t, number=3, size=20, sort_by="size", descending=False)
 
 
+@query("t2_gallery_deep_page", _page_sql(_REAL, "timestamp DESC", 360, 12), _BOTH)
+def _(t):
+    return _page(t, number=31, deep=100)
+
+
 @query("t2_gallery_by_detections", _page_sql(_REAL, "detection_count DESC", 12, 12), _BOTH)
 def _(t):
     return _page(t, number=2, sort_by="detections")

@@ -79,6 +79,17 @@ def _(t):
     return labeling.progress(t.project_images, t.annotations)
 
 
+@query("t5_project_list", """
+SELECT project_id, name, labeling_projects.status, min(created_at) AS created_at, count(*) AS total_images FROM labeling_projects JOIN project_images USING (project_id)
+WHERE labeling_projects.status IN ('active', 'draft') GROUP BY ALL ORDER BY created_at DESC, project_id LIMIT 2""",
+       _USES)
+def _(t):
+    # Projects as old as their first image.
+    begun = t.project_images.groupBy("project_id").agg(F.min("created_at").alias("created_at"), F.count("*").alias("total_images"))
+    known = t.labeling_projects.filter("status <> 'completed'").join(begun, "project_id")
+    return labeling.project_list(known, n=2).select("project_id", "name", "status", "created_at", "total_images")
+
+
 @query("t5_image_page", """
 SELECT project_id, image_id, status, created_at FROM project_images WHERE project_id = 'p1' AND status = 'pending'
 ORDER BY created_at DESC, image_id LIMIT 50 OFFSET 10""", _USES)

@@ -196,6 +196,48 @@ def test_statistics_read_raw_rows_of_the_edges_only(spark, inputs, tmp_path):
     assert "events_raw" not in whole
 
 
+def test_retention_is_applied_to_the_day(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    schema = tables.TABLES["activity_logs"].columns
+    rows = spark.createDataFrame([("d", "e", "{}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * k)) for k in range(200)], schema)
+    tables.write_table(rows, "activity_logs", path)
+    expected = rows.filter("to_date(timestamp) >= date'2024-01-16'")
+
+    def died(*args, **given):
+        raise OSError("died")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(maintain, "_replace", lambda *a, real=maintain._replace, calls=[]: died() if calls else (calls.append(1), real(*a)))
+        with pytest.raises(OSError):
+            maintain.expire(spark, "activity_logs", path, "2024-02-15")
+    for _ in range(2):
+        assert maintain.expire(spark, "activity_logs", path, "2024-02-15") == []
+        back = tables.read_table(spark, "activity_logs", path)
+        assert back.count() == expected.count() < rows.count() and back.exceptAll(expected).isEmpty()
+    assert maintain.expire(spark, "activity_logs", path, "2024-03-04") == ["202401"]
+    assert tables.read_table(spark, "activity_logs", path).agg(F.min(F.to_date("timestamp"))).first()[0] == dt.date(2024, 2, 3)
+    assert maintain.expire(spark, "devices", path, "2024-03-04") == []
+
+
+def test_a_deep_page_sorts_its_own_days_only(spark, inputs):
+    from shutterlake.operators import changes, gallery
+
+    raw, enriched = inputs.events_raw, inputs.events_enriched
+    for descending in (True, False):
+        order = gallery._order("timestamp", descending)
+        for number in (1, 2, 17, 53, 10**6):
+            got = changes.page_by_days(raw, "timestamp", order, number, 13, descending).collect()
+            assert got == changes.page(raw, order, number, 13).collect()
+    counts = raw.groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
+    assert changes.page_by_days(raw, "timestamp", order, 9, 13, False, counts).collect() == changes.page(raw, order, 9, 13).collect()
+    plan = changes.page_by_days(raw, "timestamp", order, 40, 13, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "2024-01" in plan and "Filter" in plan
+    unknown = raw.withColumn("timestamp", F.when(F.col("shot_id") != "", F.col("timestamp")))
+    assert len(changes.page_by_days(unknown, "timestamp", order, 1, 13, False).collect()) == 13
+    with pytest.raises(ValueError):
+        gallery.page(raw, enriched, size=gallery.LARGEST_PAGE + 1)
+
+
 def test_expired_months(spark):
     months = spark.createDataFrame([(202310,), (202311,), (202401,)], "month int")
     assert [r.month for r in maintain.expired_months(months, 90, "2024-02-15").collect()] == [202310]
