@@ -154,7 +154,18 @@ def _(t):
     return labeling.coco_header(used, AS_OF)
 
 
-@query("d2_coco_lines")
+@query("d2_coco_lines", f"""
+WITH i AS (SELECT *, {_RANK} AS coco_image, regexp_extract(image_url, '[^/]*$') AS file FROM project_images),
+a AS (SELECT a.*, i.coco_image, {_LIST} AS cat, row_number() OVER (PARTITION BY a.project_id ORDER BY md5(concat_ws('|', a.image_id, x1, y1, x2, y2, class))) AS id
+  FROM annotations a JOIN i USING (project_id, image_id) WHERE a.status IN ('approved', 'submitted') AND class <> 'unlisted')
+SELECT project_id, 'info' AS relation, concat('{{"description":"', project_id, '","version":"1.0","year":2024,"date_created":"2024-01-30"}}') AS line FROM labeling_projects
+UNION ALL SELECT project_id, 'licenses', '{{"id":1,"name":"Unknown","url":""}}' FROM labeling_projects
+UNION ALL SELECT project_id, 'images', concat('{{"id":', coco_image, ',"width":', width, ',"height":', height, ',"file_name":"', file, '","license":1,"flickr_url":"',
+  image_url, '","coco_url":"', image_url, '","date_captured":"', strftime(created_at, '%Y-%m-%dT%H:%M:%S'), '"}}') FROM i
+UNION ALL SELECT project_id, 'annotations', concat('{{"id":', id, ',"image_id":', coco_image, ',"category_id":', cat, ',"bbox":[', x1, ',', y1, ',', x2 - x1, ',', y2 - y1,
+  '],"area":', (x2 - x1) * (y2 - y1), ',"iscrowd":0,"segmentation":[]}}') FROM a
+UNION ALL SELECT project_id, 'categories', concat('{{"id":', id, ',"name":"', [{CLASSES_SQL}][id], '","supercategory":"none"}}')
+  FROM labeling_projects, unnest([1, 2, 3, 4, 5]) AS c(id)""", _USES)
 def _(t):
     return labeling.coco_lines(t.project_images, t.annotations, _projects(t), AS_OF)
 
