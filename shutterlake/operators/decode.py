@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shutterlake.functions.plans import once
 from shutterlake.functions.text import given, or_else
@@ -11,8 +12,8 @@ from shutterlake.functions.times import as_column
 from shutterlake.schemas import ENRICHED_MESSAGE, RAW_MESSAGE
 
 
-def parse_raw(messages: DataFrame) -> DataFrame:
-    """Decode JSON `value` into the raw-event columns, times parsed.
+def parse_raw(messages: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Decode JSON `value` into the raw-event columns, or only the given ones, times parsed.
 
     Malformed JSON or times become nulls, never a failed job. Envelope columns
     (kafka_timestamp, partition, offset) are kept when the source has them.
@@ -24,7 +25,8 @@ def parse_raw(messages: DataFrame) -> DataFrame:
         *([F.col("timestamp").alias("kafka_timestamp")] if stamped else []), *envelope,
     )
     kept = out.columns
-    return _typed(once(out, body=F.from_json("value", RAW_MESSAGE)), RAW_MESSAGE.names).select(*RAW_MESSAGE.names, *kept)
+    body = T.StructType([f for f in RAW_MESSAGE if fields is None or f.name in fields])
+    return _typed(once(out, body=F.from_json("value", body)), body.names).select(*body.names, *kept)
 
 
 def _typed(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -97,6 +99,10 @@ def normalise_enriched(parsed: DataFrame, now) -> DataFrame:
     )
 
 
+# The fields that the contract looks at.
+CONTRACT_FIELDS = ["device_id", "shot_id", "image_url", "image_size", "image_md5", "firmware_version"]
+
+
 # The event contract, one predicate per broken rule.
 def _contract() -> dict[str, Column]:
     c = F.col

@@ -30,7 +30,7 @@ def latest_enriched(enriched: DataFrame) -> DataFrame:
 
 
 def with_detections(
-    raw: DataFrame, enriched: DataFrame, keep: Callable[[Column], Column] | None = None
+    raw: DataFrame, enriched: DataFrame, keep: Callable[[Column], Column] | None = None, few: bool = False,
 ) -> DataFrame:
     """Raw events left-joined with their latest detection result.
 
@@ -39,6 +39,7 @@ def with_detections(
 
     An empty shot matches nothing. Such rows get a key of their own, so that a
     device which never names its shots does not send them all to one task.
+    With `few`, the enriched events are those of a page's shots, and their results are broadcast.
     """
     spread = F.concat(F.lit("-"), F.xxhash64("image_url", "timestamp").cast("string"))
     keyed = raw.withColumn("_key", F.when(F.col("shot_id") != "", F.col("shot_id")).otherwise(spread))
@@ -46,7 +47,7 @@ def with_detections(
     if keep is not None:
         found = once(found.filter(F.col("detection_count") > 0), _d=D.parse(F.col("detections")))
         found = found.filter(keep(F.col("_d"))).drop("_d")
-    left, right = keyed.alias("r"), found.alias("e")
+    left, right = keyed.alias("r"), (F.broadcast(found) if few else found).alias("e")
     matched = left.join(
         right,
         (F.col("r.device_id") == F.col("e.device_id")) & (F.col("r._key") == F.col("e._key"))
@@ -142,10 +143,11 @@ def page(
         ))
         # At most `size` rows, whatever the data: taken once, so that their shots reach the scan of the
         # enriched table as values, and with them its statistics and bloom filters.
-        cut = kept.sparkSession.createDataFrame(cut_page(kept).collect(), kept.schema)
-        shots = [row["shot_id"] for row in cut.select("shot_id").distinct().collect() if row["shot_id"]]
-        few = enriched.filter(F.col("shot_id").isin(shots))
-        rows = with_detections(cut, few).orderBy(*order).limit(size)
+        taken = cut_page(kept).collect()
+        cut = kept.sparkSession.createDataFrame(taken, kept.schema)
+        shots, owners = ({row[name] for row in taken if row["shot_id"]} for name in ("shot_id", "device_id"))
+        few = enriched.filter(F.col("shot_id").isin(shots) & F.col("device_id").isin(owners))
+        rows = with_detections(cut.coalesce(1), few, few=True).sortWithinPartitions(*order)
     return shaped(rows, public_domain)
 
 

@@ -28,15 +28,15 @@ def _(t):
 SELECT device_id, {_SECOND} AS timestamp, shot_id FROM raw_messages
 WHERE bad <> 'json' AND seq % 17 <> 0 AND seq % 19 <> 0""", "raw_messages")
 def _(t):
-    parsed = decode.parse_raw(t.raw_messages.select("value"))
-    return decode.valid(parsed).select("device_id", "timestamp", "shot_id")
+    asked = ["device_id", "timestamp", "shot_id"]
+    return decode.valid(decode.parse_raw(t.raw_messages.select("value"), asked)).select(*asked)
 
 
 @query("p2_rejected_rows", """
 SELECT value, CASE WHEN bad = 'json' THEN 'malformed_json' WHEN seq % 17 = 0 THEN 'missing_device' ELSE 'bad_timestamp' END AS reason
 FROM raw_messages WHERE bad = 'json' OR seq % 17 = 0 OR seq % 19 = 0""", "raw_messages")
 def _(t):
-    return decode.rejects(decode.parse_raw(t.raw_messages.select("value")))
+    return decode.rejects(decode.parse_raw(t.raw_messages.select("value"), ["device_id", "timestamp"]))
 
 
 @query("p3_raw_defaults", f"""
@@ -69,7 +69,7 @@ SELECT value, concat_ws(',', CASE WHEN seq % 17 = 0 OR seq % 23 = 0 THEN 'device
   CASE WHEN seq % 31 = 0 OR seq % 23 = 0 THEN 'image_md5' END) AS violations
 FROM raw_messages""", "raw_messages")
 def _(t):
-    checked = decode.check_contract(decode.parse_raw(t.raw_messages.select("value")))
+    checked = decode.check_contract(decode.parse_raw(t.raw_messages.select("value"), decode.CONTRACT_FIELDS))
     return checked.select("value", F.array_join("violations", ",").alias("violations"))
 
 
@@ -79,7 +79,8 @@ UNION ALL SELECT 'image_url', count(*) FROM raw_messages WHERE seq % 13 = 0 OR s
 UNION ALL SELECT 'image_size', count(*) FROM raw_messages WHERE seq % 29 = 0 OR seq % 23 = 0
 UNION ALL SELECT 'image_md5', count(*) FROM raw_messages WHERE seq % 31 = 0 OR seq % 23 = 0""", "raw_messages")
 def _(t):
-    return decode.violation_summary(decode.check_contract(decode.parse_raw(t.raw_messages.select("value"))))
+    parsed = decode.parse_raw(t.raw_messages.select("value"), decode.CONTRACT_FIELDS)
+    return decode.violation_summary(decode.check_contract(parsed))
 
 
 @query("p6_processing_date", """

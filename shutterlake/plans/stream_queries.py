@@ -304,6 +304,59 @@ def _(t):
     return metrics.totals(batches.read(t.spark, "job_counters", f"{out}/job_counters", marks=out)).drop("healthy")
 
 
+def _in_files(t: Inputs, files: int) -> str:
+    """The raw messages as so many files of a topic folder."""
+    folder = f"{work_folder(t.spark, 'topic')}/in"
+    t.raw_messages.select("value").repartition(files).write.parquet(folder)
+    return folder
+
+
+@query("x6_bounded_batches", "SELECT 3 AS batches, count(*) AS consumed FROM raw_messages", "raw_messages")
+def _(t):
+    # Five files, two to a batch.
+    out, checkpoint = _folders(t)
+    messages = streams.source(t.spark, "parquet", path=_in_files(t, 5), schema="value string", files_per_trigger=2)
+    _finished(jobs.ingest(messages, out, checkpoint, AS_OF, interval=None))
+    return metrics.totals(batches.read(t.spark, "job_counters", f"{out}/job_counters", marks=out)).select("batches", "consumed")
+
+
+_KEPT = """
+SELECT device_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS timestamp, shot_id FROM raw_messages
+WHERE seq % 23 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0 AND seq % 13 <> 0"""
+
+
+@query("x7_retried_writes", _KEPT, "raw_messages")
+def _(t):
+    # Every write fails twice after it has written, so what it wrote must be replaced.
+    from shutterlake.operators import decode
+
+    out, _ = _folders(t)
+    rows = tables.insert_rows(decode.normalise_raw(decode.parse_raw(t.raw_messages.select("value")), AS_OF), "events_raw", AS_OF)
+    for batch in range(2):
+        part, attempts = rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == batch), []
+
+        def write(part=part, batch=batch, attempts=attempts):
+            jobs.write_batch(part, "events_raw", f"{out}/events_raw", batch)
+            attempts.append(batch)
+            if len(attempts) < 3:
+                raise OSError("the store went away")
+
+        jobs.with_retries(write)
+        batches.finish(t.spark, out, batch)
+    return batches.read(t.spark, "events_raw", f"{out}/events_raw", marks=out).select("device_id", "timestamp", "shot_id")
+
+
+@query("x14_drained_job", _KEPT, "raw_messages")
+def _(t):
+    # A job that runs on is told to finish what has come and to stop; started again it finds nothing new.
+    out, checkpoint = _folders(t)
+    folder = _in_files(t, 3)
+    for _ in range(2):
+        messages = streams.source(t.spark, "parquet", path=folder, schema="value string", files_per_trigger=1)
+        jobs.drain(jobs.ingest(messages, out, checkpoint, AS_OF, interval="1 second"))
+    return batches.read(t.spark, "events_raw", f"{out}/events_raw", marks=out).select("device_id", "timestamp", "shot_id")
+
+
 @query("x10_late_rows", """
 SELECT device_id, CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS aggregation_window, count(*) AS image_count,
   CAST(sum(image_size) AS BIGINT) AS total_size_bytes, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM events_raw GROUP BY ALL""", "events_raw")
