@@ -150,6 +150,19 @@ def _month_folders(spark, table: str, stored: str, month: str) -> list[str]:
     return [at for root in roots for found, at in _folders(spark, root, "month") if found == month]
 
 
+def upkeep(spark, out: str, stored: str, as_of) -> dict[str, tuple[int, list[str]]]:
+    """The daily job over a streaming job's tables: fold what is finished, then apply each table's retention.
+
+    Per table of the job's folder `out` the number of batch folders taken and the months deleted below `stored`.
+    """
+    limit = batches.sum_up_marks(spark, out)
+    done = {}
+    for table in sorted(set(batches.names(spark, out)) & set(TABLES)):
+        taken = compact(spark, table, f"{out}/{table}", f"{stored}/{table}", limit, marks=out)
+        done[table] = taken, expire(spark, table, f"{stored}/{table}", as_of)
+    return done
+
+
 def latest_per_key(df: DataFrame, table: str, version: list[str]) -> DataFrame:
     """The latest row per unique key of a table."""
     return changes.latest(df, TABLES[table].key, version)

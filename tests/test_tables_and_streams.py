@@ -219,6 +219,21 @@ def test_retention_is_applied_to_the_day(spark, tmp_path, monkeypatch):
     assert maintain.expire(spark, "devices", path, "2024-03-04") == []
 
 
+def test_daily_upkeep_of_a_job(spark, inputs, tmp_path):
+    out, stored = str(tmp_path / "out"), str(tmp_path / "stored")
+    src = str(tmp_path / "src")
+    inputs.raw_messages.select("value").repartition(3).write.parquet(src)
+    messages = streams.source(spark, "parquet", path=src, schema="value string", files_per_trigger=1)
+    jobs.ingest(messages, out, str(tmp_path / "cp"), NOW, interval=None).awaitTermination()
+    before = {name: batches.read(spark, name, f"{out}/{name}", marks=out).count() for name in ("events_raw", "partials_daily", "rejects", "job_counters")}
+    done = maintain.upkeep(spark, out, stored, "2024-02-02")
+    assert {"events_raw", "partials_daily", "contacts_hourly", "rejects", "job_counters"} <= set(done) and all(n == 3 for n, _ in done.values())
+    for name, n in before.items():
+        assert batches.read(spark, name, f"{out}/{name}", out, f"{stored}/{name}").count() == n == tables.read_table(spark, name, f"{stored}/{name}").count()
+    assert maintain.upkeep(spark, out, stored, "2024-02-02")["events_raw"] == (0, [])
+    assert maintain.upkeep(spark, out, stored, "2024-09-30")["events_raw"] == (0, ["202402"])
+
+
 def test_a_deep_page_sorts_its_own_days_only(spark, inputs):
     from shutterlake.operators import changes, gallery
 
