@@ -10,15 +10,18 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shutterlake.operators.admission import LONG_AGO, Admission, tie
-from shutterlake.operators.cooldown import NEVER, not_suppressed
+from shutterlake.operators.cooldown import NEVER, PAIR, not_suppressed
 from shutterlake.operators.devices import DEFAULT_INTERVAL_S, STALE_AFTER_S, parsed, presence_fields
+from shutterlake.functions.plans import once
 from shutterlake.functions.times import device_timestamp
 from shutterlake.operators.rules import pairs
 
@@ -26,6 +29,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # How late a device's message may come.
 DELAY = "1 minute"
+# Pairs of a rule and a device are kept in so many states; a stream's checkpoint holds for one number only.
+SHARDS = 1 << 16
+# Times within a JSON payload keep their microseconds.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -77,20 +84,34 @@ def drop_repeated_shots(uploads: DataFrame, time: str = "arrived_at", within: st
 
 # ---- alert cooldown -----------------------------------------------------
 
-def _cooldown_group(key, batches, state):
-    blocked, fired_at = state.get if state.exists else (NEVER, NEVER)
-    rows = _in_order(batches, ["_at", "_candidate", "shot_id"])
-    keep = []
-    for at, candidate, of, cooldown in zip(rows["_at"], rows["_candidate"], rows["_of"], rows.cooldown_s):
-        fires = bool(candidate) and at > blocked
-        keep.append(fires)
-        if fires:
-            fired_at, blocked = int(at), int(at) + int(cooldown) * 1_000_000
-        elif not candidate and of == fired_at:
+def _cooldown_shard(key, batches, state):
+    told = zip(*state.get) if state.exists else ()
+    known = {pair: (blocked, fired_at) for pair, blocked, fired_at in told}
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    codes, pairs_ = pd.factorize(rows.pair)
+    # Pair by pair in order of time; a resolution before a candidate of its instant, then by shot, a missing one first.
+    order = np.lexsort((pd.factorize(rows.shot_id, sort=True)[0], rows["_candidate"], rows["_at"], codes))
+    columns = (rows[name].to_numpy()[order].tolist() for name in ("_at", "_candidate", "_of", "cooldown_s"))
+    last, keep = None, []
+    for row, code, at, candidate, of, cooldown in zip(order.tolist(), codes[order].tolist(), *columns):
+        if code != last:
+            if last is not None:
+                known[pairs_[last]] = blocked, fired_at
+            last = code
+            blocked, fired_at = known.get(pairs_[code], (NEVER, NEVER))
+        if candidate:
+            if at > blocked:
+                keep.append(row)
+                fired_at, blocked = at, at + int(cooldown) * 1_000_000
+        elif of == fired_at:
             # The alert that blocks is resolved: from this instant on the next may fire.
-            blocked = max(fired_at, min(blocked, int(at) - 1))
-    state.update((blocked, fired_at))
-    yield rows[keep].drop(columns=["_at", "_candidate", "_of"])
+            blocked = max(fired_at, min(blocked, at - 1))
+    if last is not None:
+        known[pairs_[last]] = blocked, fired_at
+    state.update((list(known), *map(list, zip(*known.values()))))
+    if keep:
+        yield rows[["_at", "item"]].take(keep)
 
 
 def cooldown_stream(
@@ -100,24 +121,36 @@ def cooldown_stream(
 
     `history` is a table of alerts stored before the stream began, `resolutions`
     a stream (rule_id, device_id, triggered_at, resolved_at). A resolution that
-    arrives in a later batch than the candidates after it does not bring those back.
+    arrives in a later batch than the candidates after it does not bring those back. What has no time neither fires nor resolves.
+
+    A call of the state function costs much more than a row, so pairs share the state of one of `SHARDS` shards, and
+    a candidate passes through it as few columns: its payload is a JSON text, read again for those that fire.
     """
     if history is not None:
         candidates = not_suppressed(candidates, history)
     schema = candidates.schema
-    rows = candidates.withColumns({
-        "_at": F.unix_micros("triggered_at"), "_candidate": F.lit(True), "_of": F.lit(0).cast("long"),
-    })
+    payload = [name for name in schema.names if name != "triggered_at"]
+
+    def sharded(rows: DataFrame, at: str, candidate: bool, of: Column, cooldown: Column, shot: Column, item: Column) -> DataFrame:
+        return rows.select(
+            F.pmod(F.xxhash64(*PAIR), F.lit(SHARDS)).cast("int").alias("shard"), F.to_json(F.struct(*PAIR)).alias("pair"),
+            F.unix_micros(at).alias("_at"), F.lit(candidate).alias("_candidate"), of.alias("_of"), cooldown.cast("long").alias("cooldown_s"),
+            shot.cast("string").alias("shot_id"), item.alias("item"),
+        ).filter("_at is not null and _of is not null")
+
+    text = F.to_json(F.struct(*payload), _EXACT)
+    rows = sharded(candidates, "triggered_at", True, F.lit(0).cast("long"), F.col("cooldown_s"), F.col("shot_id"), text)
     if resolutions is not None:
-        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("rule_id", "device_id", "cooldown_s")]
-        ended = resolutions.select(
-            "rule_id", "device_id", F.lit(0).cast("long").alias("cooldown_s"), *empty, F.unix_micros("resolved_at").alias("_at"),
-            F.lit(False).alias("_candidate"), F.unix_micros("triggered_at").alias("_of"),
-        )
-        rows = rows.unionByName(ended.select(*rows.columns))
-    return rows.groupBy("rule_id", "device_id").applyInPandasWithState(
-        _cooldown_group, schema, "blocked bigint, fired_at bigint", "append", GroupStateTimeout.NoTimeout,
+        rows = rows.unionByName(sharded(
+            resolutions, "resolved_at", False, F.unix_micros("triggered_at"), F.lit(0), F.lit(None), F.lit(None).cast("string")))
+    fired = rows.groupBy("shard").applyInPandasWithState(
+        _cooldown_shard, "_at bigint, item string", "pairs array<string>, blocked array<bigint>, fired_at array<bigint>",
+        "append", GroupStateTimeout.NoTimeout,
     )
+    kinds = T.StructType([schema[name] for name in payload])
+    read = once(fired, _item=F.from_json("item", kinds, _EXACT))
+    return read.select(*[
+        (F.timestamp_micros("_at") if name == "triggered_at" else F.col(f"_item.`{name}`")).alias(name) for name in schema.names])
 
 
 # ---- device presence ----------------------------------------------------

@@ -547,3 +547,27 @@ def test_topic_rows(spark, inputs):
     assert json.loads(row.value)["device_id"] == row.key
     assert [h.key for h in row.headers] == ["source", "timestamp"]
     assert streams.topic_rows(inputs.events_raw, now=NOW).columns == ["value", "headers"]
+
+
+def test_pairs_that_share_a_shard_keep_their_own_cooldown(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "SHARDS", 2)
+    start = dt.datetime(2024, 1, 1, 0, 0, 0, 123457)
+    kinds = "rule_id string, device_id string, triggered_at timestamp, cooldown_s long, shot_id string, top double, species array<string>, seen timestamp"
+    rows = [
+        (f"r{k % 3}", None if k % 5 == 4 else f"d{k % 5}", None if k % 29 == 7 else start + dt.timedelta(seconds=k * 7 % 400), 60 + k % 3,
+         None if k % 4 == 0 else f"s{k}", float("nan") if k % 6 == 0 else k / 7, None if k % 2 else ['a "', None], start + dt.timedelta(microseconds=k))
+        for k in range(300)]
+    path = str(tmp_path / "in")
+    expected, blocked = [], {}
+    for part in (rows[:150], rows[150:]):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(path)
+        for row in sorted((r for r in part if r[2]), key=lambda r: (r[2], r[4] is not None, r[4] or "")):
+            if row[2] > blocked.get(row[:2], dt.datetime.min):
+                expected.append(row)
+                blocked[row[:2]] = row[2] + dt.timedelta(seconds=row[3])
+        stream = streams.source(spark, "parquet", path=path, schema=kinds)
+        fired = state.cooldown_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        fired.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.columns == [part.split()[0] for part in kinds.split(", ")]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
