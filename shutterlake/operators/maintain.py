@@ -38,12 +38,6 @@ def expired_months(months: DataFrame, days: int, as_of) -> DataFrame:
     return months.filter(F.col("month").cast("string") < edge)
 
 
-def _folders(spark, path: str, name: str) -> list[tuple[str, str]]:
-    """(value, path) of the folders name=value in a folder."""
-    found = [folder for folder in batches.names(spark, path) if folder.startswith(f"{name}=")]
-    return [(folder.split("=", 1)[1], f"{path}/{folder}") for folder in found]
-
-
 def compact(spark, table: str, streamed: str, stored: str, before_batch: int, marks: str | None = None) -> int:
     """Fold the batches below `before_batch` of a streamed table into the stored one; the number of batch folders it took.
 
@@ -89,10 +83,17 @@ def _put_in_place(spark, table: str, streamed: str, stored: str, staged: str) ->
 
 
 def _replace(spark, table: str, stored: str, staged: str, note=lambda number: None) -> None:
-    """Put months that are staged whole in place of the stored ones; drop what is staged in part."""
+    """Put months that are staged whole in place of the stored ones; drop what is staged in part.
+
+    A run that died on the way left the months it had not moved staged, and the next one moves those.
+    """
     for number in batches.names(spark, f"{staged}/{READY}"):
-        rows = spark.read.parquet(staged)
-        tables.write_table(rows, table, stored, mode="overwrite", columns=[name for name in rows.columns if name != "month"])
+        if TABLES[table].date_column is None:
+            rows = spark.read.parquet(staged)
+            tables.write_table(rows, table, stored, mode="overwrite", columns=rows.columns)
+        else:
+            rows = spark.read.schema(TABLES[table].columns).parquet(staged)
+            tables.write_table(rows, table, stored, mode="overwrite", staged=staged)
         note(int(number))
     batches.delete(spark, staged)
 
@@ -102,10 +103,7 @@ def drop_expired(spark, table: str, stored: str, as_of) -> list[str]:
     meta = TABLES[table]
     if meta.retention_days is None:
         return []
-    roots = [stored]
-    for name in meta.partitions:
-        roots = [at for root in roots for _, at in _folders(spark, root, name)]
-    months = [(month, at) for root in roots for month, at in _folders(spark, root, "month")]
+    months = [(at.rsplit("=", 1)[1], at) for at in tables.month_folders(spark, table, stored)]
     if not months:
         return []
     listed = spark.createDataFrame([(month,) for month in sorted({m for m, _ in months})], "month string")
@@ -144,10 +142,7 @@ def expire(spark, table: str, stored: str, as_of) -> list[str]:
 
 
 def _month_folders(spark, table: str, stored: str, month: str) -> list[str]:
-    roots = [stored]
-    for name in TABLES[table].partitions:
-        roots = [at for root in roots for _, at in _folders(spark, root, name)]
-    return [at for root in roots for found, at in _folders(spark, root, "month") if found == month]
+    return [at for at in tables.month_folders(spark, table, stored) if at.endswith(f"/month={month}")]
 
 
 def upkeep(spark, out: str, stored: str, as_of) -> dict[str, tuple[int, list[str]]]:

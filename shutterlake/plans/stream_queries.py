@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators import changes, maintain, rollups
@@ -74,15 +75,23 @@ def _(t):
     return rollups.read_combined(rollups.combine(parts)).select("device_id", "aggregation_window", "image_count")
 
 
-def _in_blocks(t: Inputs, out: str, blocks: int = 4) -> None:
-    """The raw rows as batches of an ingest job, each written twice over, as two equal uploads are two events."""
-    rows = tables.insert_rows(t.events_raw, "events_raw", AS_OF)
-    twice = rows.unionByName(rows)
-    for batch in range(blocks):
-        part = twice.filter(F.pmod(F.xxhash64("event_id"), F.lit(blocks)) == batch)
-        jobs.write_batch(part, "events_raw", f"{out}/events_raw", batch)
-        if batch < blocks - 1:  # the last batch dies between its two tables
-            jobs.write_batch(rollups.partials(part, "daily"), "partials_daily", f"{out}/partials_daily", batch)
+BLOCKS = 4
+
+
+def _block(t: Inputs, number: int) -> DataFrame:
+    """One block of the raw rows, each twice over, as two equal uploads are two events."""
+    rows = tables.insert_rows(t.events_raw, "events_raw", AS_OF).filter(F.pmod(F.xxhash64("event_id"), F.lit(BLOCKS)) == number)
+    return rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+
+
+def _in_blocks(t: Inputs, out: str) -> None:
+    """The raw rows as batches of an ingest job."""
+    raw = f"{out}/events_raw"
+    for batch in range(BLOCKS):
+        jobs.write_batch(_block(t, batch), "events_raw", raw, batch)
+        if batch < BLOCKS - 1:  # the last batch dies between its two tables
+            written = batches.columns_of(t.spark.read.parquet(batches.streamed(t.spark, raw)[batch]), "events_raw")
+            jobs.write_batch(rollups.partials(written, "daily"), "partials_daily", f"{out}/partials_daily", batch)
             batches.finish(t.spark, out, batch)
 
 
@@ -99,8 +108,7 @@ def _(t):
     raw, parts = f"{out}/events_raw", f"{out}/partials_daily"
     maintain.compact(t.spark, "events_raw", raw, f"{out}/stored_raw", 2, marks=out)
     maintain.compact(t.spark, "partials_daily", parts, f"{out}/stored_partials", 9, marks=out)
-    again = tables.insert_rows(t.events_raw, "events_raw", AS_OF).filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == 1)
-    jobs.write_batch(again.unionByName(again), "events_raw", raw, 1)
+    jobs.write_batch(_block(t, 1), "events_raw", raw, 1)
     maintain.compact(t.spark, "events_raw", raw, f"{out}/stored_raw", 9, marks=out)
     rows = batches.read(t.spark, "events_raw", raw, stored=f"{out}/stored_raw")
     seen = rollups.combine(batches.read(t.spark, "partials_daily", parts, out, f"{out}/stored_partials"))

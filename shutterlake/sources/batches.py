@@ -45,6 +45,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A folder in place of another one of the same file system."""
+    fs, place = files_of(spark, path)
+    target = files_of(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    fs.delete(target, True)
+    if not fs.rename(place, target):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def finish(spark: SparkSession, marks: str, batch: int) -> None:
     """Mark a batch whose tables are all written."""
     touch(spark, f"{marks}/{MARKS}/{batch}")

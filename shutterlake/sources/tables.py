@@ -11,6 +11,7 @@ from shutterlake.functions.text import or_else
 from shutterlake.functions.times import as_column
 from shutterlake.operators.decode import DATE_SOURCE
 from shutterlake.schemas import TABLES
+from shutterlake.sources import batches
 
 # Column defaults that differ from '' and 0.
 TEXT_DEFAULTS = {
@@ -73,15 +74,28 @@ def laid_out(df: DataFrame, table: str) -> DataFrame:
     return with_month.hint("rebalance", *folders).sortWithinPartitions(*folders, *keys)
 
 
+def month_folders(spark: SparkSession, table: str, path: str) -> list[str]:
+    """The folders of a dated table that hold files: those of its months, below its further partitions."""
+    found = [path]
+    for name in [*TABLES[table].partitions, "month"]:
+        found = [f"{at}/{part}" for at in found for part in batches.names(spark, at) if part.startswith(f"{name}=")]
+    return found
+
+
 def write_table(
-    df: DataFrame, table: str, path: str, mode: str = "append", columns: list[str] | None = None,
+    df: DataFrame, table: str, path: str, mode: str = "append", columns: list[str] | None = None, staged: str | None = None,
 ) -> None:
     """Write month partitions with bloom filters on the lookup columns.
 
     `mode="overwrite"` replaces only the folders of months (and of a table's
-    further partitions, as the grain of a rollup) that are present in `df`.
+    further partitions, as the grain of a rollup) that are present in `df`. Rows that this function has written
+    to a `staged` folder beside the path have their layout already: their month folders are moved.
     """
     meta = TABLES[table]
+    if staged:
+        for at in month_folders(df.sparkSession, table, staged):
+            batches.move(df.sparkSession, at, path + at[len(staged):])
+        return
     chosen = df.select(*columns) if columns else table_columns(df, table)
     if meta.date_column is None:
         chosen.write.mode(mode).parquet(path)

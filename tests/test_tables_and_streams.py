@@ -549,6 +549,31 @@ def test_topic_rows(spark, inputs):
     assert streams.topic_rows(inputs.events_raw, now=NOW).columns == ["value", "headers"]
 
 
+def test_a_fold_moves_what_it_has_staged(spark, tmp_path, monkeypatch):
+    streamed, stored = str(tmp_path / "streamed"), str(tmp_path / "stored")
+    schema = tables.TABLES["activity_logs"].columns
+    rows = spark.createDataFrame([("d", "e", "{}", dt.datetime(2024, 1 + k % 3, 5)) for k in range(30)], schema)
+    jobs.write_batch(rows, "activity_logs", streamed, 0)
+    laid, moved = [], []
+    monkeypatch.setattr(tables, "laid_out", lambda *a, real=tables.laid_out: (laid.append(1), real(*a))[1])
+
+    def dying(*args, real=batches.move):
+        if moved:
+            raise OSError("died")
+        moved.append(args)
+        real(*args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(batches, "move", dying)
+        with pytest.raises(OSError):
+            maintain.compact(spark, "activity_logs", streamed, stored, 9)
+    assert batches.read(spark, "activity_logs", streamed, stored=stored).count() == 30
+    maintain.compact(spark, "activity_logs", streamed, stored, 9)
+    back = tables.read_table(spark, "activity_logs", stored)
+    assert len(laid) == 1 and back.count() == 30 and back.exceptAll(rows).isEmpty()
+    assert not os.path.exists(f"{stored}.staged") and not os.path.exists(f"{streamed}/batch=0")
+
+
 def test_pairs_that_share_a_shard_keep_their_own_cooldown(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(state, "SHARDS", 2)
     start = dt.datetime(2024, 1, 1, 0, 0, 0, 123457)
