@@ -312,18 +312,24 @@ def _(t):
     return metrics.totals(batches.read(t.spark, "job_counters", f"{out}/job_counters", marks=out)).drop("healthy")
 
 
-def _in_files(t: Inputs, files: int) -> str:
-    """The raw messages as so many files of a topic folder."""
-    folder = f"{work_folder(t.spark, 'topic')}/in"
-    t.raw_messages.select("value").repartition(files).write.parquet(folder)
-    return folder
+# Messages to a file; one task writes a file.
+FILE_ROWS = 250_000
+
+
+def _in_files(messages: DataFrame, folder: str, parts: int = 1) -> int:
+    """The messages' values as files of a topic folder, in so many equal parts; the number of files to a part."""
+    files = 1 + messages.count() // (parts * FILE_ROWS)
+    messages.select("value").repartition(parts * files).write.mode("append").parquet(folder)
+    return files
 
 
 @query("x6_bounded_batches", "SELECT 3 AS batches, count(*) AS consumed FROM raw_messages", "raw_messages")
 def _(t):
-    # Five files, two to a batch.
+    # Five parts, two to a batch.
     out, checkpoint = _folders(t)
-    messages = streams.source(t.spark, "parquet", path=_in_files(t, 5), schema="value string", files_per_trigger=2)
+    folder = f"{work_folder(t.spark, 'topic')}/in"
+    files = _in_files(t.raw_messages, folder, 5)
+    messages = streams.source(t.spark, "parquet", path=folder, schema="value string", files_per_trigger=2 * files)
     _finished(jobs.ingest(messages, out, checkpoint, AS_OF, interval=None))
     return metrics.totals(batches.read(t.spark, "job_counters", f"{out}/job_counters", marks=out)).select("batches", "consumed")
 
@@ -358,9 +364,10 @@ def _(t):
 def _(t):
     # A job that runs on is told to finish what has come and to stop; started again it finds nothing new.
     out, checkpoint = _folders(t)
-    folder = _in_files(t, 3)
+    folder = f"{work_folder(t.spark, 'topic')}/in"
+    files = _in_files(t.raw_messages, folder, 3)
     for _ in range(2):
-        messages = streams.source(t.spark, "parquet", path=folder, schema="value string", files_per_trigger=1)
+        messages = streams.source(t.spark, "parquet", path=folder, schema="value string", files_per_trigger=files)
         jobs.drain(jobs.ingest(messages, out, checkpoint, AS_OF, interval="1 second"))
     return batches.read(t.spark, "events_raw", f"{out}/events_raw", marks=out).select("device_id", "timestamp", "shot_id")
 

@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.operators import grains, maintain, rollups
+from shutterlake.plans.catalogue import QUERIES
 from shutterlake.sources import batches, images, streams, tables
 from shutterlake.streaming import jobs, metrics, state
+from tests.conftest import DATA
 
 NOW = "2024-02-01 00:00:00"
 
@@ -574,6 +576,26 @@ def test_a_fold_moves_what_it_has_staged(spark, tmp_path, monkeypatch):
     assert not os.path.exists(f"{stored}.staged") and not os.path.exists(f"{streamed}/batch=0")
 
 
+@pytest.mark.parametrize("name", ["x6_bounded_batches", "x14_drained_job"])
+def test_topic_files_are_bounded(spark, monkeypatch, name):
+    from shutterlake.plans import stream_queries
+
+    written, count = [], {"x6_bounded_batches": 5 * 5, "x14_drained_job": 3 * 8}[name]
+
+    def in_files(messages, folder, *parts, real=stream_queries._in_files):
+        written.append(folder)
+        return real(messages, folder, *parts)
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 50)
+    monkeypatch.setattr(stream_queries, "_in_files", in_files)
+    found = QUERIES[name](spark, DATA)
+    rows = [r["count"] for r in spark.read.parquet(written[0]).groupBy(F.input_file_name()).count().collect()]
+    assert len(rows) == count and max(rows) <= 60 and sum(rows) == 1100
+    if name != "x14_drained_job":
+        row = found.first()
+        assert (row["batches"], row["consumed"]) == (3, 1100)
+
+
 def test_pairs_that_share_a_shard_keep_their_own_cooldown(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(state, "SHARDS", 2)
     start = dt.datetime(2024, 1, 1, 0, 0, 0, 123457)
