@@ -306,8 +306,8 @@ def _(t):
     out, checkpoint = _folders(t)
     folder = f"{work_folder(t.spark, 'topic')}/in"
     for half in range(2):
-        t.raw_messages.filter(F.pmod("seq", F.lit(2)) == half).select("value").coalesce(1).write.mode("append").parquet(folder)
-        messages = streams.source(t.spark, "parquet", path=folder, schema="value string")
+        _in_files(t.raw_messages.filter(F.pmod("seq", F.lit(2)) == half), folder)
+        messages = streams.source(t.spark, "parquet", path=folder, schema="value string", files_per_trigger=None)
         _finished(jobs.ingest(messages, out, checkpoint, AS_OF, interval=None))
     return metrics.totals(batches.read(t.spark, "job_counters", f"{out}/job_counters", marks=out)).drop("healthy")
 
