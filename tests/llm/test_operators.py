@@ -226,6 +226,32 @@ def test_short_similar_lines_meet(spark):
     assert whole == {2 * k + 1 for k in range(100)}
 
 
+def test_surroundings_are_kept_once_for_places_that_match_alike(spark, monkeypatch):
+    import random
+
+    random.seed(21)
+    words = lambda n, tag: [f"{tag}{random.randrange(10**6)}" for _ in range(n)]
+    passage, copied = words(150, "p"), [words(60, "a"), words(60, "b")]
+    texts = [[*copied[0], *passage, *copied[1]]] * 30 + [[*words(40, "c"), *passage, *words(40, "d")] for _ in range(2)]
+    texts.append([*words(40, "e"), *passage, *words(50, "f"), *passage, *words(40, "g")])  # twice in one document
+    rows = {}
+
+    def counted(frame, purpose, written=passages.written):
+        table = written(frame, purpose)
+        rows.setdefault(purpose, table.count())
+        return table
+
+    monkeypatch.setattr(passages, "written", counted)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["start"], r["stop"], r["removed"], r["first_doc_id"]) for r in passages.repeated(df).collect())
+    place = lambda k, a, b: (len(" ".join(texts[k][:a])) + (a > 0), len(" ".join(texts[k][:b])))
+    expected = [(k, *place(k, 0, 270), k > 0, 0) for k in range(30)] + [(k, *place(k, 40, 190), True, 0) for k in (30, 31)]
+    expected += [(32, *place(32, 40, 190), True, 0), (32, *place(32, 240, 390), True, 0)]
+    assert found == expected
+    # Windows of 34 places are repeated, but at most five kinds of place differ, and only near the ends of the passage.
+    assert 0 < rows["seeds"] <= 5 * 34 // 2 < 34 * 6
+
+
 def test_bands_find_lines_at_the_threshold():
     assert 1 - (1 - passages.THRESHOLD ** passages.ROWS) ** passages.BANDS >= 0.99
 
