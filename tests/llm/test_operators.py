@@ -252,6 +252,53 @@ def test_surroundings_are_kept_once_for_places_that_match_alike(spark, monkeypat
     assert 0 < rows["seeds"] <= 5 * 34 // 2 < 34 * 6
 
 
+def test_windows_with_few_variants_are_compared_in_one_task(spark, monkeypatch):
+    import random
+
+    random.seed(23)
+    words = lambda n, tag: [f"{tag}{random.randrange(10**6)}" for _ in range(n)]
+    passage = words(90, "p")
+    # Each document has more of the passage than the one before, so each round finds another first one.
+    texts = [[*words(40, "a"), *passage[30 - k:60 + k], *words(40, "b")] for k in range(30)] + [[*passage, *words(9, "c"), *passage]]
+    texts += [t if k % 3 else [*t[:50], "other", *t[51:]] for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(k if k % 7 else None, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    rounds, found = {}, {}
+    for most in (10**6, 20, 2):
+        purposes = []
+
+        def counted(frame, purpose, purposes=purposes, written=common.written):
+            purposes.append(purpose)
+            return written(frame, purpose)
+
+        monkeypatch.setattr(passages, "written", counted)
+        monkeypatch.setattr(passages, "CLASS_ROWS", most)
+        found[most], rounds[most] = sorted(map(repr, passages.repeated(df).collect())), purposes.count("matches")
+    assert found[10**6] == found[20] == found[2] and found[2]
+    assert rounds[10**6] == 0 < rounds[20] < rounds[2], rounds
+
+
+def test_words_and_windows_are_those_of_the_plain_way():
+    import random
+    import re
+
+    import numpy as np
+    import xxhash
+
+    random.seed(24)
+    texts = ["", "x" * 16, "x" * 17 + " " + "x" * 16, "\xc0B_9 \xaa\xb2\xb5 \xff \xe9", "\u0130stanbul \u017f\xdf", "ab" * 4 + " " + "ab" * 4 + "c"]
+    texts += [" ".join(random.choice("ab\xe9\u0119") * random.randrange(1, 20) for _ in range(n)) for n in range(1, 300, 7)]
+    for text in texts * 2:
+        spans, hashes = passages._words(text, passages.Vocabulary())
+        plain = list(re.finditer(r"\w+", text))
+        assert [m.span() for m in plain] == list(map(tuple, spans.tolist()))
+        assert [xxhash.xxh64_intdigest(m[0].lower().encode()) for m in plain] == hashes.tolist()
+        order = passages.shingle_hashes(hashes, 3)[:max(0, len(hashes) - passages.WINDOW + 1)]
+        runs = [range(k, min(k + passages.SPREAD, len(order))) for k in range(max(1, len(order) - passages.SPREAD + 1))] if len(order) else []
+        assert sorted({min(run, key=lambda k: (order[k], k)) for run in runs}) == passages._places(hashes).tolist()
+    rows = np.arange(2 * passages.BANDS * passages.ROWS, dtype=np.uint64).reshape(2, -1) * np.uint64(487)
+    assert len(np.unique(passages._bands(rows))) == 2 * passages.BANDS
+
+
 def test_bands_find_lines_at_the_threshold():
     assert 1 - (1 - passages.THRESHOLD ** passages.ROWS) ** passages.BANDS >= 0.99
 
